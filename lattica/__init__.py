@@ -6,6 +6,13 @@ reductions are partial aggregations, and only dense per-block arithmetic runs
 as Arrow-batched numpy.
 """
 
+import sys
+
+from pyspark import cloudpickle
+
 from lattica.schema import Grid
 
+# Batch functions travel to executors by value, so workers need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 __all__ = ["Grid"]
