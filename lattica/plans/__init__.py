@@ -7,6 +7,7 @@ FAMILIES = (
     "topology",
     "stats",
     "series",
+    "stencils",
 )
 
 
