@@ -189,3 +189,29 @@ def sum_slices(cells: DataFrame, value: str) -> DataFrame:
     axis = F.when(F.col("gx") == 1, "x").when(F.col("gy") == 1, "y").otherwise("z")
     return out.select(axis.alias("axis"), F.when(axis == "x", F.col("y")).otherwise(F.col("x")).alias("u"),
                       F.when(axis == "z", F.col("y")).otherwise(F.col("z")).alias("w"), "total")
+
+
+# --- reads across the domain border ------------------------------------------
+
+def boundary_lookup(probe: DataFrame, at: tuple[str, str, str], cells: DataFrame, value: str, grid: Grid, kind: str,
+                    empty: float, component: int | None = None) -> DataFrame:
+    """Read cells at positions that may lie outside the domain.
+
+    DIRICHLET reads the empty value there, NEUMANN the nearest inside cell, PERIODIC
+    the wrapped one, FREESLIP the nearest one with the component across the face
+    (``component`` says which one this channel is) set to zero.
+    """
+    clip = K.clip_report(*at, grid)
+    if kind == "PERIODIC":
+        where = [F.pmod(K.big(c), F.lit(s)) for c, s in zip(at, grid.dims)]
+    else:
+        where = [clip[f"c{a}"] for a in XYZ]
+    outside = clip["clip_dir"] >= 0
+    p = probe.withColumns({f"__{a}": w for a, w in zip(XYZ, where)} | {"__out": outside, "__dir": clip["clip_dir"]})
+    found = p.join(cells.select(*[F.col(a).alias(f"__{a}") for a in XYZ], value), ["__x", "__y", "__z"], "left")
+    v = F.coalesce(value, F.lit(empty))
+    if kind == "DIRICHLET":
+        v = F.when(F.col("__out"), F.lit(empty)).otherwise(v)
+    if kind == "FREESLIP" and component is not None:
+        v = F.when(F.col("__out") & (F.col("__dir") == component), 0.0).otherwise(v)
+    return found.withColumn(value, v).drop("__x", "__y", "__z", "__out", "__dir")

@@ -8,6 +8,7 @@ FAMILIES = (
     "stats",
     "series",
     "stencils",
+    "channels",
 )
 
 
