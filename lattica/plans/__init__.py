@@ -9,6 +9,7 @@ FAMILIES = (
     "series",
     "stencils",
     "channels",
+    "pyramids",
 )
 
 
