@@ -10,6 +10,7 @@ FAMILIES = (
     "stencils",
     "channels",
     "pyramids",
+    "sampling",
 )
 
 
