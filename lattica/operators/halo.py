@@ -95,8 +95,11 @@ def unpack(packed: DataFrame, grid: Grid, value: str, dtype: str = "float32", dr
 # --- exchange ---------------------------------------------------------------
 
 def exchange(packed: DataFrame, grid: Grid, h: int, dtype: str, *, periodic: tuple[bool, bool, bool] = (False,) * 3,
-             to_color: int | None = None) -> DataFrame:
-    """Rows (bid, parts): the pieces each existing block needs for a halo of width h."""
+             to_color: int | None = None, existing_only: bool = True) -> DataFrame:
+    """Rows (bid, parts): the pieces each block needs for a halo of width h.
+
+    Blocks that store nothing themselves appear only without ``existing_only``.
+    """
     n = grid.bsx
     if h > n:
         raise ValueError("halo wider than a block")
@@ -132,7 +135,7 @@ def exchange(packed: DataFrame, grid: Grid, h: int, dtype: str, *, periodic: tup
     sent = packed.mapInArrow(run, "bid bigint, code int, slab binary")
     # at most 27 pieces per receiver
     got = sent.groupBy("bid").agg(F.collect_list(F.struct("code", "slab")).alias("parts"), F.bool_or(F.col("code") == SELF).alias("own"))
-    return got.where("own").select("bid", "parts")
+    return (got.where("own") if existing_only else got).select("bid", "parts")
 
 
 def assemble(bid: np.ndarray, parts: list, grid: Grid, h: int, dtype: str, outside: str, empty: float,
@@ -160,7 +163,8 @@ def assemble(bid: np.ndarray, parts: list, grid: Grid, h: int, dtype: str, outsi
         shape = tuple(span[d] for d in reversed(o))
         out[np.array(rows), place[o[2]], place[o[1]], place[o[0]]] = np.frombuffer(b"".join(blobs), dtype).reshape(len(rows), *shape)
 
-    put(SELF)
+    if SELF in pieces:
+        put(SELF)
     if outside == "own" and h:
         core = out[:, h:h + n, h:h + n, h:h + n]
         out = np.pad(core, ((0, 0), (h, h), (h, h), (h, h)), mode="edge")
@@ -206,21 +210,21 @@ def shifted(a: np.ndarray, h: int, dx: int, dy: int, dz: int) -> np.ndarray:
 
 # --- the same neighbourhood in long form, for sparse cells ---------------------
 
-def neighbour_values(cells: DataFrame, offsets: list[tuple[int, int, int]], value: str) -> DataFrame:
+def neighbour_values(cells: DataFrame, offsets: list[tuple[int, int, int]], *values: str) -> DataFrame:
     """For every cell, the stored values at the given offsets and how many there are.
 
-    Each cell sends its value to the cells that look at it; one combinable
-    aggregation replaces a join per offset.  Columns ``n0, n1, ...`` are null where
-    nothing is stored.
+    Each cell sends its values to the cells that look at it; one combinable
+    aggregation replaces a join per offset.  Columns ``<value>_0, <value>_1, ...`` are
+    null where nothing is stored.
     """
     looks = F.array(*[F.struct(F.lit(i).alias("s"), *[F.lit(-d).alias(c) for d, c in zip(o, ("dx", "dy", "dz"))]) for i, o in enumerate(offsets)])
-    sent = cells.select("x", "y", "z", value, F.explode(looks).alias("o")).select(
-        *[(F.col(c) + F.col(f"o.d{c}")).alias(c) for c in "xyz"], F.col("o.s").alias("s"), F.col(value).alias("nv"), F.lit(None).cast("double").alias(value))
-    own = cells.select("x", "y", "z", F.lit(-1).alias("s"), F.lit(None).cast("double").alias("nv"), F.col(value).cast("double").alias(value))
-    pick = lambda i: F.max(F.when(F.col("s") == i, F.col("nv")))
-    out = own.unionByName(sent).groupBy("x", "y", "z").agg(
-        F.max(value).alias(value), F.bool_or(F.col("s") == -1).alias("own"), F.count_if(F.col("s") >= 0).alias("active"),
-        *[pick(i).alias(f"n{i}") for i in range(len(offsets))])
+    itself = F.struct(F.lit(-1).alias("s"), F.lit(0).alias("dx"), F.lit(0).alias("dy"), F.lit(0).alias("dz"))
+    sent = cells.select("x", "y", "z", *values, F.explode(F.concat(F.array(itself), looks)).alias("o")).select(
+        *[(F.col(c) + F.col(f"o.d{c}")).alias(c) for c in "xyz"], F.col("o.s").alias("s"), *values)
+    pick = lambda v, i: F.max(F.when(F.col("s") == i, F.col(v)))
+    out = sent.groupBy("x", "y", "z").agg(
+        F.bool_or(F.col("s") == -1).alias("own"), F.count_if(F.col("s") >= 0).alias("active"), *[pick(v, -1).alias(v) for v in values],
+        *[pick(v, i).alias(f"{v}_{i}") for v in values for i in range(len(offsets))])
     return out.where("own").drop("own")
 
 

@@ -175,8 +175,9 @@ def sampler(kind: str, grid: Grid, *, corner: bool = False, fade_weights: bool =
 # --- distribution ----------------------------------------------------------------------
 
 def halo_blocks(packed: DataFrame, grid: Grid, h: int, dtype: str, outside: str, empty: float, periodic=(False,) * 3) -> DataFrame:
-    """Rows (bid, halo): each existing block with its border cells."""
-    got = H.exchange(packed, grid, h, dtype, periodic=periodic)
+    """Rows (bid, halo): blocks with their border cells, including blocks that only have
+    neighbours."""
+    got = H.exchange(packed, grid, h, dtype, periodic=periodic, existing_only=False)
 
     def run(batches):
         for whole in batches:
@@ -189,11 +190,27 @@ def halo_blocks(packed: DataFrame, grid: Grid, h: int, dtype: str, outside: str,
     return got.mapInArrow(run, "bid bigint, halo binary")
 
 
-def with_missing_blocks(packed: DataFrame, wanted: DataFrame, grid: Grid, empty: float, dtype: str) -> DataFrame:
-    """Blocks that points fall into but no cell is stored in, as blocks of the empty value."""
-    blank = np.full(grid.bsx**3, empty, dtype).tobytes()
-    absent = wanted.select("bid").distinct().join(packed, "bid", "left_anti")
-    return packed.unionByName(absent.select("bid", F.lit(bytearray(blank)).alias("data")))
+def split_crowded(points: DataFrame, share: int) -> tuple[DataFrame, DataFrame]:
+    """Points with a share number beside their ``bid``, and the shares of each block.
+
+    Copies of a point are kept once with their count.  A crowded block gets several
+    shares; a point picks one by its own content, so a rerun picks the same.
+    """
+    names = points.columns
+    once = points.groupBy(*names).agg(F.count("*").alias("copies"))
+    load = once.groupBy("bid").agg(F.ceil(F.count("*") / share).cast("int").alias("k"))
+    crowded = load.where("k > 1")
+    salt = F.pmod(F.xxhash64(*names), F.coalesce(F.col("k"), F.lit(1))).cast("int")
+    return once.join(crowded, "bid", "left").withColumn("share", salt).drop("k"), load
+
+
+def spread_blocks(blocks: DataFrame, load: DataFrame) -> DataFrame:
+    """One copy of each needed block per share."""
+    return blocks.join(load, "bid").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).drop("k")
+
+
+def restore_copies(df: DataFrame) -> DataFrame:
+    return df.withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("copies")
 
 
 def sample(points: DataFrame, packed: DataFrame, grid: Grid, kind: str, *, dtype: str = "float32", outside: str = "clamp",
@@ -202,17 +219,9 @@ def sample(points: DataFrame, packed: DataFrame, grid: Grid, kind: str, *, dtype
     """Add the sampled columns to points whose position is given in cells of ``grid``."""
     h, names, fn = sampler(kind, grid, corner=corner, fade_weights=fade_weights)
     cell = [F.greatest(F.least(F.floor(p), F.lit(s - 1)), F.lit(0)).cast("bigint") for p, s in zip(at, grid.dims)]
-    # copies of a point are sampled once
-    once = points.groupBy(*points.columns).agg(F.count("*").alias("copies"))
-    pts = once.withColumn("bid", K.cell_block_id(*cell, grid))
-    load = pts.groupBy("bid").agg(F.count("*").alias("load"))
-    blocks = halo_blocks(with_missing_blocks(packed, load, grid, empty, dtype), grid, h, dtype, outside, empty, periodic)
-    # crowded blocks get several shares; a point picks one by its own content
-    shares = F.ceil(F.col("load") / share).cast("int")
-    ready = blocks.join(load, "bid").select("bid", "halo", F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"))
-    crowded = load.where(F.col("load") > share).select("bid", shares.alias("k"))
-    salt = F.pmod(F.xxhash64(*points.columns), F.coalesce(F.col("k"), F.lit(1))).cast("int")
-    pts = pts.join(crowded, "bid", "left").withColumn("share", salt).drop("k")
+    pts, load = split_crowded(points.withColumn("bid", K.cell_block_id(*cell, grid)), share)
+    blocks = halo_blocks(packed, grid, h, dtype, outside, empty, periodic)
+    ready = spread_blocks(blocks, load)
     out_schema = T.StructType([*points.schema.fields, T.StructField("copies", T.LongType()), *[T.StructField(n, T.DoubleType()) for n in names]])
     edge, m = grid.bsx, grid.bsx + 2 * h
     dims = grid.dims
@@ -220,12 +229,13 @@ def sample(points: DataFrame, packed: DataFrame, grid: Grid, kind: str, *, dtype
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty:
             return pd.DataFrame({f.name: [] for f in out_schema})
-        halo = np.frombuffer(right["halo"].iloc[0], dtype).reshape(m, m, m).astype(np.float64)
-        bid = np.array([left["bid"].iloc[0]])
-        base = [int(c[0]) * edge for c in H.block_xyz(bid, grid)]
+        if right.empty:
+            halo = np.full((m, m, m), empty)
+        else:
+            halo = np.frombuffer(right["halo"].iloc[0], dtype).reshape(m, m, m).astype(np.float64)
+        base = [int(c[0]) * edge for c in H.block_xyz(left["bid"].to_numpy()[:1], grid)]
         pos = [np.clip(left[a].to_numpy(np.float64), 0.0, s) for a, s in zip(at, dims)]
-        got = fn(halo, pos, base, h)
-        return left.drop(columns=["bid", "share"]).assign(**got)
+        return left.drop(columns=["bid", "share"]).assign(**fn(halo, pos, base, h))
 
     got = pts.groupBy("bid", "share").cogroup(ready.groupBy("bid", "share")).applyInPandas(run, out_schema)
-    return got.withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("copies")
+    return restore_copies(got)

@@ -11,6 +11,7 @@ FAMILIES = (
     "channels",
     "pyramids",
     "sampling",
+    "solver",
 )
 
 

@@ -156,5 +156,5 @@ def _(spark, d):
 FROM cells c, o LEFT JOIN cells n ON n.x = c.x + dx AND n.y = c.y + dy AND n.z = c.z + dz GROUP BY 1, 2, 3""")
 def _(spark, d):
     nb = H.neighbour_values(B.cells(spark, d), CROSS[1:], "a")
-    ring = sum((F.coalesce(f"n{i}", F.lit(0.0)) for i in range(6)), F.lit(0.0))
+    ring = sum((F.coalesce(f"a_{i}", F.lit(0.0)) for i in range(6)), F.lit(0.0))
     return nb.select("x", "y", "z", "active", rnd(ring - F.col("a") * 6).alias("lap"))
