@@ -21,13 +21,15 @@ from lattica.operators import order as O
 class Frame:
     """What a window formula may use: position, series head, row frames."""
 
-    def __init__(self, parts: list[str], order: list[str], v: str, i: Column):
+    def __init__(self, parts: list[str], order: list[str], v: str, i: Column, resumed: bool = False):
         self._w = Window.partitionBy(*parts).orderBy(*order)
         self._all = Window.partitionBy(*parts)
         self.v = F.col(v)
-        self.i = i
+        self.i = i + F.coalesce(F.col("__skip"), F.lit(0)) if resumed else i
         # only windows that reach before the series need the head, and those sit in its first chunk
         self.first = F.first(v).over(self._w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        if resumed:
+            self.first = F.coalesce(F.col("__head"), self.first)
         self.n = F.count("*").over(self._all)
 
     def back(self, d: int, upto: int = 0):
@@ -39,16 +41,21 @@ class Frame:
 
 def moving(df: DataFrame, keys: list[str], order: list[str], v: str, reach: int,
            build: Callable[[Frame], dict[str, Column]], group_rows: int | None = None) -> DataFrame:
-    """Add columns whose value at a row depends on it and at most ``reach`` rows before."""
+    """Add columns whose value at a row depends on it and at most ``reach`` rows before.
+
+    Columns ``__skip`` and ``__head``, where present, say how many rows came before the
+    first one given and what the very first value was.
+    """
+    resumed = "__skip" in df.columns
     limit = max(group_rows or O.GROUP_ROWS, reach + 1)
     biggest, _ = O.largest_group(df, keys)
     if biggest <= limit:
         w = Window.partitionBy(*keys).orderBy(*order)
         plain = df.withColumn("i", (F.row_number().over(w) - 1).cast("bigint"))
-        return plain.withColumns(build(Frame(keys, order, v, F.col("i"))))
+        return plain.withColumns(build(Frame(keys, order, v, F.col("i"), resumed)))
     at = O.indexed(df, keys, order, group_rows=limit)
     cut = chunked(at, limit, reach)
-    out = cut.withColumns(build(Frame([*keys, "__chunk"], ["i"], v, F.col("i"))))
+    out = cut.withColumns(build(Frame([*keys, "__chunk"], ["i"], v, F.col("i"), resumed)))
     return out.where("__own").drop("__own", "__chunk")
 
 
@@ -67,9 +74,10 @@ def _padded_sum(f: Frame, c: Column, head: Column, d: Column | int, width: int)
     return F.sum(c).over(f.back(width - 1)) + missing * head
 
 
-def moving_average(d: int):
+def moving_average(d: int, fixed: bool = False):
+    """Mean of the last d values; unless ``fixed``, a shorter series lowers d to its length."""
     def build(f: Frame) -> dict[str, Column]:
-        w = F.least(f.n, F.lit(d))
+        w = F.lit(d) if fixed else F.least(f.n, F.lit(d))
         return {"ma": _padded_sum(f, f.v, f.first, w, d) / w}
     return d - 1, build
 

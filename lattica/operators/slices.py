@@ -72,6 +72,3 @@ def depth_at(points: DataFrame, cells: DataFrame, value: str, grid: Grid) -> Dat
     out = run.where("kind = 1").withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return out.select("pt.*", "depth")
 
-
-def luminance(r: Column, g: Column, b: Column) -> Column:
-    return r * 0.299 + g * 0.587 + b * 0.114

@@ -12,6 +12,7 @@ FAMILIES = (
     "pyramids",
     "sampling",
     "solver",
+    "numerics",
 )
 
 
