@@ -128,17 +128,19 @@ def student_quantile(alpha: float, m: float) -> float:
     return 0.5 * (lo + hi)
 
 
-@F.pandas_udf(DoubleType())
-def student_t(alpha: pd.Series, m: pd.Series) -> pd.Series:
-    """One quantile per distinct (alpha, m) of the batch."""
-    pairs = list(zip(alpha, m))
-    known = {p: student_quantile(*p) if p[0] is not None and p[1] > 0 else np.nan for p in set(pairs)}
-    return pd.Series([known[p] for p in pairs])
-
-
-@F.pandas_udf(DoubleType())
-def student_prob(t: pd.Series, m: pd.Series) -> pd.Series:
-    return pd.Series([student_two_sided(abs(a), b) for a, b in zip(t, m)])
+def student_t(alpha, m) -> Column:
+    """Quantile column; a batch computes each distinct (alpha, m) once."""
+    def run(alpha: pd.Series, m: pd.Series) -> pd.Series:
+        pairs = list(zip(alpha, m))
+        known = {p: student_quantile(*p) if p[0] is not None and p[1] > 0 else np.nan for p in set(pairs)}
+        return pd.Series([known[p] for p in pairs])
+    return F.pandas_udf(run, DoubleType())(alpha, m)
+
+
+def student_prob(t, m) -> Column:
+    def run(t: pd.Series, m: pd.Series) -> pd.Series:
+        return pd.Series([student_two_sided(abs(a), b) for a, b in zip(t, m)])
+    return F.pandas_udf(run, DoubleType())(t, m)
 
 
 def corr_confidence(r, n, alpha: float) -> Column:

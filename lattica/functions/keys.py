@@ -213,37 +213,50 @@ def unit_float_values(h32: np.ndarray) -> np.ndarray:
     return (mix32_values(h32) >> np.uint32(9)).astype(np.float64) / float(1 << 23)
 
 
-@F.pandas_udf(LongType())
-def mix64(k: pd.Series) -> pd.Series:
-    return pd.Series(mix64_values(k.to_numpy(np.int64).view(np.uint64)).view(np.int64))
+# Batch functions are wrapped at each call: a wrapper kept at module level would hold
+# session objects that cannot travel to executors.
 
+def _words(k: pd.Series) -> np.ndarray:
+    return k.to_numpy(np.int64).view(np.uint64)
 
-@F.pandas_udf(LongType())
-def mix32(k: pd.Series) -> pd.Series:
-    return pd.Series(mix32_values((k.to_numpy(np.int64) & 0xFFFFFFFF)).astype(np.int64))
 
+def mix64(c) -> Column:
+    def run(k: pd.Series) -> pd.Series:
+        return pd.Series(mix64_values(_words(k)).view(np.int64))
+    return F.pandas_udf(run, LongType())(c)
 
-@F.pandas_udf(LongType())
-def fold64(k: pd.Series) -> pd.Series:
-    return pd.Series(fold64_values(k.to_numpy(np.int64).view(np.uint64)).astype(np.int64))
 
+def mix32(c) -> Column:
+    def run(k: pd.Series) -> pd.Series:
+        return pd.Series(mix32_values((k.to_numpy(np.int64) & 0xFFFFFFFF)).astype(np.int64))
+    return F.pandas_udf(run, LongType())(c)
 
-@F.pandas_udf(DoubleType())
-def hash_unit_float(k: pd.Series) -> pd.Series:
-    return pd.Series(unit_float_values(k.to_numpy(np.int64) & 0xFFFFFFFF))
 
+def fold64(c) -> Column:
+    def run(k: pd.Series) -> pd.Series:
+        return pd.Series(fold64_values(_words(k)).astype(np.int64))
+    return F.pandas_udf(run, LongType())(c)
 
-@F.pandas_udf(DoubleType())
-def fold_unit_float(k: pd.Series) -> pd.Series:
-    return pd.Series(unit_float_values(fold64_values(k.to_numpy(np.int64).view(np.uint64))))
 
+def hash_unit_float(c) -> Column:
+    def run(k: pd.Series) -> pd.Series:
+        return pd.Series(unit_float_values(k.to_numpy(np.int64) & 0xFFFFFFFF))
+    return F.pandas_udf(run, DoubleType())(c)
 
-@F.pandas_udf(LongType())
-def coord_hash8(seed: pd.Series, x: pd.Series, y: pd.Series, z: pd.Series, w: pd.Series) -> pd.Series:
+
+def fold_unit_float(c) -> Column:
+    def run(k: pd.Series) -> pd.Series:
+        return pd.Series(unit_float_values(fold64_values(_words(k))))
+    return F.pandas_udf(run, DoubleType())(c)
+
+
+def coord_hash8(seed, x, y, z, w) -> Column:
     """Hash of four coordinates, each taken modulo 256."""
-    byte = lambda s, at: (s.to_numpy(np.int64) & 255) << at
-    word = byte(z, 24) | byte(y, 16) | byte(x, 8) | byte(w, 0)
-    return pd.Series(mix32_values((word ^ seed.to_numpy(np.int64)) & 0xFFFFFFFF).astype(np.int64))
+    def run(seed: pd.Series, x: pd.Series, y: pd.Series, z: pd.Series, w: pd.Series) -> pd.Series:
+        byte = lambda s, at: (s.to_numpy(np.int64) & 255) << at
+        word = byte(z, 24) | byte(y, 16) | byte(x, 8) | byte(w, 0)
+        return pd.Series(mix32_values((word ^ seed.to_numpy(np.int64)) & 0xFFFFFFFF).astype(np.int64))
+    return F.pandas_udf(run, LongType())(seed, x, y, z, w)
 
 
 # One multiplier per coordinate.

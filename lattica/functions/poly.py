@@ -33,12 +33,8 @@ def quadratic_roots(a, b, c) -> Column:
             .when(disc == 0, F.array(-b / (safe * 2.0))).otherwise(two))
 
 
-@F.pandas_udf(ArrayType(DoubleType()))
-def real_roots(coefs: pd.Series) -> pd.Series:
-    """Ascending real roots of polynomials given as arrays, highest power first.
-
-    Rows of equal degree share one stacked companion-matrix eigenvalue call.
-    """
+def real_roots_values(coefs: pd.Series) -> pd.Series:
+    """Rows of equal degree share one stacked companion-matrix eigenvalue call."""
     out: list = [None] * len(coefs)
     byn: dict[int, list[int]] = {}
     rows = [np.trim_zeros(np.asarray(c, float), "f") for c in coefs]
@@ -60,6 +56,13 @@ def real_roots(coefs: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+def real_roots(coefs) -> Column:
+    """Ascending real roots of polynomials given as arrays, highest power first."""
+    def run(c: pd.Series) -> pd.Series:
+        return real_roots_values(c)
+    return F.pandas_udf(run, ArrayType(DoubleType()))(coefs)
+
+
 def bisect(fn: Callable[..., np.ndarray], lo: float, hi: float, steps: int = 80):
     """Batch root of fn(x, *params) in [lo, hi] for params given as columns."""
     @F.pandas_udf(DoubleType())
