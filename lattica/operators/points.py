@@ -81,6 +81,6 @@ def instantiate(base: DataFrame, spots: DataFrame, scale: float, centre=(0.0, 0.
         F.pmod(F.xxhash64(*names), F.lit(n_chunks)).alias("part"),
         F.struct(*[((F.col(p) - c) * scale).alias(p) for p, c in zip(names, centre)]).alias("m"),
     ).groupBy("part").agg(F.collect_list("m").alias("ms"))
-    visits = spots.select(*names, F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))).cast("bigint").alias("part"))
+    visits = spots.select(*names, F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1)).cast("array<bigint>")).alias("part"))
     return visits.join(parts, "part").select(*names, F.explode("ms").alias("m")).select(
         *[(F.col(p) + F.col(f"m.{p}")).alias(p) for p in names])

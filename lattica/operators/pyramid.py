@@ -181,3 +181,14 @@ def ghost_cells(cells: DataFrame, levels: DataFrame, grid: Grid, level: int, val
     g = grid.coarsened(level + 1)
     return low.withColumn("bid", K.cell_block_id(*XYZ, g)).join(border, "bid", "left_semi").select(
         F.lit(level + 1).alias("level"), "bid", *XYZ, value)
+
+
+def all_ghosts(cells: DataFrame, levels: DataFrame, grid: Grid, value: str) -> DataFrame:
+    """Ghost copies for every level change, finest first: later ones read earlier ones."""
+    have = cells.select("level", "bid", *XYZ, value)
+    out = []
+    for lv in range(grid.n_levels - 1):
+        g = ghost_cells(have, levels, grid, lv, value)
+        out.append(g)
+        have = have.unionByName(g)
+    return reduce(DataFrame.unionByName, out)

@@ -165,7 +165,7 @@ def settled_levels(spark, d):
     """Levels and cells are read many times below: keep them as files."""
     g, flagged, own = leveled_cells(spark, d)
     flagged, own = cut_lineage(flagged), cut_lineage(own)
-    ghosts = Y.ghost_cells(own, flagged, g, 0, "v").unionByName(Y.ghost_cells(own, flagged, g, 1, "v"))
+    ghosts = cut_lineage(Y.all_ghosts(own, flagged, g, "v"))
     return g, flagged, own, ghosts
 
 
