@@ -109,7 +109,11 @@ def sample_levels(points: DataFrame, cells: DataFrame, ghosts: DataFrame, levels
         if lv < grid.n_levels - 1:
             e = grid.bsx >> lv
             vox, blk = K.voxel_coords("vid", e), K.block_coords("bid", grid)
-            d = dist.where(F.col("level") == lv).select(*[(b * e + v).alias(a) for a, b, v in zip("xyz", blk, vox)], (F.col("dist") / 1024.0).alias("v"))
+            near = dist.where(F.col("level") == lv).select("bid", "vid", (F.col("dist") / 1024.0).alias("v"))
+            # beyond the border of the level the distance is 0, elsewhere it is the largest
+            beyond = levels.where((F.col("level") == lv + 1) & (F.col("flags").bitwiseAND(F.lit(BLOCK_FLAGS["COARSE_FINE"])) != 0)).select(
+                "bid", F.explode(F.sequence(F.lit(0), F.lit(e**3 - 1)).cast("array<bigint>")).alias("vid"), F.lit(0.0).alias("v"))
+            d = near.unionByName(beyond).select(*[(b * e + v).alias(a) for a, b, v in zip("xyz", blk, vox)], "v")
             fields.append(I.halo_blocks(H.pack(d, g, "v", d_max, dtype), g, h, dtype, "clamp", d_max).withColumn("tag", F.lit(100 + lv)))
     ready = I.spread_blocks(reduce(DataFrame.unionByName, fields), load)
     out_schema = types.StructType([*points.schema.fields, types.StructField("copies", types.LongType()), *[types.StructField(n, types.DoubleType()) for n in names]])

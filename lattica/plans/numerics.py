@@ -270,8 +270,8 @@ def _(spark, d):
 @query("color_clip", "F13")
 def _(spark, d):
     q = rgb(spark, d).select("x", "y", "z", (F.col("r") * 1.5 - 40).alias("r"), (F.col("g") * 1.2).alias("g"), (F.col("b") - 20).alias("b"))
-    out = CO.clip_rgb("r", "g", "b")
-    return q.select("x", "y", "z", *[rnd(out[c], 4).alias(c) for c in "rgb"])
+    out = q.select("x", "y", "z", CO.clip_rgb("r", "g", "b").alias("c"))
+    return out.select("x", "y", "z", *[rnd(F.col("c")[n], 4).alias(n) for n in "rgb"])
 
 
 # --- images --------------------------------------------------------------------------------

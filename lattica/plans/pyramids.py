@@ -124,9 +124,9 @@ LEVELED = f"""{FLAGGED}, {CL}, lc AS (SELECT level, bid, x >> level AS x, y >> l
    (SELECT c.*, ((x >> 2) + (y >> 2) * nbx + (z >> 2) * nbx * nby) AS bid FROM cells c, grid) k JOIN l1 USING (bid) GROUP BY ALL)"""
 
 
-def leveled_cells(spark, d):
+def leveled_cells(spark, d, bsx=4, seeds="seed"):
     """The cell channel stored at each block's own level, with block flags."""
-    g, lv = seed_levels(spark, d)
+    g, lv = seed_levels(spark, d, bsx, seeds)
     reg = T.regularize_levels(lv, g)
     flagged = T.block_flags(reg.withColumn("exists", F.col("level") < g.n_levels - 1), g)
     c = B.cells(spark, d).withColumn("bid", K.cell_block_id("x", "y", "z", g)).join(reg, "bid")

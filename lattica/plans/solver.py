@@ -162,8 +162,11 @@ def _(spark, d):
 
 
 def settled_levels(spark, d):
-    """Levels and cells are read many times below: keep them as files."""
-    g, flagged, own = leveled_cells(spark, d)
+    """Levels and cells are read many times below: keep them as files.
+
+    Blocks of 16 leave room for the blend inside every level.
+    """
+    g, flagged, own = leveled_cells(spark, d, 16, "mass > 104970")
     flagged, own = cut_lineage(flagged), cut_lineage(own)
     ghosts = cut_lineage(Y.all_ghosts(own, flagged, g, "v"))
     return g, flagged, own, ghosts

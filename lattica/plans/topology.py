@@ -26,9 +26,9 @@ FLAGGED = f"""{REG}, fl AS (SELECT l1.bid, level, level < 2 AS ex, coalesce(nmax
   (bx = 0 OR bx = nbx - 1 OR byy = 0 OR byy = nby - 1 OR bz = 0 OR bz = nbz - 1) AS brd FROM l1 LEFT JOIN {_NB('l1')} n USING (bid), grid)"""
 
 
-def seed_levels(spark, d, bsx=4):
+def seed_levels(spark, d, bsx=4, seeds="seed"):
     g = B.grid_for(spark, d, bsx)
-    active = T.active_blocks(B.points(spark, d).where("seed"), g, 1.0)
+    active = T.active_blocks(B.points(spark, d).where(seeds), g, 1.0)
     return g, T.assign_levels(T.all_blocks(spark, g), active, g)
 
 

@@ -280,17 +280,18 @@ def test_sampling_where_nothing_is_stored(spark):
 
 
 def test_levels_blend_keeps_constants(spark):
-    g = Grid(32, 16, 16, 8, 3)
-    lv = T.regularize_levels(T.refinement_map(T.all_blocks(spark, g), g, 3), g)
+    g = Grid(64, 32, 32, 16, 3)
+    first = T.all_blocks(spark, g).select("bid", F.when(F.col("bid") == 0, 0).otherwise(2).alias("level"))
+    lv = T.regularize_levels(first, g)
     fl = T.block_flags(lv.withColumn("exists", F.lit(True)), g)
     fine = patterns.all_cells(spark, g).select("bid", "x", "y", "z").join(lv, "bid")
     own = fine.select("level", "bid", *[K.shr(c, "level").alias(c) for c in "xyz"]).distinct().withColumn("v", F.lit(4.0))
     gh = Y.all_ghosts(own, fl, g, "v")
     assert gh.agg(F.min("v"), F.max("v")).first() == (pytest.approx(4.0), pytest.approx(4.0))
     rng = np.random.default_rng(1)
-    pts = spark.createDataFrame(pd.DataFrame(rng.random((80, 3)) * [32, 16, 16], columns=["px", "py", "pz"]))
+    pts = spark.createDataFrame(pd.DataFrame(rng.random((200, 3)) * [64, 32, 32], columns=["px", "py", "pz"]))
     for kind in ("linear", "bspline3"):
-        out = M.sample_levels(pts, own, gh, fl, g, "v", kind=kind, edge=8).toPandas()
+        out = M.sample_levels(pts, own, gh, fl, g, "v", kind=kind, edge=16).toPandas()
         np.testing.assert_allclose(out["value"], 4.0, atol=1e-9)
         if kind == "bspline3":
             np.testing.assert_allclose(out[["gx", "gy", "gz"]], 0.0, atol=1e-9)
