@@ -6,6 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -159,7 +160,7 @@ def _bounded(new: DataFrame, start: DataFrame, step: Step, dtype: str) -> DataFr
     both = new.join(start.select("bid", F.col("data").alias("ref")), "bid")
 
     @F.pandas_udf("binary")
-    def hold(data, ref):
+    def hold(data: pd.Series, ref: pd.Series) -> pd.Series:
         def one(d, r):
             v, s = np.frombuffer(d, dtype), np.frombuffer(r, dtype)
             return np.clip(v, np.maximum(s - down, 0.0), np.minimum(s + up, 1.0)).astype(dtype).tobytes()

@@ -160,9 +160,9 @@ def _(spark, d):
     return L.accumulate(B.cells(spark, d), "a", "x").select("x", "y", "z", rnd("depth").alias("depth"))
 
 
-@query("transp_lookup", "K25", f"""WITH {PTS}, q AS (SELECT px, py, pz, CAST(floor(px) AS BIGINT) AS x, CAST(floor(py) AS BIGINT) AS y, CAST(floor(pz) AS BIGINT) AS z FROM points WHERE seed)
+@query("transp_lookup", "K25", f"""WITH {PTS}, q AS (SELECT px, py, pz, CAST(floor(px) AS BIGINT) AS x, CAST(floor(py) AS BIGINT) AS y, CAST(floor(pz) AS BIGINT) AS z FROM points)
 SELECT px, py, pz, {rsql('coalesce(sum(a), 0)')} AS depth FROM (SELECT *, row_number() OVER () AS id FROM q) q LEFT JOIN cells c ON c.y = q.y AND c.z = q.z AND c.x <= q.x GROUP BY id, px, py, pz""")
 def _(spark, d):
     g = B.grid_for(spark, d, 8)
-    pts = B.points(spark, d).where("seed").select("px", "py", "pz")
+    pts = B.points(spark, d).select("px", "py", "pz")
     return L.depth_at(pts, B.cells(spark, d), "a", g).select("px", "py", "pz", rnd("depth").alias("depth"))

@@ -186,12 +186,12 @@ def _(spark, d):
 
 
 @query("pt_instances", "§3.1", f"""WITH {B.POINTS_SQL}, shape AS (SELECT DISTINCT (n_nationkey % 5 - 2) * 0.5e0 AS sx, (n_nationkey // 5 - 2) * 0.5e0 AS sy, n_regionkey * 0.5e0 AS sz FROM nation),
- spot AS (SELECT px, py, pz FROM points WHERE mass > 100000e0)
+ spot AS (SELECT px, py, pz FROM points)
 SELECT CAST(floor(px + sx) AS BIGINT) >> 3 AS bx, CAST(count(*) AS BIGINT) AS n, {rsql('sum(py + sy)', 3)} AS ty FROM spot, shape GROUP BY 1""")
 def _(spark, d):
     # the shape is a fixed model, the spots grow with the data
     k = F.col("n_nationkey")
     base = B.table(spark, d, "nation").select((k % 5 - 2).cast("double").alias("px"), (F.floor(k / 5) - 2).cast("double").alias("py"), F.col("n_regionkey").cast("double").alias("pz"))
-    spots = B.points(spark, d).where("mass > 100000")
+    spots = B.points(spark, d)
     return P.instantiate(base, spots, 0.5).groupBy(F.shiftright(F.floor("px"), 3).alias("bx")).agg(
         F.count("*").alias("n"), rnd(F.sum("py"), 3).alias("ty"))
