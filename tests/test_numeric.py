@@ -207,3 +207,15 @@ def test_against_oracle(spark, sf, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_normal_density_and_covariance(spark):
+    x = np.random.default_rng(3).random((200, 3)) @ [[1.0, 0.2, 0.0], [0.0, 1.0, 0.4], [0.3, 0.0, 1.0]]
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id bigint, e array<double>").repartition(4)
+    mean, cov = S.collect_matrix(S.covariance(df, "e"))
+    np.testing.assert_allclose(mean, x.mean(0), atol=1e-12)
+    np.testing.assert_allclose(cov, np.cov(x.T, bias=True), atol=1e-12)
+    got = S.normal_density(df, "e", mean, cov, log=True).orderBy("id").toPandas()["density"]
+    z = x - mean
+    want = -0.5 * np.sum(z @ np.linalg.inv(cov) * z, axis=1) - 0.5 * (np.log(np.linalg.det(cov)) + 3 * np.log(2 * np.pi))
+    np.testing.assert_allclose(got, want, rtol=1e-9)
