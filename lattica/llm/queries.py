@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm import common as C
-from lattica.llm import substring_dedup
+from lattica.llm import simhash, substring_dedup, token_counts
 
 Build = Callable[[SparkSession, str], DataFrame]
 
@@ -18,8 +19,23 @@ def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    spec = Path(public_tokenizers.path("byte_bpe_50k.json")).read_text(encoding="utf-8")
+    out = token_counts.count_tokens(C.table(spark, folder, "documents"), spec)
+    return out.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
+def op8_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    out = simhash.near_components(C.table(spark, folder, "documents"), shingle=3, radius=2)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "links")
+
+
 QUERIES: dict[str, Build] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op4_token_counts": op4_token_counts,
+    "op8_simhash_dedup": op8_simhash_dedup,
 }
 
 ORACLES: dict[str, str] = {}
