@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm import common as C
-from lattica.llm import simhash, substring_dedup, token_counts
+from lattica.llm import mixture, quality, simhash, substring_dedup, token_counts
 
 Build = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,17 @@ def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return out.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = C.table(spark, folder, "documents").select("doc_id", "text")
+    model = quality.train(docs, C.table(spark, folder, "labels"))
+    return quality.score(docs, model).select(
+        "doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op7_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    return mixture.mix(C.table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op8_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     out = simhash.near_components(C.table(spark, folder, "documents"), shingle=3, radius=2)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "links")
@@ -35,6 +46,8 @@ def op8_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Build] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op4_token_counts": op4_token_counts,
+    "op6_quality_rules": op6_quality_rules,
+    "op7_mixture": op7_mixture,
     "op8_simhash_dedup": op8_simhash_dedup,
 }
 
