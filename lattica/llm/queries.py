@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm import common as C
-from lattica.llm import mixture, quality, simhash, substring_dedup, token_counts
+from lattica.llm import mixture, quality, simhash, substring_dedup, token_counts, warc
 
 Build = Callable[[SparkSession, str], DataFrame]
 
@@ -43,12 +43,17 @@ def op8_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "links")
 
 
+def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(C.table(spark, folder, "pages")).drop("intact")
+
+
 QUERIES: dict[str, Build] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op4_token_counts": op4_token_counts,
     "op6_quality_rules": op6_quality_rules,
     "op7_mixture": op7_mixture,
     "op8_simhash_dedup": op8_simhash_dedup,
+    "op10_warc": op10_warc,
 }
 
 ORACLES: dict[str, str] = {}
