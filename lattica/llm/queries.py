@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm import common as C
-from lattica.llm import mixture, quality, simhash, substring_dedup, token_counts, warc
+from lattica.llm import fingerprint, mixture, quality, simhash, substring_dedup, token_counts, warc
 
 Build = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,12 @@ def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return out.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op5_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    out = fingerprint.with_next(C.table(spark, folder, "documents"))
+    return out.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
+                      "near_edited", "near_next")
+
+
 def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = C.table(spark, folder, "documents").select("doc_id", "text")
     model = quality.train(docs, C.table(spark, folder, "labels"))
@@ -50,6 +56,7 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Build] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op4_token_counts": op4_token_counts,
+    "op5_fingerprints": op5_fingerprints,
     "op6_quality_rules": op6_quality_rules,
     "op7_mixture": op7_mixture,
     "op8_simhash_dedup": op8_simhash_dedup,
