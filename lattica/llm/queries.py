@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm import common as C
-from lattica.llm import fingerprint, mixture, quality, simhash, substring_dedup, suffix_dedup, token_counts, warc
+from lattica.llm import fingerprint, mixture, quality, secrets, simhash, substring_dedup, suffix_dedup, token_counts, warc
 
 Build = Callable[[SparkSession, str], DataFrame]
 
@@ -54,6 +54,11 @@ def op8_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "links")
 
 
+def op9_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    out = secrets.scan(C.table(spark, folder, "documents"))
+    return out.select("doc_id", "start", F.length("token").alias("length"), F.sha2("token", 256).alias("token_sha256"), "score", "secret")
+
+
 def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.round_trip(C.table(spark, folder, "pages")).drop("intact")
 
@@ -66,6 +71,7 @@ QUERIES: dict[str, Build] = {
     "op6_quality_rules": op6_quality_rules,
     "op7_mixture": op7_mixture,
     "op8_simhash_dedup": op8_simhash_dedup,
+    "op9_secret_scan": op9_secret_scan,
     "op10_warc": op10_warc,
 }
 

@@ -1,0 +1,50 @@
+import re
+
+from pyspark.sql import functions as F
+
+from lattica.llm import common as C
+from lattica.llm import queries as Q
+from lattica.llm import secrets as S
+
+PATTERN = re.compile(S.CANDIDATE)
+PLANTED = re.compile(r"AKIA[0-9A-Z]{16}|(?<=password=)[0-9a-f]{18}|(?<=token = \")[0-9a-f]{40}")
+
+
+def found(rows):
+    return sorted({(d, m.start(), m.group()) for d, t in rows for m in PATTERN.finditer(t or "")}, key=str)
+
+
+def test_query_finds_what_was_planted(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = [(r.doc_id, r.text) for r in C.table(spark, sf, "documents").collect()]
+    out = S.scan(C.table(spark, sf, "documents")).collect()
+    assert sorted(((r.doc_id, r.start, r.token) for r in out), key=str) == found(rows)
+    want = {(d, m.start()) for d, t in rows for m in PLANTED.finditer(t)}
+    assert {(r.doc_id, r.start) for r in out if r.secret} == want
+    q = Q.op9_secret_scan(spark, sf)
+    assert q.count() == len(out) and q.where("secret").count() == len(want)
+
+
+def test_runs_no_python(spark, sf):
+    plan = Q.op9_secret_scan(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_edges(spark):
+    key = "AKIA" + "Q7" * 8
+    rows = [(1, None), (2, ""), (None, f"x {key} y"), (None, f"x {key} y"), (3, key + " " + key), (4, "aa1" * 40_000), (5, "é🙂 token = \"0f" + "ab12" * 8 + "\" z"), (6, "2024/05/06/a-long-path-1/index-22"), (6, "no")]
+    df = spark.createDataFrame([(d, t, "q", 1.5) for d, t in rows], "doc_id long, text string, token string, score double")
+    out = S.scan(df)
+    assert sorted(((r.doc_id, r.start, r.token) for r in out.collect()), key=str) == found(rows)
+    clean = S.redact(df, out.withColumn("secret", F.col("token").startswith("AKIA"))).collect()
+    assert len(clean) == len(rows) and sum("<secret>" in (r.text or "") for r in clean) == 3 and not any(key in (r.text or "") for r in clean)
+    assert clean[0].asDict().keys() == {"doc_id", "text", "token", "score"}
+    assert S.scan(df.limit(0)).count() == 0
+
+
+def test_labelled_findings_decide(spark, sf):
+    rows = [(f"ab{i}cd{i * 7 % 10}efghij{i}k", "id ", " x", 0) for i in range(60)] + [(f"{i:032x}", 'key: "', '"', 1) for i in range(10**30, 10**30 + 60)]
+    labelled = spark.createDataFrame(rows, "token string, before string, after string, label int")
+    docs = spark.createDataFrame([(1, 'say key: "00112233445566778899aabbccddeeff" and id ab5cd5efghij55k here')], "doc_id long, text string")
+    out = {r.token: r.secret for r in S.scan(docs, labelled).collect()}
+    assert out == {"00112233445566778899aabbccddeeff": True, "ab5cd5efghij55k": False}
