@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm import common as C
-from lattica.llm import fingerprint, mixture, quality, secrets, simhash, substring_dedup, suffix_dedup, token_counts, warc
+from lattica.llm import decontaminate, fingerprint, mixture, quality, secrets, simhash, substring_dedup, suffix_dedup, token_counts, warc
 
 Build = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,10 @@ def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.find_leaks(C.table(spark, folder, "documents"), C.table(spark, folder, "benchmark"))
+
+
 def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     out = suffix_dedup.remove_repeats(C.table(spark, folder, "documents"), 100)
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
@@ -65,6 +69,7 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Build] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_decontaminate": op2_decontaminate,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_token_counts": op4_token_counts,
     "op5_fingerprints": op5_fingerprints,
