@@ -44,9 +44,8 @@ def line_linear(p, t):
 
 
 def line_cubic(p, t):
-    a, b = p[2] - p[0], 2 * p[0] - 5 * p[1] + 4 * p[2] - p[3]
-    c = 3 * (p[1] - p[2]) + p[3] - p[0]
-    return p[1] + 0.5 * t * (a + t * (b + t * c))
+    """Hermite cubic with central differences as slopes."""
+    return _hermite(p[1], p[2], (p[2] - p[0]) / 2, (p[3] - p[1]) / 2, t)
 
 
 def _hermite(p1, p2, m1, m2, t):
@@ -73,14 +72,17 @@ def _harmonic(a, b):
 
 
 def line_weno(p, t):
-    """Two parabolas blended by how smooth each one is."""
-    def side(f1, f2, f3, x):
-        d, dd = (f3 - f1) / 2, f1 - 2 * f2 + f3
-        rough = d * (d + dd) + 4 / 3 * dd * dd
-        return (2 - x) / (1e-6 + rough) ** 2, f2 + x * (d + x * dd / 2)
-    wa, ga = side(p[0], p[1], p[2], t)
-    wb, gb = side(p[3], p[2], p[1], 1 - t)
-    return (wa * ga + wb * gb) / (wa + wb)
+    """The parabolas through the first and the last three values, each with its linear weight over
+    the square of its roughness: squared slope and curvature, integrated over the cell."""
+    total, norm = 0.0, 0.0
+    for first, linear in ((0, 2 - t), (1, 1 + t)):
+        f0, f1, f2 = p[first:first + 3]
+        bend, middle = f0 - 2 * f1 + f2, (f2 - f0) / 2
+        slope = [middle + bend * (x - first) for x in (0.0, 0.5, 1.0)]
+        rough = (slope[0] ** 2 + 4 * slope[1] ** 2 + slope[2] ** 2) / 6 + bend**2  # Simpson's rule is exact here
+        x, w = t - first, linear / (1e-6 + rough) ** 2
+        total, norm = total + w * (f1 + x * (middle + bend * x / 2)), norm + w
+    return total / norm
 
 
 RULES = {"linear": (2, line_linear), "cubic": (4, line_cubic), "mono": (4, line_mono), "mono2": (4, line_mono2), "weno": (4, line_weno)}

@@ -267,7 +267,18 @@ def _(spark, d):
     return q.select("x", "y", "z", rnd(CO.to_linear("r")).alias("lin"), rnd(CO.to_display("g")).alias("disp"), rnd(pl["y"], 4).alias("py"), CO.to_words("b").alias("w"))
 
 
-@query("color_clip", "F13")
+_IN = lambda e: f"greatest(least({e}, 255e0), 0e0)"
+_LIGHT = lambda r, g, b: f"({r} * 0.3e0 + {g} * 0.5e0 + {b} * 0.2e0)"
+_MOVED = [_IN(f"({c} + m * {w}e0)") for c, w in zip("rgb", (0.3, 0.5, 0.2))]
+_OUT = lambda c, e: rsql(f"CASE WHEN r BETWEEN 0 AND 255 AND g BETWEEN 0 AND 255 AND b BETWEEN 0 AND 255 THEN {c} ELSE {e} END", 4)
+
+
+@query("color_clip", "F13", f"""WITH {_RGB}, c AS (SELECT x, y, z, r * 1.5e0 - 40 AS r, g * 1.2e0 AS g, b - 20e0 AS b FROM q),
+ s AS (SELECT *, {_IN(_LIGHT('r', 'g', 'b'))} AS aim, unnest([-r / 0.3e0, (255 - r) / 0.3e0, -g / 0.5e0, (255 - g) / 0.5e0, -b / 0.2e0, (255 - b) / 0.2e0]) AS m FROM c),
+ k AS (SELECT *, {_LIGHT(*_MOVED)} AS light FROM s),
+ e AS (SELECT x, y, z, r, g, b, aim, max(light) FILTER (light <= aim) AS y0, max(m) FILTER (light <= aim) AS m0, min(light) FILTER (light >= aim) AS y1, min(m) FILTER (light >= aim) AS m1 FROM k GROUP BY ALL),
+ f AS (SELECT *, coalesce(m0 + (m1 - m0) * ((aim - y0) / nullif(y1 - y0, 0)), m0, m1) AS m FROM e)
+SELECT x, y, z, {', '.join(f"{_OUT(c, e)} AS {c}" for c, e in zip('rgb', _MOVED))} FROM f""")
 def _(spark, d):
     q = rgb(spark, d).select("x", "y", "z", (F.col("r") * 1.5 - 40).alias("r"), (F.col("g") * 1.2).alias("g"), (F.col("b") - 20).alias("b"))
     out = q.select("x", "y", "z", CO.clip_rgb("r", "g", "b").alias("c"))

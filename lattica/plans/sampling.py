@@ -74,17 +74,54 @@ def _(spark, d):
     return rounded(sampled(spark, d, "cubic"), "value")
 
 
-@query("interp_mono", "K19")
+def lines_sql(rule):
+    """A four-point line rule along x, then y, then z; ``rule`` is SQL over p0..p3 and t."""
+    fr = lambda c: f"(p{c} - 0.5e0 - floor(p{c} - 0.5e0))"
+    pick = lambda k, v: ", ".join(f"max(CASE WHEN {k} = {i} THEN {v} END) AS p{i}" for i in range(4))
+    at = "px, py, pz, tx, ty, tz"
+    return f"""WITH {PTS}, q AS (SELECT DISTINCT px, py, pz, sx, {', '.join(f'CAST(floor(p{c} - 0.5e0) AS BIGINT) AS i{c}, {fr(c)} AS t{c}' for c in 'xyz')} FROM points, grid),
+ w AS (SELECT {at}, kx, ky, kz, coalesce(a, 0e0) AS v FROM q, range(4) rx(kx), range(4) ry(ky), range(4) rz(kz)
+  LEFT JOIN cells c ON c.x = {_CL('ix + kx - 1', 'sx')} AND c.y = {_CL('iy + ky - 1', '16')} AND c.z = {_CL('iz + kz - 1', '16')}),
+ x0 AS (SELECT {at}, tx AS t, ky, kz, {pick('kx', 'v')} FROM w GROUP BY ALL), x1 AS (SELECT {at}, ky, kz, {rule} AS v FROM x0),
+ y0 AS (SELECT {at}, ty AS t, kz, {pick('ky', 'v')} FROM x1 GROUP BY ALL), y1 AS (SELECT {at}, kz, {rule} AS v FROM y0),
+ z0 AS (SELECT {at}, tz AS t, {pick('kz', 'v')} FROM y1 GROUP BY ALL), z1 AS (SELECT px, py, pz, {rsql(rule)} AS value FROM z0)
+SELECT px, py, pz, value FROM points JOIN z1 USING (px, py, pz)"""
+
+
+def hermite_sql(m1, m2):
+    d = "(p2 - p1)"
+    return f"(p1 + t * ({m1} + t * ((3 * {d} - 2 * {m1} - {m2}) + t * ({m1} + {m2} - 2 * {d}))))"
+
+
+_AGREE = "(p2 - p0) / 2 * ((p3 - p1) / 2) > 0"
+MONO = hermite_sql(*(f"(CASE WHEN {_AGREE} THEN {m} ELSE 0e0 END)" for m in ("(p2 - p0) / 2", "(p3 - p1) / 2")))
+_HARM = lambda a, b: f"(CASE WHEN {a} * {b} > 1e-12 THEN 2 * {a} * {b} / ({a} + {b}) ELSE 0e0 END)"
+MONO2 = hermite_sql(_HARM("(p1 - p0)", "(p2 - p1)"), _HARM("(p2 - p1)", "(p3 - p2)"))
+
+
+def weno_sql():
+    """Slope and curvature of each parabola, squared and integrated from 0 to 1 in closed form."""
+    sides = []
+    for a, b, c, x, linear in (("p0", "p1", "p2", "t", "(2 - t)"), ("p1", "p2", "p3", "(t - 1)", "(1 + t)")):
+        mid, bend, off = f"(({c} - {a}) / 2)", f"({a} - 2 * {b} + {c})", "0" if a == "p0" else "1"
+        lo, hi = f"({mid} - {off} * {bend})", f"({mid} + (1 - {off}) * {bend})"
+        rough = f"(({lo} * {lo} + {lo} * {hi} + {hi} * {hi}) / 3 + {bend} * {bend})"
+        sides.append((f"({linear} / pow(1e-6 + {rough}, 2))", f"({b} + {x} * ({mid} + {bend} * {x} / 2))"))
+    (wa, ga), (wb, gb) = sides
+    return f"(({wa} * {ga} + {wb} * {gb}) / ({wa} + {wb}))"
+
+
+@query("interp_mono", "K19", lines_sql(MONO))
 def _(spark, d):
     return rounded(sampled(spark, d, "mono"), "value")
 
 
-@query("interp_mono2", "K19")
+@query("interp_mono2", "K19", lines_sql(MONO2))
 def _(spark, d):
     return rounded(sampled(spark, d, "mono2"), "value")
 
 
-@query("interp_weno", "K19")
+@query("interp_weno", "K19", lines_sql(weno_sql()))
 def _(spark, d):
     return rounded(sampled(spark, d, "weno"), "value")
 
