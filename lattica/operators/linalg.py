@@ -85,6 +85,16 @@ def least_squares(df: DataFrame, keys: list[str], xs: list[str], y: str) -> Data
 
 # --- stepwise adaptation -----------------------------------------------------------
 
+def compose_maps(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """w -> a[-1] (... (a[0] w + b[0]) ...) + b[-1] as one map: neighbours are merged until one is left."""
+    while len(a) > 1:
+        if len(a) % 2:
+            a, b = np.concatenate([a, np.eye(a.shape[1])[None]]), np.concatenate([b, np.zeros((1, b.shape[1]))])
+        b = (a[1::2] @ b[0::2, :, None])[..., 0] + b[1::2]
+        a = a[1::2] @ a[0::2]
+    return a[0], b[0]
+
+
 def adapt(df: DataFrame, keys: list[str], order: list[str], xs: list[str], y: str, alpha: float, passes: int = 1,
           w0: list[float] | None = None, group_rows: int | None = None, chunk: int = 50_000) -> DataFrame:
     """Weights after stepping w += eta (y - w.x) x through the samples in order.
@@ -97,7 +107,7 @@ def adapt(df: DataFrame, keys: list[str], order: list[str], xs: list[str], y: st
     eta = df.groupBy(*keys).agg((power / F.count("*")).alias("__p")).select(
         *keys, (F.lit(2.0 * alpha) / F.when(F.col("__p") < 1e-20, 0.001).otherwise(F.col("__p"))).alias("__eta"))
     at = O.indexed(df.select(*keys, *order, *xs, y), keys, order, group_rows)
-    at = at.join(eta, keys) if keys else at.join(F.broadcast(eta))
+    at = O.join_on(at, eta, keys)
     size = min(chunk, group_rows) if group_rows else chunk
     at = at.withColumn("__c", F.floor(F.col("i") / size).cast("bigint"))
     key_fields = [df.schema[k] for k in keys]
@@ -105,11 +115,12 @@ def adapt(df: DataFrame, keys: list[str], order: list[str], xs: list[str], y: st
 
     def shrink(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("i", kind="stable")
-        a, b = np.eye(m), np.zeros(m)
         e = float(pdf["__eta"].iloc[0])
-        for x, t in zip(pdf[xs].to_numpy(float), pdf[y].to_numpy(float)):
-            a -= e * np.outer(x, x @ a)
-            b += e * (t - x @ b) * x
+        a, b = np.eye(m), np.zeros(m)
+        for k in range(0, len(pdf), 4096):
+            x, t = pdf[xs].to_numpy(float)[k:k + 4096], pdf[y].to_numpy(float)[k:k + 4096]
+            ca, cb = compose_maps(np.eye(m) - e * x[:, :, None] * x[:, None, :], e * t[:, None] * x)
+            a, b = ca @ a, ca @ b + cb
         return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "__c": [pdf["__c"].iloc[0]], "map": [np.r_[a.ravel(), b].tolist()]})
 
     maps = at.groupBy(*keys, "__c").applyInPandas(shrink, mid)
@@ -118,11 +129,8 @@ def adapt(df: DataFrame, keys: list[str], order: list[str], xs: list[str], y: st
 
     def compose(pdf: pd.DataFrame) -> pd.DataFrame:
         # one row per chunk of the series
-        a, b = np.eye(m), np.zeros(m)
-        for r in pdf.sort_values("__c")["map"]:
-            r = np.asarray(r, float)
-            ca, cb = r[: m * m].reshape(m, m), r[m * m:]
-            a, b = ca @ a, ca @ b + cb
+        r = np.stack(pdf.sort_values("__c")["map"].to_list()).astype(float)
+        a, b = compose_maps(r[:, :m * m].reshape(-1, m, m), r[:, m * m:])
         w = start
         for _ in range(passes):
             w = a @ w + b

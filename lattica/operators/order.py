@@ -1,8 +1,9 @@
 """Running totals, ranks and order statistics over groups of any size.
 
-A window per group is the cheap plan while the largest group fits one task.
-Above that the rows are laid out by range, each range is totalled on its own and
-the carry from earlier ranges is added: no group ever has to fit one task.
+One plan serves every size.  A group is cut into parts at approximate quantiles of its
+order, a small one into a single part; parts are ordered and totalled on their own,
+and each gets what earlier parts of its group add up to.  No group has to fit one
+task, null is a group like any other, and nothing runs before the result is asked for.
 """
 
 from __future__ import annotations
@@ -11,36 +12,35 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lattica.functions.keys import col
-from lattica.session import cut_lineage
 
-GROUP_ROWS = 4_000_000
-"""Most rows of one group that a single task is asked to order."""
+GROUP_ROWS = 1 << 20
+"""Rows up to which a group stays one part."""
+PARTS = 256
+"""Parts of a larger group."""
+_SORTED = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
-def largest_group(df: DataFrame, keys: list[str]) -> tuple[int, int]:
-    """Rows of the largest group and rows overall: one combinable pass, one row back."""
-    per = df.groupBy(*keys).agg(F.count("*").alias("n"))
-    r = per.agg(F.max("n").alias("m"), F.sum("n").alias("t")).first()
-    return int(r["m"] or 0), int(r["t"] or 0)
+def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, null included; key columns come from the left."""
+    if not keys:
+        return left.join(F.broadcast(right), how=how if how != "inner" else "cross")  # one row without keys
+    named = right.withColumnsRenamed({k: f"__right_{i}" for i, k in enumerate(keys)})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__right_{i}")) for i, k in enumerate(keys)])
+    return left.join(named, same, how).drop(*[f"__right_{i}" for i in range(len(keys))])
 
 
-def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column], *,
-            maxima: dict[str, Column] | None = None, totals: dict[str, Column] | None = None,
-            group_rows: int | None = None) -> DataFrame:
-    """Add, per group and in order, totals and maxima of all *earlier* rows.
-
-    ``sums``/``maxima`` name exclusive prefixes (0 / null on the first row);
-    ``totals`` name whole-group sums.  ``order`` must be unique inside a group, or
-    ties must not matter.
-    """
-    maxima, totals = maxima or {}, totals or {}
-    limit = group_rows or GROUP_ROWS
-    biggest, n_rows = largest_group(df, keys)
-    if biggest <= limit:
-        return _running_in_groups(df, keys, order, sums, maxima, totals)
-    return _running_over_ranges(df, keys, order, sums, maxima, totals, n_rows, limit)
+def in_parts(df: DataFrame, keys: list[str], first: str, rows: int) -> DataFrame:
+    """Add ``__part``: nondecreasing in column ``first``, equal values together, null before all."""
+    if not isinstance(df.schema[first].dataType, _SORTED):
+        return df.withColumn("__part", F.lit(0))
+    cuts = F.percentile_approx(first, [i / PARTS for i in range(1, PARTS)], 4 * PARTS)
+    per = df.groupBy(*keys).agg(F.when(F.count("*") > rows, cuts).alias("__cuts"))
+    below = F.size(F.filter("__cuts", lambda c: c < F.col(first)))
+    part = F.when(F.col("__cuts").isNull(), 0).when(F.col(first).isNull(), -1).otherwise(below)
+    return join_on(df, per, keys, "left").withColumn("__part", part).drop("__cuts")
 
 
 def _prefixes(w, sums, maxima) -> dict[str, Column]:
@@ -50,31 +50,30 @@ def _prefixes(w, sums, maxima) -> dict[str, Column]:
     return out
 
 
-def _running_in_groups(df, keys, order, sums, maxima, totals) -> DataFrame:
-    w = Window.partitionBy(*keys)
-    cols = _prefixes(w.orderBy(*order), sums, maxima)
-    cols |= {n: F.sum(e).over(w) for n, e in totals.items()}
-    return df.withColumns(cols)
-
+def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column], *,
+            maxima: dict[str, Column] | None = None, totals: dict[str, Column] | None = None,
+            group_rows: int | None = None) -> DataFrame:
+    """Add, per group and in order, totals and maxima of all *earlier* rows.
 
-def _running_over_ranges(df, keys, order, sums, maxima, totals, n_rows, limit) -> DataFrame:
-    conf = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n = max(conf, -(-n_rows // limit), 2)
-    ranged = df.repartitionByRange(n, *keys, *order).withColumn("__part", F.spark_partition_id())
-    # partition numbers must not change under recomputation: settle them in files
-    ranged = cut_lineage(ranged)
+    ``sums``/``maxima`` name exclusive prefixes (0 / null on the first row);
+    ``totals`` name whole-group sums.  ``order`` must be unique inside a group, or
+    ties must not matter.
+    """
+    maxima, totals = maxima or {}, totals or {}
+    # one exchange, read by the windows and by the totals of parts
+    laid = in_parts(df, keys, order[0], group_rows or GROUP_ROWS).repartition(*keys, "__part")
     local = Window.partitionBy(*keys, "__part")
     cols = {f"__in_{k}": c for k, c in _prefixes(local.orderBy(*order), sums, maxima).items()}
     cols |= {f"__tot_{k}": F.sum(e).over(local) for k, e in totals.items()}
-    inside = ranged.withColumns(cols)
+    inside = laid.withColumns(cols)
 
-    part = ranged.groupBy(*keys, "__part").agg(
+    part = laid.groupBy(*keys, "__part").agg(
         *[F.sum(e).alias(f"__s_{k}") for k, e in sums.items()],
         *[F.max(e).alias(f"__m_{k}") for k, e in maxima.items()],
         *[F.sum(e).alias(f"__t_{k}") for k, e in totals.items()],
         F.count("*").alias("__rows"),
     )
-    # one row per (group, range); a group spans at most n ranges
+    # one row per part, at most PARTS + 1 in a group
     w = Window.partitionBy(*keys)
     before = w.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     carry = part.select(
@@ -83,9 +82,7 @@ def _running_over_ranges(df, keys, order, sums, maxima, totals, n_rows, limit) -
         *[F.max(f"__m_{k}").over(before).alias(f"__c_{k}") for k in maxima],
         *[F.sum(f"__t_{k}").over(w).alias(f"__w_{k}") for k in totals],
     ).where("__span > 1").drop("__span")
-    # ranges are contiguous, so at most n - 1 boundaries are straddled and at most
-    # 2 (n - 1) (group, range) pairs remain: bounded by the partition count
-    joined = inside.join(F.broadcast(carry), [*keys, "__part"], "left")
+    joined = join_on(inside, carry, [*keys, "__part"], "left")
     out = {k: F.col(f"__in_{k}") + F.coalesce(f"__c_{k}", F.lit(0)) for k in sums}
     out |= {k: F.greatest(f"__in_{k}", f"__c_{k}") for k in maxima}
     out |= {k: F.coalesce(f"__w_{k}", f"__tot_{k}") for k in totals}

@@ -1,8 +1,8 @@
 """Moving-window and recursive operators on ordered series.
 
-Short series run as one window per key.  A long one is cut into chunks by
-position; each chunk also receives the few rows before it that its first windows
-reach back to, so chunks are independent tasks with exact results.
+A series is cut into chunks by position, a short one into a single chunk; each chunk
+also receives the few rows before it that its first windows reach back to, so
+chunks are independent tasks with exact results.
 """
 
 from __future__ import annotations
@@ -48,13 +48,7 @@ def moving(df: DataFrame, keys: list[str], order: list[str], v: str, reach: int,
     """
     resumed = "__skip" in df.columns
     limit = max(group_rows or O.GROUP_ROWS, reach + 1)
-    biggest, _ = O.largest_group(df, keys)
-    if biggest <= limit:
-        w = Window.partitionBy(*keys).orderBy(*order)
-        plain = df.withColumn("i", (F.row_number().over(w) - 1).cast("bigint"))
-        return plain.withColumns(build(Frame(keys, order, v, F.col("i"), resumed)))
-    at = O.indexed(df, keys, order, group_rows=limit)
-    cut = chunked(at, limit, reach)
+    cut = chunked(O.indexed(df, keys, order, group_rows), limit, reach)
     out = cut.withColumns(build(Frame([*keys, "__chunk"], ["i"], v, F.col("i"), resumed)))
     return out.where("__own").drop("__own", "__chunk")
 
@@ -155,7 +149,7 @@ def detrended(df: DataFrame, keys: list[str], order: list[str], v: str, d: int,
     seen = F.when(usable, F.struct(F.col("__r").alias("r"), F.col("ma").alias("m")))
     rev = O.running(rev, keys, ["__r"], {}, maxima={"__next": seen}, group_rows=group_rows)
     heads = ma.where(usable).groupBy(*keys).agg(F.min_by("ma", "i").alias("__wrap"))
-    out = rev.join(heads, keys, "left")
+    out = O.join_on(rev, heads, keys, "left")
     scale = F.when(usable, F.col("ma")).otherwise(F.coalesce(F.col("__next.m"), F.col("__wrap")))
     return out.withColumn("det", F.try_divide(F.col(v), scale)).drop("__abs", "__r", "__next", "__wrap")
 
@@ -174,9 +168,11 @@ def decay_scan(b: np.ndarray, beta: float) -> np.ndarray:
 
 def exponential_average(df: DataFrame, keys: list[str], order: list[str], v: str, beta: float,
                         group_rows: int | None = None) -> DataFrame:
-    """y0 = x0, then beta*y + (1-beta)*x; a negative beta gives a span instead."""
+    """y0 = x0, then beta*y + (1-beta)*x; a negative beta gives a span instead, 1 keeps the first value."""
     if beta < 0:
         beta = 1.0 - 2.0 / (-beta + 1.0)
+    if beta > 1:
+        raise ValueError("beta must not exceed 1")
     chunk = min(group_rows or 65536, 65536)
     at = O.indexed(df, keys, order, group_rows=group_rows)
     at = at.withColumn("__chunk", F.floor(F.col("i") / chunk).cast("bigint"))
@@ -184,17 +180,23 @@ def exponential_average(df: DataFrame, keys: list[str], order: list[str], v: str
     fields = T.StructType([*laid.schema.fields, T.StructField("__y", T.DoubleType())])
     local = laid.mapInPandas(_scan_partition(keys, v, beta), fields)
     ends = local.groupBy(*keys, "__chunk").agg(F.max_by("__y", "i").alias("__end"))
-    # what enters a chunk: the ends of earlier chunks, each faded by the chunks between
-    fade = beta**chunk
-    w = Window.partitionBy(*keys).orderBy("__chunk")
-    reach = 1 if fade == 0.0 else max(1, int(np.ceil(np.log(1e-300) / np.log(fade))))
-    earlier = F.collect_list("__end").over(w.rowsBetween(-reach, -1))
-    carry = F.aggregate(earlier, F.lit(0.0), lambda a, e: a * fade + e)
-    out = local.join(ends.select(*keys, "__chunk", carry.alias("__carry")), [*keys, "__chunk"])
+    # what enters a chunk: a scan over the ends of earlier ones, each faded by the chunks between
+    fields = T.StructType([*[ends.schema[k] for k in keys], T.StructField("__chunk", T.LongType()), T.StructField("__carry", T.DoubleType())])
+    carry = ends.groupBy(*keys).applyInPandas(_carry_over(keys, beta**chunk), fields)
+    out = O.join_on(local, carry, [*keys, "__chunk"])
     k = (F.col("i") % chunk) + 1
     return out.withColumn("ema", F.col("__y") + F.col("__carry") * F.pow(F.lit(beta), k)).drop("__y", "__carry", "__chunk")
 
 
+def _carry_over(keys: list[str], fade: float):
+    """One row per 65,536 values of a series comes in."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("__chunk")
+        y = decay_scan(pdf["__end"].to_numpy(np.float64), fade)
+        return pdf[[*keys, "__chunk"]].assign(__carry=np.r_[0.0, y[:-1]])
+    return run
+
+
 def _scan_partition(keys: list[str], v: str, beta: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, y_last = None, 0.0
@@ -202,14 +204,16 @@ def _scan_partition(keys: list[str], v: str, beta: float):
             if pdf.empty:
                 continue
             tag = pdf[[*keys, "__chunk"]]
-            change = (tag != tag.shift()).any(axis=1).to_numpy()
+            past = tag.shift()
+            change = ~((tag == past) | (tag.isna() & past.isna())).all(axis=1).to_numpy()
+            change[0] = True
             x = pdf[v].to_numpy(np.float64)
             b = np.where(pdf["i"].to_numpy() == 0, x, (1.0 - beta) * x)
             y = np.empty(len(x))
             starts = np.flatnonzero(change)
             for s, e in zip(starts, [*starts[1:], len(x)]):
                 seg = b[s:e].copy()
-                if s == 0 and last == tuple(tag.iloc[0]):
+                if s == 0 and last is not None and all(a == b or (pd.isna(a) and pd.isna(b)) for a, b in zip(last, tag.iloc[0])):
                     seg[0] += beta * y_last
                 y[s:e] = decay_scan(seg, beta)
             last, y_last = tuple(tag.iloc[-1]), y[-1]
@@ -269,26 +273,23 @@ def trend(df: DataFrame, keys: list[str], order: list[str], v: str, group_rows:
     size.  Pairs inside one chunk or one bin are counted by sorting that small
     group; all others follow from counts on the (chunk, bin) lattice.
     """
-    biggest, _ = O.largest_group(df, keys)
     if group_rows:
         chunk = min(chunk, group_rows)
-    chunk = max(chunk, int(np.ceil(np.sqrt(max(biggest, 1)))))  # lattice no larger than the series
     one = F.lit(1).cast("bigint")
     at = O.running(df.select(*keys, *order, F.col(v).alias("v")), keys, order, {"i": one}, totals={"n": one}, group_rows=group_rows)
     at = at.withColumn("c", F.floor(F.col("i") / chunk).cast("bigint"))
     sizes = at.groupBy(*keys).agg(F.max("n").alias("n"))
     up = _count_rising(at, keys, ["c"], split=None)
-    if biggest > chunk:
-        heavy = (F.col("c") >= chunk).cast("bigint")
-        # a value with a whole chunk of copies gets a bin of its own, next in order
-        bins = O.ranked_values(at.drop("c", "n"), keys, "v", group_rows).select(
-            *keys, "v", (F.floor(F.col("start") / chunk) * 2 + heavy).cast("bigint").alias("b"), (heavy == 1).alias("single"))
-        binned = at.join(bins, [*keys, "v"])
-        up = up.unionByName(_count_rising(binned.where("not single"), keys, ["b"], split="c"))
-        up = up.unionByName(_lattice_rising(binned, keys))
+    heavy = (F.col("c") >= chunk).cast("bigint")
+    # a value with a whole chunk of copies gets a bin of its own, next in order
+    bins = O.ranked_values(at.drop("c", "n"), keys, "v", group_rows).select(
+        *keys, "v", (F.floor(F.col("start") / chunk) * 2 + heavy).cast("bigint").alias("b"), (heavy == 1).alias("single"))
+    binned = O.join_on(at, bins, [*keys, "v"])
+    up = up.unionByName(_count_rising(binned.where("not single"), keys, ["b"], split="c"))
+    up = up.unionByName(_lattice_rising(binned, keys))
     pairs = F.col("n").cast("double") * (F.col("n") - 1) / 2
     total = up.groupBy(*keys).agg(F.sum("up").alias("up"))
-    return sizes.join(total, keys).select(*keys, "n", F.try_divide(F.col("up") * 2 - pairs, pairs).alias("tau"))
+    return O.join_on(sizes, total, keys).select(*keys, "n", F.try_divide(F.col("up") * 2 - pairs, pairs).alias("tau"))
 
 
 def _count_rising(rows: DataFrame, keys: list[str], by: list[str], split: str | None) -> DataFrame:
@@ -310,8 +311,8 @@ def _lattice_rising(binned: DataFrame, keys: list[str]) -> DataFrame:
     """Rising pairs that differ in both chunk and bin, from lattice counts alone."""
     counts = binned.groupBy(*keys, "c", "b").agg(F.count("*").cast("double").alias("m"))
     axis = lambda a: counts.select(*keys, a).distinct()
-    full = axis("c").join(axis("b"), keys)  # per key: chunks x bins, no more than rows
-    full = full.join(counts, [*keys, "c", "b"], "left").fillna(0.0, ["m"])
+    full = O.join_on(axis("c"), axis("b"), keys) if keys else axis("c").crossJoin(axis("b"))  # per key: chunks x bins, no more than rows
+    full = O.join_on(full, counts, [*keys, "c", "b"], "left").fillna(0.0, ["m"])
     earlier = lambda part, o: Window.partitionBy(*keys, part).orderBy(o).rowsBetween(Window.unboundedPreceding, -1)
     below = full.withColumn("p", F.coalesce(F.sum("m").over(earlier("c", "b")), F.lit(0.0)))
     both = below.withColumn("d", F.coalesce(F.sum("p").over(earlier("b", "c")), F.lit(0.0)))

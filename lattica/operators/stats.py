@@ -18,8 +18,8 @@ HIST_EPS = 1e-20
 
 
 def join_groups(df: DataFrame, per_group: DataFrame, keys: list[str]) -> DataFrame:
-    """Attach per-group values; without keys there is exactly one row to attach."""
-    return df.join(per_group, keys) if keys else df.join(F.broadcast(per_group))
+    """Attach per-group values, null groups included; without keys there is exactly one row to attach."""
+    return O.join_on(df, per_group, keys)
 
 
 def sample_stat(df: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -185,3 +185,54 @@ def test_stream_equals_batch(spark, skewed, tmp_path, rows):
     q.awaitTermination(120)
     assert q.exception() is None
     check(job.results(spark), "dev", {k: np_dev(v, 6) for k, v in by_key(pdf).items()})
+
+
+def _with_null_group(spark):
+    """A null group, a dominant one and many small ones, with ties in time."""
+    rng = np.random.default_rng(8)
+    rows = [(None, t // 2, t, float(rng.integers(0, 30))) for t in range(60)]
+    rows += [(1, t // 3, t, float(rng.integers(0, 30))) for t in range(2000)]
+    rows += [(k, t, t, float(rng.integers(0, 30))) for k in range(2, 60) for t in range(5)]
+    return spark.createDataFrame(rows, "k int, t int, e int, v double")
+
+
+def _same(a, b, by):
+    x, y = (d.toPandas().sort_values(by, na_position="first").reset_index(drop=True)[sorted(d.columns)] for d in (a, b))
+    pd.testing.assert_frame_equal(x, y, check_dtype=False, rtol=1e-9)
+    assert x["k"].isna().any()
+
+
+def test_null_groups_and_part_sizes_agree(spark):
+    df = _with_null_group(spark)
+    for rows in (40,):
+        for fn, by in ((lambda g: O.median(df, ["k"], "v", g), ["k"]), (lambda g: O.average_rank(df, ["k"], "v", g), ["k", "v"]),
+                       (lambda g: O.indexed(df, ["k"], ["t", "e"], g), ["k", "t", "e"]),
+                       (lambda g: R.moving(df, ["k"], ["t", "e"], "v", *R.moving_median(5), group_rows=g), ["k", "t", "e"]),
+                       (lambda g: R.exponential_average(df, ["k"], ["t", "e"], "v", 0.9, group_rows=g), ["k", "t", "e"]),
+                       (lambda g: R.exponential_average(df, ["k"], ["t", "e"], "v", 1.0, group_rows=g), ["k", "t", "e"]),
+                       (lambda g: R.monotony(df, ["k"], ["t", "e"], "v", g), ["k"]),
+                       (lambda g: R.detrended(df, ["k"], ["t", "e"], "v", 4, g), ["k", "t", "e"]),
+                       (lambda g: R.trend(df, ["k"], ["t", "e"], "v", g, chunk=1 << 18 if g is None else g), ["k"])):
+            _same(fn(rows), fn(None), by)
+
+
+def test_null_groups_keep_their_statistics(spark):
+    from lattica.operators import linalg as LA, stats as S
+    df = _with_null_group(spark)
+    known = df.fillna({"k": -1})
+    _back = lambda d: d.withColumn("k", F.nullif("k", F.lit(-1)))
+    _same(S.semi_deviation(df, ["k"], "v"), _back(S.semi_deviation(known, ["k"], "v")), ["k"])
+    _same(S.histogram(df, ["k"], "v", 5, -2.0, 2.0, standardise=True), _back(S.histogram(known, ["k"], "v", 5, -2.0, 2.0, standardise=True)), ["k"])
+    x = df.withColumn("x", F.col("t") / 100)
+    _same(LA.adapt(x, ["k"], ["t", "e"], ["x"], "v", 0.1), _back(LA.adapt(x.fillna({"k": -1}), ["k"], ["t", "e"], ["x"], "v", 0.1)), ["k"])
+
+
+def test_no_job_runs_while_a_plan_is_built(spark):
+    df = _with_null_group(spark)
+    status = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("plan", "plan")
+    O.median(df, ["k"], "v")
+    R.trend(df, ["k"], ["t", "e"], "v")
+    R.moving(df, ["k"], ["t", "e"], "v", *R.moving_average(5))
+    assert not status.getJobIdsForGroup("plan")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
