@@ -75,10 +75,10 @@ def neighbour_reduce(blocks: DataFrame, grid: Grid, keep: list[str], aggs: dict[
     return reduced.where("own").drop("own")
 
 
-def active_blocks(points: DataFrame, grid: Grid, radius: float) -> DataFrame:
-    """Distinct blocks that the box of half-width ``radius`` around any point touches."""
-    hits = block_hits(points, grid, radius)
-    return hits.select("bid").distinct()
+def active_blocks(points: DataFrame, grid: Grid, radius: float, least: int = 1) -> DataFrame:
+    """Blocks that the boxes of half-width ``radius`` around at least so many points touch."""
+    hits = block_hits(points, grid, radius).groupBy("bid").agg(F.count("*").alias("n"))
+    return hits.where(F.col("n") >= least).select("bid")
 
 
 def block_hits(points: DataFrame, grid: Grid, radius: float) -> DataFrame:

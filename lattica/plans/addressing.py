@@ -112,12 +112,12 @@ def _(spark, d):
 
 
 @query("block_list_cells", "P9 P10", f"""WITH {B.CELLS_SQL}, {B.POINTS_SQL}, {B.grid_sql(8)},
- marks AS (SELECT DISTINCT (CAST(floor(px) AS BIGINT) >> 3) + (CAST(floor(py) AS BIGINT) >> 3) * nbx + (CAST(floor(pz) AS BIGINT) >> 3) * nbx * nby AS bid
- FROM points, grid WHERE seed), k AS (SELECT *, {BID(3)} AS bid FROM cells, grid)
+ marks AS (SELECT (CAST(floor(px) AS BIGINT) >> 3) + (CAST(floor(py) AS BIGINT) >> 3) * nbx + (CAST(floor(pz) AS BIGINT) >> 3) * nbx * nby AS bid
+ FROM points, grid GROUP BY 1 HAVING count(*) >= 240), k AS (SELECT *, {BID(3)} AS bid FROM cells, grid)
 SELECT bid, CAST(count(*) AS BIGINT) AS n, {rsql('sum(a * 2 + 1)')} AS total FROM k WHERE bid IN (SELECT bid FROM marks) GROUP BY 1""")
 def _(spark, d):
     g = B.grid_for(spark, d, 8)
-    marks = P.bin_points(B.points(spark, d).where("seed"), g).select("bid").distinct()
+    marks = P.bin_points(B.points(spark, d), g).groupBy("bid").agg(F.count("*").alias("n")).where("n >= 240").select("bid")
     k = B.cells(spark, d).withColumn("bid", K.cell_block_id("x", "y", "z", g))
     return C.select_blocks(k, marks).groupBy("bid").agg(F.count("*").alias("n"), rnd(F.sum(F.col("a") * 2 + 1)).alias("total"))
 
@@ -144,10 +144,10 @@ def _(spark, d):
 
 
 @query("point_write", "P13", f"""WITH {B.CELLS_SQL}, {B.POINTS_SQL}, w AS (SELECT CAST(floor(px) AS BIGINT) AS x, CAST(floor(py) AS BIGINT) AS y, CAST(floor(pz) AS BIGINT) AS z,
- max(mass) AS a FROM points WHERE seed GROUP BY 1, 2, 3)
+ max(mass) AS a FROM points GROUP BY 1, 2, 3)
 SELECT x, y, z, {rsql('coalesce(w.a, cells.a)')} AS a FROM cells FULL OUTER JOIN w USING (x, y, z)""")
 def _(spark, d):
-    w = B.points(spark, d).where("seed").groupBy(*[F.floor(p).alias(c) for p, c in zip(("px", "py", "pz"), "xyz")]).agg(F.max("mass").alias("a"))
+    w = B.points(spark, d).groupBy(*[F.floor(p).alias(c) for p, c in zip(("px", "py", "pz"), "xyz")]).agg(F.max("mass").alias("a"))
     return C.upsert(B.cells(spark, d).select("x", "y", "z", "a"), w, "a").select("x", "y", "z", rnd("a").alias("a"))
 
 

@@ -6,7 +6,7 @@ from lattica.functions import keys as K
 from lattica.operators import pyramid as Y, topology as T
 from lattica.plans.common import BID, rnd, rsql
 from lattica.plans.registry import query
-from lattica.plans.topology import seed_levels, REG, FLAGGED
+from lattica.plans.topology import ACTIVE_HITS, FLAGGED, REG, point_levels
 from lattica.sources import tables as B
 
 CL, G8 = B.CELLS_SQL, B.grid_sql(8)
@@ -124,9 +124,9 @@ LEVELED = f"""{FLAGGED}, {CL}, lc AS (SELECT level, bid, x >> level AS x, y >> l
    (SELECT c.*, ((x >> 2) + (y >> 2) * nbx + (z >> 2) * nbx * nby) AS bid FROM cells c, grid) k JOIN l1 USING (bid) GROUP BY ALL)"""
 
 
-def leveled_cells(spark, d, bsx=4, seeds="seed"):
+def leveled_cells(spark, d, bsx=4, least=ACTIVE_HITS):
     """The cell channel stored at each block's own level, with block flags."""
-    g, lv = seed_levels(spark, d, bsx, seeds)
+    g, lv = point_levels(spark, d, bsx, least)
     reg = T.regularize_levels(lv, g)
     flagged = T.block_flags(reg.withColumn("exists", F.col("level") < g.n_levels - 1), g)
     c = B.cells(spark, d).withColumn("bid", K.cell_block_id("x", "y", "z", g)).join(reg, "bid")

@@ -166,7 +166,7 @@ def settled_levels(spark, d):
 
     Blocks of 16 leave room for the blend inside every level.
     """
-    g, flagged, own = leveled_cells(spark, d, 16, "mass > 104970")
+    g, flagged, own = leveled_cells(spark, d, 16, 2150)
     flagged, own = cut_lineage(flagged), cut_lineage(own)
     ghosts = cut_lineage(Y.all_ghosts(own, flagged, g, "v"))
     return g, flagged, own, ghosts

@@ -14,9 +14,9 @@ _seq = lambda p, n, edge=4, r=1: (f"(SELECT unnest(range(CAST(greatest(floor((p{
                                   f"CAST(least(floor((p{p} + {r}e0) / {edge}e0), {n} - 1) AS BIGINT) + 1)))")
 HITS = f"""hits AS (SELECT *, hx + hy * nbx + hz * nbx * nby AS bid FROM (SELECT *, unnest(range(CAST(greatest(floor((pz - 1e0) / 4e0), 0) AS BIGINT), CAST(least(floor((pz + 1e0) / 4e0), nbz - 1) AS BIGINT) + 1)) AS hz FROM
  (SELECT *, unnest(range(CAST(greatest(floor((py - 1e0) / 4e0), 0) AS BIGINT), CAST(least(floor((py + 1e0) / 4e0), nby - 1) AS BIGINT) + 1)) AS hy FROM
- (SELECT *, unnest(range(CAST(greatest(floor((px - 1e0) / 4e0), 0) AS BIGINT), CAST(least(floor((px + 1e0) / 4e0), nbx - 1) AS BIGINT) + 1)) AS hx FROM points, grid WHERE seed))))"""
+ (SELECT *, unnest(range(CAST(greatest(floor((px - 1e0) / 4e0), 0) AS BIGINT), CAST(least(floor((px + 1e0) / 4e0), nbx - 1) AS BIGINT) + 1)) AS hx FROM points, grid))))"""
 LEVELS = f"""{B.POINTS_SQL}, {G4}, {OFF26}, {HITS},
- l0 AS (SELECT i AS bid, i % nbx AS bx, (i // nbx) % nby AS byy, i // (nbx * nby) AS bz, CASE WHEN i IN (SELECT bid FROM hits) THEN 0 ELSE 2 END AS level
+ l0 AS (SELECT i AS bid, i % nbx AS bx, (i // nbx) % nby AS byy, i // (nbx * nby) AS bz, CASE WHEN i IN (SELECT bid FROM hits GROUP BY 1 HAVING count(*) >= 117) THEN 0 ELSE 2 END AS level
    FROM (SELECT unnest(range(nbx * nby * nbz)) AS i, nbx, nby FROM grid))"""
 _NB = lambda src: f"""(SELECT a.bid, min(b.level) AS nmin, max(b.level) AS nmax FROM {src} a, off
    JOIN {src} b ON b.bx = a.bx + dx AND b.byy = a.byy + dy AND b.bz = a.bz + dz GROUP BY 1)"""
@@ -26,9 +26,13 @@ FLAGGED = f"""{REG}, fl AS (SELECT l1.bid, level, level < 2 AS ex, coalesce(nmax
   (bx = 0 OR bx = nbx - 1 OR byy = 0 OR byy = nby - 1 OR bz = 0 OR bz = nbz - 1) AS brd FROM l1 LEFT JOIN {_NB('l1')} n USING (bid), grid)"""
 
 
-def seed_levels(spark, d, bsx=4, seeds="seed"):
+ACTIVE_HITS = 117
+"""Points around a block of four cells from which it is stored finely: about a quarter of all blocks."""
+
+
+def point_levels(spark, d, bsx=4, least=ACTIVE_HITS):
     g = B.grid_for(spark, d, bsx)
-    active = T.active_blocks(B.points(spark, d).where(seeds), g, 1.0)
+    active = T.active_blocks(B.points(spark, d), g, 1.0, least)
     return g, T.assign_levels(T.all_blocks(spark, g), active, g)
 
 
@@ -44,19 +48,19 @@ def _(spark, d):
 @query("blk_active", "G2 J7", f"WITH {B.POINTS_SQL}, {G4}, {HITS} SELECT bid, CAST(count(*) AS BIGINT) AS n FROM hits GROUP BY 1")
 def _(spark, d):
     g = B.grid_for(spark, d, 4)
-    return T.block_hits(B.points(spark, d).where("seed"), g, 1.0).groupBy("bid").agg(F.count("*").alias("n"))
+    return T.block_hits(B.points(spark, d), g, 1.0).groupBy("bid").agg(F.count("*").alias("n"))
 
 
 @query("blk_levels", "G1 G3", f"WITH {LEVELS} SELECT bid, bx, byy, bz, level FROM l0")
 def _(spark, d):
-    return seed_levels(spark, d)[1].withColumnRenamed("by", "byy")
+    return point_levels(spark, d)[1].withColumnRenamed("by", "byy")
 
 
 @query("blk_neighbours", "J2", f"""WITH {LEVELS} SELECT a.bid, CAST(count(*) AS BIGINT) AS n, min(b.level) AS finest, max(b.level) AS coarsest,
  CAST(sum(CASE WHEN abs(dx) + abs(dy) + abs(dz) = 1 AND b.level = 0 THEN 1 ELSE 0 END) AS BIGINT) AS fine_faces
 FROM l0 a, off JOIN l0 b ON b.bx = a.bx + dx AND b.byy = a.byy + dy AND b.bz = a.bz + dz GROUP BY 1""")
 def _(spark, d):
-    g, lv = seed_levels(spark, d)
+    g, lv = point_levels(spark, d)
     nb = T.tell_neighbours(lv.select("bid", "level"), g, ["level"])
     face = F.abs("dx") + F.abs("dy") + F.abs("dz") == 1
     return nb.groupBy("bid").agg(F.count("*").alias("n"), F.min("level").alias("finest"), F.max("level").alias("coarsest"),
@@ -65,7 +69,7 @@ def _(spark, d):
 
 @query("blk_regularize", "G4", f"WITH {REG} SELECT bid, level FROM l1")
 def _(spark, d):
-    g, lv = seed_levels(spark, d)
+    g, lv = point_levels(spark, d)
     return T.regularize_levels(lv, g)
 
 
@@ -73,7 +77,7 @@ def _(spark, d):
  + (CASE WHEN fc THEN {_FB['FINE_COARSE']} ELSE 0 END) + (CASE WHEN cf THEN {_FB['COARSE_FINE']} ELSE 0 END)
  + (CASE WHEN NOT ex AND NOT fc AND NOT cf THEN {_FB['UNIFORM_EMPTY']} ELSE 0 END) AS INTEGER) AS flags FROM fl""")
 def _(spark, d):
-    g, lv = seed_levels(spark, d)
+    g, lv = point_levels(spark, d)
     reg = T.regularize_levels(lv, g).withColumn("exists", F.col("level") < g.n_levels - 1)
     return T.block_flags(reg, g)
 
@@ -86,7 +90,7 @@ def _(spark, d):
    + pow(greatest(dz * e - (vid // (e * e) + 0.5e0), 0e0, vid // (e * e) + 0.5e0 - (dz + 1) * e), 2)) AS d2 FROM v GROUP BY ALL)
 SELECT bid, level, vid, CAST(floor(least(sqrt(d2), 6e0) * 1024e0) AS INTEGER) AS dist FROM dd""")
 def _(spark, d):
-    g, lv = seed_levels(spark, d)
+    g, lv = point_levels(spark, d)
     return T.transition_distance(T.regularize_levels(lv, g), g)
 
 
@@ -95,7 +99,7 @@ _CENSUS = """CAST(count(*) AS BIGINT) AS n_blocks, CAST(count(*) * pow(4 >> leve
 
 @query("blk_census", "A8 G14", f"WITH {REG} SELECT level, {_CENSUS}, {rsql('count(*) / CAST(max(nbx * nby * nbz) AS DOUBLE)')} AS fill FROM l1, grid GROUP BY level")
 def _(spark, d):
-    g, lv = seed_levels(spark, d)
+    g, lv = point_levels(spark, d)
     return T.level_census(T.regularize_levels(lv, g), g).withColumn("fill", rnd("fill"))
 
 
@@ -128,7 +132,7 @@ def _(spark, d):
 @query("blk_flag_edit", "G13 G6", f"""WITH {FLAGGED}, w AS (SELECT bid, (CASE WHEN ex THEN 4096 ELSE 0 END) + (CASE WHEN brd THEN 2 ELSE 0 END) AS f FROM fl)
 SELECT bid, CAST((f & ~2) | 1024 AS INTEGER) AS flags FROM w""")
 def _(spark, d):
-    g, lv = seed_levels(spark, d)
+    g, lv = point_levels(spark, d)
     reg = T.regularize_levels(lv, g).withColumn("exists", F.col("level") < g.n_levels - 1)
     keep = _FB["EXISTS"] | _FB["DOM_BORDER"]
     f = T.block_flags(reg, g).select("bid", F.col("flags").bitwiseAND(F.lit(keep)).alias("flags"))

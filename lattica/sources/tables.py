@@ -31,19 +31,17 @@ def grid_sql(bsx: int) -> str:
 
 
 def points(spark: SparkSession, folder: str) -> DataFrame:
-    """Point cloud with a mass and a seed mark."""
+    """Point cloud with a mass."""
     return table(spark, folder, "lineitem").select(
         (F.col("l_partkey") * 0.25).alias("px"),
         (F.col("l_quantity") * 0.25).alias("py"),
         (F.col("l_extendedprice") / 6600.0).alias("pz"),
         F.col("l_extendedprice").alias("mass"),
-        ((F.col("l_discount") >= 0.095) & (F.col("l_tax") >= 0.075)).alias("seed"),
     )
 
 
 POINTS_SQL = """points AS (SELECT CAST(l_partkey AS DOUBLE) * 0.25e0 AS px, l_quantity * 0.25e0 AS py,
-      l_extendedprice / 6600e0 AS pz, l_extendedprice AS mass,
-      (l_discount >= 0.095e0 AND l_tax >= 0.075e0) AS seed FROM lineitem)"""
+      l_extendedprice / 6600e0 AS pz, l_extendedprice AS mass FROM lineitem)"""
 
 
 def cells(spark: SparkSession, folder: str) -> DataFrame:
