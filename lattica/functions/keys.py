@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType
@@ -216,47 +218,52 @@ def unit_float_values(h32: np.ndarray) -> np.ndarray:
 # Batch functions are wrapped at each call: a wrapper kept at module level would hold
 # session objects that cannot travel to executors.
 
-def _words(k: pd.Series) -> np.ndarray:
-    return k.to_numpy(np.int64).view(np.uint64)
+def _batch(fn: Callable[..., np.ndarray], kind: pa.DataType, columns: list) -> Column:
+    """``fn`` over int64 values as Arrow holds them: large keys stay whole beside a null, and null stays null."""
+    def values(a: pa.Array) -> np.ndarray:
+        return a.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def one(a: pa.Array) -> pa.Array:
+        return pa.array(fn(values(a)), kind, mask=np.asarray(a.is_null()))
+
+    def five(a: pa.Array, b: pa.Array, c: pa.Array, d: pa.Array, e: pa.Array) -> pa.Array:
+        all_ = (a, b, c, d, e)
+        return pa.array(fn(*map(values, all_)), kind, mask=np.logical_or.reduce([np.asarray(x.is_null()) for x in all_]))
+
+    out = LongType() if pa.types.is_integer(kind) else DoubleType()
+    return F.arrow_udf(one if len(columns) == 1 else five, out)(*[col(c).cast("bigint") for c in columns])
+
+
+def _words(k: np.ndarray) -> np.ndarray:
+    return k.view(np.uint64)
 
 
 def mix64(c) -> Column:
-    def run(k: pd.Series) -> pd.Series:
-        return pd.Series(mix64_values(_words(k)).view(np.int64))
-    return F.pandas_udf(run, LongType())(c)
+    return _batch(lambda k: mix64_values(_words(k)).view(np.int64), pa.int64(), [c])
 
 
 def mix32(c) -> Column:
-    def run(k: pd.Series) -> pd.Series:
-        return pd.Series(mix32_values((k.to_numpy(np.int64) & 0xFFFFFFFF)).astype(np.int64))
-    return F.pandas_udf(run, LongType())(c)
+    return _batch(lambda k: mix32_values(k & 0xFFFFFFFF).astype(np.int64), pa.int64(), [c])
 
 
 def fold64(c) -> Column:
-    def run(k: pd.Series) -> pd.Series:
-        return pd.Series(fold64_values(_words(k)).astype(np.int64))
-    return F.pandas_udf(run, LongType())(c)
+    return _batch(lambda k: fold64_values(_words(k)).astype(np.int64), pa.int64(), [c])
 
 
 def hash_unit_float(c) -> Column:
-    def run(k: pd.Series) -> pd.Series:
-        return pd.Series(unit_float_values(k.to_numpy(np.int64) & 0xFFFFFFFF))
-    return F.pandas_udf(run, DoubleType())(c)
+    return _batch(lambda k: unit_float_values(k & 0xFFFFFFFF), pa.float64(), [c])
 
 
 def fold_unit_float(c) -> Column:
-    def run(k: pd.Series) -> pd.Series:
-        return pd.Series(unit_float_values(fold64_values(_words(k))))
-    return F.pandas_udf(run, DoubleType())(c)
+    return _batch(lambda k: unit_float_values(fold64_values(_words(k))), pa.float64(), [c])
 
 
 def coord_hash8(seed, x, y, z, w) -> Column:
     """Hash of four coordinates, each taken modulo 256."""
-    def run(seed: pd.Series, x: pd.Series, y: pd.Series, z: pd.Series, w: pd.Series) -> pd.Series:
-        byte = lambda s, at: (s.to_numpy(np.int64) & 255) << at
-        word = byte(z, 24) | byte(y, 16) | byte(x, 8) | byte(w, 0)
-        return pd.Series(mix32_values((word ^ seed.to_numpy(np.int64)) & 0xFFFFFFFF).astype(np.int64))
-    return F.pandas_udf(run, LongType())(seed, x, y, z, w)
+    def run(seed, x, y, z, w):
+        word = (z & 255) << 24 | (y & 255) << 16 | (x & 255) << 8 | (w & 255)
+        return mix32_values((word ^ seed) & 0xFFFFFFFF).astype(np.int64)
+    return _batch(run, pa.int64(), [seed, x, y, z, w])
 
 
 # One multiplier per coordinate.

@@ -242,7 +242,10 @@ def gram(df: DataFrame, vec: str, weight: str | None = None) -> DataFrame:
             if b.num_rows == 0:
                 continue
             lists = b.column(0)
-            dim = len(lists[0])
+            sizes = np.asarray(lists.value_lengths())
+            dim = int(sizes[0]) if lists.null_count == 0 else -1
+            if lists.null_count or (sizes != dim).any() or (acc is not None and len(acc[0]) != dim):
+                raise ValueError("vectors must be present and of one length")
             x = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
             w = b.column(1).to_numpy(zero_copy_only=False).astype(np.float64) if weight else np.ones(len(x))
             part = (w @ x, (x * w[:, None]).T @ x, w.sum(), (w * w).sum())
@@ -261,7 +264,7 @@ def gram(df: DataFrame, vec: str, weight: str | None = None) -> DataFrame:
 
 
 def covariance(df: DataFrame, vec: str, weight: str | None = None) -> DataFrame:
-    """Covariance, means, deviations and correlation of vector components (i <= j).
+    """Covariance, means, deviations and correlation of vector components (i <= j), with the weight total ``n``.
 
     Unweighted: divided by n.  Weighted: weights are normalised and the result is
     divided by 1 minus the sum of their squares.
@@ -277,10 +280,10 @@ def covariance(df: DataFrame, vec: str, weight: str | None = None) -> DataFrame:
     if weight:
         rest = F.lit(1.0) - F.element_at("m", F.lit(-2)) / (n * n)
         cov = F.when(F.abs(rest) > 1e-20, cov / rest).otherwise(0.0)
-    c = h.select("i", "j", mi.alias("mean_i"), mj.alias("mean_j"), cov.alias("cov"))
+    c = h.select("i", "j", mi.alias("mean_i"), mj.alias("mean_j"), cov.alias("cov"), n.alias("n"))
     var = c.where("i = j").agg(F.map_from_entries(F.collect_list(F.struct("i", "cov"))).alias("v"))
     sd = lambda k: F.sqrt(F.greatest(F.element_at(F.col("v"), F.col(k)), F.lit(0.0)))
-    out = c.join(F.broadcast(var)).select("i", "j", "mean_i", "mean_j", "cov", sd("i").alias("sd_i"), sd("j").alias("sd_j"))
+    out = c.join(F.broadcast(var)).select("i", "j", "n", "mean_i", "mean_j", "cov", sd("i").alias("sd_i"), sd("j").alias("sd_j"))
     return out.withColumn("corr", cov_to_corr("cov", "sd_i", "sd_j"))
 
 
@@ -293,9 +296,11 @@ def corr_to_cov(corr, si, sj) -> Column:
     return F.col(corr) * F.col(si) * F.col(sj)
 
 
-def shrink(cov, target, n: float, dim: int, alpha: float = 1.0) -> Column:
-    """Blend towards a target; the fewer samples per dimension, the more."""
-    lam = min(max((2.0 ** (-n / dim) if n > 0 else 1.0) * alpha, 0.0), 1.0)
+def shrink(cov, target, n, dim: int, alpha: float = 1.0) -> Column:
+    """Blend towards a target; the fewer of ``n`` samples per dimension, the more."""
+    n = n if isinstance(n, Column) else F.lit(n)
+    share = F.when(n > 0, F.pow(F.lit(2.0), -n / dim)).otherwise(1.0) * alpha
+    lam = F.greatest(F.least(share, F.lit(1.0)), F.lit(0.0))
     return F.col(cov) * (1.0 - lam) + (F.col(target) if isinstance(target, str) else target) * lam
 
 

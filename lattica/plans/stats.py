@@ -97,12 +97,12 @@ def _(spark, d):
     return S.covariance(v, "e", "w").select("i", "j", rnd("cov").alias("cov"))
 
 
-@query("st_shrunk_cov", "A16", f"""WITH {_LONG}, c AS (SELECT a.i AS i, b.i AS j, covar_pop(a.x, b.x) AS cov FROM lng a JOIN lng b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY a.i, b.i)
-SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, {rsql('cov * (1 - pow(2, -100e0 / 64e0)) + (CASE WHEN i = j THEN 0.02e0 ELSE 0e0 END) * pow(2, -100e0 / 64e0)')} AS cov FROM c""")
+@query("st_shrunk_cov", "A16", f"""WITH {_LONG}, c AS (SELECT a.i AS i, b.i AS j, covar_pop(a.x, b.x) AS cov, pow(2, -count(*) / 64e0) AS lam FROM lng a JOIN lng b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY a.i, b.i)
+SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, {rsql('cov * (1 - lam) + (CASE WHEN i = j THEN 0.02e0 ELSE 0e0 END) * lam')} AS cov FROM c""")
 def _(spark, d):
     c = S.covariance(B.vectors(spark, d), "e")
     target = F.when(F.col("i") == F.col("j"), 0.02).otherwise(0.0)
-    return c.select("i", "j", rnd(S.shrink("cov", target, 100, 64)).alias("cov"))
+    return c.select("i", "j", rnd(S.shrink("cov", target, F.col("n"), 64)).alias("cov"))
 
 
 _BIN = lambda v, nb, lo, hi: f"CAST(greatest(least(floor(({v} - {lo}e0) / {(hi - lo) / nb!r}e0), {nb - 1}), 0) AS INTEGER)"

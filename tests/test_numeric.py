@@ -219,3 +219,23 @@ def test_normal_density_and_covariance(spark):
     z = x - mean
     want = -0.5 * np.sum(z @ np.linalg.inv(cov) * z, axis=1) - 0.5 * (np.log(np.linalg.det(cov)) + 3 * np.log(2 * np.pi))
     np.testing.assert_allclose(got, want, rtol=1e-9)
+
+
+def test_hashes_beside_nulls(spark):
+    from lattica.functions import keys as K
+    big = 2**60 + 1
+    df = spark.createDataFrame([(big, 3), (None, 3), (7, None)], "k long, x int").coalesce(1)
+    for fn in (K.mix64, K.mix32, K.fold64, K.hash_unit_float, K.fold_unit_float):
+        alone = spark.createDataFrame([(big,)], "k long").select(fn("k").alias("h")).first().h
+        rows = df.select("k", fn("k").alias("h")).collect()
+        assert rows[0].h == alone and rows[1].h is None and rows[2].h is not None
+    h = [r.h for r in df.select(K.coord_hash8(F.lit(1), "k", "x", "x", "x").alias("h")).collect()]
+    assert h[0] is not None and h[1] is None and h[2] is None
+
+
+def test_ragged_vectors_are_refused(spark):
+    from lattica.operators import stats as S
+    for rows in ([([1.0, 2.0, 3.0],), ([1.0],), ([1.0, 2.0],)], [([1.0],), (None,)]):
+        df = spark.createDataFrame(rows, "e array<double>").coalesce(1)
+        with pytest.raises(Exception, match="one length"):
+            S.gram(df, "e").collect()
