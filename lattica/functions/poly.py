@@ -64,18 +64,29 @@ def real_roots(coefs) -> Column:
 
 
 def bisect(fn: Callable[..., np.ndarray], lo: float, hi: float, steps: int = 80):
-    """Batch root of fn(x, *params) in [lo, hi] for params given as columns."""
+    """Batch root of fn(x, *params) for params given as columns.
+
+    The upper end of [lo, hi] doubles its distance until the sign changes; null where it never does.
+    """
     @F.pandas_udf(DoubleType())
     def solve(params: pd.DataFrame) -> pd.Series:
         p = [params[c].to_numpy(float) for c in params]
         a, b = np.full(len(params), lo), np.full(len(params), hi)
-        fa = fn(a, *p)
+        with np.errstate(all="ignore"):
+            fa, fb = fn(a, *p), fn(b, *p)
+            for _ in range(200):
+                same = np.sign(fa) * np.sign(fb) > 0
+                if not same.any():
+                    break
+                b = np.where(same, lo + 2 * (b - lo), b)
+                fb = fn(b, *p)
+            none = ~(np.sign(fa) * np.sign(fb) <= 0)
         for _ in range(steps):
             m = 0.5 * (a + b)
             fm = fn(m, *p)
             left = np.sign(fm) == np.sign(fa)
             a, b = np.where(left, m, a), np.where(left, b, m)
-        return pd.Series(0.5 * (a + b))
+        return pd.Series(np.where(none, np.nan, 0.5 * (a + b))).astype("Float64").mask(none)
     return solve
 
 
@@ -96,9 +107,13 @@ def newton(fn: Callable[..., np.ndarray], x0: float, eps: float, max_iter: int):
     return solve
 
 
-def geometric_ratio(lo: float = 1.0 + 1e-9, hi: float = 1e3):
-    """Ratio x with 1 + x + ... + x^(n-1) = c, for columns (n, c)."""
-    return bisect(lambda x, n, c: (x**n - 1) / (x - 1) - c, lo, hi)
+def geometric_ratio():
+    """Ratio x >= 0 with 1 + x + ... + x^(n-1) = c, for columns (n, c); null where there is none or any will do."""
+    def gap(x: np.ndarray, n: np.ndarray, c: np.ndarray) -> np.ndarray:
+        near = np.abs(x - 1) < 1e-6  # the closed form loses its digits there
+        total = np.where(near, n + n * (n - 1) / 2 * (x - 1), (x**n - 1) / np.where(near, 1.0, x - 1))
+        return np.where(n > 1, total - c, np.nan)
+    return bisect(gap, 0.0, 1.0)
 
 
 def poly2d_terms(order: int) -> list[tuple[int, int]]:

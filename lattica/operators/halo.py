@@ -210,20 +210,22 @@ def shifted(a: np.ndarray, h: int, dx: int, dy: int, dz: int) -> np.ndarray:
 
 # --- the same neighbourhood in long form, for sparse cells ---------------------
 
-def neighbour_values(cells: DataFrame, offsets: list[tuple[int, int, int]], *values: str) -> DataFrame:
+def neighbour_values(cells: DataFrame, offsets: list[tuple[int, int, int]], *values: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """For every cell, the stored values at the given offsets and how many there are.
 
     Each cell sends its values to the cells that look at it; one combinable
     aggregation replaces a join per offset.  Columns ``<value>_0, <value>_1, ...`` are
-    null where nothing is stored.
+    null where nothing is stored.  ``keep`` names columns of the cell itself to carry along.
     """
     looks = F.array(*[F.struct(F.lit(i).alias("s"), *[F.lit(-d).alias(c) for d, c in zip(o, ("dx", "dy", "dz"))]) for i, o in enumerate(offsets)])
     itself = F.struct(F.lit(-1).alias("s"), F.lit(0).alias("dx"), F.lit(0).alias("dy"), F.lit(0).alias("dz"))
-    sent = cells.select("x", "y", "z", *values, F.explode(F.concat(F.array(itself), looks)).alias("o")).select(
-        *[(F.col(c) + F.col(f"o.d{c}")).alias(c) for c in "xyz"], F.col("o.s").alias("s"), *values)
+    sent = cells.select("x", "y", "z", *values, *keep, F.explode(F.concat(F.array(itself), looks)).alias("o")).select(
+        *[(F.col(c) + F.col(f"o.d{c}")).alias(c) for c in "xyz"], F.col("o.s").alias("s"), *values,
+        *[F.when(F.col("o.s") == -1, F.col(k)).alias(k) for k in keep])
     pick = lambda v, i: F.max(F.when(F.col("s") == i, F.col(v)))
     out = sent.groupBy("x", "y", "z").agg(
         F.bool_or(F.col("s") == -1).alias("own"), F.count_if(F.col("s") >= 0).alias("active"), *[pick(v, -1).alias(v) for v in values],
+        *[F.max(k).alias(k) for k in keep],
         *[pick(v, i).alias(f"{v}_{i}") for v in values for i in range(len(offsets))])
     return out.where("own").drop("own")
 

@@ -47,10 +47,18 @@ def tap(o: tuple[int, int]) -> str:
     return f"t{sign(o[0])}{sign(o[1])}"
 
 
+def gradients(pixels: DataFrame, value: str, size: tuple[int, int], kinds: tuple[str, ...], h: float = 1.0) -> DataFrame:
+    """One struct (gx, gy) per kind, all from one exchange of neighbours."""
+    t = taps(pixels, value, RING if "rotation" in kinds else CARTESIAN, size)
+    return t.select("x", "y", *[F.struct(*[c.alias(n) for n, c in zip(("gx", "gy"), _slopes(value, k, h))]).alias(k) for k in kinds])
+
+
 def gradient(pixels: DataFrame, value: str, size: tuple[int, int], kind: str = "central", h: float = 1.0) -> DataFrame:
     """Slopes gx, gy; kinds central, forward, backward and rotation (diagonals included)."""
-    offsets = RING if kind == "rotation" else CARTESIAN
-    t = taps(pixels, value, offsets, size)
+    return gradients(pixels, value, size, (kind,), h).select("x", "y", f"{kind}.gx", f"{kind}.gy")
+
+
+def _slopes(value: str, kind: str, h: float) -> tuple[Column, Column]:
     at = lambda dx, dy: F.col(value) if (dx, dy) == (0, 0) else F.col(tap((dx, dy)))
     if kind == "central":
         gx, gy = (at(1, 0) - at(-1, 0)) * 0.5, (at(0, 1) - at(0, -1)) * 0.5
@@ -65,7 +73,7 @@ def gradient(pixels: DataFrame, value: str, size: tuple[int, int], kind: str = "
         gx, gy = main + anti + (at(1, 0) - at(-1, 0)) * axis, main - anti + (at(0, 1) - at(0, -1)) * axis
     else:
         raise ValueError(f"no gradient {kind}")
-    return t.select("x", "y", (gx / h).alias("gx"), (gy / h).alias("gy"))
+    return gx / h, gy / h
 
 
 # 3x3 and 5x5 Sobel kernels along x (rows by y).

@@ -158,11 +158,14 @@ def fft_rows(re: Column, im: Column | None = None, back: bool = False) -> Column
     return run(re, im if im is not None else zero)
 
 
-def _line_fft(df: DataFrame, keys: list[str], pos: str, n: int, back: bool) -> DataFrame:
-    """FFT along ``pos`` (0..n-1) of each group, absent positions 0; a group is one line of n."""
+def _line_fft(df: DataFrame, keys: list[str], pos: str, n: int | str, back: bool) -> DataFrame:
+    """FFT along ``pos`` (0..n-1) of each group, absent positions 0; a group is one line of n, a number or a key."""
     fields = StructType([*[df.schema[k] for k in keys], StructField(pos, LongType()), StructField("re", DoubleType()), StructField("im", DoubleType())])
 
+    size = n
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        n = int(pdf[size].iloc[0]) if isinstance(size, str) else size
         z = np.zeros(n, complex)
         z[pdf[pos].to_numpy()] = pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy()
         f = np.fft.ifft(z) * n if back else np.fft.fft(z)
@@ -188,6 +191,26 @@ def fft_long(df: DataFrame, keys: list[str], n1: int, n2: int, back: bool = Fals
     return g.select(*keys, (F.col("q") * n1 + F.col("p")).alias("i"), (F.col("re") * k).alias("re"), (F.col("im") * k).alias("im"))
 
 
+def fft_series(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Transform of whole series (re, im), each padded to the power of two its own length needs.
+
+    The four steps of ``fft_long``, with the factors as columns of the group: a group of a task is a
+    line of about the square root of its own series, whatever other series there are.
+    """
+    at = O.running(df, keys, order, {"i": F.lit(1).cast("bigint")}, totals={"n": F.lit(1).cast("bigint")})
+    bits = F.greatest(F.ceil(F.log2(F.col("n"))), F.lit(2)).cast("int")
+    at = at.withColumn("bits", bits).withColumn("low", F.floor(F.col("bits") / 2).cast("int")).withColumns(
+        {"n1": F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("low")), "n2": F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("bits") - F.col("low"))})
+    size = ["n1", "n2"]
+    a = at.select(*keys, *size, F.floor(F.col("i") / F.col("n2")).cast("bigint").alias("p"), (F.col("i") % F.col("n2")).alias("q"), "re", "im")
+    f = _line_fft(a, [*keys, *size, "q"], "p", "n1", False)
+    t = F.col("p") * F.col("q") * (-2.0 * np.pi / (F.col("n1") * F.col("n2")))
+    c, s = F.cos(t), F.sin(t)
+    f = f.select(*keys, *size, "p", "q", (F.col("re") * c - F.col("im") * s).alias("re"), (F.col("re") * s + F.col("im") * c).alias("im"))
+    g = _line_fft(f, [*keys, *size, "p"], "q", "n2", False)
+    return g.select(*keys, (F.col("q") * F.col("n1") + F.col("p")).alias("i"), "re", "im")
+
+
 def fft_plane(df: DataFrame, nx: int, ny: int, back: bool = False) -> DataFrame:
     """Transform of pixels (x, y, re, im): lines one way, then the other."""
     rows = _line_fft(df, ["y"], "x", nx, back)

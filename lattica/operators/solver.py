@@ -17,19 +17,19 @@ from lattica.session import cut_lineage
 FACES = [(-1, 0, 0), (1, 0, 0), (0, -1, 0), (0, 1, 0), (0, 0, -1), (0, 0, 1)]
 
 
-def face_weights(cells: DataFrame, x: str, areas: tuple[str, str, str]) -> DataFrame:
+def face_weights(cells: DataFrame, x: str, areas: tuple[str, str, str], keep: tuple[str, ...] = ()) -> DataFrame:
     """Six face weights and neighbour values per cell.
 
     ``areas`` hold the open share of a cell's lower faces; the upper ones belong to
-    the next cell, and are 1 where there is none.
+    the next cell, and are 1 where there is none.  ``keep`` columns stay with their cell.
     """
-    nb = H.neighbour_values(cells, FACES, x, *areas)
+    nb = H.neighbour_values(cells, FACES, x, *areas, keep=keep)
     w, v = [], []
     for k, a in enumerate(areas):
         w += [F.col(a), F.coalesce(F.col(f"{a}_{2 * k + 1}"), F.lit(1.0))]
     for i in range(6):
         v.append(F.coalesce(F.col(f"{x}_{i}"), F.lit(0.0)))
-    return nb.select("x", "y", "z", x, *[c.alias(f"w{i}") for i, c in enumerate(w)], *[c.alias(f"x{i}") for i, c in enumerate(v)])
+    return nb.select("x", "y", "z", x, *keep, *[c.alias(f"w{i}") for i, c in enumerate(w)], *[c.alias(f"x{i}") for i, c in enumerate(v)])
 
 
 def _flow(h: float) -> Column:

@@ -16,11 +16,12 @@ from lattica.sources import blocks as BK, tables as B
 # --- polynomials ---------------------------------------------------------------------
 
 @query("poly_quadratic", "F5", f"""WITH p AS (SELECT DISTINCT l_quantity AS a, l_linenumber * 10e0 AS b, l_tax * 100e0 - 4e0 AS c FROM lineitem)
-SELECT a, b, c, CAST(CASE WHEN b * b - 4 * a * c < 0 THEN 0 WHEN b * b - 4 * a * c = 0 THEN 1 ELSE 2 END AS INTEGER) AS n, {rsql('CASE WHEN b * b - 4 * a * c >= 0 THEN (-b - sqrt(b * b - 4 * a * c)) / (2 * a) END')} AS lo FROM p""")
+SELECT a, b, c, CAST(CASE WHEN b * b - 4 * a * c < 0 THEN 0 WHEN b * b - 4 * a * c = 0 THEN 1 ELSE 2 END AS INTEGER) AS n, {rsql('CASE WHEN b * b - 4 * a * c >= 0 THEN (-b - sqrt(b * b - 4 * a * c)) / (2 * a) END')} AS lo,
+ {rsql('CASE WHEN b * b - 4 * a * c >= 0 THEN (-b + sqrt(b * b - 4 * a * c)) / (2 * a) END')} AS hi FROM p""")
 def _(spark, d):
     p = B.table(spark, d, "lineitem").select(F.col("l_quantity").alias("a"), (F.col("l_linenumber") * 10.0).alias("b"), (F.col("l_tax") * 100.0 - 4.0).alias("c")).distinct()
     r = p.withColumn("r", PY.quadratic_roots("a", "b", "c"))
-    return r.select("a", "b", "c", F.size("r").alias("n"), rnd(F.get("r", F.lit(0))).alias("lo"))
+    return r.select("a", "b", "c", F.size("r").alias("n"), rnd(F.get("r", F.lit(0))).alias("lo"), rnd(F.get("r", F.size("r") - 1)).alias("hi"))
 
 
 @query("poly_real_roots", "F5", f"""WITH k AS (SELECT DISTINCT l_linenumber AS r1, l_quantity AS r2, floor(l_tax * 100 + 0.5e0) AS r3 FROM lineitem WHERE l_linenumber <> l_quantity AND l_quantity <> floor(l_tax * 100 + 0.5e0) AND l_linenumber <> floor(l_tax * 100 + 0.5e0))
@@ -41,9 +42,12 @@ def _(spark, d):
     return o.select("o_orderkey", rnd(cube(F.struct("p")), 4).alias("root"), rnd(square(F.struct("p")), 4).alias("sq"))
 
 
-@query("poly_geometric", "F5")
+@query("poly_geometric", "F5", f"""WITH RECURSIVE p AS (SELECT DISTINCT CAST(l_linenumber AS DOUBLE) AS n, l_quantity AS c FROM lineitem),
+ b AS (SELECT n, c, 0e0 AS lo, c AS hi, 0 AS k FROM p WHERE n > 1 UNION ALL
+  SELECT n, c, CASE WHEN s < c THEN m ELSE lo END, CASE WHEN s < c THEN hi ELSE m END, k + 1 FROM (SELECT *, (lo + hi) / 2 AS m, list_sum(list_transform(range(CAST(n AS BIGINT)), lambda i: pow((lo + hi) / 2, i))) AS s FROM b WHERE k < 80))
+SELECT p.n, p.c, {rsql('CASE WHEN p.n > 1 THEN b.lo END', 6)} AS x FROM p LEFT JOIN b ON b.n = p.n AND b.c = p.c AND b.k = 80""")
 def _(spark, d):
-    p = B.table(spark, d, "lineitem").select(F.col("l_linenumber").cast("double").alias("n"), F.col("l_quantity").alias("c")).where("n > 1 and c > n").distinct()
+    p = B.table(spark, d, "lineitem").select(F.col("l_linenumber").cast("double").alias("n"), F.col("l_quantity").alias("c")).distinct()
     return p.select("n", "c", rnd(PY.geometric_ratio()(F.struct("n", "c")), 6).alias("x"))
 
 
@@ -69,10 +73,10 @@ def _(spark, d):
 # --- linear algebra --------------------------------------------------------------------
 
 @query("mat_multiply", "F8", f"""WITH m AS (SELECT l_suppkey AS i, l_linenumber AS j, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2)
-SELECT a.i, b.i AS j, {rsql('sum(a.v * b.v)', 2)} AS v FROM m a JOIN m b ON a.j = b.j GROUP BY 1, 2""")
+SELECT a.j AS i, b.j, {rsql('sum(a.v * b.v)', 2)} AS v FROM m a JOIN m b ON a.i = b.i GROUP BY 1, 2""")
 def _(spark, d):
     m = B.table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("i"), F.col("l_linenumber").alias("j")).agg(F.sum("l_quantity").alias("v"))
-    return LA.multiply(m, LA.transpose(m)).select("i", "j", rnd("v", 2).alias("v"))
+    return LA.multiply(LA.transpose(m), m).select("i", "j", rnd("v", 2).alias("v"))
 
 
 _NE = """ne AS (SELECT l_suppkey AS g, sum(l_quantity * l_quantity) AS a, sum(l_quantity * l_discount) AS b, sum(l_discount * l_discount) AS c, sum(l_quantity * l_tax) AS r1, sum(l_discount * l_tax) AS r2 FROM lineitem GROUP BY 1)"""
@@ -130,14 +134,11 @@ def _(spark, d):
     return f.select("vec_id", F.posexplode(F.arrays_zip("f.re", "f.im")).alias("k", "z")).select("vec_id", "k", rnd("z.re").alias("re"), rnd("z.im").alias("im"))
 
 
-@query("fft_series", "F9", f"""WITH s AS (SELECT event_type AS g, value AS v, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS i FROM events), n AS (SELECT CAST(pow(2, ceil(log2(max(i) + 1))) AS BIGINT) AS n FROM s)
-SELECT g, k AS i, {rsql('sum(v * cos(2 * pi() * ((i * k) % n) / n))', 4)} AS re, {rsql('-sum(v * sin(2 * pi() * ((i * k) % n) / n))', 4)} AS im FROM s, n, (SELECT unnest(range(n)) AS k FROM n) GROUP BY 1, 2""")
+@query("fft_series", "F9", f"""WITH s AS (SELECT event_type AS g, value AS v, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS i FROM events), n AS (SELECT g, CAST(pow(2, ceil(log2(max(i) + 1))) AS BIGINT) AS n FROM s GROUP BY g)
+SELECT g, k AS i, {rsql('sum(v * cos(2 * pi() * ((i * k) % n) / n))', 4)} AS re, {rsql('-sum(v * sin(2 * pi() * ((i * k) % n) / n))', 4)} AS im FROM s JOIN n USING (g) JOIN (SELECT g, unnest(range(n)) AS k FROM n) USING (g) GROUP BY 1, 2""")
 def _(spark, d):
     s = B.table(spark, d, "events").select(F.col("event_type").alias("g"), "ts", "event_id", F.col("value").alias("re"), F.lit(0.0).alias("im"))
-    top = O.largest_group(s, ["g"])[0]
-    bits = max((top - 1).bit_length(), 2)
-    s = O.indexed(s, ["g"], ["ts", "event_id"])
-    return LA.fft_long(s, ["g"], 1 << (bits // 2), 1 << (bits - bits // 2)).select("g", "i", rnd("re", 4).alias("re"), rnd("im", 4).alias("im"))
+    return LA.fft_series(s, ["g"], ["ts", "event_id"]).select("g", "i", rnd("re", 4).alias("re"), rnd("im", 4).alias("im"))
 
 
 PIX = f"""{B.CELLS_SQL}, {B.grid_sql(8)}, px AS (SELECT x, y, avg(a) AS v FROM cells GROUP BY 1, 2), sz AS (SELECT max(x) + 1 AS nx, 11 AS ny FROM px)"""
@@ -305,11 +306,9 @@ _T = lambda dx, dy: "v" if (dx, dy) == (0, 0) else IM.tap((dx, dy))
  {rsql(f'0.25e0 * (2 - sqrt(2e0)) * ({_T(1, 1)} - {_T(-1, -1)} + {_T(1, -1)} - {_T(-1, 1)}) + 0.5e0 * (sqrt(2e0) - 1) * ({_T(1, 0)} - {_T(-1, 0)})')} AS rx FROM w""")
 def _(spark, d):
     p, size = pixels(spark, d)
-    g = {k: IM.gradient(p, "v", size, k) for k in ("central", "forward", "backward", "rotation")}
-    out = g["central"].select("x", "y", rnd("gx").alias("cx"), rnd("gy").alias("cy"))
-    out = out.join(g["forward"].select("x", "y", rnd("gx").alias("fx")), ["x", "y"])
-    out = out.join(g["backward"].select("x", "y", rnd("gy").alias("by_")), ["x", "y"])
-    return out.join(g["rotation"].select("x", "y", rnd("gx").alias("rx")), ["x", "y"])
+    g = IM.gradients(p, "v", size, ("central", "forward", "backward", "rotation"))
+    return g.select("x", "y", rnd("central.gx").alias("cx"), rnd("central.gy").alias("cy"), rnd("forward.gx").alias("fx"),
+                    rnd("backward.gy").alias("by_"), rnd("rotation.gx").alias("rx"))
 
 
 _SX = " + ".join(f"({IM.SOBEL3[dy + 1][dx + 1]}) * {_T(dx, dy)}" for dy in (-1, 0, 1) for dx in (-1, 0, 1))
@@ -338,10 +337,10 @@ def _(spark, d):
 @query("img_resize", "F14", f"""WITH {PIX}, t AS (SELECT i % (nx * 2) AS x, i // (nx * 2) AS y, nx, ny FROM (SELECT unnest(range(nx * 2 * 22)) AS i, nx, ny FROM sz)),
  q AS (SELECT *, greatest(least((x + 0.5e0) / 2 - 0.5e0, nx - 1), 0) AS qx, greatest(least((y + 0.5e0) / 2 - 0.5e0, ny - 1), 0) AS qy FROM t),
  r AS (SELECT q.x, q.y, sum((CASE i WHEN 0 THEN 1 - (qx - floor(qx)) ELSE qx - floor(qx) END) * (CASE j WHEN 0 THEN 1 - (qy - floor(qy)) ELSE qy - floor(qy) END) * n.v) AS v FROM q, range(2) a(i), range(2) c(j) JOIN px n ON n.x = CAST(floor(qx) AS BIGINT) + i AND n.y = CAST(floor(qy) AS BIGINT) + j GROUP BY 1, 2)
-SELECT x, y, {rsql('v')} AS v FROM r WHERE v <> 0""")
+SELECT t.x, t.y, {rsql('coalesce(v, 0)')} AS v FROM t LEFT JOIN r USING (x, y)""")
 def _(spark, d):
     p, (nx, ny) = pixels(spark, d)
-    return IM.resize(p, "v", (nx, ny), (nx * 2, ny * 2)).where("v <> 0").select("x", "y", rnd("v").alias("v"))
+    return IM.resize(p, "v", (nx, ny), (nx * 2, ny * 2)).select("x", "y", rnd("v").alias("v"))
 
 
 @query("img_pyramid", "F14", f"""WITH {PIX}, k AS (SELECT * FROM (VALUES (-2, 0.05e0), (-1, 0.25e0), (0, 0.4e0), (1, 0.25e0), (2, 0.05e0)) t(d, w)),
@@ -365,7 +364,7 @@ def _(spark, d):
 def _(spark, d):
     p, _ = pixels(spark, d)
     t = BK.png_tiles(colour_map(p, "v", 0.0, 1.0), 128)
-    return BK.read_png_tiles(t, 128).where("r + g + b > 0")
+    return BK.read_png_tiles(t, 128)
 
 
 # --- text ----------------------------------------------------------------------------------

@@ -83,7 +83,7 @@ def _(spark, d):
     w = Y.gauss5()
     low = Y.downsample(c, g.dims, ["v"], w)
     back = Y.reconstruct(Y.laplacian(c, low, g.dims, "v", w), low, g.dims, "v", w)
-    return back.select("x", "y", "z", rnd("v").alias("v")).where("v <> 0")
+    return back.join(c.select("x", "y", "z"), ["x", "y", "z"], "left_semi").select("x", "y", "z", rnd("v").alias("v"))
 
 
 @query("pyr_masked", "K11", f"""WITH {BASE}, {down_sql(Y.SMOOTH4, 's0', 'v', 'd0')}, f AS (SELECT x >> 1 AS x, y >> 1 AS y, z >> 1 AS z, bit_and(CASE WHEN b < 60 THEN 1 ELSE 0 END) AS flags FROM cells GROUP BY 1, 2, 3)

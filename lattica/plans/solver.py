@@ -36,8 +36,7 @@ def system(spark, d):
     fluid = C.is_fluid("flags")
     c = c.select("x", "y", "z", "b", "flags", area(F.col("a")).alias("ax"), area(F.lit(1.0) - F.col("a")).alias("ay"), F.lit(1.0).alias("az"),
                  F.when(fluid, F.col("a")).otherwise(0.0).alias("v"))
-    faces = S.face_weights(c, "v", ("ax", "ay", "az"))
-    return c, faces.join(c.select("x", "y", "z", "b", "flags"), ["x", "y", "z"])
+    return c, S.face_weights(c, "v", ("ax", "ay", "az"), ("b", "flags"))
 
 
 @query("lapl_apply", "K16", f"WITH {BASE}, {FACE()} SELECT x, y, z, {rsql(f'CASE WHEN {FLUID} THEN v * {H0} * ({W}) - {H0} * {FLOW} ELSE 0 END')} AS y_out FROM fw")

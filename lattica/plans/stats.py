@@ -119,10 +119,10 @@ def _(spark, d):
 
 @query("st_hist_norm", "A17", f"""WITH {SM}, m AS (SELECT g, avg(v) AS m, stddev_pop(v) AS s, count(*) AS n FROM samples GROUP BY g),
  c AS (SELECT g, {_BIN('(v - m) / s', 16, -4, 4)} AS bin, count(*) AS c, any_value(n) AS n FROM samples JOIN m USING (g) GROUP BY 1, 2)
-SELECT g, bin, {rsql('c / (n * 0.5e0)')} AS density FROM c""")
+SELECT m.g, b.bin, {rsql('coalesce(c.c, 0) / (m.n * 0.5e0)')} AS density FROM m CROSS JOIN (SELECT CAST(unnest(range(16)) AS INTEGER) AS bin) b LEFT JOIN c ON c.g = m.g AND c.bin = b.bin""")
 def _(spark, d):
     h = S.histogram(B.samples(spark, d), ["g"], "v", 16, -4.0, 4.0, standardise=True)
-    return S.explode_bins(h, ["g"], -4.0, 0.5).where("density > 0").select("g", "bin", rnd("density").alias("density"))
+    return S.explode_bins(h, ["g"], -4.0, 0.5).select("g", "bin", rnd("density").alias("density"))
 
 
 @query("st_hist_pct", "A18", f"""WITH {_HIST(40, 0, 1).replace("(v - 0e0)", "(v / 100e0 - 0e0)")}, r AS (SELECT *, sum(density) OVER (PARTITION BY g ORDER BY bin) AS s FROM full_hist)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from lattica.operators import halo as H, pde
 from lattica.plans.common import BID, rnd, rsql
 from lattica.plans.registry import query
+from lattica.plans.topology import SPLAT, density
 from lattica.sources import tables as B
 
 N = 8
@@ -133,6 +134,23 @@ def _(spark, d):
     return H.unpack(out, g, "v", F64).select("x", "y", "z", rnd("v").alias("v"))
 
 
+_DENSE_OF = DENSE[DENSE.index("blk AS"):]
+_AGAIN = (taps(NEAR19, "s1").replace("o AS (", "o2 AS (", 1).replace("tp AS", "tp2 AS").replace(" d, o\n", " d, o2\n")
+          .replace("FROM tp ", "FROM tp2 ").replace("w AS", "w2 AS"))
+
+
+@query("pipeline_surface", "A9 E11 K1 K2 A4", f"""WITH {SPLAT}, cells AS (SELECT x, y, z, dens / 65535e0 AS a FROM dens), {_DENSE_OF}, {taps(NEAR19)},
+ s1 AS (SELECT w.x, w.y, w.z, bx, byy, bz, {clip01(f'{C} + ({CURV})')} AS v FROM w JOIN dn USING (x, y, z)), {_AGAIN},
+ s2 AS (SELECT x, y, z, {clip01(f'{C} + ({CURV})')} AS v FROM w2)
+SELECT x, y, CAST(sum(CASE WHEN v > 0.5e0 THEN 1 ELSE 0 END) AS BIGINT) AS inside, {rsql('sum(v)', 4)} AS total FROM s2 GROUP BY 1, 2""")
+def _(spark, d):
+    """Points to density, two sweeps of curvature flow, projection along z."""
+    g, dens = density(spark, d)
+    packed = H.pack(dens.select("x", "y", "z", (F.col("dens") / 65535.0).alias("v")), g, "v", dtype=F64)
+    smooth = H.unpack(pde.smooth(packed, g, pde.Step(4, 0.2), 2, dtype=F64), g, "v", F64)
+    return smooth.groupBy("x", "y").agg(F.count_if(F.col("v") > 0.5).alias("inside"), rnd(F.sum("v"), 4).alias("total"))
+
+
 def blur_sql(radius, sharp):
     w = pde.gauss3(radius, sharp)
     return f"""WITH {DENSE}, o AS (SELECT * FROM (VALUES {', '.join(f'({x}, {y}, {z}, {w[z + 1, y + 1, x + 1]:.17e})' for x, y, z in BOX)}) t(dx, dy, dz, k))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,18 +30,19 @@ def build_session(app: str = "lattica", master: str | None = None, **conf: str)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the shared folder the cluster names; make one only where none is set."""
+    """The shared folder the cluster names; one that lives as long as the program where none is set in local mode."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     named = sc.getConf().get(CHECKPOINT_KEY) or spark.conf.get(CHECKPOINT_KEY, None)
-    if named is None:
-        if not sc.master.startswith("local"):
+    if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
             raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder all executors share")
         named = tempfile.mkdtemp(prefix="lattica-ckpt-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
     sc.setCheckpointDir(named)
-    return named
+    return sc.getCheckpointDir() or named
 
 
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:

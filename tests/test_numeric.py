@@ -239,3 +239,19 @@ def test_ragged_vectors_are_refused(spark):
         df = spark.createDataFrame(rows, "e array<double>").coalesce(1)
         with pytest.raises(Exception, match="one length"):
             S.gram(df, "e").collect()
+
+
+def test_student_batches_equal_single_values():
+    from lattica.functions import dist as D
+    t = np.array([0.0, 0.1, 1.0, 2.5, 12.0, 300.0, 0.7, np.nan])
+    m = np.array([1.0, 2.0, 5.0, 30.0, 3.0, 4.0, 1e5, 3.0])
+    got = D.student_two_sided_values(t, m)
+    np.testing.assert_allclose(got[:-1], [D.student_two_sided(a, b) for a, b in zip(t[:-1], m[:-1])], rtol=1e-9, atol=1e-13)
+    assert np.isnan(got[-1])
+
+
+def test_bisection_grows_its_bracket(spark):
+    from lattica.functions import poly as PY
+    df = spark.createDataFrame([(2.0, 1e9), (3.0, 0.5), (1.0, 4.0), (5.0, 5.0)], "n double, c double")
+    got = [r.x for r in df.select(PY.geometric_ratio()(F.struct("n", "c")).alias("x")).collect()]
+    assert got[0] == pytest.approx(1e9 - 1) and got[1] is None and got[2] is None and got[3] == pytest.approx(1.0)
