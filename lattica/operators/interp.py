@@ -21,6 +21,7 @@ from lattica.operators import halo as H
 from lattica.schema import Grid
 
 SHARE = 200_000  # most points one call receives
+SALTS = 64
 
 
 # --- one-dimensional rules ---------------------------------------------------------
@@ -196,14 +197,16 @@ def split_crowded(points: DataFrame, share: int) -> tuple[DataFrame, DataFrame]:
     """Points with a share number beside their ``bid``, and the shares of each block.
 
     Copies of a point are kept once with their count.  A crowded block gets several
-    shares; a point picks one by its own content, so a rerun picks the same.
+    shares; a point picks one by its own content, so a rerun picks the same.  The number
+    of shares reaches the points of a crowded block over SALTS join keys, not one.
     """
     names = points.columns
-    once = points.groupBy(*names).agg(F.count("*").alias("copies"))
+    once = points.groupBy(*names).agg(F.count("*").alias("copies")).withColumn("__h", F.xxhash64(*names))
     load = once.groupBy("bid").agg(F.ceil(F.count("*") / share).cast("int").alias("k"))
-    crowded = load.where("k > 1")
-    salt = F.pmod(F.xxhash64(*names), F.coalesce(F.col("k"), F.lit(1))).cast("int")
-    return once.join(crowded, "bid", "left").withColumn("share", salt).drop("k"), load
+    crowded = load.where("k > 1").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = once.withColumn("__salt", F.pmod(F.shiftright("__h", 32), F.lit(SALTS)).cast("int")).join(crowded, ["bid", "__salt"], "left")
+    salt = F.pmod("__h", F.coalesce(F.col("k"), F.lit(1))).cast("int")
+    return salted.withColumn("share", salt).select(*names, "copies", "share"), load
 
 
 def spread_blocks(blocks: DataFrame, load: DataFrame) -> DataFrame:
@@ -211,8 +214,11 @@ def spread_blocks(blocks: DataFrame, load: DataFrame) -> DataFrame:
     return blocks.join(load, "bid").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).drop("k")
 
 
-def restore_copies(df: DataFrame) -> DataFrame:
-    return df.withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("copies")
+def restore_copies(df: DataFrame, step: int = 1 << 16) -> DataFrame:
+    """Each row as often as ``copies`` says, by two short arrays."""
+    left = F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1, F.lit(step).cast("bigint"))
+    runs = df.withColumn("__from", F.explode(left))
+    return runs.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("bigint"), F.least(F.col("copies") - F.col("__from"), F.lit(step))))).drop("copies", "__from")
 
 
 def sample(points: DataFrame, packed: DataFrame, grid: Grid, kind: str, *, dtype: str = "float32", outside: str = "clamp",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lattica.functions import keys as K
 from lattica.operators import order as O
+from lattica.operators.interp import restore_copies
 from lattica.schema import Grid
 
 PLANE = {"x": ("y", "z"), "y": ("x", "z"), "z": ("x", "y")}
@@ -69,6 +70,5 @@ def depth_at(points: DataFrame, cells: DataFrame, value: str, grid: Grid) -> Dat
     src = cells.select("x", "y", "z", F.lit(0).alias("kind"), F.col(value).alias("v"), F.lit(None).cast(pts.schema["pt"].dataType).alias("pt"), F.lit(1).cast("bigint").alias("copies"))
     ask = pts.select("x", "y", "z", F.lit(1).alias("kind"), F.lit(0.0).alias("v"), "pt", "copies")
     run = O.running(src.unionByName(ask), ["y", "z"], ["x", "kind", "pt"], {"depth": F.col("v")})
-    out = run.where("kind = 1").withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return out.select("pt.*", "depth")
+    return restore_copies(run.where("kind = 1").select("pt", "depth", "copies")).select("pt.*", "depth")
 
