@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -146,17 +147,29 @@ def compare_binned(df: DataFrame, keys: list[str], bin_: Column, is_first: Colum
 
 
 def inverse_cdf(df: DataFrame, keys: list[str], value: str, us: list[float], mode: str = "linear",
-                bounds: tuple[float, float] | None = None, group_rows: int | None = None) -> DataFrame:
+                bounds: tuple[float, float] | None = None, group_rows: int | None = None, draws: list[float] | None = None) -> DataFrame:
     """Sample quantiles at each u.
 
     ``linear`` interpolates between order statistics and runs straight to the bounds
-    outside; ``log`` has logarithmic tails; ``raw`` picks an order statistic.
+    outside; ``log`` has logarithmic tails; ``raw`` picks an order statistic; ``kde`` moves that
+    one by a kernel width times the standard normal draw given for each u.
     Without bounds the tails extend by the mean spacing of the outer quarter.
     """
     n = F.col("n")
     if mode == "raw":
         pos = [F.least(F.floor(n * u), n - 1) for u in us]
         return O.kth(df, keys, value, pos, group_rows).select(*keys, F.element_at(F.array(*map(F.lit, us)), F.col("q") + 1).alias("u"), F.col(value).alias("x"))
+    if mode == "kde":
+        spread = df.groupBy(*keys).agg(F.stddev_pop(value).alias("__sd"))
+        pos = [F.floor(n * 0.25), F.floor(n * 0.75)] + [F.least(F.floor(n * u), n - 1) for u in us]
+        got = O.kth(df, keys, value, pos, group_rows)
+        row = got.groupBy(*keys).agg(F.max("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("q", value))).alias("s"))
+        row = join_groups(row, spread, keys)
+        range_ = F.element_at(F.col("s"), F.lit(1)) - F.element_at(F.col("s"), F.lit(0))
+        width = F.least("__sd", range_ / 1.34) * F.pow(F.col("n"), F.lit(-0.2)) * (0.776 * 1.364)
+        at = F.array(*[F.struct(F.lit(float(u)).alias("u"), F.lit(i + 2).alias("q"), F.lit(float(z)).alias("z")) for i, (u, z) in enumerate(zip(us, draws))])
+        out = row.withColumn("__w", width).select("*", F.explode(at).alias("__d"))
+        return out.select(*keys, F.col("__d.u").alias("u"), (F.element_at(F.col("s"), F.col("__d.q")) + F.col("__w") * F.col("__d.z")).alias("x"))
     quarter = F.greatest(F.floor(n * 0.25), F.lit(2))
     ends = [F.lit(0), quarter - 1, n - quarter, n - 1]
     low = [F.greatest(F.floor((n + 1) * u), F.lit(1)) - 1 for u in us]
@@ -226,6 +239,89 @@ def nearest(df: DataFrame, vec: str, ids: list[str], at: list[list[float]], k: i
     return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+QUERY_ROWS = 4096
+"""Query vectors that one pass over the samples carries along."""
+
+
+def _query_blocks(queries: DataFrame, q: str, vec: str):
+    """Blocks of bounded size as broadcast (ids, matrix)."""
+    rows = queries.select(F.col(q).cast("bigint").alias("q"), F.col(vec).cast("array<double>").alias("p")).where("q is not null and p is not null")
+    n = max(1, -(-rows.count() // QUERY_ROWS))
+    for b in range(n):
+        got = rows.where(F.pmod(F.xxhash64("q"), F.lit(n)) == b).orderBy("q").collect()
+        if got:
+            yield queries.sparkSession.sparkContext.broadcast((np.array([r.q for r in got]), np.array([r.p for r in got])))
+
+
+def _distances(x: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Squared distances (queries, samples), summed in the order of the components."""
+    out = np.zeros((len(p), len(x)))
+    for j in range(x.shape[1]):
+        out += (p[:, j:j + 1] - x[None, :, j]) ** 2
+    return out
+
+
+def _matrix(lists: pa.Array) -> np.ndarray:
+    sizes = np.asarray(lists.value_lengths())
+    if lists.null_count or (len(sizes) and (sizes != sizes[0]).any()):
+        raise ValueError("vectors must be present and of one length")
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
+
+
+def nearest_table(df: DataFrame, vec: str, id_: str, queries: DataFrame, q: str, q_vec: str, k: int) -> DataFrame:
+    """(q, id, dist, rank): the k nearest samples of each row of a query table.
+
+    Queries travel in blocks; a task answers each with its own best k, ties by id, before
+    anything is shuffled.
+    """
+    def run(shipped):
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, p = shipped.value
+            best_d, best_i = np.full((len(p), 0), 0.0), np.full((len(p), 0), 0, np.int64)
+            for b in batches:
+                for at in range(0, b.num_rows, 1024):
+                    part = b.slice(at, 1024)
+                    d = np.sqrt(_distances(_matrix(part.column(1)), p))
+                    i = np.broadcast_to(part.column(0).to_numpy(zero_copy_only=False), d.shape)
+                    d, i = np.concatenate([best_d, d], axis=1), np.concatenate([best_i, i], axis=1)
+                    order = np.lexsort((i, d), axis=1)[:, :k]
+                    best_d, best_i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
+            m = best_d.shape[1]
+            yield pa.record_batch({"q": pa.array(np.repeat(names, m)), "id": pa.array(best_i.ravel()), "dist": pa.array(best_d.ravel())})
+        return task
+
+    src = df.select(F.col(id_).cast("bigint"), F.col(vec).cast("array<double>"))
+    parts = [src.mapInArrow(run(s), "q bigint, id bigint, dist double") for s in _query_blocks(queries, q, q_vec)]
+    if not parts:
+        return df.sparkSession.createDataFrame([], "q bigint, id bigint, dist double, rank int")
+    w = Window.partitionBy("q").orderBy("dist", "id")  # at most k rows per task and query
+    both = reduce(DataFrame.unionByName, parts)
+    return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def density_table(df: DataFrame, vec: str, queries: DataFrame, q: str, q_vec: str, h: float) -> DataFrame:
+    """(q, parzen, nearest): Gaussian window and nearest-sample estimates at each row of a query table."""
+    def run(shipped):
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, p = shipped.value
+            total, least, n = np.zeros(len(p)), np.full(len(p), np.inf), 0
+            for b in batches:
+                for at in range(0, b.num_rows, 1024):
+                    d2 = _distances(_matrix(b.slice(at, 1024).column(0)), p)
+                    total += np.exp(-d2 / (2 * h * h)).sum(axis=1)
+                    least = np.minimum(least, d2.min(axis=1))
+                    n += d2.shape[1]
+            yield pa.record_batch({"q": pa.array(names), "s": pa.array(total), "m": pa.array(least), "n": pa.array(np.full(len(p), n))})
+        return task
+
+    src = df.select(F.col(vec).cast("array<double>"))
+    parts = [src.mapInArrow(run(s), "q bigint, s double, m double, n bigint") for s in _query_blocks(queries, q, q_vec)]
+    if not parts:
+        return df.sparkSession.createDataFrame([], "q bigint, parzen double, nearest double")
+    return reduce(DataFrame.unionByName, parts).groupBy("q").agg(
+        F.try_divide(F.sum("s"), F.sum("n") * SQRT_2PI).alias("parzen"), F.try_divide(F.lit(1.0), F.sqrt(F.min("m"))).alias("nearest"))
+
+
 # --- multivariate --------------------------------------------------------------
 
 def gram(df: DataFrame, vec: str, weight: str | None = None) -> DataFrame:

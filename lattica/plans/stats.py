@@ -217,6 +217,17 @@ def _(spark, d):
     return S.inverse_cdf(B.samples(spark, d), ["g"], "v", _US, "raw").select("g", "u", rnd("x").alias("x"))
 
 
+_DRAWS = [-1.5, 0.25, 0.0, 1.0, -0.5, 2.0]
+
+
+@query("st_inverse_cdf_kde", "A21", f"""WITH {SM}, r AS (SELECT g, list(v ORDER BY v) AS s, count(*) AS n, stddev_pop(v) AS sd FROM samples GROUP BY g),
+ w AS (SELECT *, 0.776e0 * 1.364e0 * least(sd, (s[CAST(floor(0.75e0 * n) AS BIGINT) + 1] - s[CAST(floor(0.25e0 * n) AS BIGINT) + 1]) / 1.34e0) * pow(n, -0.2e0) AS h FROM r),
+ d AS (SELECT * FROM (VALUES {', '.join(f'({u}e0, {z}e0)' for u, z in zip(_US, _DRAWS))}) t(u, z))
+SELECT g, u, {rsql('s[least(CAST(floor(u * n) AS BIGINT), n - 1) + 1] + h * z')} AS x FROM w, d""")
+def _(spark, d):
+    return S.inverse_cdf(B.samples(spark, d), ["g"], "v", _US, "kde", draws=_DRAWS).select("g", "u", rnd("x").alias("x"))
+
+
 _XS = [0.0, 2.5, 10.0, 25.0, 60.0]
 
 
@@ -250,6 +261,26 @@ def _(spark, d):
     return S.nearest(B.vectors(spark, d), "e", ["vec_id"], _Q3, 10).withColumn("dist", rnd("dist"))
 
 
+_PAIRS = f"{B.VECTORS_SQL}, pq AS (SELECT vec_id AS q, e AS p FROM vectors WHERE vec_id % 20 = 0), dd AS (SELECT q, vec_id, {_D2} AS d2 FROM vectors, pq)"
+
+
+def _asked(spark, d):
+    return B.vectors(spark, d).where("vec_id % 20 = 0").select("vec_id", "e")
+
+
+@query("st_knn_table", "J10 F10", f"""WITH {_PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sqrt(d2), vec_id) AS rank FROM dd)
+SELECT q, vec_id, CAST(rank AS INTEGER) AS rank, {rsql('sqrt(d2)')} AS dist FROM r WHERE rank <= 10""")
+def _(spark, d):
+    n = S.nearest_table(B.vectors(spark, d), "e", "vec_id", _asked(spark, d), "vec_id", "e", 10)
+    return n.select("q", F.col("id").alias("vec_id"), "rank", rnd("dist").alias("dist"))
+
+
+@query("st_density_table", "A22 J10", f"""WITH {_PAIRS} SELECT q, {rsql('avg(exp(-d2 / 0.5e0)) / sqrt(2 * pi())', 8)} AS parzen, {rsql('1 / nullif(min(sqrt(d2)), 0)')} AS nearest FROM dd GROUP BY q""")
+def _(spark, d):
+    v = S.density_table(B.vectors(spark, d), "e", _asked(spark, d), "vec_id", "e", 0.5)
+    return v.select("q", rnd("parzen", 8).alias("parzen"), rnd("nearest").alias("nearest"))
+
+
 _VOL = "1e0 / (1e0 + 0.2316419e0 * abs(x))"
 _CDF = f"(CASE WHEN x > 0 THEN 1 - t ELSE t END)"
 _NORM = lambda src: f"""n0 AS (SELECT *, {_VOL} AS y FROM {src}), n1 AS (SELECT *, 0.3989423e0 * exp(-(x * x) / 2) * y * ((((1.330274e0 * y - 1.821256e0) * y + 1.781478e0) * y - 0.356538e0) * y + 0.3193815e0) AS t FROM n0)"""
