@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lattica.session import ensure_checkpoint_dir
+
 WORD = r"[^\x20\x09-\x0D]+"
 NO_ID = np.iinfo(np.int64).max
 """Stands for a null document id: it comes after every other."""
@@ -26,14 +28,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it."""
-    sc = spark.sparkContext
-    named = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(named)
-    return named
+    """The folder all executors share, as the session names it; one of its own only in local mode without one."""
+    return ensure_checkpoint_dir(spark)
 
 
 def settle(df: DataFrame) -> DataFrame:
