@@ -50,8 +50,9 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     inner = base.select("*", *[c.alias(f"__{k}") for k, c in cols.items()])
     log = F.try_divide(F.log1p(F.col("__variety") * F.col("__n")), F.log1p("__n"))
     out = inner.withColumn("__variety_log", F.coalesce(log, F.lit(0.0)))
-    return out.withColumn("__stats", F.struct(*[F.col(f"__{k}").cast("double").alias(k) for k in FEATURES])).select(
-        *docs.columns, "__stats")
+    stats = F.struct(*[F.col(f"__{k}").cast("double").alias(k) for k in FEATURES])
+    # one row from a generator: a filter on a score is not pushed below it, where each mention would count anew
+    return out.select(*docs.columns, F.explode(F.array(stats)).alias("__stats"))
 
 
 @dataclass(frozen=True)
