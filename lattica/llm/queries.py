@@ -80,4 +80,38 @@ QUERIES: dict[str, Build] = {
     "op10_warc": op10_warc,
 }
 
-ORACLES: dict[str, str] = {}
+#: Every 13-word window as text, its first document, and the words of windows that start earlier elsewhere.
+OP1_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+ w AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM d)),
+ f AS (SELECT k, min(doc_id) AS first FROM w GROUP BY k),
+ gone AS (SELECT DISTINCT doc_id, i + unnest(range(13)) AS p FROM (SELECT doc_id, i FROM w JOIN f USING (k) WHERE first < doc_id)),
+ kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text, count(*) AS n
+  FROM (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM d) ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)"""
+
+#: Every 100-byte string, its first place, and the bytes of strings that start earlier; bytes go through hexadecimal text.
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+ w AS (SELECT doc_id, i, b[i:i + 99] AS k FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 98)) AS i FROM d)),
+ f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS r FROM w),
+ ends AS (SELECT doc_id, i AS p, 1 AS v FROM f WHERE r > 1 UNION ALL SELECT doc_id, i + 100, -1 FROM f WHERE r > 1),
+ cover AS (SELECT doc_id, p, sum(sum(v)) OVER (PARTITION BY doc_id ORDER BY p) AS c, lead(p) OVER (PARTITION BY doc_id ORDER BY p) AS q FROM ends GROUP BY doc_id, p),
+ marks AS (SELECT doc_id, p, c, q, coalesce(lag(c) OVER (PARTITION BY doc_id ORDER BY p), 0) AS c0 FROM cover),
+ runs AS (SELECT doc_id, p AS lo, (SELECT min(m.p) FROM marks m WHERE m.doc_id = marks.doc_id AND m.p > marks.p AND m.c = 0) AS hi FROM marks WHERE c > 0 AND c0 = 0),
+ per AS (SELECT doc_id, count(*) AS n, sum(hi - lo) AS removed, list({'lo': lo, 'hi': hi} ORDER BY lo) AS rs FROM runs GROUP BY doc_id),
+ h AS (SELECT doc_id, hex(b) AS x, octet_length(b) AS size, n, removed, list_concat([{'lo': 1, 'hi': 1}], coalesce(rs, []), [{'lo': octet_length(b) + 1, 'hi': octet_length(b) + 1}]) AS rs FROM d LEFT JOIN per USING (doc_id))
+SELECT doc_id, CAST(size AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans,
+ sha256(unhex(array_to_string(list_transform(range(1, len(rs)), lambda j: substring(x, CAST(2 * rs[j].hi - 1 AS BIGINT), CAST(2 * (rs[j + 1].lo - rs[j].hi) AS BIGINT))), ''))) AS kept_sha256
+FROM h"""
+
+OP10_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+ f AS (SELECT *, min(page_id) OVER (PARTITION BY body) AS first FROM p)
+SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, sha256(body) AS payload_digest,
+ CASE WHEN strlen(body) >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+ CASE WHEN strlen(body) >= 100 AND first <> page_id THEN first END AS refers_to FROM f"""
+
+#: The others count library tokens, hash with XXH64, draw, or train: tests hold them against brute force.
+ORACLES: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op3_suffix_dedup": OP3_SQL, "op10_warc": OP10_SQL}
