@@ -119,14 +119,14 @@ def _(spark, d):
     return C.densify(C.sparsify(B.cells(spark, d), g, "a", 0.93), g, "a", -1.0).select("x", "y", "z", rnd("a").alias("a"))
 
 
-_NZ = f"{B.grid_sql(8)}, al AS (SELECT i % sx AS x, (i // sx) % 16 AS y, i // (sx * 16) AS z, sx, nbx, nby FROM (SELECT unnest(range(sx * 256)) AS i, sx, nbx, nby FROM grid)), q AS (SELECT *, {BID(3)} * 1000 + (x & 7) + (y & 7) * 8 + (z & 7) * 64 AS idx FROM al)"
+_NZ = f"{CL}, {B.grid_sql(8)}, al AS (SELECT x, y, z, sx, nbx, nby FROM cells, grid), q AS (SELECT *, {BID(3)} * 1000 + (x & 7) + (y & 7) * 8 + (z & 7) * 64 AS idx FROM al)"
 
 
 @query("gen_patterns", "S5 T16", f"""WITH {_NZ} SELECT x, y, z, CAST(idx AS DOUBLE) AS p0, {rsql('0.5e0 * sin(20e0 * sqrt(pow(x / 16e0, 2) + pow(y / 16e0, 2) + pow(z / 16e0, 2)))')} AS p4,
  {rsql('sqrt(pow((x + 0.5e0) / greatest(sx, 16) - 0.3e0, 2) + pow((y + 0.5e0) / greatest(sx, 16) - 0.3e0, 2) + pow((z + 0.5e0) / greatest(sx, 16) - 0.5e0, 2)) - 0.2e0')} AS p5 FROM q""")
 def _(spark, d):
     g = B.grid_for(spark, d, 8)
-    return patterns.all_cells(spark, g).select("x", "y", "z", patterns.pattern(0, g).alias("p0"), rnd(patterns.pattern(4, g)).alias("p4"), rnd(patterns.pattern(5, g)).alias("p5"))
+    return patterns.at_cells(B.cells(spark, d), g).select("x", "y", "z", patterns.pattern(0, g).alias("p0"), rnd(patterns.pattern(4, g)).alias("p4"), rnd(patterns.pattern(5, g)).alias("p5"))
 
 
 _M32 = lambda v: f"xor(({v}), ({v}) >> 16)"
@@ -137,7 +137,7 @@ _M32 = lambda v: f"xor(({v}), ({v}) >> 16)"
 SELECT x, y, z, {rsql('(xor(r2, r2 >> 16) >> 9) / 8388608e0')} AS v FROM h2""")
 def _(spark, d):
     g = B.grid_for(spark, d, 8)
-    return patterns.all_cells(spark, g).select("x", "y", "z", rnd(patterns.pattern(2, g)).alias("v"))
+    return patterns.at_cells(B.cells(spark, d), g).select("x", "y", "z", rnd(patterns.pattern(2, g)).alias("v"))
 
 
 # --- reads across the domain border ---------------------------------------------

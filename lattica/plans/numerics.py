@@ -1,5 +1,7 @@
 """Polynomials, linear algebra, transforms, draws, noise, colour, text and image queries."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from lattica.functions import color as CO, noise as N, poly as PY, rng as R, text as TX
@@ -8,8 +10,7 @@ from lattica.operators.slices import colour_map
 from lattica.plans.addressing import _mix64_sql
 from lattica.plans.common import rnd, rsql
 from lattica.plans.registry import query
-from lattica.plans.stats import _Q3, _Q3SQL, _D2, _horner_sql, _TAIL
-from lattica.functions import dist as D
+from lattica.plans.stats import _CENTRE_DEN, _CENTRE_NUM, _D2, _Q3, _Q3SQL, _TAIL, _horner_sql
 from lattica.sources import blocks as BK, tables as B
 
 
@@ -109,7 +110,11 @@ def _(spark, d):
     return e.select("g", rnd(F.col("p")[0]).alias("p00"), rnd(F.col("p")[1]).alias("p01"))
 
 
-@query("reg_adapt", "F10")
+@query("reg_adapt", "F10", f"""WITH RECURSIVE s AS (SELECT event_type AS g, value / 100e0 AS x, user_id / 100e0 AS y, ts, event_id FROM events),
+ l AS MATERIALIZED (SELECT g, list(x ORDER BY ts, event_id) AS xs, list(y ORDER BY ts, event_id) AS ys, count(*) AS n, 0.1e0 / avg(x * x + 1) AS eta FROM s GROUP BY g),
+ w AS (SELECT g, 0 AS k, 0e0 AS w1, 0e0 AS w2 FROM l UNION ALL
+  SELECT g, k + 1, w1 + e * x, w2 + e FROM (SELECT w.g, k, w1, w2, xs[k % n + 1] AS x, eta * (ys[k % n + 1] - w1 * xs[k % n + 1] - w2) AS e FROM w JOIN l USING (g) WHERE k < 2 * n))
+SELECT w.g, {rsql('w1')} AS w1, {rsql('w2')} AS w2 FROM w JOIN l ON l.g = w.g AND w.k = 2 * l.n""")
 def _(spark, d):
     s = B.table(spark, d, "events").select(F.col("event_type").alias("g"), "ts", "event_id", (F.col("value") / 100).alias("x1"), F.lit(1.0).alias("x2"), (F.col("user_id") / 100).alias("y"))
     w = LA.adapt(s, ["g"], ["ts", "event_id"], ["x1", "x2"], "y", 0.05, passes=2)
@@ -151,7 +156,14 @@ def pixels(spark, d):
     return p, (int(p.agg(F.max("x")).first()[0]) + 1, 11)
 
 
-@query("fft_plane_lowpass", "F9")
+_RESPONSE = lambda n: f"(SELECT k, (SELECT sum(exp(-pow(least(f, {n} - f) / CAST({n} AS DOUBLE), 2) / 0.02e0) * cos(2 * pi() * ((f * k) % {n}) / {n})) FROM (SELECT unnest(range({n})) AS f)) / {n} AS w FROM (SELECT unnest(range({n})) AS k))"
+
+
+@query("fft_plane_lowpass", "F9", f"""WITH {PIX}, n AS (SELECT CAST(pow(2, ceil(log2(greatest(nx, 2)))) AS BIGINT) AS nx, 16 AS ny FROM sz),
+ f AS (SELECT unnest(range(nx)) AS f, nx FROM n), kx AS (SELECT k, sum(exp(-pow(least(f, f.nx - f) / CAST(f.nx AS DOUBLE), 2) / 0.02e0) * cos(2 * pi() * ((f * k) % f.nx) / f.nx)) / any_value(f.nx) AS w FROM f, (SELECT unnest(range(nx)) AS k FROM n) GROUP BY k),
+ ky AS {_RESPONSE(16)},
+ a AS (SELECT (px.x + kx.k) % n.nx AS x, px.y, sum(v * w) AS v FROM px, kx, n GROUP BY 1, 2)
+SELECT a.x, CAST((a.y + ky.k) % 16 AS BIGINT) AS y, {rsql('sum(v * w)')} AS v FROM a, ky GROUP BY 1, 2""")
 def _(spark, d):
     p, (nx, ny) = pixels(spark, d)
     n2 = lambda n: 1 << max(n - 1, 1).bit_length()
@@ -163,7 +175,7 @@ def _(spark, d):
 # --- draws -------------------------------------------------------------------------------
 
 _HU = lambda key, seed, draw: f"src AS (SELECT {key} AS k, CAST({key} * 1000003 + {seed * 131 + draw} AS BIGINT) AS kk FROM orders), " + ", ".join(_mix64_sql("kk")) + ", u AS (SELECT k, (CAST(q5 >> 12 AS DOUBLE) + 0.5e0) * pow(2e0, -52) AS u FROM h5)"
-_QN = lambda p: f"(CASE WHEN {p} < 0.02425e0 THEN {_TAIL(p)} WHEN {p} > 0.97575e0 THEN -{_TAIL(f'(1 - {p})')} ELSE ({p} - 0.5e0) * {_horner_sql(f'(({p} - 0.5e0) * ({p} - 0.5e0))', D.QUANTILE_CENTRE_NUM)} / {_horner_sql(f'(({p} - 0.5e0) * ({p} - 0.5e0))', D.QUANTILE_CENTRE_DEN)} END)"
+_QN = lambda p: f"(CASE WHEN {p} < 0.02425e0 THEN {_TAIL(p)} WHEN {p} > 0.97575e0 THEN -{_TAIL(f'(1 - {p})')} ELSE ({p} - 0.5e0) * {_horner_sql(f'(({p} - 0.5e0) * ({p} - 0.5e0))', _CENTRE_NUM)} / {_horner_sql(f'(({p} - 0.5e0) * ({p} - 0.5e0))', _CENTRE_DEN)} END)"
 
 
 @query("rng_uniform_normal", "F12", f"WITH {_HU('o_orderkey', 7, 0)} SELECT k, {rsql('u', 9)} AS u, {rsql(_QN('u'))} AS z FROM u")
@@ -172,13 +184,29 @@ def _(spark, d):
     return o.select("k", rnd(R.uniform("k", 7), 9).alias("u"), rnd(R.normal("k", 7)).alias("z"))
 
 
-@query("rng_truncated_gamma", "F12")
+_DRAW = lambda seed, draw: f"(WITH {_HU('o_orderkey', seed, draw)} SELECT k, {{}} AS {{}} FROM u)"
+
+
+def _cdf_at(x: float) -> float:
+    """The usual fifth-order approximation of the normal distribution."""
+    y = 1 / (1 + 0.2316419 * abs(x))
+    t = 0.3989423 * math.exp(-x * x / 2) * y * ((((1.330274 * y - 1.821256) * y + 1.781478) * y - 0.356538) * y + 0.3193815)
+    return 1 - t if x > 0 else t
+
+
+_CUT = f"({_cdf_at(-1.0):.17e} + {_cdf_at(0.5) - _cdf_at(-1.0):.17e} * u)"
+_GC = 1 / (9 * 2.5)
+
+
+@query("rng_truncated_gamma", "F12", f"""SELECT k, {rsql('greatest(least(z, 0.5e0), -1e0)')} AS t, {rsql('greatest(s, 0) * s * s * 2.5e0')} AS gm
+ FROM {_DRAW(3, 0).format(_QN(_CUT), 'z')} a JOIN {_DRAW(4, 0).format(f"{_QN('u')} * {_GC ** 0.5:.17e} + {1 - _GC:.17e}", 's')} b USING (k)""")
 def _(spark, d):
     o = B.table(spark, d, "orders").select(F.col("o_orderkey").alias("k"))
     return o.select("k", rnd(R.truncated_normal("k", 3, 0.0, 1.0, -1.0, 0.5)).alias("t"), rnd(R.gamma_like("k", 4, 2.5)).alias("gm"))
 
 
-@query("rng_correlated", "F12")
+@query("rng_correlated", "F12", f"""SELECT k, {rsql('sqrt(2e0) * a.z + 1')} AS z0, {rsql('0.6e0 / sqrt(2e0) * a.z + sqrt(0.82e0) * b.z - 2')} AS z1
+ FROM {_DRAW(5, 0).format(_QN('u'), 'z')} a JOIN {_DRAW(5, 1).format(_QN('u'), 'z')} b USING (k)""")
 def _(spark, d):
     o = B.table(spark, d, "orders").select(F.col("o_orderkey").alias("k"))
     z = R.correlated_normals("k", 5, [1.0, -2.0], [[2.0, 0.6], [0.6, 1.0]])
@@ -250,7 +278,22 @@ def _(spark, d):
     return q.select("x", "y", "z", rnd(h["h"], 4).alias("h"), rnd(h["s"]).alias("s"), rnd(h["v"]).alias("v"))
 
 
-@query("color_back", "F13 F6")
+_SIX = lambda *e: "CASE least(h // 85, 5) " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(e)) + " END"
+_HSV6 = lambda *e: "CASE WHEN sat = 0 THEN val ELSE coalesce(CASE floor(hue) " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(e)) + " END, 0) END"
+_HP, _HQ, _HT = "val * (1 - sat)", "val * (1 - sat * (hue - floor(hue)))", "val * (1 - sat * (1 - (hue - floor(hue))))"
+
+
+@query("color_back", "F13 F6", f"""WITH {_RGB}, m AS (SELECT *, greatest(r, g, b) AS mx, greatest(r, g, b) - least(r, g, b) AS ch FROM q),
+ h0 AS (SELECT *, CASE WHEN mx = r THEN 85 + {_P('b')} - {_P('g')} WHEN mx = g THEN 255 + {_P('r')} - {_P('b')} ELSE 425 + {_P('g')} - {_P('r')} END AS hh FROM m),
+ h AS (SELECT x, y, z, CAST(coalesce(CASE WHEN hh < 0 THEN hh + 510 WHEN hh > 509 THEN hh - 510 ELSE hh END, 0) AS INTEGER) AS h, ch AS c, (2 * mx - ch) // 2 AS l FROM h0),
+ k AS (SELECT *, CASE WHEN l < 128 THEN l * 2 ELSE (255 - l) * 2 END AS room FROM h),
+ t AS (SELECT *, CASE WHEN c > room THEN CASE WHEN l < 128 THEN room ELSE 255 END ELSE l + c // 2 END AS top, least(c, room) AS cc FROM k),
+ e AS (SELECT *, top - cc AS low, top - cc + cc * ((h // 85 + 1) * 85 - h) // 85 AS dn, top - cc + cc * (h - h // 85 * 85) // 85 AS up FROM t),
+ v AS (SELECT *, CAST({_SIX('top', 'top', 'dn', 'low', 'low', 'up')} AS INTEGER) AS r, CAST({_SIX('low', 'up', 'top', 'top', 'dn', 'low')} AS INTEGER) AS g, CAST({_SIX('dn', 'low', 'low', 'up', 'top', 'top')} AS INTEGER) AS b,
+  h * 360e0 / 510 / 60 AS hue, c / 255e0 AS sat, l / 255e0 AS val FROM e),
+ w AS (SELECT *, sqrt(pow(r / 255e0 - 0.3e0, 2) + pow(g / 255e0 - 0.3e0, 2)) AS s FROM v)
+SELECT x, y, z, r, g, b, {rsql('(r / 255e0 - 0.3e0) * coalesce(pow(s, 0.8e0) * 1.1e0 / nullif(s, 0), 1) + 0.3e0')} AS su, {rsql('(g / 255e0 - 0.3e0) * coalesce(pow(s, 0.8e0) * 1.1e0 / nullif(s, 0), 1) + 0.3e0')} AS sv,
+ {rsql(_HSV6('val', _HQ, _HP, _HP, _HT, 'val'))} AS hr, {rsql(_HSV6(_HT, 'val', 'val', _HQ, _HP, _HP))} AS hg FROM w""")
 def _(spark, d):
     q = rgb(spark, d)
     h = q.select("x", "y", "z", *[e.alias(n) for n, e in CO.rgb_to_hcl("r", "g", "b").items()])
@@ -311,8 +354,8 @@ def _(spark, d):
                     rnd("backward.gy").alias("by_"), rnd("rotation.gx").alias("rx"))
 
 
-_SX = " + ".join(f"({IM.SOBEL3[dy + 1][dx + 1]}) * {_T(dx, dy)}" for dy in (-1, 0, 1) for dx in (-1, 0, 1))
-_SY = " + ".join(f"({-IM.SOBEL3[dx + 1][dy + 1]}) * {_T(dx, dy)}" for dy in (-1, 0, 1) for dx in (-1, 0, 1))
+_SX = f"({_T(1, -1)} - {_T(-1, -1)}) + 2 * ({_T(1, 0)} - {_T(-1, 0)}) + ({_T(1, 1)} - {_T(-1, 1)})"
+_SY = f"({_T(-1, -1)} - {_T(-1, 1)}) + 2 * ({_T(0, -1)} - {_T(0, 1)}) + ({_T(1, -1)} - {_T(1, 1)})"
 
 
 @query("img_sobel", "F14", f"""WITH {PIX}, {_joined(IM.RING)}, g AS (SELECT x, y, {_SX} AS gx, {_SY} AS gy FROM w), s AS (SELECT avg(gx) AS ax, stddev_pop(gx) AS sx, avg(gy) AS ay, stddev_pop(gy) AS sy, max(sqrt(gx * gx + gy * gy)) AS mm FROM g)
@@ -323,10 +366,19 @@ def _(spark, d):
     return s.select("x", "y", rnd("gx").alias("gx"), rnd("gy").alias("gy"), rnd("gm").alias("gm"))
 
 
-_KSQL = lambda k: " + ".join(f"{k[dy + 1][dx + 1]:.17e} * {_T(dx, dy)}" for dy in (-1, 0, 1) for dx in (-1, 0, 1))
+def _shape_sql(centre, side, corner):
+    """A 3x3 window with equal sides and equal corners, over its sum."""
+    ring = f"{side} * ({_T(1, 0)} + {_T(-1, 0)} + {_T(0, 1)} + {_T(0, -1)}) + {corner} * ({_T(1, 1)} + {_T(1, -1)} + {_T(-1, 1)} + {_T(-1, -1)})"
+    return f"(({centre} * v + {ring}) / ({centre} + 4 * {side} + 4 * {corner}))"
+
+
+_BELL = ("exp(-8e0 / 9)", "exp(-16e0 / 9)")
+_GAUSS_SQL, _FLAT_SQL = _shape_sql("1e0", *_BELL), _shape_sql("1e0", "1e0", "1e0")
+_CONE_SQL = _shape_sql("1e0", "(2e0 / 3)", "(1 - sqrt(2e0) / 3)")
+_HAT_SQL = _shape_sql(f"(2 * (1 + 4 * {_BELL[0]} + 4 * {_BELL[1]}) + 1)", f"(-{_BELL[0]})", f"(-{_BELL[1]})")
 
 
-@query("img_smooth", "F14", f"WITH {PIX}, {_joined(IM.RING)} SELECT x, y, {rsql(_KSQL(IM.kernel('gauss', 3)))} AS gauss, {rsql(_KSQL(IM.kernel('flat', 3)))} AS flat, {rsql(_KSQL(IM.kernel('cone', 3, 1.0)))} AS cone, {rsql(_KSQL(IM.kernel('hat', 3, 1.0, 2.0)))} AS hat FROM w")
+@query("img_smooth", "F14", f"WITH {PIX}, {_joined(IM.RING)} SELECT x, y, {rsql(_GAUSS_SQL)} AS gauss, {rsql(_FLAT_SQL)} AS flat, {rsql(_CONE_SQL)} AS cone, {rsql(_HAT_SQL)} AS hat FROM w")
 def _(spark, d):
     p, size = pixels(spark, d)
     k = {"gauss": IM.kernel("gauss", 3), "flat": IM.kernel("flat", 3), "cone": IM.kernel("cone", 3, 1.0), "hat": IM.kernel("hat", 3, 1.0, 2.0)}

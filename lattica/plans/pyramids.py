@@ -12,17 +12,18 @@ from lattica.sources import tables as B
 CL, G8 = B.CELLS_SQL, B.grid_sql(8)
 
 
-def taps_sql(w):
-    return "(VALUES " + ", ".join(f"({d}, {v!r}e0)" if "e" not in repr(v) else f"({d}, {v!r})" for d, v in w.items()) + ")"
+#: Weights of the oracles, in literal numbers.
+MEAN2_W, SMOOTH4_W = "(VALUES (0, 0.5e0), (1, 0.5e0))", "(VALUES (-1, 0.125e0), (0, 0.375e0), (1, 0.375e0), (2, 0.125e0))"
+STAGGERED4_W = "(VALUES (-1, 0.25e0), (0, 0.5e0), (1, 0.25e0))"
+GAUSS5_W = "(VALUES (-2, 0.05e0), (-1, 0.25e0), (0, 0.4e0), (1, 0.25e0), (2, 0.05e0))"
 
 
 def down_sql(w, src, val, dims, name="dn"):
     """Gather form: every target cell reads its clamped window."""
-    t = taps_sql(w)
     cl = lambda e, n: f"greatest(least({e}, {n} - 1), 0)"
     return f"""{name} AS (SELECT g.x, g.y, g.z, sum(kx.w * ky.w * kz.w * coalesce(s.v, 0)) AS v, count(s.v) AS hits FROM
    (SELECT i % mx AS x, (i // mx) % my AS y, i // (mx * my) AS z, nx, ny, nz FROM (SELECT unnest(range(((nx + 1) // 2) * ((ny + 1) // 2) * ((nz + 1) // 2))) AS i, (nx + 1) // 2 AS mx, (ny + 1) // 2 AS my, nx, ny, nz FROM {dims})) g,
-   {t} kx(d, w), {t} ky(d, w), {t} kz(d, w) LEFT JOIN {src} s ON s.x = {cl('2 * g.x + kx.d', 'nx')} AND s.y = {cl('2 * g.y + ky.d', 'ny')} AND s.z = {cl('2 * g.z + kz.d', 'nz')} GROUP BY 1, 2, 3)"""
+   {w} kx(d, w), {w} ky(d, w), {w} kz(d, w) LEFT JOIN {src} s ON s.x = {cl('2 * g.x + kx.d', 'nx')} AND s.y = {cl('2 * g.y + ky.d', 'ny')} AND s.z = {cl('2 * g.z + kz.d', 'nz')} GROUP BY 1, 2, 3)"""
 
 
 BASE = f"{CL}, {G8}, d0 AS (SELECT sx AS nx, 16 AS ny, 16 AS nz FROM grid), s0 AS (SELECT x, y, z, a AS v FROM cells)"
@@ -37,23 +38,23 @@ def simple(w):
     return f"WITH {BASE}, {down_sql(w, 's0', 'v', 'd0')} SELECT x, y, z, {rsql('v')} AS v FROM dn WHERE hits > 0"
 
 
-@query("pyr_mean2", "K9 K15", simple(Y.MEAN2))
+@query("pyr_mean2", "K9 K15", simple(MEAN2_W))
 def _(spark, d):
     return one_down(spark, d, Y.MEAN2)
 
 
-@query("pyr_tensor4", "K10", simple(Y.SMOOTH4))
+@query("pyr_tensor4", "K10", simple(SMOOTH4_W))
 def _(spark, d):
     return one_down(spark, d, Y.SMOOTH4)
 
 
-@query("pyr_gauss5", "K15", simple(Y.gauss5()))
+@query("pyr_gauss5", "K15", simple(GAUSS5_W))
 def _(spark, d):
     return one_down(spark, d, Y.gauss5())
 
 
-@query("pyr_build", "K14", f"""WITH {BASE}, {down_sql(Y.SMOOTH4, 's0', 'v', 'd0', 'l1')}, d1 AS (SELECT (nx + 1) // 2 AS nx, 8 AS ny, 8 AS nz FROM d0), s1 AS (SELECT * FROM l1 WHERE hits > 0),
- {down_sql(Y.SMOOTH4, 's1', 'v', 'd1', 'l2')} SELECT 0 AS level, x, y, z, {rsql('v')} AS v FROM s0 UNION ALL SELECT 1, x, y, z, {rsql('v')} FROM s1 UNION ALL SELECT 2, x, y, z, {rsql('v')} FROM l2 WHERE hits > 0""")
+@query("pyr_build", "K14", f"""WITH {BASE}, {down_sql(SMOOTH4_W, 's0', 'v', 'd0', 'l1')}, d1 AS (SELECT (nx + 1) // 2 AS nx, 8 AS ny, 8 AS nz FROM d0), s1 AS (SELECT * FROM l1 WHERE hits > 0),
+ {down_sql(SMOOTH4_W, 's1', 'v', 'd1', 'l2')} SELECT 0 AS level, x, y, z, {rsql('v')} AS v FROM s0 UNION ALL SELECT 1, x, y, z, {rsql('v')} FROM s1 UNION ALL SELECT 2, x, y, z, {rsql('v')} FROM l2 WHERE hits > 0""")
 def _(spark, d):
     g = B.grid_for(spark, d, 8)
     c = B.cells(spark, d).withColumnRenamed("a", "v")
@@ -61,12 +62,12 @@ def _(spark, d):
 
 
 _UP = lambda src: f"""up AS (SELECT g.x, g.y, g.z, 8 * sum(kx.w * ky.w * kz.w * s.v) AS v FROM (SELECT i % nx AS x, (i // nx) % ny AS y, i // (nx * ny) AS z, nx, ny, nz FROM (SELECT unnest(range(nx * ny * nz)) AS i, nx, ny, nz FROM d0)) g,
-   {taps_sql(Y.gauss5())} kx(d, w), {taps_sql(Y.gauss5())} ky(d, w), {taps_sql(Y.gauss5())} kz(d, w)
+   {GAUSS5_W} kx(d, w), {GAUSS5_W} ky(d, w), {GAUSS5_W} kz(d, w)
    JOIN {src} s ON s.x = greatest(least((g.x + kx.d) // 2, (nx + 1) // 2 - 1), 0) AND s.y = greatest(least((g.y + ky.d) // 2, (ny + 1) // 2 - 1), 0) AND s.z = greatest(least((g.z + kz.d) // 2, (nz + 1) // 2 - 1), 0)
    WHERE (g.x + kx.d) % 2 = 0 AND (g.y + ky.d) % 2 = 0 AND (g.z + kz.d) % 2 = 0 GROUP BY 1, 2, 3)"""
 
 
-@query("pyr_laplacian", "K15", f"""WITH {BASE}, {down_sql(Y.gauss5(), 's0', 'v', 'd0', 'l1')}, s1 AS (SELECT * FROM l1 WHERE hits > 0), {_UP('s1')}
+@query("pyr_laplacian", "K15", f"""WITH {BASE}, {down_sql(GAUSS5_W, 's0', 'v', 'd0', 'l1')}, s1 AS (SELECT * FROM l1 WHERE hits > 0), {_UP('s1')}
 SELECT x, y, z, {rsql('coalesce(s0.v, 0) - coalesce(up.v, 0)')} AS v FROM s0 FULL OUTER JOIN up USING (x, y, z)""")
 def _(spark, d):
     g = B.grid_for(spark, d, 8)
@@ -86,7 +87,7 @@ def _(spark, d):
     return back.join(c.select("x", "y", "z"), ["x", "y", "z"], "left_semi").select("x", "y", "z", rnd("v").alias("v"))
 
 
-@query("pyr_masked", "K11", f"""WITH {BASE}, {down_sql(Y.SMOOTH4, 's0', 'v', 'd0')}, f AS (SELECT x >> 1 AS x, y >> 1 AS y, z >> 1 AS z, bit_and(CASE WHEN b < 60 THEN 1 ELSE 0 END) AS flags FROM cells GROUP BY 1, 2, 3)
+@query("pyr_masked", "K11", f"""WITH {BASE}, {down_sql(SMOOTH4_W, 's0', 'v', 'd0')}, f AS (SELECT x >> 1 AS x, y >> 1 AS y, z >> 1 AS z, bit_and(CASE WHEN b < 60 THEN 1 ELSE 0 END) AS flags FROM cells GROUP BY 1, 2, 3)
 SELECT x, y, z, {rsql('CASE WHEN coalesce(flags, 0) <> 0 THEN 0 ELSE v END')} AS v FROM dn LEFT JOIN f USING (x, y, z) WHERE hits > 0""")
 def _(spark, d):
     g = B.grid_for(spark, d, 8)
@@ -106,7 +107,7 @@ def _stag():
     cl = lambda e, n: f"greatest(least({e}, {n} - 1), 0)"
     parts = []
     for own, val in zip("xyz", ("a", "b", "a * b")):
-        t = {a: taps_sql(Y.STAGGERED4 if a == own else Y.SMOOTH4) for a in "xyz"}
+        t = {a: STAGGERED4_W if a == own else SMOOTH4_W for a in "xyz"}
         parts.append(f"""SELECT g.x, g.y, g.z, {', '.join((f'kx.w * ky.w * kz.w * ({val})' if o == own else '0e0') + f' AS f{o}' for o in 'xyz')} FROM tg g, {t['x']} kx(d, w), {t['y']} ky(d, w), {t['z']} kz(d, w)
    JOIN cells s ON s.x = {cl('2 * g.x + kx.d', 'nx')} AND s.y = {cl('2 * g.y + ky.d', 'ny')} AND s.z = {cl('2 * g.z + kz.d', 'nz')}""")
     return f"""WITH {BASE}, tg AS (SELECT i % mx AS x, (i // mx) % 8 AS y, i // (mx * 8) AS z, nx, ny, nz FROM (SELECT unnest(range(((nx + 1) // 2) * 64)) AS i, (nx + 1) // 2 AS mx, nx, ny, nz FROM d0)),
@@ -140,7 +141,7 @@ def _(spark, d):
 
 
 def _ghost_sql():
-    t = taps_sql(Y.SMOOTH4)
+    t = SMOOTH4_W
     cl = lambda e, n: f"greatest(least({e}, {n} - 1), 0)"
     return f"""WITH {LEVELED}, view0 AS (SELECT x, y, z, v FROM lc WHERE level = 0 UNION ALL SELECT 2 * x + i % 2, 2 * y + (i // 2) % 2, 2 * z + i // 4, v FROM lc JOIN fl USING (bid), (SELECT unnest(range(8)) AS i) WHERE lc.level = 1 AND fl.cf),
  tg AS (SELECT bid, 2 * (bid % nbx) + i % 2 AS x, 2 * ((bid // nbx) % nby) + (i // 2) % 2 AS y, 2 * (bid // (nbx * nby)) + i // 4 AS z, sx FROM fl, grid, (SELECT unnest(range(8)) AS i) WHERE level = 0 AND fc)

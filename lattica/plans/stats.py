@@ -1,5 +1,7 @@
 """Statistics of samples, vectors and histograms."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from lattica.functions import dist as D
@@ -64,7 +66,24 @@ def _(spark, d):
     return c.select("g", "n", rnd("r").alias("r"), rnd("alpha1", 3).alias("alpha1"), rnd("alpha2", 3).alias("alpha2"))
 
 
-@query("st_corr_confidence", "A14 F7")
+def student_sql(t: str, v: str) -> str:
+    """Two-sided exceedance for a whole number of degrees of freedom: a finite sum of powers of a cosine."""
+    a = f"atan({t} / sqrt({v}))"
+    even = f"sin({a}) * list_sum(list_transform(range(CAST({v} AS BIGINT) // 2), lambda k: exp(lgamma(k + 0.5e0) - lgamma(0.5e0) - lgamma(k + 1) + 2 * k * ln(cos({a})))))"
+    odd = f"2 / pi() * ({a} + sin({a}) * coalesce(list_sum(list_transform(range((CAST({v} AS BIGINT) - 1) // 2), lambda k: exp(lgamma(k + 1) - lgamma(k + 1.5e0) + lgamma(1.5e0) + (2 * k + 1) * ln(cos({a}))))), 0))"
+    return f"(1 - CASE WHEN CAST({v} AS BIGINT) % 2 = 0 THEN {even} ELSE {odd} END)"
+
+
+def quantile_sql(src: str, alpha: str) -> str:
+    """CTE ``tq(m, t05)``: bisection for every m of ``src``."""
+    return f"""bis AS (SELECT m, 0e0 AS lo, 100e0 AS hi, 0 AS k FROM {src} UNION ALL
+  SELECT m, CASE WHEN p > {alpha} THEN mid ELSE lo END, CASE WHEN p > {alpha} THEN hi ELSE mid END, k + 1 FROM (SELECT *, (lo + hi) / 2 AS mid, {student_sql('((lo + hi) / 2)', 'm')} AS p FROM bis WHERE k < 70)),
+ tq AS (SELECT m, lo AS t05 FROM bis WHERE k = 70)"""
+
+
+@query("st_corr_confidence", "A14 F7", f"""WITH RECURSIVE c AS (SELECT l_suppkey AS g, CAST(count(*) AS BIGINT) AS n, corr(l_quantity, l_discount) AS r FROM lineitem GROUP BY 1),
+ ms AS (SELECT DISTINCT CAST(n - 2 AS DOUBLE) AS m FROM c), {quantile_sql('ms', '0.05e0')}
+SELECT g, n, {rsql('r')} AS r, {rsql('abs(r * sqrt(n - 2) / sqrt(1 - r * r)) / t05')} AS confidence FROM c JOIN tq ON tq.m = n - 2""")
 def _(spark, d):
     o = B.table(spark, d, "lineitem").withColumnRenamed("l_suppkey", "g")
     c = S.correlation(o, ["g"], "l_quantity", "l_discount")
@@ -133,7 +152,14 @@ def _(spark, d):
     return h.select("g", pct(0.1).alias("p10"), pct(0.9).alias("p90"))
 
 
-@query("st_hist_smooth", "A18 T20")
+_SMOOTH = [math.exp(-((abs(j - 3) / 3) ** 2) / 0.5) for j in range(7)]
+_SMOOTH_SQL = "[" + ", ".join(f"{w / sum(_SMOOTH):.17e}" for w in _SMOOTH) + "]"
+
+
+@query("st_hist_smooth", "A18 T20", f"""WITH RECURSIVE {_HIST(40, 0, 100)},
+ p AS (SELECT g, list_concat([0e0, 0e0, 0e0], list(density ORDER BY bin), [0e0, 0e0, 0e0]) AS l FROM full_hist GROUP BY g),
+ r AS (SELECT g, l, 1 AS i FROM p UNION ALL SELECT g, list_concat(l[:i + 2], [list_sum(list_transform(list_zip(l[i:i + 6], {_SMOOTH_SQL}), lambda t: t[1] * t[2]))], l[i + 4:]), i + 1 FROM r WHERE i <= 40)
+SELECT g, b.bin, {rsql('l[b.bin + 4]')} AS density FROM r, (SELECT CAST(unnest(range(40)) AS INTEGER) AS bin) b WHERE i = 41""")
 def _(spark, d):
     h = S.histogram(B.samples(spark, d), ["g"], "v", 40, 0.0, 100.0)
     s = h.withColumn("bins", S.smooth_in_place(3, 0.5)(F.col("bins")))
@@ -292,6 +318,13 @@ def _(spark, d):
     return e.select("event_id", rnd(D.norm_cdf("x"), 7).alias("p"), rnd(D.norm_density("x", 0.0, 1.0), 7).alias("dens"))
 
 
+#: Fixed values of the oracles: the usual rational approximation of the normal quantile, highest power first.
+_CENTRE_NUM = (-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.3577518672690, -30.66479806614716, 2.506628277459239)
+_CENTRE_DEN = (-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572, 1.0)
+_TAIL_NUM = (-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783)
+_TAIL_DEN = (0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416, 1.0)
+
+
 def _horner_sql(x, terms):
     s = f"{terms[0]!r}e0"
     for t in terms[1:]:
@@ -299,17 +332,18 @@ def _horner_sql(x, terms):
     return s
 
 
-_TAIL = lambda p: f"({_horner_sql(f'sqrt(-2 * ln({p}))', D.QUANTILE_TAIL_NUM)} / {_horner_sql(f'sqrt(-2 * ln({p}))', D.QUANTILE_TAIL_DEN)})"
+_TAIL = lambda p: f"({_horner_sql(f'sqrt(-2 * ln({p}))', _TAIL_NUM)} / {_horner_sql(f'sqrt(-2 * ln({p}))', _TAIL_DEN)})"
 
 
 @query("fn_norm_quantile", "F7", f"""WITH src AS (SELECT event_id, (event_id % 997 + 1) / 1000e0 AS p FROM events)
-SELECT event_id, {rsql(f"CASE WHEN p < 0.02425e0 THEN {_TAIL('p')} WHEN p > 0.97575e0 THEN -{_TAIL('(1 - p)')} ELSE (p - 0.5e0) * {_horner_sql('((p - 0.5e0) * (p - 0.5e0))', D.QUANTILE_CENTRE_NUM)} / {_horner_sql('((p - 0.5e0) * (p - 0.5e0))', D.QUANTILE_CENTRE_DEN)} END", 7)} AS z FROM src""")
+SELECT event_id, {rsql(f"CASE WHEN p < 0.02425e0 THEN {_TAIL('p')} WHEN p > 0.97575e0 THEN -{_TAIL('(1 - p)')} ELSE (p - 0.5e0) * {_horner_sql('((p - 0.5e0) * (p - 0.5e0))', _CENTRE_NUM)} / {_horner_sql('((p - 0.5e0) * (p - 0.5e0))', _CENTRE_DEN)} END", 7)} AS z FROM src""")
 def _(spark, d):
     e = B.table(spark, d, "events").select("event_id", ((F.col("event_id") % 997 + 1) / 1000.0).alias("p"))
     return e.select("event_id", rnd(D.norm_quantile("p"), 7).alias("z"))
 
 
-@query("fn_student", "F7")
+@query("fn_student", "F7", f"""WITH RECURSIVE e AS (SELECT o_orderkey, CAST(o_custkey % 60 + 2 AS DOUBLE) AS m, o_totalprice / 200000e0 AS t FROM orders), ms AS (SELECT DISTINCT m FROM e), {quantile_sql('ms', '0.05e0')}
+SELECT o_orderkey, {rsql('t05')} AS t05, {rsql(student_sql('t', 'm'))} AS p FROM e JOIN tq USING (m)""")
 def _(spark, d):
     e = B.table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 60 + 2).cast("double").alias("m"), (F.col("o_totalprice") / 200000.0).alias("t"))
     return e.select("o_orderkey", rnd(D.student_t(F.lit(0.05), "m")).alias("t05"), rnd(D.student_prob("t", "m")).alias("p"))
@@ -323,7 +357,7 @@ def _opt_sql():
  d AS (SELECT *, (ln(p / s) + (r + v * v / 2) * t) / (v * sqrt(t)) AS d1, (ln(p / s) + (r + v * v / 2) * t) / (v * sqrt(t)) - v * sqrt(t) AS d2 FROM a0)"""
     cdf = lambda x: (f"(CASE WHEN {x} > 0 THEN 1 - {tail(x)} ELSE {tail(x)} END)")
     tail = lambda x: (f"(0.3989423e0 * exp(-({x} * {x}) / 2) * (1e0 / (1e0 + 0.2316419e0 * abs({x}))) * "
-                      + _horner_sql(f"(1e0 / (1e0 + 0.2316419e0 * abs({x})))", D.NORM_TERMS[::-1]) + ")")
+                      + _horner_sql(f"(1e0 / (1e0 + 0.2316419e0 * abs({x})))", (1.330274, -1.821256, 1.781478, -0.356538, 0.3193815)) + ")")
     call = f"p * {cdf('d1')} - s * exp(-(r * t)) * {cdf('d2')}"
     put = f"s * exp(-(r * t)) * {cdf('(-d2)')} - p * {cdf('(-d1)')}"
     return f"WITH {base} SELECT o_orderkey, {rsql(call, 3)} AS call_price, {rsql(put, 3)} AS put_price FROM d"

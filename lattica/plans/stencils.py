@@ -1,5 +1,7 @@
 """Stencil steps and blurs on the cell grid, each against a joined long form."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from lattica.operators import halo as H, pde
@@ -120,14 +122,30 @@ def _(spark, d):
     return H.unpack(out, g, "v", F64).select("x", "y", "z", rnd("v").alias("v"))
 
 
-@query("sten_meancurv_color8", "K1 K2 T5 G8")
+def colour_sql(offsets, expr, colour, n_colours, sweeps, band=None):
+    """Colour after colour: blocks of one colour are renewed from the latest state, one CTE each."""
+    val = clip01(f"{C} + ({expr})")
+    cols = ", ".join(f"max(CASE WHEN dx = {x} AND dy = {y} AND dz = {z} THEN nv END) AS {nm((x, y, z))}" for x, y, z in offsets)
+    cl = lambda c, b: f"greatest(least(d.{c} + d{c}, {b} * 8 + 7), {b} * 8)"
+    parts, last = [offs(offsets), "s0 AS MATERIALIZED (SELECT x, y, z, bx, byy, bz, v FROM dense)"], "s0"
+    for k in range(sweeps * n_colours):
+        held = val if band is None else f"greatest(least({val}, least(ref + {band[1]}e0, 1e0)), greatest(ref - {band[0]}e0, 0e0))"
+        parts.append(f"""t{k} AS MATERIALIZED (SELECT x, y, z, {cols} FROM (SELECT d.x, d.y, d.z, dx, dy, dz, coalesce(n.v, c.v) AS nv FROM {last} d CROSS JOIN o
+   LEFT JOIN {last} n ON n.x = d.x + dx AND n.y = d.y + dy AND n.z = d.z + dz
+   JOIN {last} c ON c.x = {cl('x', 'd.bx')} AND c.y = {cl('y', 'd.byy')} AND c.z = {cl('z', 'd.bz')} WHERE {colour} = {k % n_colours}) GROUP BY x, y, z)""")
+        parts.append(f"s{k + 1} AS MATERIALIZED (SELECT s.x, s.y, s.z, s.bx, s.byy, s.bz, CASE WHEN t.x IS NULL THEN s.v ELSE {held} END AS v FROM {last} s LEFT JOIN t{k} t USING (x, y, z) JOIN (SELECT x, y, z, v AS ref FROM s0) USING (x, y, z))")
+        last = f"s{k + 1}"
+    return f"WITH {DENSE}, {', '.join(parts)} SELECT x, y, z, {rsql('v')} AS v FROM {last}"
+
+
+@query("sten_meancurv_color8", "K1 K2 T5 G8", colour_sql(NEAR19, CURV, "((d.bx & 1) + (d.byy & 1) * 2 + (d.bz & 1) * 4)", 8, 2))
 def _(spark, d):
     g, p = packed_a(spark, d)
     out = pde.smooth(p, g, pde.Step(4, 0.2), 2, order="color8", dtype=F64)
     return H.unpack(out, g, "v", F64).select("x", "y", "z", rnd("v").alias("v"))
 
 
-@query("sten_diffuse_band", "K1")
+@query("sten_diffuse_band", "K1", colour_sql(CROSS, f"0.5e0 * ({RING} / 6 - {C})", "((d.bx + d.byy + d.bz) & 1)", 2, 2, (0.05, 0.02)))
 def _(spark, d):
     g, p = packed_a(spark, d)
     out = pde.smooth(p, g, pde.Step(3, 0.5, band=(0.05, 0.02)), 2, order="redblack", dtype=F64)
@@ -151,20 +169,23 @@ def _(spark, d):
     return smooth.groupBy("x", "y").agg(F.count_if(F.col("v") > 0.5).alias("inside"), rnd(F.sum("v"), 4).alias("total"))
 
 
-def blur_sql(radius, sharp):
-    w = pde.gauss3(radius, sharp)
-    return f"""WITH {DENSE}, o AS (SELECT * FROM (VALUES {', '.join(f'({x}, {y}, {z}, {w[z + 1, y + 1, x + 1]:.17e})' for x, y, z in BOX)}) t(dx, dy, dz, k))
+def blur_sql(sigma, sharp):
+    """Bell weights by distance, over their sum; sharpening takes a share of the blur from the raised centre."""
+    bell = lambda d2: math.exp(-d2 / (2 * sigma * sigma))
+    total = bell(0) + 6 * bell(1) + 12 * bell(2) + 8 * bell(3)
+    k = lambda o: (bell(sum(t * t for t in o)) / total) * (-sharp if sharp else 1) + (sharp + 1 if sharp and o == (0, 0, 0) else 0)
+    return f"""WITH {DENSE}, o AS (SELECT * FROM (VALUES {', '.join(f'({x}, {y}, {z}, {k((x, y, z)):.17e})' for x, y, z in BOX)}) t(dx, dy, dz, k))
 SELECT d.x, d.y, d.z, {rsql('sum(k * coalesce(n.v, 0))')} AS v FROM dense d, grid, o LEFT JOIN dense n ON n.x = greatest(least(d.x + dx, sx - 1), 0)
  AND n.y = greatest(least(d.y + dy, 15), 0) AND n.z = greatest(least(d.z + dz, 15), 0) GROUP BY 1, 2, 3"""
 
 
-@query("filt_gauss3", "K8 T9", blur_sql(1.0, 0.0))
+@query("filt_gauss3", "K8 T9", blur_sql(1.5, 0.0))
 def _(spark, d):
     g, p = packed_a(spark, d)
     return H.unpack(pde.convolve3(p, g, pde.gauss3(1.0, 0.0), F64), g, "v", F64).select("x", "y", "z", rnd("v").alias("v"))
 
 
-@query("filt_sharpen3", "K8", blur_sql(1.0, 0.6))
+@query("filt_sharpen3", "K8", blur_sql(0.6, 1.2))
 def _(spark, d):
     g, p = packed_a(spark, d)
     return H.unpack(pde.convolve3(p, g, pde.gauss3(1.0, 0.6), F64), g, "v", F64).select("x", "y", "z", rnd("v").alias("v"))

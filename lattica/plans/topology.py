@@ -107,15 +107,15 @@ _R3 = "sqrt(" + " + ".join(f"pow(({c} + 0.5e0) / least(nbx, nby, nbz) - 0.2e0, 2
 _LONE = "((bx = nbx - 3 AND byy = nby - 3 AND bz = nbz // 2) OR (bx = nbx - 4 AND byy = nby - 4 AND bz = nbz // 2 - 1))"
 
 
-@query("blk_refinement_maps", "S6", f"""WITH {G4}, b AS (SELECT i AS bid, i % nbx AS bx, (i // nbx) % nby AS byy, i // (nbx * nby) AS bz, nbx, nby, nbz
-  FROM (SELECT unnest(range(nbx * nby * nbz)) AS i, nbx, nby, nbz FROM grid))
+@query("blk_refinement_maps", "S6", f"""WITH {B.POINTS_SQL}, {G4}, b AS (SELECT DISTINCT bx + byy * nbx + bz * nbx * nby AS bid, bx, byy, bz, nbx, nby, nbz
+  FROM (SELECT CAST(floor(px) AS BIGINT) >> 2 AS bx, CAST(floor(py) AS BIGINT) >> 2 AS byy, CAST(floor(pz) AS BIGINT) >> 2 AS bz, nbx, nby, nbz FROM points, grid))
 SELECT bid, 0 AS kind, 0 AS level FROM b
 UNION ALL SELECT bid, 1, CASE WHEN {_LONE} OR {_R3.replace('0.2e0', '0.5e0')} < 0.4e0 OR (bx = nbx // 2 AND bz = nbz // 2) THEN 0 ELSE 2 END FROM b
 UNION ALL SELECT bid, 2, CASE WHEN {_LONE} OR {_R3} < 0.8e0 THEN 0 ELSE 2 END FROM b
 UNION ALL SELECT bid, 3, CASE WHEN {_LONE} OR {_R3} < 0.4e0 THEN 0 ELSE 2 END FROM b""")
 def _(spark, d):
     g = B.grid_for(spark, d, 4)
-    blocks = T.all_blocks(spark, g)
+    blocks = T.with_coords(P.bin_points(B.points(spark, d), g).select("bid").distinct(), g)
     out = None
     for kind in range(4):
         one = T.refinement_map(blocks, g, kind, (0.5, 0.5, 0.5)).select("bid", F.lit(kind).alias("kind"), "level")

@@ -20,6 +20,11 @@ def all_cells(spark, grid: Grid) -> DataFrame:
     return df.withColumns({"bid": K.cell_block_id("x", "y", "z", grid), "vid": K.voxel_id("x", "y", "z", grid.bsx)})
 
 
+def at_cells(cells: DataFrame, grid: Grid) -> DataFrame:
+    """Stored finest-level cells with block and voxel ids."""
+    return cells.select("x", "y", "z", K.cell_block_id("x", "y", "z", grid).alias("bid"), K.voxel_id("x", "y", "z", grid.bsx).alias("vid"))
+
+
 def pattern(kind: int, grid: Grid, level: int = 0) -> Column:
     """Value of a test pattern at a cell; kinds 0/1 index, 2 hash, 4 rings, 5 sphere."""
     if kind in (0, 1):
