@@ -17,7 +17,7 @@ from lattica.sources import tables as B  # noqa: E402
 HEADLINE = [
     "pt_block_bin", "blk_regularize", "blk_flags", "splat_density", "splat_density_stats", "ch_stat", "ch_binary", "ch_sum_slices",
     "sten_diffuse", "sten_meancurv", "pyr_tensor4", "interp_linear", "relax_jacobi_step", "st_median_price", "st_covariance",
-    "st_hist", "st_ecdf_compare", "ts_ma", "ts_ema", "ts_trend", "transp_prefix", "hash_mix64",
+    "pipeline_surface", "st_hist", "st_ecdf_compare", "ts_ma", "ts_ema", "ts_trend", "transp_prefix", "hash_mix64",
 ]
 
 

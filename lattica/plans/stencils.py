@@ -1,6 +1,7 @@
 """Stencil steps and blurs on the cell grid, each against a joined long form."""
 
 import math
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -8,7 +9,8 @@ from lattica.operators import halo as H, pde
 from lattica.plans.common import BID, rnd, rsql
 from lattica.plans.registry import query
 from lattica.plans.topology import SPLAT, density
-from lattica.sources import tables as B
+from lattica.session import ensure_checkpoint_dir
+from lattica.sources import blocks as BK, tables as B
 
 N = 8
 F64 = "float64"
@@ -152,6 +154,15 @@ def _(spark, d):
     return H.unpack(out, g, "v", F64).select("x", "y", "z", rnd("v").alias("v"))
 
 
+@query("blk_store_roundtrip", "S9", f"WITH {DENSE} SELECT x, y, z, {rsql('v')} AS v FROM dense")
+def _(spark, d):
+    """Blocks written in Morton order to the shared folder and read back."""
+    g, p = packed_a(spark, d)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/blocks-{uuid.uuid4().hex}"
+    BK.write_blocks(p, path, g)
+    return H.unpack(BK.read_blocks(spark, path), g, "v", F64).select("x", "y", "z", rnd("v").alias("v"))
+
+
 _DENSE_OF = DENSE[DENSE.index("blk AS"):]
 _AGAIN = (taps(NEAR19, "s1").replace("o AS (", "o2 AS (", 1).replace("tp AS", "tp2 AS").replace(" d, o\n", " d, o2\n")
           .replace("FROM tp ", "FROM tp2 ").replace("w AS", "w2 AS"))

@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-HEADER_LINES = 512
-
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of one file with their number.
@@ -30,20 +26,17 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def header(spark: SparkSession, path: str) -> tuple[int, int]:
-    """(vertex count, line number of the first vertex)."""
-    head = [r["value"] for r in numbered_lines(spark, path).where(F.col("line") < HEADER_LINES).orderBy("line").collect()]
-    if not head or head[0].strip() != "ply":
+    """(vertex count, line number of the first vertex), however long the header is."""
+    text, line = F.trim("value"), F.col("line")
+    element = F.regexp_extract(text, r"^element\s+vertex\s+(\d+)", 1)
+    r = numbered_lines(spark, path).agg(
+        F.max(F.when(line == 0, text)).alias("magic"), F.min(F.when(text == "end_header", line)).alias("end"),
+        F.min(F.when(element != "", F.struct(line.alias("line"), element.cast("bigint").alias("count")))).alias("vertex")).first()
+    if r["magic"] != "ply":
         raise ValueError(f"{path} is not a PLY file")
-    count = None
-    for i, text in enumerate(head):
-        found = re.match(r"element\s+vertex\s+(\d+)", text.strip())
-        if found:
-            count = int(found.group(1))
-        if text.strip() == "end_header":
-            if count is None:
-                break
-            return count, i + 1
-    raise ValueError(f"{path} has no vertex header in its first {HEADER_LINES} lines")
+    if r["end"] is None or r["vertex"] is None or r["vertex"]["line"] > r["end"]:
+        raise ValueError(f"{path} has no vertex header")
+    return r["vertex"]["count"], r["end"] + 1
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

@@ -11,11 +11,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lattica.operators import series as R
+from lattica.operators import order as O, series as R
 
 
 @dataclass(frozen=True)
@@ -43,15 +44,17 @@ class MovingStream:
         keys, order = list(self.keys), list(self.order)
         reach, build = self.spec
         old = self._tail(spark, epoch - 1)
+        batch = batch.persist()  # three jobs read it
         rows = batch.select(*keys, *order, self.value).withColumn("__new", F.lit(True))
         if old is not None:
             per_key = old.groupBy(*keys).agg(F.max("__skip").alias("__skip"), F.max("__head").alias("__head"))
-            rows = rows.join(per_key, keys, "left").unionByName(old.withColumn("__new", F.lit(False)))
+            rows = O.join_on(rows, per_key, keys, "left").unionByName(old.withColumn("__new", F.lit(False)))
         else:
             rows = rows.withColumns({"__skip": F.lit(None).cast("bigint"), "__head": F.lit(None).cast("double")})
         done = R.moving(rows, keys, order, self.value, reach, build, self.group_rows)
         done.where("__new").drop("__new", "__skip", "__head", "i").write.mode("overwrite").parquet(f"{self.out}/epoch={epoch}")
         self._keep(rows, keys, order, reach, epoch)
+        batch.unpersist()
 
     def _keep(self, rows: DataFrame, keys: list[str], order: list[str], reach: int, epoch: int) -> None:
         """The last ``reach`` rows of each series, its length so far and its first value."""
@@ -62,12 +65,18 @@ class MovingStream:
             (F.count("*") + F.coalesce(F.max("__skip"), F.lit(0))).alias("__n"),
             F.coalesce(F.max("__head"), F.min_by(self.value, F.struct(*order))).alias("__h"))
         held = tail.groupBy(*keys).agg(F.count("*").alias("__k"))
-        state = tail.select(*keys, *order, self.value).join(total, keys).join(held, keys)
+        state = O.join_on(O.join_on(tail.select(*keys, *order, self.value), total, keys), held, keys)
         state.select(*keys, *order, self.value, (F.col("__n") - F.col("__k")).alias("__skip"), F.col("__h").alias("__head")).write.mode(
             "overwrite").parquet(f"{self.state}/epoch={epoch}")
 
     def _tail(self, spark: SparkSession, epoch: int) -> DataFrame | None:
-        return spark.read.parquet(f"{self.state}/epoch={epoch}") if epoch >= 0 else None
+        """What the batch before left; nothing where the stream begins with this one."""
+        try:
+            return spark.read.parquet(f"{self.state}/epoch={epoch}") if epoch >= 0 else None
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
 
     def results(self, spark: SparkSession) -> DataFrame:
         return spark.read.option("basePath", self.out).parquet(self.out).drop("epoch")
