@@ -33,6 +33,8 @@ HAMMING = 112
 LIST_ROWS = 8192
 """Members of one list that one medoid meets; longer lists are dealt to several and their medoids linked."""
 BUCKET_POSTINGS = 1 << 20
+FIRST = 24
+"""Choices of the first look."""
 
 
 def kid(doc_id: Column) -> Column:
@@ -75,8 +77,8 @@ def choices(size: int, count: int, positions: int = 8 * WORDS) -> np.ndarray:
     return np.array(out)
 
 
-def _postings(size: int, n_buckets: int):
-    sets = choices(size, CHOICES[size])
+def _postings(size: int, n_buckets: int, some: slice):
+    sets = choices(size, CHOICES[size])[some]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,21 +140,22 @@ def _meet(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (lid, node, fp) come sorted by list; yields pairs within HAMMING bits."""
+    """Rows (lid, node, fp, root) come sorted by list; yields pairs within HAMMING bits and of unlike roots."""
     held: tuple | None = None
     for b in chain(batches, [None]):
         if b is None:
             if held is None:
                 return
-            lid, node, fps = held
+            lid, node, fps, root = held
             stop = len(lid)
         else:
             if not b.num_rows:
                 continue
-            new = (b.column("lid").to_numpy(), b.column("node").to_numpy(), np.frombuffer(b"".join(b.column("fp").to_pylist()), np.uint8).reshape(b.num_rows, -1))
-            lid, node, fps = new if held is None else tuple(np.concatenate(x) for x in zip(held, new))
+            new = (b.column("lid").to_numpy(), b.column("node").to_numpy(), np.frombuffer(b"".join(b.column("fp").to_pylist()), np.uint8).reshape(b.num_rows, -1),
+                   b.column("root").to_numpy())
+            lid, node, fps, root = new if held is None else tuple(np.concatenate(x) for x in zip(held, new))
             stop = int(np.searchsorted(lid, lid[-1]))  # the last list may go on
-            held = lid[stop:], node[stop:], fps[stop:]
+            held = lid[stop:], node[stop:], fps[stop:], root[stop:]
         s, e = C.runs(lid[:stop])
         two = s[e - s == 2]
         i, j = [two], [two + 1]
@@ -161,7 +164,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             i.append(p + x)
             j.append(q + x)
         i, j = np.concatenate(i), np.concatenate(j)
-        near = (np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1) <= HAMMING) & (node[i] != node[j])
+        near = (np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1) <= HAMMING) & (root[i] != root[j])
         a, c = node[i[near]], node[j[near]]
         lo, hi = np.minimum(a, c), np.maximum(a, c)
         pair = np.unique(np.stack([lo, hi]), axis=1)
@@ -181,23 +184,56 @@ def _shingle_sets(shingle: int):
     return run
 
 
+def _pointers(links: DataFrame) -> DataFrame:
+    """(node, root): from each linked node to its most linked partner, then along these pointers a few steps.
+
+    Nodes of one root are connected; connected nodes may have several.
+    """
+    ends = links.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("e")).select("e.x", "e.y")
+    degree = ends.groupBy("y").agg(F.count("*").alias("n"))
+    rank = F.struct("n", "y")
+    best = ends.join(degree, "y").groupBy("x").agg(F.max(rank).alias("m")).join(degree.select(F.col("y").alias("x"), F.col("n").alias("own")), "x")
+    up = F.when(F.struct(F.col("m.n").alias("n"), F.col("m.y").alias("y")) > F.struct(F.col("own").alias("n"), F.col("x").alias("y")), F.col("m.y")).otherwise(F.col("x"))
+    at = C.settle(best.select(F.col("x").alias("node"), up.alias("root")))
+    for _ in range(3):
+        at = C.settle(at.join(at.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left").select("node", F.coalesce("next", "root").alias("root")))
+    return at
+
+
 def similar_nodes(docs: DataFrame, rows: DataFrame, similarity: float, shingle: int, text_col: str = "text") -> DataFrame:
-    """(a, b, similarity): verified pairs of different word sequences of ``rows = marked(docs)``."""
+    """(a, b): verified pairs of different word sequences of ``rows = marked(docs)`` that connect all which candidates would.
+
+    The first FIRST choices join most of every group.  Pairs that these links connect by way of
+    common partners need no look in the lists of the other choices; all others are verified.
+    """
     nodes = C.settle(rows.groupBy("node").agg(F.any_value("fp").alias("fp"), F.min("mark").alias("mark")))
     n = nodes.count()
     size = next((k for k in CHOICES if n <= 1 << (8 * k - 2)), max(CHOICES))
-    n_buckets = max(1, n * CHOICES[size] // BUCKET_POSTINGS)
-    posted = nodes.select("node", "fp").mapInArrow(_postings(size, n_buckets), "bucket int, keys binary, nodes binary, counts binary")
-    lists = posted.groupBy("bucket").applyInArrow(_lists, "lid bigint, node bigint")
-    met = lists.join(nodes.select("node", "fp"), "node").repartition("lid").sortWithinPartitions("lid", "node").select("lid", "node", "fp")
-    pairs = C.settle(met.mapInArrow(_candidates, "a bigint, b bigint").distinct())
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "mark"), "node")
-    texts = docs.select(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("mark"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(
-        wanted, "mark").select("node", "text").mapInArrow(_shingle_sets(shingle), "node bigint, s array<bigint>")
-    sets = C.settle(texts.dropDuplicates(["node"]))
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.select("a", "b", F.try_divide(common, F.size("sa") + F.size("sb") - common).alias("similarity")).where(F.col("similarity") >= similarity)
+
+    def candidates(rooted: DataFrame, some: slice) -> DataFrame:
+        n_buckets = max(1, n * len(range(CHOICES[size])[some]) // BUCKET_POSTINGS)
+        posted = nodes.select("node", "fp").mapInArrow(_postings(size, n_buckets, some), "bucket int, keys binary, nodes binary, counts binary")
+        lists = posted.groupBy("bucket").applyInArrow(_lists, "lid bigint, node bigint")
+        met = lists.join(rooted.select("node", "fp", "root"), "node").repartition("lid").sortWithinPartitions("lid", "node").select("lid", "node", "fp", "root")
+        return C.settle(met.mapInArrow(_candidates, "a bigint, b bigint").distinct())
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "mark"), "node")
+        texts = docs.select(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("mark"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(
+            wanted, "mark").dropDuplicates(["node"]).select("node", "text").mapInArrow(_shingle_sets(shingle), "node bigint, s array<bigint>")
+        sets = C.settle(texts)
+        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+        common = F.size(F.array_intersect("sa", "sb"))
+        alike = F.try_divide(common, F.size("sa") + F.size("sb") - common)
+        return C.settle(both.where(alike >= similarity).select("a", "b"))
+
+    sure = verified(candidates(nodes.withColumn("root", F.col("node")), slice(0, FIRST)))
+    roots = _pointers(sure)
+    rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    more = verified(candidates(rooted, slice(FIRST, None)))
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+    across = sure.join(of("a"), "a").join(of("b"), "b").where("ra <> rb").select("a", "b")
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(across).unionByName(more)
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

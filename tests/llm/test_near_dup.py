@@ -83,3 +83,15 @@ def test_choices_are_even():
         assert c.shape == (count, size) and all(len(set(r.tolist())) == size for r in c)
         used = Counter(c.reshape(-1).tolist())
         assert len(used) == 64 and max(used.values()) <= 2 * min(used.values())
+
+
+def test_pointers_stay_inside_components(spark):
+    rng = random.Random(3)
+    hub = [(0, i) for i in range(1, 60)]
+    mesh = [(i, j) for i in range(1, 60) for j in rng.sample(range(1, 60), 4) if i != j]
+    chain = [(1000 + i, 1001 + i) for i in range(20)]
+    links = spark.createDataFrame(hub + mesh + chain, "a long, b long")
+    got = {r.node: r.root for r in N._pointers(links).collect()}
+    assert set(got) == set(range(60)) | set(range(1000, 1021))
+    assert all((n < 1000) == (r < 1000) for n, r in got.items())
+    assert {got[n] for n in range(60)} == {0}
