@@ -182,8 +182,9 @@ def exponential_average(df: DataFrame, keys: list[str], order: list[str], v: str
     ends = local.groupBy(*keys, "__chunk").agg(F.max_by("__y", "i").alias("__end"))
     # what enters a chunk: a scan over the ends of earlier ones, each faded by the chunks between
     fields = T.StructType([*[ends.schema[k] for k in keys], T.StructField("__chunk", T.LongType()), T.StructField("__carry", T.DoubleType())])
-    carry = ends.groupBy(*keys).applyInPandas(_carry_over(keys, beta**chunk), fields)
-    out = O.join_on(local, carry, [*keys, "__chunk"])
+    several = ends.withColumn("__last", F.max("__chunk").over(Window.partitionBy(*keys))).where("__last > 0").drop("__last")
+    carry = several.groupBy(*keys).applyInPandas(_carry_over(keys, beta**chunk), fields)
+    out = O.join_on(local, carry, [*keys, "__chunk"], "left").fillna(0.0, ["__carry"])
     k = (F.col("i") % chunk) + 1
     return out.withColumn("ema", F.col("__y") + F.col("__carry") * F.pow(F.lit(beta), k)).drop("__y", "__carry", "__chunk")
 
@@ -280,6 +281,7 @@ def trend(df: DataFrame, keys: list[str], order: list[str], v: str, group_rows:
     at = at.withColumn("c", F.floor(F.col("i") / chunk).cast("bigint"))
     sizes = at.groupBy(*keys).agg(F.max("n").alias("n"))
     up = _count_rising(at, keys, ["c"], split=None)
+    at = at.where(F.col("n") > chunk)  # pairs across chunks exist only where there are several
     heavy = (F.col("c") >= chunk).cast("bigint")
     # a value with a whole chunk of copies gets a bin of its own, next in order
     bins = O.ranked_values(at.drop("c", "n"), keys, "v", group_rows).select(
