@@ -187,39 +187,46 @@ def _(spark, d):
     return m.select("g", rnd(gap).alias("gap"))
 
 
-_ECDF = f"""{SM}, u AS (SELECT v, sum(CASE WHEN g = 'click' THEN 1 ELSE 0 END) AS a, sum(CASE WHEN g = 'view' THEN 1 ELSE 0 END) AS b FROM samples WHERE g IN ('click', 'view') GROUP BY v),
- t AS (SELECT sum(a) AS na, sum(b) AS nb FROM u),
- r AS (SELECT v, coalesce(lag(v) OVER w, v) AS pv, abs((sum(a) OVER w - a) / na - (sum(b) OVER w - b) / nb) AS gap FROM u, t WINDOW w AS (ORDER BY v))"""
+_BOTH = f"""{SM}, both_ AS (SELECT g, v, 1 AS a, 0 AS b FROM samples WHERE g <> 'view' UNION ALL
+  SELECT t.g, s.v, 0, 1 FROM samples s, (SELECT DISTINCT g FROM samples WHERE g <> 'view') t WHERE s.g = 'view')"""
+_ECDF = f"""{_BOTH}, u AS (SELECT g, v, sum(a) AS a, sum(b) AS b FROM both_ GROUP BY g, v),
+ t AS (SELECT g, sum(a) AS na, sum(b) AS nb FROM u GROUP BY g),
+ r AS (SELECT g, v, coalesce(lag(v) OVER w, v) AS pv, abs((sum(a) OVER w - a) / na - (sum(b) OVER w - b) / nb) AS gap FROM u JOIN t USING (g) WINDOW w AS (PARTITION BY g ORDER BY v))"""
 
 
-@query("st_ecdf_compare", "A20", f"WITH {_ECDF} SELECT {rsql('sum(gap * (v - pv))')} AS area, {rsql('max(CASE WHEN v - pv > 1e-20 THEN gap ELSE 0 END)')} AS ks FROM r")
+def against_view(spark, d):
+    """Every other event type beside the views: (g, v, first)."""
+    s = B.samples(spark, d)
+    others = s.where("g <> 'view'")
+    types = others.agg(F.collect_set("g").alias("gs"))  # one row
+    views = s.where("g = 'view'").join(F.broadcast(types)).select(F.explode("gs").alias("g"), "v", F.lit(False).alias("first"))
+    return others.withColumn("first", F.lit(True)).unionByName(views)
+
+
+@query("st_ecdf_compare", "A20", f"WITH {_ECDF} SELECT g, {rsql('sum(gap * (v - pv))')} AS area, {rsql('max(CASE WHEN v - pv > 1e-20 THEN gap ELSE 0 END)')} AS ks FROM r GROUP BY g")
 def _(spark, d):
-    s = B.samples(spark, d).where("g in ('click', 'view')")
-    return S.compare_samples(s, [], "v", F.col("g") == "click").select(rnd("area").alias("area"), rnd("ks").alias("ks"))
+    return S.compare_samples(against_view(spark, d), ["g"], "v", F.col("first")).select("g", rnd("area").alias("area"), rnd("ks").alias("ks"))
 
 
-@query("st_ecdf_squared", "A20", f"WITH {_ECDF} SELECT {rsql('sqrt(sum(gap * (v - pv) * gap * (v - pv)))')} AS area, {rsql('max(CASE WHEN v - pv > 1e-20 THEN gap ELSE 0 END)')} AS ks FROM r")
+@query("st_ecdf_squared", "A20", f"WITH {_ECDF} SELECT g, {rsql('sqrt(sum(gap * (v - pv) * gap * (v - pv)))')} AS area, {rsql('max(CASE WHEN v - pv > 1e-20 THEN gap ELSE 0 END)')} AS ks FROM r GROUP BY g")
 def _(spark, d):
-    s = B.samples(spark, d).where("g in ('click', 'view')")
-    return S.compare_samples(s, [], "v", F.col("g") == "click", squared=True).select(rnd("area").alias("area"), rnd("ks").alias("ks"))
+    return S.compare_samples(against_view(spark, d), ["g"], "v", F.col("first"), squared=True).select("g", rnd("area").alias("area"), rnd("ks").alias("ks"))
 
 
-_B256 = lambda e, na, nb: f"""{SM}, c AS (SELECT CAST(greatest({e}, 0) AS INTEGER) AS bin, sum(CASE WHEN g = 'click' THEN 1 ELSE 0 END) AS a, sum(CASE WHEN g = 'view' THEN 1 ELSE 0 END) AS b
- FROM samples WHERE g IN ('click', 'view') GROUP BY 1), t AS (SELECT sum(a) AS na, sum(b) AS nb FROM c), f AS (SELECT b AS bin FROM (SELECT CAST(unnest(range(256)) AS INTEGER) AS b)),
- r AS (SELECT sum(coalesce(a, 0) / CAST({na} AS DOUBLE) - coalesce(b, 0) / CAST({nb} AS DOUBLE)) OVER (ORDER BY f.bin) AS df FROM t, f LEFT JOIN c ON c.bin = f.bin)"""
+_B256 = lambda e, na, nb: f"""{_BOTH}, c AS (SELECT g, CAST(greatest({e}, 0) AS INTEGER) AS bin, sum(a) AS a, sum(b) AS b FROM both_ GROUP BY 1, 2),
+ t AS (SELECT g, sum(a) AS na, sum(b) AS nb FROM c GROUP BY g), f AS (SELECT g, na, nb, b.bin FROM t, (SELECT CAST(unnest(range(256)) AS INTEGER) AS bin) b),
+ r AS (SELECT f.g, sum(coalesce(a, 0) / CAST({na} AS DOUBLE) - coalesce(b, 0) / CAST({nb} AS DOUBLE)) OVER (PARTITION BY f.g ORDER BY f.bin) AS df FROM f LEFT JOIN c ON c.bin = f.bin AND c.g = f.g)"""
 
 
-@query("st_bin256_compare", "A20", f"WITH {_B256('trunc(trunc(v) / 2) + 128', '1', '1')} SELECT {rsql('sqrt(sum(df * df))')} AS cvm, {rsql('max(abs(df))')} AS ks FROM r")
+@query("st_bin256_compare", "A20", f"WITH {_B256('trunc(trunc(v) / 2) + 128', '1', '1')} SELECT g, {rsql('sqrt(sum(df * df))')} AS cvm, {rsql('max(abs(df))')} AS ks FROM r GROUP BY g")
 def _(spark, d):
-    s = B.samples(spark, d).where("g in ('click', 'view')")
     b = (F.col("v").cast("int") / 2).cast("int") + 128
-    return S.compare_binned(s, [], b, F.col("g") == "click", 256, False).select(rnd("cvm").alias("cvm"), rnd("ks").alias("ks"))
+    return S.compare_binned(against_view(spark, d), ["g"], b, F.col("first"), 256, False).select("g", rnd("cvm").alias("cvm"), rnd("ks").alias("ks"))
 
 
-@query("st_bin256_relative", "A20", f"WITH {_B256('floor(v)', 'na', 'nb')} SELECT {rsql('sqrt(sum(df * df))')} AS cvm, {rsql('max(abs(df))')} AS ks FROM r")
+@query("st_bin256_relative", "A20", f"WITH {_B256('floor(v)', 'na', 'nb')} SELECT g, {rsql('sqrt(sum(df * df))')} AS cvm, {rsql('max(abs(df))')} AS ks FROM r GROUP BY g")
 def _(spark, d):
-    s = B.samples(spark, d).where("g in ('click', 'view')")
-    return S.compare_binned(s, [], F.floor("v"), F.col("g") == "click", 256, True).select(rnd("cvm").alias("cvm"), rnd("ks").alias("ks"))
+    return S.compare_binned(against_view(spark, d), ["g"], F.floor("v"), F.col("first"), 256, True).select("g", rnd("cvm").alias("cvm"), rnd("ks").alias("ks"))
 
 
 _US = [0.0001, 0.01, 0.25, 0.5, 0.9, 0.9999]
