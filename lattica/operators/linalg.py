@@ -36,24 +36,53 @@ def _many(n: int, fn):
     return run
 
 
+# Matrices of two rows are closed formulas over columns; larger ones go through numpy a batch at a time.
+
+def _four(m: Column) -> list[Column]:
+    return [F.element_at(m, i + 1) for i in range(4)]
+
+
 def cholesky(m: Column, n: int) -> Column:
     """Lower triangular factor, row by row."""
-    return _many(n, np.linalg.cholesky)(m)
+    if n != 2:
+        return _many(n, np.linalg.cholesky)(m)
+    a, _, c, d = _four(m)
+    low = c / F.sqrt(a)
+    return F.array(F.sqrt(a), F.lit(0.0), low, F.sqrt(d - low * low))
 
 
 def inverse(m: Column, n: int) -> Column:
-    return _many(n, np.linalg.inv)(m)
+    if n != 2:
+        return _many(n, np.linalg.inv)(m)
+    a, b, c, d = _four(m)
+    det = determinant(m, 2)
+    return F.array(*[F.try_divide(v, det) for v in (d, -b, -c, a)])
 
 
 def pseudo_inverse(m: Column, n: int) -> Column:
-    return _many(n, np.linalg.pinv)(m)
+    if n != 2:
+        return _many(n, np.linalg.pinv)(m)
+    a, b, c, d = _four(m)
+    size = a * a + b * b + c * c + d * d
+    flat = F.abs(determinant(m, 2)) <= size * 1e-15  # one direction at most: the transpose over its size
+    thin = F.array(*[F.coalesce(F.try_divide(v, size), F.lit(0.0)) for v in (a, c, b, d)])
+    return F.when(flat, thin).otherwise(inverse(m, 2))
 
 
 def singular_values(m: Column, n: int) -> Column:
-    return _many(n, lambda a: np.linalg.svd(a, compute_uv=False))(m)
+    if n != 2:
+        return _many(n, lambda a: np.linalg.svd(a, compute_uv=False))(m)
+    a, b, c, d = _four(m)
+    total, det = a * a + b * b + c * c + d * d, F.abs(determinant(m, 2))
+    both, gap = F.sqrt(total + det * 2), F.sqrt(F.greatest(total - det * 2, F.lit(0.0)))  # sum and difference of the two
+    return F.array((both + gap) / 2, (both - gap) / 2)
 
 
 def determinant(m: Column, n: int) -> Column:
+    if n == 2:
+        a, b, c, d = _four(m)
+        return a * d - b * c
+
     @F.pandas_udf(DoubleType())
     def run(s: pd.Series) -> pd.Series:
         return pd.Series(np.linalg.det(_stack(s, n, n)))
@@ -61,7 +90,13 @@ def determinant(m: Column, n: int) -> Column:
 
 
 def solve(m: Column, rhs: Column, n: int) -> Column:
-    """Solution of n equations per row."""
+    """Solution of n equations per row; null components where two equations do not determine them."""
+    if n == 2:
+        a, b, c, d = _four(m)
+        p, q = F.element_at(rhs, 1), F.element_at(rhs, 2)
+        det = determinant(m, 2)
+        return F.array(F.try_divide(d * p - b * q, det), F.try_divide(a * q - c * p, det))
+
     @F.pandas_udf(ArrayType(DoubleType()))
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         x = np.linalg.solve(_stack(a, n, n), _stack(b, n, 1))

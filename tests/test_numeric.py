@@ -255,3 +255,18 @@ def test_bisection_grows_its_bracket(spark):
     df = spark.createDataFrame([(2.0, 1e9), (3.0, 0.5), (1.0, 4.0), (5.0, 5.0)], "n double, c double")
     got = [r.x for r in df.select(PY.geometric_ratio()(F.struct("n", "c")).alias("x")).collect()]
     assert got[0] == pytest.approx(1e9 - 1) and got[1] is None and got[2] is None and got[3] == pytest.approx(1.0)
+
+
+def test_two_by_two_formulas_equal_numpy(spark):
+    from lattica.operators import linalg as LA
+    rng = np.random.default_rng(12)
+    ms = [rng.normal(size=(2, 2)) for _ in range(20)] + [np.array([[1.0, 2.0], [2.0, 4.0]]), np.zeros((2, 2))]
+    df = spark.createDataFrame([(i, m.ravel().tolist(), (m @ m.T + np.eye(2)).ravel().tolist()) for i, m in enumerate(ms)], "i int, m array<double>, s array<double>")
+    m, s = F.col("m"), F.col("s")
+    out = df.select("i", LA.determinant(m, 2).alias("det"), LA.pseudo_inverse(m, 2).alias("pinv"), LA.singular_values(m, 2).alias("sv"), LA.inverse(s, 2).alias("inv"),
+                    LA.cholesky(s, 2).alias("low"), LA.solve(s, F.array(F.lit(1.0), F.lit(-2.0)), 2).alias("x")).orderBy("i").collect()
+    for r, a in zip(out, ms):
+        b = a @ a.T + np.eye(2)
+        for got, want in ((r.det, np.linalg.det(a)), (r.pinv, np.linalg.pinv(a).ravel()), (r.sv, np.linalg.svd(a, compute_uv=False)), (r.inv, np.linalg.inv(b).ravel()),
+                          (r.low, np.linalg.cholesky(b).ravel()), (r.x, np.linalg.solve(b, [1.0, -2.0]))):
+            np.testing.assert_allclose(got, want, rtol=1e-8, atol=1e-8)
