@@ -5,8 +5,9 @@ differ, so no tally of equal bytes is certain; a pair is a candidate once it sha
 bytes of one of many fixed choices of positions, that is once its tally reaches the size of a
 choice.  The size grows with the logarithm of the number of documents, which keeps chance
 meetings per document few at any scale, and the number of choices keeps recall at the
-threshold (``CHOICES``).  In a list, the member nearest the list's majority bits meets all
-others, and neighbours in bit order meet each other: links grow with the list, not its square.
+threshold (``CHOICES``).  A first look joins most of every group by few pairs per list.  The
+second goes through the lists of all choices and compares every pair of members that the first
+has not joined; long lists are compared in pairs of parts.
 Candidates within HAMMING bits are verified exactly on their shingle sets.
 """
 
@@ -31,10 +32,13 @@ CHOICES = {3: 256, 4: 1100, 5: 5000}
 """Choices of positions by their size; each size serves up to 2**(8 * size - 2) documents."""
 HAMMING = 112
 LIST_ROWS = 8192
-"""Members of one list that one medoid meets; longer lists are dealt to several and their medoids linked."""
+"""Most members of a list in one piece.  At first look each part of a longer list has a medoid of its own, and these
+are linked; at second look any two half-size parts meet."""
 BUCKET_POSTINGS = 1 << 20
 FIRST = 24
 """Choices of the first look."""
+PAIRS = 1 << 18
+"""Pairs that are compared at once."""
 
 
 def kid(doc_id: Column) -> Column:
@@ -86,6 +90,7 @@ def _postings(size: int, n_buckets: int, some: slice):
                 b = batch.slice(i, 4096)
                 fps = np.frombuffer(b"".join(b.column("fp").to_pylist()), np.uint8).reshape(b.num_rows, -1)
                 node = b.column("node").to_numpy()
+                apart = b.column("root").to_numpy() ^ node  # zero, and next to no bytes, where nothing is joined
                 key = np.zeros((b.num_rows, len(sets)), np.uint64)
                 for c in range(size):
                     key = (key << np.uint64(8)) | fps[:, sets[:, c]].astype(np.uint64)
@@ -94,24 +99,31 @@ def _postings(size: int, n_buckets: int, some: slice):
                 bucket = C.bucket_of(key, n_buckets)
                 order = np.argsort(bucket, kind="stable")  # and by node within a bucket
                 short, own = C.short_of(key[order]), order // len(sets)
-                rows = [(bucket[order[x]], short[x:y].tobytes(), *_counted(node, own[x:y])) for x, y in zip(*C.runs(bucket[order]))]
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))],
-                                      names=["bucket", "keys", "nodes", "counts"])
+                rows = [(bucket[order[x]], short[x:y].tobytes(), *_counted(node, apart, own[x:y])) for x, y in zip(*C.runs(bucket[order]))]
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 4))],
+                                      names=["bucket", "keys", "nodes", "roots", "counts"])
     return run
 
 
-def _counted(node: np.ndarray, at: np.ndarray) -> tuple[bytes, bytes]:
-    """Each node once, and how many postings in a row are its own."""
+def _counted(node: np.ndarray, apart: np.ndarray, at: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """Each node once, its root, and how many postings in a row are its own."""
     s, e = C.runs(at)
-    return node[at[s]].tobytes(), C.planes((e - s).astype(np.uint32))
+    return node[at[s]].tobytes(), C.planes(apart[at[s]]), C.planes((e - s).astype(np.uint32))
 
 
-def _lists(t: pa.Table) -> pa.Table:
-    """Of one bucket: the members of every list of two or more, long lists dealt out."""
+def _postings_of(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of one bucket: the list, node and root of every posting."""
     key = np.frombuffer(b"".join(t.column("keys").to_pylist()), np.uint32).astype(np.uint64)
     key = C.mix(key | (np.uint64(t.column("bucket")[0].as_py()) << np.uint64(32)))
-    node = np.repeat(np.frombuffer(b"".join(t.column("nodes").to_pylist()), np.int64),
-                     np.concatenate([C.from_planes(x, np.uint32) for x in t.column("counts").to_pylist()]))
+    node = np.frombuffer(b"".join(t.column("nodes").to_pylist()), np.int64)
+    root = node ^ np.concatenate([C.from_planes(x, np.int64) for x in t.column("roots").to_pylist()])
+    count = np.concatenate([C.from_planes(x, np.uint32) for x in t.column("counts").to_pylist()])
+    return key, np.repeat(node, count), np.repeat(root, count)
+
+
+def _lists(t: pa.Table) -> pa.Table:
+    """Of one bucket: the members of every list of two or more, long lists dealt out."""
+    key, node, _ = _postings_of(t)
     order = np.lexsort((node, key))
     key, node = key[order], node[order]
     s, e = C.runs(key)
@@ -127,8 +139,31 @@ def _lists(t: pa.Table) -> pa.Table:
     return pa.table({"lid": pa.array(np.r_[lid[keep], before].view(np.int64)), "node": pa.array(np.r_[node[keep], node[again]])})
 
 
+def _open_lists(t: pa.Table) -> pa.Table:
+    """Of one bucket: the members of every list with two roots or more; of a long list, every two parts but those of one root."""
+    key, node, root = _postings_of(t)
+    order = np.lexsort((node, root, key))
+    key, node, root = key[order], node[order], root[order]
+    s, e = C.runs(key)
+    open_ = root[s] != root[e - 1]  # sorted by root
+    short = open_ & (e - s <= LIST_ROWS)
+    keep = np.repeat(short, e - s)
+    lids, nodes = [key[keep]], [node[keep]]
+    half = max(1, LIST_ROWS // 2)
+    for x, y in zip(s[open_ & ~short], e[open_ & ~short]):
+        at = np.arange(x, y, half)
+        end = np.minimum(at + half, y)
+        for i in range(len(at)):
+            for j in range(i + 1, len(at)):
+                if root[at[i]] == root[end[j] - 1]:
+                    continue
+                lids.append(np.full(end[i] - at[i] + end[j] - at[j], C.mix(key[x:x + 1] + np.uint64(((i << 32 | j) * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF))[0]))
+                nodes += [node[at[i]:end[i]], node[at[j]:end[j]]]
+    return pa.table({"lid": pa.array(np.concatenate(lids).view(np.int64)), "node": pa.array(np.concatenate(nodes))})
+
+
 def _meet(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of members to compare: all with the one nearest the majority, and neighbours in bit order."""
+    """Pairs of members to compare at first look: all with the one nearest the majority, and neighbours in bit order."""
     n = len(fps)
     if n <= 3:
         return np.triu_indices(n, 1)
@@ -139,37 +174,70 @@ def _meet(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.r_[np.full(n, m), order[:-1]], np.r_[np.arange(n), order[1:]]
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (lid, node, fp, root) come sorted by list; yields pairs within HAMMING bits and of unlike roots."""
-    held: tuple | None = None
-    for b in chain(batches, [None]):
-        if b is None:
-            if held is None:
-                return
-            lid, node, fps, root = held
-            stop = len(lid)
-        else:
-            if not b.num_rows:
-                continue
-            new = (b.column("lid").to_numpy(), b.column("node").to_numpy(), np.frombuffer(b"".join(b.column("fp").to_pylist()), np.uint8).reshape(b.num_rows, -1),
-                   b.column("root").to_numpy())
-            lid, node, fps, root = new if held is None else tuple(np.concatenate(x) for x in zip(held, new))
-            stop = int(np.searchsorted(lid, lid[-1]))  # the last list may go on
-            held = lid[stop:], node[stop:], fps[stop:], root[stop:]
-        s, e = C.runs(lid[:stop])
-        two = s[e - s == 2]
-        i, j = [two], [two + 1]
-        for x, y in zip(s[e - s > 2], e[e - s > 2]):
-            p, q = _meet(fps[x:y])
-            i.append(p + x)
-            j.append(q + x)
-        i, j = np.concatenate(i), np.concatenate(j)
-        near = (np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1) <= HAMMING) & (root[i] != root[j])
-        a, c = node[i[near]], node[j[near]]
-        lo, hi = np.minimum(a, c), np.maximum(a, c)
-        pair = np.unique(np.stack([lo, hi]), axis=1)
-        if pair.size:
-            yield pa.record_batch({"a": pa.array(pair[0]), "b": pa.array(pair[1])})
+def _near(fps: np.ndarray, root: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the pairs that are of unlike roots and within HAMMING bits."""
+    apart = root[i] != root[j]
+    i, j = i[apart], j[apart]
+    near = np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1) <= HAMMING
+    return i[near], j[near]
+
+
+def _every(fps: np.ndarray, root: np.ndarray, s: np.ndarray, e: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All near pairs of unlike roots in the lists s[k]..e[k], some at a time."""
+    n = e - s
+    for k in np.unique(n[(n > 1) & (n <= 64)]):
+        p, q = np.triu_indices(k, 1)
+        of = s[n == k]
+        step = max(1, PAIRS // len(p))
+        for x in range(0, len(of), step):
+            first = of[x:x + step, None]
+            yield _near(fps, root, (first + p).reshape(-1), (first + q).reshape(-1))
+    for x, y in zip(s[n > 64], e[n > 64]):
+        order = x + np.argsort(root[x:y], kind="stable")
+        rs, re = C.runs(root[order])
+        after = np.repeat(re, re - rs)  # those of the same root need no look
+        step = max(1, PAIRS // (y - x))
+        for a in range(0, y - x, step):
+            rows, rest = order[a:a + step], order[after[a]:]
+            if len(rest):
+                yield _near(fps, root, np.repeat(rows, len(rest)), np.tile(rest, len(rows)))
+
+
+def _some(fps: np.ndarray, root: np.ndarray, s: np.ndarray, e: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The near pairs of first look."""
+    two = s[e - s == 2]
+    i, j = [two], [two + 1]
+    for x, y in zip(s[e - s > 2], e[e - s > 2]):
+        p, q = _meet(fps[x:y].view(np.uint8))
+        i.append(p + x)
+        j.append(q + x)
+    yield _near(fps, root, np.concatenate(i), np.concatenate(j))
+
+
+def _candidates(pairs):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (lid, node, fp, root) come sorted by list; yields pairs within HAMMING bits and of unlike roots."""
+        held: tuple | None = None
+        for b in chain(batches, [None]):
+            if b is None:
+                if held is None:
+                    return
+                lid, node, fps, root = held
+                stop = len(lid)
+            else:
+                if not b.num_rows:
+                    continue
+                new = (b.column("lid").to_numpy(), b.column("node").to_numpy(), np.frombuffer(b"".join(b.column("fp").to_pylist()), np.uint64).reshape(b.num_rows, -1),
+                       b.column("root").to_numpy())
+                lid, node, fps, root = new if held is None else tuple(np.concatenate(x) for x in zip(held, new))
+                stop = int(np.searchsorted(lid, lid[-1]))  # the last list may go on
+                held = lid[stop:], node[stop:], fps[stop:], root[stop:]
+            for i, j in pairs(fps, root, *C.runs(lid[:stop])):
+                lo, hi = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+                pair = np.unique(np.stack([lo, hi]), axis=1)
+                if pair.size:
+                    yield pa.record_batch({"a": pa.array(pair[0]), "b": pa.array(pair[1])})
+    return run
 
 
 def _shingle_sets(shingle: int):
@@ -203,19 +271,20 @@ def _pointers(links: DataFrame) -> DataFrame:
 def similar_nodes(docs: DataFrame, rows: DataFrame, similarity: float, shingle: int, text_col: str = "text") -> DataFrame:
     """(a, b): verified pairs of different word sequences of ``rows = marked(docs)`` that connect all which candidates would.
 
-    The first FIRST choices join most of every group.  Pairs that these links connect by way of
-    common partners need no look in the lists of the other choices; all others are verified.
+    The first FIRST choices join most of every group by a few pairs per list.  Pairs that these links
+    connect by way of common partners need no second look; all others that share a list of any choice
+    are compared and, within HAMMING bits, verified.
     """
     nodes = C.settle(rows.groupBy("node").agg(F.any_value("fp").alias("fp"), F.min("mark").alias("mark")))
     n = nodes.count()
     size = next((k for k in CHOICES if n <= 1 << (8 * k - 2)), max(CHOICES))
 
-    def candidates(rooted: DataFrame, some: slice) -> DataFrame:
+    def candidates(rooted: DataFrame, some: slice, lists_of, pairs) -> DataFrame:
         n_buckets = max(1, n * len(range(CHOICES[size])[some]) // BUCKET_POSTINGS)
-        posted = nodes.select("node", "fp").mapInArrow(_postings(size, n_buckets, some), "bucket int, keys binary, nodes binary, counts binary")
-        lists = posted.groupBy("bucket").applyInArrow(_lists, "lid bigint, node bigint")
+        posted = rooted.select("node", "fp", "root").mapInArrow(_postings(size, n_buckets, some), "bucket int, keys binary, nodes binary, roots binary, counts binary")
+        lists = posted.groupBy("bucket").applyInArrow(lists_of, "lid bigint, node bigint")
         met = lists.join(rooted.select("node", "fp", "root"), "node").repartition("lid").sortWithinPartitions("lid", "node").select("lid", "node", "fp", "root")
-        return C.settle(met.mapInArrow(_candidates, "a bigint, b bigint").distinct())
+        return C.settle(met.mapInArrow(_candidates(pairs), "a bigint, b bigint").distinct())
 
     def verified(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "mark"), "node")
@@ -227,10 +296,10 @@ def similar_nodes(docs: DataFrame, rows: DataFrame, similarity: float, shingle:
         alike = F.try_divide(common, F.size("sa") + F.size("sb") - common)
         return C.settle(both.where(alike >= similarity).select("a", "b"))
 
-    sure = verified(candidates(nodes.withColumn("root", F.col("node")), slice(0, FIRST)))
+    sure = verified(candidates(nodes.withColumn("root", F.col("node")), slice(0, FIRST), _lists, _some))
     roots = _pointers(sure)
-    rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    more = verified(candidates(rooted, slice(FIRST, None)))
+    rooted = C.settle(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    more = verified(candidates(rooted, slice(None), _open_lists, _every))
     of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
     across = sure.join(of("a"), "a").join(of("b"), "b").where("ra <> rb").select("a", "b")
     return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(across).unionByName(more)

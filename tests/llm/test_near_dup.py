@@ -2,10 +2,13 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from lattica.llm import common as C
 from lattica.llm import near_dup as N
+from lattica.llm.simhash import normal_words, shingle_hashes, simhash
 
 WORD = re.compile(C.WORD)
 
@@ -95,3 +98,51 @@ def test_pointers_stay_inside_components(spark):
     assert set(got) == set(range(60)) | set(range(1000, 1021))
     assert all((n < 1000) == (r < 1000) for n, r in got.items())
     assert {got[n] for n in range(60)} == {0}
+
+
+def boilerplate(n, pairs, shared=150, own=50):
+    """Texts that share most of their words but no near copies, and pairs (d, 100000 + d) at similarity 0.82 to 0.86."""
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    common = [word() for _ in range(shared)]
+    rows = []
+    for d in range(n):
+        w = common + [word() for _ in range(own)]
+        rows.append((d, " ".join(w)))
+        if d < pairs:
+            for at in rng.sample(range(0, len(w) - 5, 6), 4):
+                w[at] = word()
+            rows.append((100_000 + d, " ".join(w)))
+    return rows
+
+
+def test_pairs_in_a_boilerplate_source(spark):
+    rows = boilerplate(1500, 120)
+    data, off = C.text_bytes(pa.chunked_array([pa.array([t for _, t in rows])]))
+    fps = simhash(*shingle_hashes(*normal_words(data, off), 5), len(rows), N.WORDS).view(np.uint8)
+    at = {d: i for i, (d, _) in enumerate(rows)}
+    same = [fps[at[d]] == fps[at[100_000 + d]] for d in range(120)]
+    meet = {100_000 + d for d, x in enumerate(same) if x[N.choices(3, N.CHOICES[3])].all(axis=1).any()}
+    assert len(meet) >= 110
+    left = {r.doc_id for r in N.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(range(1500)) <= left and not meet & left
+
+
+@pytest.mark.parametrize("limit", [8192, 40])
+def test_second_look_compares_every_pair_of_unlike_roots(monkeypatch, limit):
+    monkeypatch.setattr(N, "LIST_ROWS", limit)
+    rng = np.random.default_rng(4)
+    centre = rng.integers(0, 1 << 63, (1, 8), dtype=np.uint64)
+    flips = np.packbits(rng.random((300, 512)) < 0.12, axis=1).view(np.uint64)
+    fps = centre ^ flips
+    node = np.arange(1, 301)
+    root = np.where(node <= 120, 1, node)
+    t = pa.table({"bucket": pa.array([0], pa.int32()), "keys": [np.zeros(300, np.uint32).tobytes()], "nodes": [node.tobytes()],
+                  "roots": [C.planes(node ^ root)], "counts": [C.planes(np.ones(300, np.uint32))]})
+    lists = N._open_lists(t).to_pandas().sort_values("lid", kind="stable")
+    at = lists.node.to_numpy() - 1
+    met = pa.record_batch({"lid": pa.array(lists.lid.to_numpy()), "node": pa.array(node[at]), "fp": pa.array([fps[i].tobytes() for i in at], pa.binary()), "root": pa.array(root[at])})
+    got = {(a, b) for out in N._candidates(N._every)(iter([met.slice(0, 100), met.slice(100)])) for a, b in zip(out.column("a").to_pylist(), out.column("b").to_pylist())}
+    bits = np.bitwise_count(fps[:, None] ^ fps[None]).sum(axis=2)
+    want = {(i + 1, j + 1) for i in range(300) for j in range(i + 1, 300) if bits[i, j] <= N.HAMMING and root[i] != root[j]}
+    assert want and got == want
