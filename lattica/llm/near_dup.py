@@ -46,6 +46,14 @@ def kid(doc_id: Column) -> Column:
     return F.coalesce(doc_id.cast("bigint"), F.lit(-(1 << 63)))
 
 
+def _distinct(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each shingle of a text once, as the verified similarity has it."""
+    order = np.lexsort((h, doc))
+    h, doc = h[order], doc[order]
+    first = np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])][:len(h)]
+    return h[first], doc[first]
+
+
 def marked(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(kid, mark, node, fp): ``node`` names the words of a text with A-Z lowered, ``mark`` its very bytes."""
 
@@ -54,8 +62,7 @@ def marked(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str
             for b in text_slices(batch):
                 data, off = C.text_bytes(pa.chunked_array([b.column("text")]))
                 raw, s, e, bounds = normal_words(data, off)
-                h, doc = shingle_hashes(raw, s, e, bounds, shingle)
-                fps = simhash(h, doc, b.num_rows, WORDS)
+                fps = simhash(*_distinct(*shingle_hashes(raw, s, e, bounds, shingle)), b.num_rows, WORDS)
                 cut = np.r_[s, len(raw)]
                 node = [int.from_bytes(hashlib.blake2b(raw[i:j], digest_size=8).digest(), "little", signed=True) for i, j in zip(cut[bounds[:-1]].tolist(), cut[bounds[1:]].tolist())]
                 yield pa.record_batch({"kid": b.column("kid"), "mark": b.column("mark"), "node": pa.array(node, pa.int64()),

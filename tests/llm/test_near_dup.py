@@ -119,7 +119,7 @@ def boilerplate(n, pairs, shared=150, own=50):
 def test_pairs_in_a_boilerplate_source(spark):
     rows = boilerplate(1500, 120)
     data, off = C.text_bytes(pa.chunked_array([pa.array([t for _, t in rows])]))
-    fps = simhash(*shingle_hashes(*normal_words(data, off), 5), len(rows), N.WORDS).view(np.uint8)
+    fps = simhash(*N._distinct(*shingle_hashes(*normal_words(data, off), 5)), len(rows), N.WORDS).view(np.uint8)
     at = {d: i for i, (d, _) in enumerate(rows)}
     same = [fps[at[d]] == fps[at[100_000 + d]] for d in range(120)]
     meet = {100_000 + d for d, x in enumerate(same) if x[N.choices(3, N.CHOICES[3])].all(axis=1).any()}
@@ -146,3 +146,15 @@ def test_second_look_compares_every_pair_of_unlike_roots(monkeypatch, limit):
     bits = np.bitwise_count(fps[:, None] ^ fps[None]).sum(axis=2)
     want = {(i + 1, j + 1) for i in range(300) for j in range(i + 1, 300) if bits[i, j] <= N.HAMMING and root[i] != root[j]}
     assert want and got == want
+
+
+def test_lines_repeated_more_often(spark):
+    rng = random.Random(23)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    rows = []
+    for d in range(40):
+        text, line = [" ".join(word() for _ in range(k)) for k in (200, 14)]
+        rows += [(d, f"{text} {line}"), (1000 + d, f"{text} {line}" + f" {line}" * (5 + 5 * (d % 4)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert all(len(shingles(a) & shingles(b)) >= 0.9 * len(shingles(a) | shingles(b)) for (_, a), (_, b) in zip(rows[::2], rows[1::2]))
+    assert sorted(r.doc_id for r in N.drop_near_duplicates(df).collect()) == list(range(40))
