@@ -1,8 +1,9 @@
 """Secret scanning with DataFrame functions only.
 
-A pattern finds every long token with a digit; a random forest over its length, character
-transitions, dictionary coverage, path signs and neighbouring words removes false
-positives.  It is fitted by Spark ML on labelled findings, or where there are none on
+A pattern finds long tokens with a digit, of mixed case or with dots, published key formats, and
+whole values that a telling name or the login of an address is given; a random forest over length,
+character transitions, dictionary coverage, path signs, neighbouring words and formats removes
+false positives.  It is fitted by Spark ML on labelled findings, or where there are none on
 findings that a format or an assignment to a telling name labels.
 """
 
@@ -16,17 +17,31 @@ from pyspark.sql import functions as F
 
 from lattica.llm import common as C
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{12,}+={0,2}"
 BEFORE, AFTER = 60, 20
 """Code points of context that features see."""
 SAMPLE_ROWS = 20_000
 """Most labelled findings that a fit reads: those with the smallest hash."""
+LONG = 12
+"""Least code points of a secret that is replaced wherever it stands."""
 WORD_LEAST = 2
 """Neighbourhoods that a word must occur in to count as a dictionary word."""
 NAMES = r"(?i)(pass(word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|auth|bearer)"
-FORMATS = r"^(AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,}|xox[abprs]-[0-9A-Za-z-]{10,}|sk_(live|test)_[0-9A-Za-z]{16,})$"
+TOLD = r"(?i:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|auth|bearer)[\"'`]?\s{0,3}[:=]{1,2}>?\s{0,3}"
+"""What stands before a value that a telling name is given, up to a quote."""
+LOGIN = r"://[^\s/:@]{0,64}:"
+"""What stands before the password in an address."""
+PUBLISHED = r"(?:AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,}+|xox[abprs]-[0-9A-Za-z-]{10,}+|sk_(?:live|test)_[0-9A-Za-z]{16,}+)"
+FORMATS = f"^{PUBLISHED}$"
 """Published formats of well-known keys."""
-FEATURES = ["length", "changes", "digits", "upper", "distinct", "consonants", "coverage", "path", "assigned", "quoted", "named"]
+CANDIDATE = (r"(?<![A-Za-z0-9+/_-])(?:" + PUBLISHED + r"(?![A-Za-z0-9+/_-])"
+             r"|(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{12,}+={0,2}"
+             r"|(?=[A-Za-z+/_-]*?[a-z][A-Z])[A-Za-z+/_-]{20,}+={0,2}"
+             r"|(?=[A-Za-z0-9._-]{12})(?=[A-Za-z._-]*+[0-9])[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]++)+)")
+"""By their own looks: published formats, 12 characters with a digit, 20 letters of mixed case, 12 characters with dots and a digit."""
+SEARCH = (r"(?<=[:=>][\s\"'`]{0,4})(?:" + "|".join(f"(?<={TOLD}{q})[^{q}\\r\\n]++(?={q})" for q in "\"'`")
+          + f"|(?<={TOLD}[\"'`]?)" + r"[^\s\"'`]*[^\s\"'`.,;:)\]}>]" + f"|(?<={LOGIN})" + r"[^\s/@]++(?=@))|" + CANDIDATE)
+"""Also whole values by what stands before them: in quotes, or up to white space without a closing mark."""
+FEATURES = ["length", "changes", "digits", "upper", "distinct", "consonants", "coverage", "path", "assigned", "quoted", "named", "format"]
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -35,8 +50,8 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     ``mark`` is the text's hash, ``k`` counts a text's candidates from 0, ``start`` is in code points.
     """
     text = F.col("text")
-    src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where(F.rlike(text, F.lit(CANDIDATE)))
-    cut = src.select("doc_id", F.xxhash64("text").alias("mark"), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("tokens"), F.split(text, CANDIDATE, -1).alias("gaps"))
+    src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where(F.rlike(text, F.lit(SEARCH)))
+    cut = src.select("doc_id", F.xxhash64("text").alias("mark"), F.regexp_extract_all(text, F.lit(SEARCH), F.lit(0)).alias("tokens"), F.split(text, SEARCH, -1).alias("gaps"))
     each = cut.select("doc_id", "mark", F.posexplode(F.arrays_zip("tokens", "gaps", F.slice("gaps", F.lit(2), F.size("gaps")).alias("next"))).alias("k", "x"))
     flat = each.where(F.col("x.tokens").isNotNull()).select(
         "doc_id", "mark", "k", F.col("x.tokens").alias("token"), F.length("x.gaps").alias("gap"),
@@ -74,12 +89,13 @@ def with_features(found: DataFrame, words: DataFrame) -> DataFrame:
         "assigned": flag(F.rlike("before", F.lit(r"[:=]\s*[\"'`]?$"))),
         "quoted": flag(F.rlike("before", F.lit("[\"'`]$")) & F.rlike("after", F.lit("^[\"'`]"))),
         "named": flag(F.rlike("before", F.lit(NAMES + r"\W*$"))),
+        "format": flag(F.rlike(t, F.lit(FORMATS))),
     }).drop("known")
 
 
 def format_label() -> Column:
     """1 where a published format or an assignment to a telling name says secret, 0 elsewhere."""
-    told = F.rlike("token", F.lit(FORMATS)) | F.rlike("before", F.lit(NAMES + r"\s*[:=]\s*[\"'`]?$"))
+    told = F.rlike("token", F.lit(FORMATS)) | F.rlike("before", F.lit(f"{TOLD}[\"'`]?$")) | (F.rlike("before", F.lit(LOGIN + "$")) & F.startswith("after", F.lit("@")))
     return F.coalesce(told, F.lit(False)).cast("double")
 
 
@@ -124,11 +140,17 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, threshold: float =
 
 
 def redact(docs: DataFrame, found: DataFrame, by: str = "<secret>", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with every found secret replaced in its text; all rows stay."""
-    tokens = found.where("secret").groupBy("doc_id", "mark").agg(F.collect_set("token").alias("__tokens")).withColumnsRenamed(
+    """The rows of ``docs`` with every found secret replaced in its text; all rows stay.
+
+    A secret is replaced where it was found, one of LONG code points wherever it stands in the text.
+    """
+    tokens = found.where("secret").groupBy("doc_id", "mark").agg(F.collect_set(F.struct(F.col("start").cast("int").alias("start"), "token")).alias("__tokens")).withColumnsRenamed(
         {"doc_id": "__id", "mark": "__mark"})
-    longest_first = F.reverse(F.array_sort(F.transform("__tokens", lambda t: F.struct(F.length(t).alias("n"), t.alias("t")))))
-    text = F.aggregate(longest_first, F.col(text_col), lambda a, x: F.replace(a, x["t"], F.lit(by)))
+    last_first = F.reverse(F.array_sort("__tokens"))
+    cut = F.aggregate(last_first, F.col(text_col), lambda a, x: F.concat(
+        F.substr(a, F.lit(1), x["start"]), F.lit(by), F.substr(a, x["start"] + F.length(x["token"]) + 1)))
+    long = F.array_distinct(F.filter(F.transform("__tokens", lambda x: F.struct(F.length(x["token"]).alias("n"), x["token"].alias("t"))), lambda x: x["n"] >= LONG))
+    text = F.aggregate(F.reverse(F.array_sort(long)), cut, lambda a, x: F.replace(a, x["t"], F.lit(by)))
     keyed = docs.withColumn("__m", F.xxhash64(text_col))
     out = keyed.join(tokens, F.col(id_col).cast("bigint").eqNullSafe(F.col("__id")) & (F.col("__m") == F.col("__mark")), "left")
     return out.withColumn(text_col, F.when(F.col("__tokens").isNull(), F.col(text_col)).otherwise(text)).select(*docs.columns)
