@@ -24,7 +24,7 @@ SAMPLE_ROWS = 20_000
 LONG = 12
 """Least code points of a secret that is replaced wherever it stands."""
 WORD_LEAST = 2
-"""Neighbourhoods that a word must occur in to count as a dictionary word."""
+"""Documents that a word must occur in to count as a dictionary word."""
 NAMES = r"(?i)(pass(word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|auth|bearer)"
 TOLD = r"(?i:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|auth|bearer)[\"'`]?\s{0,3}[:=]{1,2}>?\s{0,3}"
 """What stands before a value that a telling name is given, up to a quote."""
@@ -62,10 +62,10 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return once.withColumn("start", (upto - F.length("token")).cast("bigint")).drop("gap")
 
 
-def dictionary(found: DataFrame) -> DataFrame:
-    """(word, n): words of at least four letters around candidates, counted over all of them."""
-    near = F.regexp_extract_all(F.lower(F.concat_ws(" ", "before", "after")), F.lit(r"(?<![\p{L}\p{N}_])\p{L}{4,}(?![\p{L}\p{N}_])"), F.lit(0))
-    return found.select(F.explode(F.array_distinct(near)).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= WORD_LEAST)
+def dictionary(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(word, n): words of at least four letters of all documents, and how many documents have each."""
+    of = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(r"(?<![\p{L}\p{N}_])\p{L}{4,}+(?![\p{L}\p{N}_])"), F.lit(0))
+    return docs.select(F.explode(F.array_distinct(of)).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= WORD_LEAST)
 
 
 def with_features(found: DataFrame, words: DataFrame) -> DataFrame:
@@ -128,7 +128,7 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, threshold: float =
     no candidates; rows equal in id and text have one set of findings.
     """
     found = C.settle(candidates(docs, id_col, text_col))
-    words = C.settle(dictionary(found))
+    words = C.settle(dictionary(docs, text_col))
     featured = with_features(found, words)
     if labelled is None:
         model = fit(featured)
