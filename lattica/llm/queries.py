@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm import common as C
-from lattica.llm import decontaminate, fingerprint, mixture, quality, secrets, simhash, substring_dedup, suffix_dedup, token_counts, warc
+from lattica.llm import (
+    ann_forest, decontaminate, fingerprint, hard_negatives, lexical, mixture, quality, secrets, simhash, substring_dedup, suffix_dedup, token_counts, warc)
 
 Build = Callable[[SparkSession, str], DataFrame]
 
@@ -67,6 +68,19 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.round_trip(C.table(spark, folder, "pages")).drop("intact")
 
 
+def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.rank(C.table(spark, folder, "documents"), C.table(spark, folder, "benchmark"), k=20)
+
+
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(C.table(spark, folder, "embeddings"), label=moved)
+
+
+def op13_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    return ann_forest.nearest(C.table(spark, folder, "embeddings"), k=5)
+
+
 QUERIES: dict[str, Build] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_decontaminate": op2_decontaminate,
@@ -78,6 +92,9 @@ QUERIES: dict[str, Build] = {
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_secret_scan": op9_secret_scan,
     "op10_warc": op10_warc,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_nearest": op13_nearest,
 }
 
 #: Every 13-word window as text, its first document, and the words of windows that start earlier elsewhere.
@@ -113,5 +130,31 @@ SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, sha256(body) AS p
  CASE WHEN strlen(body) >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
  CASE WHEN strlen(body) >= 100 AND first <> page_id THEN first END AS refers_to FROM f"""
 
+#: Integer arithmetic on term counts; every weight is floored in doubles.
+OP11_SQL = r"""
+WITH t AS (SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+ g AS (SELECT CAST(count(*) AS BIGINT) AS nd, CAST(sum(len(ws)) AS BIGINT) AS total FROM t WHERE len(ws) > 0),
+ tf AS (SELECT d, doc_id, n, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT d, doc_id, CAST(len(ws) AS BIGINT) AS n, unnest(ws) AS term FROM t) GROUP BY ALL),
+ w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(nd) + 2) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM tf, g GROUP BY term),
+ q AS (SELECT item_id, term, CAST(count(*) AS BIGINT) AS times FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL),
+ s AS (SELECT item_id, d, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * nd) // total)))) AS BIGINT) AS score
+  FROM q JOIN tf USING (term) JOIN w USING (term), g GROUP BY ALL),
+ r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM r WHERE rank <= 20"""
+
+#: Every anchor against every row, in integers.
+OP12_SQL = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+ s AS (SELECT a.vec_id AS anchor_id, a.label AS anchor_label, b.vec_id AS id, b.label,
+  CAST(list_inner_product(CAST(a.v AS DOUBLE[]), CAST(b.v AS DOUBLE[])) AS BIGINT) AS score FROM e a, e b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+ p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE label = anchor_label
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank,
+ id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE label <> anchor_label AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) <= 3"""
+
 #: The others count library tokens, hash with XXH64, draw, or train: tests hold them against brute force.
-ORACLES: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op3_suffix_dedup": OP3_SQL, "op10_warc": OP10_SQL}
+ORACLES: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op3_suffix_dedup": OP3_SQL, "op10_warc": OP10_SQL,
+                          "op11_lexical_search": OP11_SQL, "op12_hard_negatives": OP12_SQL}
