@@ -33,31 +33,85 @@ def quadratic_roots(a, b, c) -> Column:
             .when(disc == 0, F.array(-b / (safe * 2.0))).otherwise(two))
 
 
+SAME = 1e-13
+"""A polynomial counts as zero where its value is this share of the sum of its terms' sizes."""
+
+
+def _value(c: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Polynomials c (rows, highest power first) at several places each."""
+    out = np.broadcast_to(c[:, :1], x.shape).copy()
+    for k in range(1, c.shape[1]):
+        out = out * x + c[:, k, None]
+    return out
+
+
+def roots_with_multiplicity(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Real roots in ascending order, NaN behind them, and how often each occurs, of polynomials of one degree.
+
+    From the last derivative up, every derivative's roots part the line into pieces on which the
+    polynomial above it is monotone.  Where it vanishes on one of them, both have that root (it is a root
+    of their common divisor), once more often than below; a change of sign between two of them
+    encloses one simple root, which is bisected.
+    """
+    n = c.shape[1] - 1
+    ladder = [c / c[:, :1]]
+    for k in range(n, 1, -1):
+        ladder.append(ladder[-1][:, :-1] * (np.arange(k, 0, -1) / k))
+    ladder.reverse()
+    roots, times = -ladder[0][:, 1:2], np.ones((len(c), 1), np.int64)
+    for p in ladder[1:]:
+        k = p.shape[1] - 1
+        # no root is larger than twice the largest i-th root of a coefficient
+        bound = 2 * (np.abs(p[:, 1:]) ** (1 / np.arange(1, k + 1))).max(axis=1, keepdims=True) + np.finfo(float).tiny
+        inner = np.where(np.isnan(roots), bound, roots)
+        x = np.concatenate([-bound, inner, bound], axis=1)
+        f = _value(p, x)
+        # sizes are taken a little further out, so that they do not vanish with x
+        f[np.abs(f) <= SAME * k * _value(np.abs(p), np.abs(x) + 1e-9 * bound)] = 0.0
+        double = (f[:, 1:-1] == 0) & ~np.isnan(roots)
+        f[:, 0], f[:, -1] = (-1) ** k, 1  # beyond all roots
+        lo, hi = x[:, :-1].copy(), x[:, 1:].copy()
+        crossed = f[:, :-1] * f[:, 1:] < 0
+        rising = f[:, 1:] > 0
+        for _ in range(80):
+            mid = (lo + hi) / 2
+            below = (_value(p, mid) < 0) == rising
+            lo, hi = np.where(below, mid, lo), np.where(below, hi, mid)
+        # pieces and the points between them in order: at most k of them are roots
+        both = np.full((len(c), x.shape[1] + inner.shape[1] - 1), np.nan)
+        count = np.ones(both.shape, np.int64)
+        both[:, ::2] = np.where(crossed, (lo + hi) / 2, np.nan)
+        both[:, 1::2] = np.where(double, roots, np.nan)
+        count[:, 1::2] = times + 1
+        order = np.argsort(np.isnan(both), axis=1, kind="stable")[:, :k]
+        roots, times = np.take_along_axis(both, order, 1), np.take_along_axis(count, order, 1)
+    return roots, np.where(np.isnan(roots), 0, times)
+
+
 def real_roots_values(coefs: pd.Series) -> pd.Series:
-    """Rows of equal degree share one stacked companion-matrix eigenvalue call."""
+    """Rows of equal degree are solved together; a root stands as often as it occurs."""
     out: list = [None] * len(coefs)
-    byn: dict[int, list[int]] = {}
-    rows = [np.trim_zeros(np.asarray(c, float), "f") for c in coefs]
+    by_size: dict[int, list[int]] = {}
+    rows = [None if c is None else np.trim_zeros(np.asarray(c, float), "f") for c in coefs]
     for i, c in enumerate(rows):
-        byn.setdefault(len(c), []).append(i)
-    for n, idx in byn.items():
+        if c is not None and np.isfinite(c).all():
+            by_size.setdefault(len(c), []).append(i)
+    for n, idx in by_size.items():
         if n < 2:
             for i in idx:
                 out[i] = []
             continue
-        c = np.stack([rows[i] / rows[i][0] for i in idx])
-        m = np.zeros((len(idx), n - 1, n - 1))
-        m[:, 0, :] = -c[:, 1:]
-        m[:, np.arange(1, n - 1), np.arange(n - 2)] = 1.0
-        e = np.linalg.eigvals(m)
-        for i, r in zip(idx, e):
-            real = r.real[np.abs(r.imag) <= 1e-6 * np.maximum(1.0, np.abs(r.real))]
-            out[i] = np.sort(real).tolist()
-    return pd.Series(out)
+        roots, times = roots_with_multiplicity(np.stack([rows[i] for i in idx]))
+        for i, r, t in zip(idx, roots, times):
+            out[i] = (np.repeat(r, t) + 0.0).tolist()
+    return pd.Series(out, dtype=object)
 
 
 def real_roots(coefs) -> Column:
-    """Ascending real roots of polynomials given as arrays, highest power first."""
+    """Ascending real roots of polynomials of any degree, given as arrays, highest power first.
+
+    A multiple root stands as often as it occurs; constants have none; null or non-finite coefficients give null.
+    """
     def run(c: pd.Series) -> pd.Series:
         return real_roots_values(c)
     return F.pandas_udf(run, ArrayType(DoubleType()))(coefs)

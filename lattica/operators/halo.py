@@ -48,13 +48,29 @@ def block_xyz(bid: np.ndarray, grid: Grid) -> tuple[np.ndarray, np.ndarray, np.n
 
 # --- packing ----------------------------------------------------------------
 
-def pack(cells: DataFrame, grid: Grid, value: str, empty: float = 0.0, dtype: str = "float32") -> DataFrame:
-    """Cells to packed blocks; a block with any cell stores all, the rest ``empty``."""
+def record(empty: float | list[float], k: int, dtype: str) -> np.ndarray:
+    """What a cell without data reads: a number, or the bytes of ``k`` of them as one value of their own type.
+
+    Slabs are only cut and laid together, so a cell of several channels passes through the exchange as one opaque value.
+    """
+    values = np.array(empty if isinstance(empty, (list, tuple)) else [empty] * k, dtype)
+    if len(values) != k:
+        raise ValueError("one empty value per channel")
+    return values[0] if k == 1 else values.view(f"V{values.nbytes}")[0]
+
+
+def pack(cells: DataFrame, grid: Grid, value: str | list[str], empty: float | list[float] = 0.0, dtype: str = "float32") -> DataFrame:
+    """Cells to packed blocks; a block with any cell stores all, the rest ``empty``.
+
+    Several values share a block: their bytes lie side by side, cell by cell.
+    """
     n = grid.bsx
+    values = value if isinstance(value, list) else [value]
+    fill = np.array(empty if isinstance(empty, (list, tuple)) else [empty] * len(values), dtype)
     keyed = cells.select(
         K.cell_block_id("x", "y", "z", grid).alias("bid"), K.voxel_id("x", "y", "z", n).cast("int").alias("vid"),
-        F.col(value).cast("double").alias("v"))
-    lists = keyed.groupBy("bid").agg(F.collect_list(F.struct("vid", "v")).alias("cv"))
+        *[F.col(v).cast("double").alias(f"v{i}") for i, v in enumerate(values)])
+    lists = keyed.groupBy("bid").agg(F.collect_list(F.struct("vid", *[f"v{i}" for i in range(len(values))])).alias("cv"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -63,9 +79,11 @@ def pack(cells: DataFrame, grid: Grid, value: str, empty: float = 0.0, dtype: st
                 cv = b.column(1)
                 counts = np.diff(cv.offsets.to_numpy())
                 flat = cv.flatten()
-                out = np.full((b.num_rows, n**3), empty, dtype)
-                rows = np.repeat(np.arange(b.num_rows), counts)
-                out[rows, flat.field(0).to_numpy()] = flat.field(1).to_numpy(zero_copy_only=False)
+                out = np.empty((b.num_rows, n**3, len(fill)), dtype)
+                out[:] = fill
+                rows, vid = np.repeat(np.arange(b.num_rows), counts), flat.field(0).to_numpy()
+                for i in range(len(fill)):
+                    out[rows, vid, i] = flat.field(i + 1).to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays([b.column(0), bytes_column(out)], names=["bid", "data"])
 
     return lists.mapInArrow(run, PACKED)
@@ -138,7 +156,7 @@ def exchange(packed: DataFrame, grid: Grid, h: int, dtype: str, *, periodic: tup
     return (got.where("own") if existing_only else got).select("bid", "parts")
 
 
-def assemble(bid: np.ndarray, parts: list, grid: Grid, h: int, dtype: str, outside: str, empty: float,
+def assemble(bid: np.ndarray, parts: list, grid: Grid, h: int, dtype: str, outside: str, empty,
              periodic=(False,) * 3) -> np.ndarray:
     """Stack of halo blocks.
 

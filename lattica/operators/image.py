@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -158,6 +161,155 @@ def pyramid(pixels: DataFrame, size: tuple[int, int], value: str, levels: int, a
     return [p.drop("z") for p in out]
 
 
+# Fixed value: what Laplacian levels are multiplied by.
+LAPLACIAN_SCALE = 1000.0
+
+
+def _expanded(coarse: DataFrame, value: str, size: tuple[int, int], a: float) -> DataFrame:
+    """Weighted copies of a coarse level at the finer pixels that read it, not yet summed.
+
+    A finer pixel reads a tap only where it lands on a coarse one, so the taps of a pixel sum to 1; reads
+    beyond the border repeat it.
+    """
+    w = Y.gauss5(a)
+    half = tuple((n + 1) // 2 for n in size)
+    df = coarse.select("x", "y", value)
+    for c, m, n in zip("xy", half, size):
+        df = df.withColumn(f"__{c}", F.explode(Y.up_taps(F.col(c), m, n, w))).where(F.col(f"__{c}.w") != 0)
+    return df.select(F.col("__x.t").alias("x"), F.col("__y.t").alias("y"), (F.col(value) * F.col("__x.w") * F.col("__y.w")).alias(value))
+
+
+def expand(coarse: DataFrame, value: str, size: tuple[int, int], a: float = 0.4) -> DataFrame:
+    """A pyramid level at the resolution of the next finer one, whose size is given."""
+    return _expanded(coarse, value, size, a).groupBy("x", "y").agg(F.sum(value).alias(value))
+
+
+def laplacian_pyramid(levels: list[DataFrame], size: tuple[int, int], value: str, a: float = 0.4, scale: float = LAPLACIAN_SCALE) -> list[DataFrame]:
+    """Per level of a Gaussian pyramid what expanding the next coarser one misses, scaled; the coarsest itself, scaled."""
+    out, n = [], size
+    for fine, coarse in zip(levels, [*levels[1:], None]):
+        own = fine.select("x", "y", (F.col(value) * scale).alias(value))
+        if coarse is not None:
+            less = _expanded(coarse, value, n, a).withColumn(value, F.col(value) * -scale)
+            own = own.unionByName(less).groupBy("x", "y").agg(F.sum(value).alias(value))
+        out.append(own)
+        n = tuple((k + 1) // 2 for k in n)
+    return out
+
+
+def reconstruct(laplacians: list[DataFrame], size: tuple[int, int], value: str, a: float = 0.4, scale: float = LAPLACIAN_SCALE) -> DataFrame:
+    """The image whose Laplacian pyramid this is: one expansion and sum per level, from the coarsest."""
+    sizes = [size]
+    for _ in laplacians[1:]:
+        sizes.append(tuple((k + 1) // 2 for k in sizes[-1]))
+    parts = [p.select("x", "y", (F.col(value) / scale).alias(value)) for p in laplacians]
+    out = parts[-1]
+    for own, n in zip(reversed(parts[:-1]), reversed(sizes[:-1])):
+        out = own.unionByName(_expanded(out, value, n, a)).groupBy("x", "y").agg(F.sum(value).alias(value))
+    return out
+
+
+# --- moving windows -------------------------------------------------------------------
+
+TILE = 128
+"""Pixels along the edge of a tile."""
+ROWS_AT_ONCE = 1 << 22
+"""Window values that are laid out at once."""
+
+
+def _sliding(kind: str) -> Callable[[np.ndarray, int], np.ndarray]:
+    """Least or greatest value of every d x d window, one axis after the other."""
+    pick = np.minimum if kind == "min" else np.maximum
+
+    def run(a: np.ndarray, d: int) -> np.ndarray:
+        for axis in (0, 1):
+            n = a.shape[axis] - d + 1
+            out = a.take(range(n), axis)
+            for k in range(1, d):
+                out = pick(out, a.take(range(k, k + n), axis))
+            a = out
+        return a
+    return run
+
+
+def _laid_out(fn: Callable[[np.ndarray], np.ndarray]) -> Callable[[np.ndarray, int], np.ndarray]:
+    """``fn`` of every d x d window, given as rows of d * d values, some image rows at a time."""
+    def run(a: np.ndarray, d: int) -> np.ndarray:
+        view = np.lib.stride_tricks.sliding_window_view(a, (d, d))
+        step = max(1, ROWS_AT_ONCE // (view.shape[1] * d * d))
+        return np.concatenate([fn(view[i:i + step].reshape(-1, d * d)).reshape(-1, view.shape[1]) for i in range(0, len(view), step)])
+    return run
+
+
+def _ranked(share: float) -> Callable[[np.ndarray], np.ndarray]:
+    """The value at a share of the sorted window; the mean of the two around it where it falls between."""
+    def run(w: np.ndarray) -> np.ndarray:
+        at = share * (w.shape[1] - 1)
+        lo, hi = math.floor(at), math.ceil(at)
+        part = np.partition(w, sorted({lo, hi}), axis=1)
+        return part[:, lo] + (part[:, hi] - part[:, lo]) * (at - lo)
+    return run
+
+
+WINDOWS = {
+    "min": _sliding("min"), "max": _sliding("max"), "median": _laid_out(_ranked(0.5)), "mean": _laid_out(lambda w: w.mean(axis=1)),
+    "deviation": _laid_out(lambda w: w.std(axis=1)),
+}
+
+
+def rank_window(share: float) -> Callable[[np.ndarray, int], np.ndarray]:
+    """Order statistic of a window: 0 the least, 1 the greatest value."""
+    return _laid_out(_ranked(share))
+
+
+def window_function(fn: Callable[[np.ndarray], np.ndarray]) -> Callable[[np.ndarray, int], np.ndarray]:
+    """Any function of windows: (windows, d * d) values, row by row, to one value each."""
+    return _laid_out(fn)
+
+
+def moving(pixels: DataFrame, value: str, size: tuple[int, int], d: int, filters: dict[str, Callable[[np.ndarray, int], np.ndarray] | str], tile: int = TILE) -> DataFrame:
+    """(x, y, one column per filter): each function of the d x d window around every stored pixel.
+
+    The window starts d // 2 before the pixel and is moved, not cut, where it would leave the image, which
+    must hold one.  Pixels that are not stored count as 0.  An image is dealt out in tiles; a pixel goes to the
+    tiles whose windows reach it, so one exchange carries all filters and a task holds one tile.
+    """
+    nx, ny = size
+    if d < 1 or d > min(nx, ny) or d > tile:
+        raise ValueError("the window must fit the image and a tile")
+    work = {n: WINDOWS[f] if isinstance(f, str) else f for n, f in filters.items()}
+
+    def reach(k: Column, n: int) -> tuple[Column, Column]:
+        start = lambda x: F.greatest(F.least(x - d // 2, F.lit(n - d)), F.lit(0))
+        return start(k * tile), start(F.least((k + 1) * tile, F.lit(n)) - 1) + (d - 1)
+
+    def tiles(c: str, n: int) -> Column:
+        last = (n - 1) // tile
+        own = F.floor(F.col(c) / tile).cast("int")
+        near = F.sequence(F.greatest(own - 1, F.lit(0)), F.least(own + 1, F.lit(last)))
+        return F.filter(near, lambda k: (reach(k, n)[0] <= F.col(c)) & (F.col(c) <= reach(k, n)[1]))
+
+    sent = pixels.select("x", "y", F.col(value).cast("double").alias("v")).withColumn("tx", F.explode(tiles("x", nx))).withColumn("ty", F.explode(tiles("y", ny)))
+
+    def bounds(t: int, n: int) -> tuple[int, int, int, np.ndarray]:
+        lo, hi = t * tile, min((t + 1) * tile, n)
+        first = np.clip(np.arange(lo, hi) - d // 2, 0, n - d)
+        return lo, hi, int(first[0]), first - first[0]
+
+    def run(t: pa.Table) -> pa.Table:
+        x, y, v = (t.column(c).to_numpy() for c in ("x", "y", "v"))
+        x0, x1, ax, ix = bounds(int(t.column("tx")[0].as_py()), nx)
+        y0, y1, ay, iy = bounds(int(t.column("ty")[0].as_py()), ny)
+        a = np.zeros((int(iy[-1]) + d, int(ix[-1]) + d))
+        a[y - ay, x - ax] = v
+        own = (x >= x0) & (x < x1) & (y >= y0) & (y < y1)
+        at = iy[y[own] - y0], ix[x[own] - x0]
+        return pa.table({"x": pa.array(x[own]), "y": pa.array(y[own]), **{n: pa.array(f(a, d)[at].astype(np.float64)) for n, f in work.items()}})
+
+    cast = sent.select(F.col("x").cast("bigint").alias("x"), F.col("y").cast("bigint").alias("y"), "v", "tx", "ty")
+    return cast.groupBy("tx", "ty").applyInArrow(run, "x bigint, y bigint, " + ", ".join(f"{n} double" for n in work))
+
+
 def difference(a: DataFrame, b: DataFrame, values: list[str]) -> DataFrame:
     """Statistics of the summed component differences of two images."""
     other = b.select("x", "y", *[F.col(v).alias(f"__{v}") for v in values])

@@ -2,7 +2,8 @@
 
 Points travel once, to the halo block that holds their whole stencil window.  A
 block crowded with points is split into bounded shares and its halo, a few
-kilobytes, goes to each share; no task ever holds more than one share.
+kilobytes, goes to each share; shares of many blocks are evaluated together, some
+points at a time.
 """
 
 from __future__ import annotations
@@ -10,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +20,9 @@ from lattica.functions import keys as K
 from lattica.operators import halo as H
 from lattica.schema import Grid
 
-SHARE = 200_000  # most points one call receives
+SHARE = 16_384  # about the most points of one row
+TALL = 32  # blocks of a call
+STEP = 1 << 16  # values that are sampled at once
 SALTS = 64
 
 
@@ -177,7 +179,7 @@ def sampler(kind: str, grid: Grid, *, corner: bool = False, fade_weights: bool =
 
 # --- distribution ----------------------------------------------------------------------
 
-def halo_blocks(packed: DataFrame, grid: Grid, h: int, dtype: str, outside: str, empty: float, periodic=(False,) * 3) -> DataFrame:
+def halo_blocks(packed: DataFrame, grid: Grid, h: int, dtype: str, outside: str, empty, periodic=(False,) * 3) -> DataFrame:
     """Rows (bid, halo): blocks with their border cells, including blocks that only have
     neighbours."""
     got = H.exchange(packed, grid, h, dtype, periodic=periodic, existing_only=False)
@@ -222,28 +224,46 @@ def restore_copies(df: DataFrame, step: int = 1 << 16) -> DataFrame:
 
 
 def sample(points: DataFrame, packed: DataFrame, grid: Grid, kind: str, *, dtype: str = "float32", outside: str = "clamp",
-           empty: float = 0.0, corner: bool = False, fade_weights: bool = False, periodic=(False,) * 3,
-           at: tuple[str, str, str] = ("px", "py", "pz"), share: int = SHARE) -> DataFrame:
-    """Add the sampled columns to points whose position is given in cells of ``grid``."""
+           empty: float | list[float] = 0.0, channels: list[str] | None = None, corner: bool = False, fade_weights: bool = False,
+           periodic=(False,) * 3, at: tuple[str, str, str] = ("px", "py", "pz"), share: int = SHARE) -> DataFrame:
+    """Add the sampled columns to points whose position is given in cells of ``grid``.
+
+    ``channels`` names the components of blocks packed from several values: all travel in the same slabs,
+    and a sampled value is called like its channel, a slope ``<channel>_gx``.  Points without a whole position get null.
+    """
     h, names, fn = sampler(kind, grid, corner=corner, fade_weights=fade_weights)
+    k = len(channels) if channels else 1
+    out_names = [c if n == "value" else f"{c}_{n}" for c in channels for n in names] if channels else names
     cell = [F.greatest(F.least(F.floor(p), F.lit(s - 1)), F.lit(0)).cast("bigint") for p, s in zip(at, grid.dims)]
-    pts, load = split_crowded(points.withColumn("bid", K.cell_block_id(*cell, grid)), share)
-    blocks = halo_blocks(packed, grid, h, dtype, outside, empty, periodic)
-    ready = spread_blocks(blocks, load)
-    out_schema = T.StructType([*points.schema.fields, T.StructField("copies", T.LongType()), *[T.StructField(n, T.DoubleType()) for n in names]])
-    edge, m = grid.bsx, grid.bsx + 2 * h
-    dims = grid.dims
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty:
-            return pd.DataFrame({f.name: [] for f in out_schema})
-        if right.empty:
-            halo = np.full((m, m, m), empty)
-        else:
-            halo = np.frombuffer(right["halo"].iloc[0], dtype).reshape(m, m, m).astype(np.float64)
-        base = [int(c[0]) * edge for c in H.block_xyz(left["bid"].to_numpy()[:1], grid)]
-        pos = [np.clip(left[a].to_numpy(np.float64), 0.0, s) for a, s in zip(at, dims)]
-        return left.drop(columns=["bid", "share"]).assign(**fn(halo, pos, base, h))
-
-    got = pts.groupBy("bid", "share").cogroup(ready.groupBy("bid", "share")).applyInPandas(run, out_schema)
-    return restore_copies(got)
+    pts, load = split_crowded(points.withColumn("bid", F.coalesce(K.cell_block_id(*cell, grid), F.lit(0).cast("bigint"))), share)
+    fill = H.record(empty, k, dtype)
+    blocks = halo_blocks(packed, grid, h, fill.dtype.str if k > 1 else dtype, outside, fill, periodic)
+    fields = [*points.schema.fields, T.StructField("copies", T.LongType())]
+    asked = pts.groupBy("bid", "share").agg(F.collect_list(F.struct(*[f.name for f in fields])).alias("pts"))
+    ready = asked.join(spread_blocks(blocks, load), ["bid", "share"], "left").select("bid", "pts", "halo")
+    edge, m, dims = grid.bsx, grid.bsx + 2 * h, grid.dims
+    no_halo = np.full((m, m, m), fill).tobytes()
+
+    def run(batches):
+        for whole in batches:
+            for first in range(0, whole.num_rows, TALL):
+                b = whole.slice(first, TALL)
+                raw = b"".join(no_halo if x is None else x for x in b.column(2).to_pylist())
+                # blocks and their channels one above the other: cell z of channel c of block i is z + (i k + c) m
+                tall = np.moveaxis(np.frombuffer(raw, dtype).reshape(b.num_rows, m, m, m, k), 4, 1).reshape(-1, m, m).astype(np.float64)
+                base = [c * edge for c in H.block_xyz(b.column(0).to_numpy(), grid)]
+                of = np.repeat(np.arange(b.num_rows), b.column(1).value_lengths().to_numpy())
+                rows = b.column(1).flatten()
+                for lo in range(0, len(of), max(1, STEP // k)):
+                    some, block = rows.slice(lo, max(1, STEP // k)), of[lo:lo + max(1, STEP // k)]
+                    pos = [some.field(a).to_numpy(zero_copy_only=False).astype(np.float64) for a in at]
+                    lost = ~np.isfinite(pos[0] + pos[1] + pos[2])
+                    pos = [np.clip(np.where(lost, s0[block] + 0.5, p), 0.0, s) for p, s0, s in zip(pos, base, dims)]
+                    start = [s0[block] for s0 in base]
+                    floor = np.concatenate([start[2] - (block * k + c) * m for c in range(k)])
+                    got = fn(tall, [np.tile(p, k) for p in pos], [np.tile(start[0], k), np.tile(start[1], k), floor], h)
+                    values = [got[n].reshape(k, -1)[c] for c in range(k) for n in names]
+                    yield pa.RecordBatch.from_arrays([*[some.field(f.name) for f in fields], *[pa.array(v, mask=lost) for v in values]],
+                                                     names=[*[f.name for f in fields], *out_names])
+
+    return restore_copies(ready.mapInArrow(run, T.StructType([*fields, *[T.StructField(n, T.DoubleType()) for n in out_names]])))

@@ -1,9 +1,11 @@
 """Running totals, ranks and order statistics over groups of any size.
 
-One plan serves every size.  A group is cut into parts at approximate quantiles of its
-order, a small one into a single part; parts are ordered and totalled on their own,
-and each gets what earlier parts of its group add up to.  No group has to fit one
-task, null is a group like any other, and nothing runs before the result is asked for.
+One plan serves every size.  Rows whose hash falls in a small share are a sample that is the
+same in every run; a group with enough of them is cut into parts at every SAMPLES-th, so parts have
+about the same size and their number grows with the group.  Cuts compare all order columns, of any
+type, so strings and equal first values split like numbers.  Parts are ordered and totalled on
+their own, and each gets what earlier parts of its group add up to.  No group has to fit one task,
+null is a group like any other, and nothing runs before the result is asked for.
 """
 
 from __future__ import annotations
@@ -12,15 +14,13 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lattica.functions.keys import col
 
 GROUP_ROWS = 1 << 20
-"""Rows up to which a group stays one part."""
-PARTS = 256
-"""Parts of a larger group."""
-_SORTED = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
+"""Rows of a part, and about the size up to which a group stays whole."""
+SAMPLES = 16
+"""Sampled rows of a part."""
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -32,15 +32,23 @@ def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inne
     return left.join(named, same, how).drop(*[f"__right_{i}" for i in range(len(keys))])
 
 
-def in_parts(df: DataFrame, keys: list[str], first: str, rows: int) -> DataFrame:
-    """Add ``__part``: nondecreasing in column ``first``, equal values together, null before all."""
-    if not isinstance(df.schema[first].dataType, _SORTED):
-        return df.withColumn("__part", F.lit(0))
-    cuts = F.percentile_approx(first, [i / PARTS for i in range(1, PARTS)], 4 * PARTS)
-    per = df.groupBy(*keys).agg(F.when(F.count("*") > rows, cuts).alias("__cuts"))
-    below = F.size(F.filter("__cuts", lambda c: c < F.col(first)))
-    part = F.when(F.col("__cuts").isNull(), 0).when(F.col(first).isNull(), -1).otherwise(below)
-    return join_on(df, per, keys, "left").withColumn("__part", part).drop("__cuts")
+def in_parts(df: DataFrame, keys: list[str], order: list[str], rows: int) -> DataFrame:
+    """Add ``__part``: nondecreasing in ``order``, null before all, about ``rows`` rows of a group each.
+
+    The cuts travel to all tasks: one order tuple for about ``rows`` rows, of large groups only.
+    """
+    at = F.struct(*order)
+    picked = df.where(F.pmod(F.xxhash64(*keys, *order), F.lit(max(1, rows // SAMPLES))) == 0)
+    drawn = picked.groupBy(*keys).agg(F.sort_array(F.collect_set(at)).alias("__drawn")).where(F.size("__drawn") >= SAMPLES)
+    every = lambda a, first, step: F.transform(F.sequence(first, F.size(a), step), lambda i: F.element_at(a, i.cast("int")))
+    cuts = drawn.select(*keys, every("__drawn", F.lit(SAMPLES), F.lit(SAMPLES)).alias("__cuts"))
+    cuts = cuts.withColumn("__step", F.ceil(F.sqrt(F.size("__cuts"))).cast("int")).withColumn("__heads", every("__cuts", F.lit(1), F.col("__step")))
+    # among the heads of runs of cuts first, then inside one run
+    ahead = F.size(F.filter("__heads", lambda c: c < at))
+    inside = F.slice("__cuts", (ahead - 1) * F.col("__step") + 1, F.col("__step"))
+    below = F.when(ahead == 0, 0).otherwise((ahead - 1) * F.col("__step") + F.size(F.filter(inside, lambda c: c < at)))
+    part = F.when(F.col("__cuts").isNull(), 0).otherwise(below)
+    return join_on(df, F.broadcast(cuts), keys, "left").withColumn("__part", part).drop("__cuts", "__heads", "__step")
 
 
 def _prefixes(w, sums, maxima) -> dict[str, Column]:
@@ -61,7 +69,7 @@ def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Co
     """
     maxima, totals = maxima or {}, totals or {}
     # one exchange, read by the windows and by the totals of parts
-    laid = in_parts(df, keys, order[0], group_rows or GROUP_ROWS).repartition(*keys, "__part")
+    laid = in_parts(df, keys, order, group_rows or GROUP_ROWS).repartition(*keys, "__part")
     local = Window.partitionBy(*keys, "__part")
     cols = {f"__in_{k}": c for k, c in _prefixes(local.orderBy(*order), sums, maxima).items()}
     cols |= {f"__tot_{k}": F.sum(e).over(local) for k, e in totals.items()}
@@ -73,7 +81,7 @@ def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Co
         *[F.sum(e).alias(f"__t_{k}") for k, e in totals.items()],
         F.count("*").alias("__rows"),
     )
-    # one row per part, at most PARTS + 1 in a group
+    # one row per part
     w = Window.partitionBy(*keys)
     before = w.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     carry = part.select(
@@ -82,7 +90,8 @@ def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Co
         *[F.max(f"__m_{k}").over(before).alias(f"__c_{k}") for k in maxima],
         *[F.sum(f"__t_{k}").over(w).alias(f"__w_{k}") for k in totals],
     ).where("__span > 1").drop("__span")
-    joined = join_on(inside, carry, [*keys, "__part"], "left")
+    # only parts of groups that were cut, one for about GROUP_ROWS rows
+    joined = join_on(inside, F.broadcast(carry), [*keys, "__part"], "left")
     out = {k: F.col(f"__in_{k}") + F.coalesce(f"__c_{k}", F.lit(0)) for k in sums}
     out |= {k: F.greatest(f"__in_{k}", f"__c_{k}") for k in maxima}
     out |= {k: F.coalesce(f"__w_{k}", f"__tot_{k}") for k in totals}

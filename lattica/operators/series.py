@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -248,12 +249,23 @@ def thin(df: DataFrame, keys: list[str], order: list[str], d: int, group_rows: i
     return at.where(F.col("i") % d == d - 1).withColumn("i", F.floor(F.col("i") / d).cast("bigint"))
 
 
-def rising_pairs(v: np.ndarray) -> int:
-    """Pairs i<j with v[i] < v[j]: ranks are split bit by bit, n log n vector work."""
+def rising_pairs(v: np.ndarray, group: np.ndarray | None = None, n_groups: int = 1) -> np.ndarray:
+    """Per group 0..n_groups-1, the pairs i<j inside it with v[i] < v[j]; rows of a group lie in order.
+
+    Ranks are split bit by bit, n log n vector work for all groups together: later groups rank lower,
+    so a pair across groups never rises.
+    """
+    if group is None:
+        group = np.zeros(len(v), np.int64)
+    total = np.zeros(n_groups)
     if len(v) < 2:
-        return 0
-    rank = np.unique(v, return_inverse=True)[1].astype(np.int64)
-    total = 0
+        return total
+    place = np.argsort(group, kind="stable")
+    v, group = np.asarray(v)[place], group[place]
+    order = np.lexsort((v, -group))
+    new = np.r_[False, (v[order[1:]] != v[order[:-1]]) | (group[order[1:]] != group[order[:-1]])]
+    rank = np.empty(len(v), np.int64)
+    rank[order] = np.cumsum(new)
     at = np.arange(len(rank))
     for b in range(int(rank.max()).bit_length() - 1, -1, -1):
         r = rank[at]
@@ -261,7 +273,7 @@ def rising_pairs(v: np.ndarray) -> int:
         zeros = np.cumsum(1 - one)
         start = np.r_[True, high[1:] != high[:-1]]
         base = np.maximum.accumulate(np.where(start, zeros - (1 - one), 0))
-        total += int(((zeros - base) * one).sum())
+        total += np.bincount(group[at], (zeros - base) * one, n_groups)
         at = at[np.argsort(high * 2 + one, kind="stable")]
     return total
 
@@ -294,19 +306,38 @@ def trend(df: DataFrame, keys: list[str], order: list[str], v: str, group_rows:
     return O.join_on(sizes, total, keys).select(*keys, "n", F.try_divide(F.col("up") * 2 - pairs, pairs).alias("tau"))
 
 
-def _count_rising(rows: DataFrame, keys: list[str], by: list[str], split: str | None) -> DataFrame:
-    """Rising pairs inside each bounded group; with ``split``, only pairs across its values."""
-    fields = T.StructType([*[rows.schema[k] for k in keys], T.StructField("up", T.DoubleType())])
+AT_ONCE = 1 << 20
+"""Rows whose pairs are counted in one call."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i", kind="stable")
-        up = rising_pairs(pdf["v"].to_numpy())
-        if split:
-            up -= sum(rising_pairs(g.to_numpy()) for _, g in pdf.groupby(split, sort=False)["v"])
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "up": [float(up)]})
-
-    cols = [*keys, *by, "i", "v", *([split] if split else [])]
-    return rows.select(*cols).groupBy(*keys, *by).applyInPandas(run, fields)
+
+def _count_rising(rows: DataFrame, keys: list[str], by: list[str], split: str | None) -> DataFrame:
+    """Rising pairs inside each bounded group, many groups a call; with ``split``, only pairs across its values."""
+    cells = F.collect_list(F.struct("i", F.col("v").cast("double").alias("v"), *([F.col(split).alias("split")] if split else [])))
+    lists = rows.groupBy(*keys, *by).agg(cells.alias("cells")).select(*keys, "cells")
+    out = T.StructType([*[rows.schema[k] for k in keys], T.StructField("up", T.DoubleType())])
+
+    def run(batches):
+        for whole in batches:
+            ends = np.cumsum(whole.column(len(keys)).value_lengths().to_numpy())
+            first = 0
+            while first < whole.num_rows:
+                done = int(ends[first - 1]) if first else 0
+                last = max(first + 1, int(np.searchsorted(ends, done + AT_ONCE, "right")))
+                b = whole.slice(first, last - first)
+                col = b.column(len(keys))
+                group = np.repeat(np.arange(b.num_rows), col.value_lengths().to_numpy())
+                flat = col.flatten()
+                i, v = (flat.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+                order = np.lexsort((i, group))
+                up = rising_pairs(v[order], group[order], b.num_rows)
+                if split:
+                    both = np.unique(np.stack([group, flat.field(2).to_numpy()]), axis=1, return_inverse=True)
+                    inside = rising_pairs(v[order], both[1].reshape(-1)[order], both[0].shape[1])
+                    up -= np.bincount(both[0][0], inside, b.num_rows)
+                yield pa.RecordBatch.from_arrays([*b.columns[:len(keys)], pa.array(up)], names=[*keys, "up"])
+                first = last
+
+    return lists.mapInArrow(run, out)
 
 
 def _lattice_rising(binned: DataFrame, keys: list[str]) -> DataFrame:

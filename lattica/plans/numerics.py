@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from lattica.functions import color as CO, noise as N, poly as PY, rng as R, text as TX
@@ -25,14 +26,30 @@ def _(spark, d):
     return r.select("a", "b", "c", F.size("r").alias("n"), rnd(F.get("r", F.lit(0))).alias("lo"), rnd(F.get("r", F.size("r") - 1)).alias("hi"))
 
 
-@query("poly_real_roots", "F5", f"""WITH k AS (SELECT DISTINCT l_linenumber AS r1, l_quantity AS r2, floor(l_tax * 100 + 0.5e0) AS r3 FROM lineitem WHERE l_linenumber <> l_quantity AND l_quantity <> floor(l_tax * 100 + 0.5e0) AND l_linenumber <> floor(l_tax * 100 + 0.5e0))
-SELECT CAST(r1 AS DOUBLE) AS r1, r2, r3, {rsql('least(r1, r2, r3)', 3)} AS lo, {rsql('greatest(r1, r2, r3)', 3)} AS hi, 3 AS n FROM k""")
+_K3 = "k AS (SELECT DISTINCT CAST(l_linenumber AS DOUBLE) AS r1, l_quantity AS r2, floor(l_tax * 100 + 0.5e0) AS r3 FROM lineitem)"
+
+
+@query("poly_real_roots", "F5", f"""WITH {_K3}
+SELECT r1, r2, r3, {rsql('least(r1, r2, r3)', 5)} AS lo, {rsql('r1 + r2 + r3 - least(r1, r2, r3) - greatest(r1, r2, r3)', 5)} AS mid, {rsql('greatest(r1, r2, r3)', 5)} AS hi, 3 AS n FROM k""")
 def _(spark, d):
     k = B.table(spark, d, "lineitem").select(F.col("l_linenumber").cast("double").alias("r1"), F.col("l_quantity").alias("r2"), F.floor(F.col("l_tax") * 100 + 0.5).cast("double").alias("r3")).distinct()
-    k = k.where("r1 <> r2 and r2 <> r3 and r1 <> r3")
     a, b, c = F.col("r1"), F.col("r2"), F.col("r3")
     r = k.withColumn("z", PY.real_roots(F.array(F.lit(1.0), -(a + b + c), a * b + a * c + b * c, -(a * b * c))))
-    return r.select("r1", "r2", "r3", rnd(F.get("z", F.lit(0)), 3).alias("lo"), rnd(F.get("z", F.size("z") - 1), 3).alias("hi"), F.size("z").alias("n"))
+    return r.select("r1", "r2", "r3", *[rnd(F.get("z", F.lit(i)), 5).alias(n) for i, n in enumerate(("lo", "mid", "hi"))], F.size("z").alias("n"))
+
+
+# two known roots beside a pair c ± i e that is real, and double, where e = 0
+@query("poly_quartic", "F5", f"""WITH k AS (SELECT DISTINCT CAST(l_linenumber AS DOUBLE) AS a, l_quantity AS b, floor(l_tax * 100 + 0.5e0) AS c, floor(l_discount * 100 + 0.5e0) AS e FROM lineitem),
+ r AS (SELECT *, list_sort(list_concat([a, b], CASE WHEN e = 0 THEN [c, c] ELSE [] END)) AS z FROM k)
+SELECT a, b, c, e, CAST(len(z) AS INTEGER) AS n, {rsql('z[1]', 4)} AS lo, {rsql('z[len(z)]', 4)} AS hi, CAST(len(list_filter(z, lambda v: v = z[1])) AS INTEGER) AS times FROM r""")
+def _(spark, d):
+    whole = lambda c: F.floor(F.col(c) * 100 + 0.5).cast("double")
+    k = B.table(spark, d, "lineitem").select(F.col("l_linenumber").cast("double").alias("a"), F.col("l_quantity").alias("b"), whole("l_tax").alias("c"), whole("l_discount").alias("e")).distinct()
+    s, p, u, v = F.col("a") + F.col("b"), F.col("a") * F.col("b"), F.col("c") * 2, F.col("c") * F.col("c") + F.col("e") * F.col("e")
+    r = k.withColumn("z", PY.real_roots(F.array(F.lit(1.0), -(s + u), p + s * u + v, -(p * u + s * v), p * v)))
+    least = F.get("z", F.lit(0))
+    return r.select("a", "b", "c", "e", F.size("z").alias("n"), rnd(least, 4).alias("lo"), rnd(F.get("z", F.size("z") - 1), 4).alias("hi"),
+                    F.size(F.filter("z", lambda t: t == least)).alias("times"))
 
 
 @query("poly_bisect", "F5", f"SELECT o_orderkey, {rsql('pow(o_totalprice, 1e0 / 3)', 4)} AS root, {rsql('sqrt(o_totalprice)', 4)} AS sq FROM orders")
@@ -110,6 +127,62 @@ def _(spark, d):
     return e.select("g", rnd(F.col("p")[0]).alias("p00"), rnd(F.col("p")[1]).alias("p01"))
 
 
+def _gram_sql(n):
+    """Per label the n x n matrix of inner products of components, one unit added on the diagonal."""
+    return f"""{B.VECTORS_SQL}, m AS (SELECT label AS g, i, j, sum(e[i] * e[j]) + (CASE WHEN i = j THEN 1e0 ELSE 0e0 END) AS v FROM vectors, range(1, {n + 1}) a(i), range(1, {n + 1}) b(j) GROUP BY 1, 2, 3),
+ rows_ AS (SELECT g, i, list(v ORDER BY j) AS r FROM m GROUP BY 1, 2), mats AS (SELECT g, list(r ORDER BY i) AS a FROM rows_ GROUP BY 1),
+ el AS (SELECT g, 1 AS k, a, 1e0 AS det FROM mats UNION ALL SELECT g, k + 1,
+  list_transform(a, lambda row, p: CASE WHEN p <= k THEN row ELSE list_transform(row, lambda x, q: x - row[k] / a[k][k] * a[k][q]) END), det * a[k][k] FROM el WHERE k <= {n})"""
+
+
+def _gram(spark, d, n):
+    v = B.vectors(spark, d).withColumnRenamed("label", "g")
+    e = lambda i: F.element_at("e", i + 1)
+    sums = [F.sum(e(i) * e(j)) + (1.0 if i == j else 0.0) for i in range(n) for j in range(n)]
+    return v.groupBy("g").agg(F.array(*sums).alias("m"))
+
+
+def _row(m, n, i):
+    return F.slice(m, i * n + 1, n)
+
+
+def _dot(a, b):
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+# determinants by elimination, solutions and factors by what they must give back
+_DENSE = lambda n: f"""WITH RECURSIVE {_gram_sql(n)},
+ total AS (SELECT g, sum(v * v) AS sq, sum(CASE WHEN i = j THEN v END) AS tr FROM m GROUP BY 1)
+SELECT m.g, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, {rsql('v')} AS back, {rsql('CASE WHEN i = j THEN 1e0 ELSE 0e0 END')} AS unit, {rsql('CASE WHEN i = j THEN 1e0 ELSE 0e0 END')} AS pinv_unit,
+ {rsql('i - 2.5e0')} AS x, {rsql('ln(det)')} AS log_det, {rsql('sq')} AS squares, {rsql('tr')} AS trace FROM m JOIN el ON el.g = m.g AND k = {n + 1} JOIN total ON total.g = m.g"""
+
+
+def _dense(spark, d, n):
+    g = _gram(spark, d, n)
+    m = F.col("m")
+    known = F.array(*[F.lit(i + 1 - 2.5) for i in range(n)])
+    right = F.array(*[_dot(_row(m, n, i), known) for i in range(n)])
+    f = g.select("g", "m", LA.cholesky(m, n).alias("l"), LA.inverse(m, n).alias("v"), LA.pseudo_inverse(m, n).alias("p"), LA.singular_values(m, n).alias("s"),
+                 LA.determinant(m, n).alias("det"), LA.solve(m, right, n).alias("x"))
+    at = f.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(n * n - 1)))).withColumns({"i": F.floor(F.col("c") / n).cast("int"), "j": F.col("c") % n})
+    row = lambda a, i: F.slice(a, F.col(i) * n + 1, F.lit(n))
+    column = lambda a: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.element_at(a, k * n + F.col("j") + 1))
+    done = {"back": _dot(row("l", "i"), row("l", "j")), "unit": _dot(row("m", "i"), column("v")), "pinv_unit": _dot(row("m", "i"), column("p")),
+            "x": F.element_at("x", F.col("i") + 1), "log_det": F.log("det"), "squares": _dot(F.col("s"), F.col("s")), "trace": F.aggregate("s", F.lit(0.0), lambda a, x: a + x)}
+    out = at.select("g", "i", "j", *[rnd(e).alias(k) for k, e in done.items()])
+    return out.withColumns({"i": F.col("i") + 1, "j": F.col("j") + 1})
+
+
+@query("mat_dense3", "F8", _DENSE(3))
+def _(spark, d):
+    return _dense(spark, d, 3)
+
+
+@query("mat_dense8", "F8", _DENSE(8))
+def _(spark, d):
+    return _dense(spark, d, 8)
+
+
 @query("reg_adapt", "F10", f"""WITH RECURSIVE s AS (SELECT event_type AS g, value / 100e0 AS x, user_id / 100e0 AS y, ts, event_id FROM events),
  l AS MATERIALIZED (SELECT g, list(x ORDER BY ts, event_id) AS xs, list(y ORDER BY ts, event_id) AS ys, count(*) AS n, 0.1e0 / avg(x * x + 1) AS eta FROM s GROUP BY g),
  w AS (SELECT g, 0 AS k, 0e0 AS w1, 0e0 AS w2 FROM l UNION ALL
@@ -121,6 +194,20 @@ def _(spark, d):
     return w.select("g", rnd(F.col("w")[0]).alias("w1"), rnd(F.col("w")[1]).alias("w2"))
 
 
+_STEPS = 137
+
+
+@query("reg_adapt_steps", "F10", f"""WITH RECURSIVE s AS (SELECT event_type AS g, value / 100e0 AS x, user_id / 100e0 AS y, ts, event_id FROM events),
+ l AS MATERIALIZED (SELECT g, list(x ORDER BY ts, event_id) AS xs, list(y ORDER BY ts, event_id) AS ys, count(*) AS n, 0.1e0 / avg(x * x + 1) AS eta FROM s GROUP BY g),
+ w AS (SELECT g, 0 AS k, 0.5e0 AS w1, -1e0 AS w2 FROM l UNION ALL
+  SELECT g, k + 1, w1 + e * x, w2 + e FROM (SELECT w.g, k, w1, w2, xs[k % n + 1] AS x, eta * (ys[k % n + 1] - w1 * xs[k % n + 1] - w2) AS e FROM w JOIN l USING (g) WHERE k < {_STEPS}))
+SELECT g, {rsql('w1')} AS w1, {rsql('w2')} AS w2 FROM w WHERE k = {_STEPS}""")
+def _(spark, d):
+    s = B.table(spark, d, "events").select(F.col("event_type").alias("g"), "ts", "event_id", (F.col("value") / 100).alias("x1"), F.lit(1.0).alias("x2"), (F.col("user_id") / 100).alias("y"))
+    w = LA.adapt(s, ["g"], ["ts", "event_id"], ["x1", "x2"], "y", 0.05, w0=[0.5, -1.0], steps=_STEPS)
+    return w.select("g", rnd(F.col("w")[0]).alias("w1"), rnd(F.col("w")[1]).alias("w2"))
+
+
 @query("reg_neighbours", "F10 J10", f"""WITH {B.VECTORS_SQL}, {_Q3SQL}, r AS (SELECT q, label, row_number() OVER (PARTITION BY q ORDER BY sqrt({_D2}), vec_id, label) AS rn FROM vectors, q)
 SELECT q, {rsql('avg(label)')} AS forecast FROM r WHERE rn <= 20 GROUP BY q""")
 def _(spark, d):
@@ -129,14 +216,23 @@ def _(spark, d):
 
 # --- transforms --------------------------------------------------------------------------
 
-_DFT = f"""{B.VECTORS_SQL}, lng AS (SELECT vec_id, unnest(range(64)) AS j, unnest(e) AS x FROM vectors),
- f AS (SELECT vec_id, k, sum(x * cos(2 * pi() * j * k / 64)) AS re, -sum(x * sin(2 * pi() * j * k / 64)) AS im FROM lng, (SELECT unnest(range(64)) AS k) GROUP BY 1, 2)"""
+_DFT = lambda n: f"""{B.VECTORS_SQL}, lng AS (SELECT vec_id, unnest(range({n})) AS j, unnest(e[1:{n}]) AS x FROM vectors),
+ f AS (SELECT vec_id, CAST(k AS BIGINT) AS k, sum(x * cos(2 * pi() * ((j * k) % {n}) / {n})) AS re, -sum(x * sin(2 * pi() * ((j * k) % {n}) / {n})) AS im FROM lng, (SELECT unnest(range({n})) AS k) GROUP BY 1, 2)"""
+
+
+def _transformed(spark, d, n):
+    line = B.vectors(spark, d).select("vec_id", F.posexplode(F.slice("e", 1, n)).alias("i", "re")).select("vec_id", F.col("i").cast("bigint").alias("i"), "re", F.lit(0.0).alias("im"))
+    return LA.fft_any(line, ["vec_id"], n).select("vec_id", F.col("i").alias("k"), rnd("re").alias("re"), rnd("im").alias("im"))
 
 
-@query("fft_vectors", "F9", f"WITH {_DFT} SELECT vec_id, CAST(k AS INTEGER) AS k, {rsql('re')} AS re, {rsql('im')} AS im FROM f")
+@query("fft_vectors", "F9", f"WITH {_DFT(64)} SELECT vec_id, k, {rsql('re')} AS re, {rsql('im')} AS im FROM f")
 def _(spark, d):
-    f = B.vectors(spark, d).select("vec_id", LA.fft_rows(F.col("e")).alias("f"))
-    return f.select("vec_id", F.posexplode(F.arrays_zip("f.re", "f.im")).alias("k", "z")).select("vec_id", "k", rnd("z.re").alias("re"), rnd("z.im").alias("im"))
+    return _transformed(spark, d, 64)
+
+
+@query("fft_prime", "F9", f"WITH {_DFT(61)} SELECT vec_id, k, {rsql('re')} AS re, {rsql('im')} AS im FROM f")
+def _(spark, d):
+    return _transformed(spark, d, 61)
 
 
 @query("fft_series", "F9", f"""WITH s AS (SELECT event_type AS g, value AS v, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS i FROM events), n AS (SELECT g, CAST(pow(2, ceil(log2(max(i) + 1))) AS BIGINT) AS n FROM s GROUP BY g)
@@ -403,6 +499,59 @@ def _(spark, d):
     return IM.pyramid(p, size, "v", 1)[1].select("x", "y", rnd("v").alias("v"))
 
 
+def _moved_sql(d):
+    """All pixels of the d x d window of each pixel, moved into the image, absent ones 0."""
+    at = lambda c, n: f"greatest(least(p.{c} - {d // 2}, {n} - {d}), 0)"
+    return f"""win AS (SELECT p.x, p.y, list(coalesce(q.v, 0e0)) AS w FROM px p CROSS JOIN sz CROSS JOIN range({d}) a(i) CROSS JOIN range({d}) b(j)
+  LEFT JOIN px q ON q.x = {at('x', 'nx')} + i AND q.y = {at('y', 'ny')} + j GROUP BY 1, 2)"""
+
+
+@query("img_median", "F14", f"""WITH {PIX}, {_moved_sql(5)} SELECT x, y, {rsql('list_sort(w)[13]')} AS median, {rsql('list_min(w)')} AS lo, {rsql('list_max(w)')} AS hi FROM win""")
+def _(spark, d):
+    p, size = pixels(spark, d)
+    m = IM.moving(p, "v", size, 5, {"median": "median", "lo": "min", "hi": "max"})
+    return m.select("x", "y", *[rnd(n).alias(n) for n in ("median", "lo", "hi")])
+
+
+# any function of the window: the mean of the five middle values of nine, and how far the ends lie apart
+@query("img_window", "F14", f"""WITH {PIX}, {_moved_sql(3)} SELECT x, y, {rsql('list_avg(list_sort(w)[3:7])')} AS middle, {rsql('list_max(w) - list_min(w)')} AS reach,
+ {rsql('list_sort(w)[3]')} AS quarter, {rsql('list_avg(w)')} AS mean FROM win""")
+def _(spark, d):
+    p, size = pixels(spark, d)
+    own = {"middle": IM.window_function(lambda w: np.sort(w, axis=1)[:, 2:7].mean(axis=1)), "reach": IM.window_function(lambda w: np.ptp(w, axis=1)),
+           "quarter": IM.rank_window(0.25), "mean": "mean"}
+    return IM.moving(p, "v", size, 3, own).select("x", "y", *[rnd(n).alias(n) for n in own])
+
+
+_FIVE = "k AS (SELECT * FROM (VALUES (-2, 0.05e0), (-1, 0.25e0), (0, 0.4e0), (1, 0.25e0), (2, 0.05e0)) t(d, w))"
+_COARSE = """n1 AS (SELECT (nx + 1) // 2 AS nx, (ny + 1) // 2 AS ny FROM sz), t1 AS (SELECT i % n1.nx AS x, i // n1.nx AS y FROM (SELECT unnest(range(nx * ny)) AS i FROM n1), n1),
+ g1 AS (SELECT t1.x, t1.y, sum(a.w * b.w * p.v) AS v FROM t1, sz, k a, k b JOIN px p ON p.x = greatest(least(2 * t1.x + a.d, nx - 1), 0) AND p.y = greatest(least(2 * t1.y + b.d, ny - 1), 0) GROUP BY 1, 2)"""
+_FINE = """t0 AS (SELECT i % nx AS x, i // nx AS y FROM (SELECT unnest(range(nx * ny)) AS i, nx, ny FROM sz)),
+ e0 AS (SELECT t0.x, t0.y, sum(4 * a.w * b.w * coalesce(g1.v, 0)) AS v FROM t0, n1, k a, k b LEFT JOIN g1 ON g1.x = greatest(least((t0.x + a.d) // 2, n1.nx - 1), 0) AND g1.y = greatest(least((t0.y + b.d) // 2, n1.ny - 1), 0)
+  WHERE (t0.x + a.d) % 2 = 0 AND (t0.y + b.d) % 2 = 0 GROUP BY 1, 2)"""
+
+
+@query("img_laplacian", "F14", f"WITH {PIX}, {_FIVE}, {_COARSE}, {_FINE} SELECT t0.x, t0.y, {rsql('1000 * (coalesce(px.v, 0) - coalesce(e0.v, 0))', 4)} AS v FROM t0 LEFT JOIN e0 USING (x, y) LEFT JOIN px USING (x, y)")
+def _(spark, d):
+    p, size = pixels(spark, d)
+    own = IM.laplacian_pyramid(IM.pyramid(p, size, "v", 1), size, "v")[0]
+    return _everywhere(spark, own, size).select("x", "y", rnd("v", 4).alias("v"))
+
+
+def _everywhere(spark, pixels_, size):
+    """Every pixel of the image, 0 where nothing is stored or lands."""
+    nx, ny = size
+    at = spark.range(nx * ny).select((F.col("id") % nx).alias("x"), F.floor(F.col("id") / nx).cast("bigint").alias("y"))
+    return at.join(pixels_, ["x", "y"], "left").select("x", "y", F.coalesce("v", F.lit(0.0)).alias("v"))
+
+
+@query("img_reconstruct", "F14", f"WITH {PIX}, t0 AS (SELECT i % nx AS x, i // nx AS y FROM (SELECT unnest(range(nx * ny)) AS i, nx, ny FROM sz)) SELECT t0.x, t0.y, {rsql('coalesce(px.v, 0)')} AS v FROM t0 LEFT JOIN px USING (x, y)")
+def _(spark, d):
+    p, size = pixels(spark, d)
+    back = IM.reconstruct(IM.laplacian_pyramid(IM.pyramid(p, size, "v", 2), size, "v"), size, "v")
+    return _everywhere(spark, back, size).select("x", "y", rnd("v").alias("v"))
+
+
 @query("img_diff", "F14 A24", f"""WITH {_RGB}, p AS (SELECT x, y, max(r) AS r, max(g) AS g, min(b) AS b FROM q GROUP BY 1, 2), o AS (SELECT x, y, min(r) AS r, max(g) AS g, max(b) AS b FROM q GROUP BY 1, 2),
  df AS (SELECT CAST(abs(p.r - o.r) + abs(p.g - o.g) + abs(p.b - o.b) AS DOUBLE) AS d FROM p JOIN o USING (x, y)) SELECT CAST(count(*) AS BIGINT) AS n, {rsql('avg(d)')} AS avg, {rsql('stddev_pop(d)')} AS var, min(d) AS min, max(d) AS max FROM df""")
 def _(spark, d):

@@ -43,7 +43,34 @@ def window_sql(shift, weights, lo, extra=(), fade=False):
 SELECT points.px, points.py, points.pz, {', '.join(cols)} FROM points JOIN w USING (px, py, pz)"""
 
 
+def channels_sql(shift, lo, sets, channels):
+    """Several channels through one window: ``sets`` gives weight trios by suffix, ``channels`` SQL over a cell's values."""
+    fr = lambda c: f"(p{c} - {shift}e0 - floor(p{c} - {shift}e0))"
+    n = len(next(iter(sets.values()))[0])
+    k = lambda c, ws: "CASE k" + c + " " + " ".join(f"WHEN {i} THEN {re.sub(r'\bT\b', 't' + c, w)}" for i, w in enumerate(ws)) + " END"
+    sums = {f"{name}{suffix}": rsql("sum(" + " * ".join(f"({k(c, ws)})" for c, ws in zip("xyz", trio)) + f" * coalesce({v}, 0))")
+            for name, v in channels.items() for suffix, trio in sets.items()}
+    return f"""WITH {PTS}, q AS (SELECT DISTINCT px, py, pz, sx, {', '.join(f'CAST(floor(p{c} - {shift}e0) AS BIGINT) AS i{c}, {fr(c)} AS t{c}' for c in 'xyz')} FROM points, grid),
+ w AS (SELECT px, py, pz, {', '.join(f'{e} AS {name}' for name, e in sums.items())} FROM q, range({n}) rx(kx), range({n}) ry(ky), range({n}) rz(kz)
+  LEFT JOIN cells c ON c.x = {_CL(f'ix + kx + {lo}', 'sx')} AND c.y = {_CL(f'iy + ky + {lo}', '16')} AND c.z = {_CL(f'iz + kz + {lo}', '16')} GROUP BY 1, 2, 3)
+SELECT points.px, points.py, points.pz, {', '.join(sums)} FROM points JOIN w USING (px, py, pz)"""
+
+
+def sampled_channels(spark, d, kind, channels):
+    """All channels packed into the same blocks and sampled together."""
+    g = B.grid_for(spark, d, 8)
+    cells = B.cells(spark, d).select("x", "y", "z", *[e.alias(n) for n, e in channels.items()])
+    packed = H.pack(cells, g, list(channels), dtype=F64)
+    return I.sample(B.points(spark, d).select("px", "py", "pz"), packed, g, kind, dtype=F64, channels=list(channels))
+
+
 LIN = ["1 - T", "T"]
+_VECTOR = {"vx": F.col("a"), "vy": F.col("b") / 1000.0, "vz": F.col("a") * F.col("y") - F.col("z")}
+
+
+@query("interp_vector", "K20", channels_sql(0.5, 0, {"": (LIN, LIN, LIN)}, {"vx": "a", "vy": "b / 1000e0", "vz": "(a * c.y - c.z)"}))
+def _(spark, d):
+    return rounded(sampled_channels(spark, d, "linear", _VECTOR), *_VECTOR)
 
 
 @query("interp_nearest", "K19 P12", f"""WITH {PTS} SELECT px, py, pz, {rsql('coalesce(a, 0)')} AS value FROM points LEFT JOIN cells ON x = CAST(floor(px) AS BIGINT) AND y = CAST(floor(py) AS BIGINT) AND z = CAST(floor(pz) AS BIGINT)""")
@@ -136,6 +163,13 @@ def _(spark, d):
     return rounded(sampled(spark, d, "bspline3"), "value", "gx", "gy", "gz")
 
 
+@query("interp_multi", "K20 K21", channels_sql(0.5, -1, {"": (_S3, _S3, _S3), "_gx": (_D3, _S3, _S3), "_gy": (_S3, _D3, _S3), "_gz": (_S3, _S3, _D3)},
+                                               {"va": "a", "vb": "b / 1000e0"}))
+def _(spark, d):
+    channels = {"va": F.col("a"), "vb": F.col("b") / 1000.0}
+    return rounded(sampled_channels(spark, d, "bspline3", channels), *[f"{c}{s}" for c in channels for s in ("", "_gx", "_gy", "_gz")])
+
+
 @query("interp_hessian", "K21", window_sql(0.5, _S3, -1, {"hxx": (_C3, _S3, _S3), "hyz": (_S3, _D3, _D3), "hxy": (_D3, _D3, _S3)}))
 def _(spark, d):
     return rounded(sampled(spark, d, "hessian"), "value", "hxx", "hyz", "hxy")

@@ -38,35 +38,85 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
 
 # --- image tiles ---------------------------------------------------------------------
 
-def png_bytes(rgb: np.ndarray) -> bytes:
-    """Encode rows of 8-bit RGB as PNG."""
+def png_bytes(rgb: np.ndarray, row_filter: int = 0) -> bytes:
+    """Encode rows of 8-bit RGB as PNG, all rows under one of the five row filters."""
     h, w, _ = rgb.shape
 
     def piece(tag: bytes, body: bytes) -> bytes:
         return struct.pack(">I", len(body)) + tag + body + struct.pack(">I", zlib.crc32(tag + body))
 
-    raw = np.concatenate([np.zeros((h, 1), np.uint8), rgb.reshape(h, w * 3)], axis=1).tobytes()
+    rows = rgb.reshape(h, w, 3).astype(np.int16)
+    up, left, corner = (np.zeros_like(rows) for _ in range(3))
+    up[1:], left[:, 1:], corner[1:, 1:] = rows[:-1], rows[:, :-1], rows[:-1, :-1]
+    guess = _predicted(row_filter, left, up, corner)
+    raw = np.concatenate([np.full((h, 1), row_filter, np.uint8), (rows - guess).astype(np.uint8).reshape(h, w * 3)], axis=1).tobytes()
     return (b"\x89PNG\r\n\x1a\n" + piece(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0))
             + piece(b"IDAT", zlib.compress(raw, 6)) + piece(b"IEND", b""))
 
 
+def _predicted(kind: int, left: np.ndarray, up: np.ndarray, corner: np.ndarray) -> np.ndarray:
+    """What a row filter takes a byte to be, from the bytes to the left, above and above left."""
+    if kind == 0:
+        return np.zeros_like(left)
+    if kind == 1:
+        return left
+    if kind == 2:
+        return up
+    if kind == 3:
+        return (left + up) // 2
+    if kind == 4:
+        # of the three the one nearest to left + up - corner, the first of equals
+        p = left + up - corner
+        by_left, by_up, by_corner = np.abs(p - left), np.abs(p - up), np.abs(p - corner)
+        return np.where((by_left <= by_up) & (by_left <= by_corner), left, np.where(by_up <= by_corner, up, corner))
+    raise ValueError(f"no row filter {kind}")
+
+
 def png_pixels(data: bytes) -> np.ndarray:
-    """Decode what ``png_bytes`` writes (8-bit RGB, no row filter)."""
+    """Decode an 8-bit RGB or RGBA PNG without interlacing; alpha is left out.
+
+    A filter that looks left is undone along the row by a running sum, one that looks up for the
+    whole row, and the two that mix both pixel by pixel.
+    """
     if data[:8] != b"\x89PNG\r\n\x1a\n":
         raise ValueError("not a PNG")
-    at, body, w, h = 8, b"", 0, 0
+    at, body, w, h, n = 8, b"", 0, 0, 3
     while at < len(data):
-        (n,) = struct.unpack(">I", data[at:at + 4])
-        tag, part = data[at + 4:at + 8], data[at + 8:at + 8 + n]
+        (size,) = struct.unpack(">I", data[at:at + 4])
+        tag, part = data[at + 4:at + 8], data[at + 8:at + 8 + size]
         if tag == b"IHDR":
-            w, h = struct.unpack(">II", part[:8])
+            w, h, depth, colour, _, _, woven = struct.unpack(">IIBBBBB", part[:13])
+            if depth != 8 or colour not in (2, 6) or woven:
+                raise ValueError("only 8-bit RGB and RGBA without interlacing")
+            n = 3 if colour == 2 else 4
         if tag == b"IDAT":
             body += part
-        at += 12 + n
-    rows = np.frombuffer(zlib.decompress(body), np.uint8).reshape(h, 1 + 3 * w)
-    if rows[:, 0].any():
-        raise ValueError("filtered rows are not supported")
-    return rows[:, 1:].reshape(h, w, 3)
+        at += 12 + size
+    rows = np.frombuffer(zlib.decompress(body), np.uint8).reshape(h, 1 + n * w)
+    kinds, out = rows[:, 0], rows[:, 1:].reshape(h, w, n).copy()
+    if (kinds > 4).any():
+        raise ValueError("unknown row filter")
+    # rows of one kind in a row go together where no row needs the one above
+    y = 0
+    while y < h:
+        end = y + 1
+        while end < h and kinds[end] == kinds[y]:
+            end += 1
+        if kinds[y] == 1:
+            np.cumsum(out[y:end], axis=1, out=out[y:end], dtype=np.uint8)
+        elif kinds[y] == 2:
+            if y:
+                out[y] += out[y - 1]
+            np.cumsum(out[y:end], axis=0, out=out[y:end], dtype=np.uint8)
+        elif kinds[y]:
+            for k in range(y, end):
+                above = out[k - 1].astype(np.int16) if k else np.zeros((w, n), np.int16)
+                left = corner = np.zeros(n, np.int16)
+                for x in range(w):
+                    out[k, x] += _predicted(int(kinds[y]), left, above[x], corner).astype(np.uint8)
+                    left, corner = out[k, x].astype(np.int16), above[x]
+        y = end
+    return out[:, :, :3]
 
 
 def png_tiles(pixels: DataFrame, tile: int = 256) -> DataFrame:
