@@ -5,10 +5,14 @@ differ, so no tally of equal bytes is certain; a pair is a candidate once it sha
 bytes of one of many fixed choices of positions, that is once its tally reaches the size of a
 choice.  The size grows with the logarithm of the number of documents, which keeps chance
 meetings per document few at any scale, and the number of choices keeps recall at the
-threshold (``CHOICES``).  A first look joins most of every group by few pairs per list.  The
-second goes through the lists of all choices and compares every pair of members that the first
-has not joined; long lists are compared in pairs of parts.
-Candidates within HAMMING bits are verified exactly on their shingle sets.
+threshold (``CHOICES``).
+
+A first look joins most of every group by few pairs per list.  The second goes through the lists of
+all choices and only asks which groups lie near each other: a task answers with a spanning
+forest of the near groups in its lists, however many pairs there are.  Groups that these
+connect form a neighbourhood.  The shingle sets of a neighbourhood then meet in tasks of
+bounded size, where every pair within HAMMING bits that is not joined yet is verified exactly, and only
+links that join something leave the task.
 """
 
 from __future__ import annotations
@@ -39,6 +43,8 @@ FIRST = 24
 """Choices of the first look."""
 PAIRS = 1 << 18
 """Pairs that are compared at once."""
+PART_BYTES = 16 << 20
+"""Shingle sets of a part of a neighbourhood; every two parts meet in a task of their own."""
 
 
 def kid(doc_id: Column) -> Column:
@@ -189,41 +195,89 @@ def _near(fps: np.ndarray, root: np.ndarray, i: np.ndarray, j: np.ndarray) -> tu
     return i[near], j[near]
 
 
-def _every(fps: np.ndarray, root: np.ndarray, s: np.ndarray, e: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All near pairs of unlike roots in the lists s[k]..e[k], some at a time."""
-    n = e - s
-    for k in np.unique(n[(n > 1) & (n <= 64)]):
-        p, q = np.triu_indices(k, 1)
-        of = s[n == k]
-        step = max(1, PAIRS // len(p))
-        for x in range(0, len(of), step):
-            first = of[x:x + step, None]
-            yield _near(fps, root, (first + p).reshape(-1), (first + q).reshape(-1))
-    for x, y in zip(s[n > 64], e[n > 64]):
-        order = x + np.argsort(root[x:y], kind="stable")
-        rs, re = C.runs(root[order])
-        after = np.repeat(re, re - rs)  # those of the same root need no look
-        step = max(1, PAIRS // (y - x))
-        for a in range(0, y - x, step):
-            rows, rest = order[a:a + step], order[after[a]:]
-            if len(rest):
-                yield _near(fps, root, np.repeat(rows, len(rest)), np.tile(rest, len(rows)))
-
-
-def _some(fps: np.ndarray, root: np.ndarray, s: np.ndarray, e: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The near pairs of first look."""
+def _some(node: np.ndarray, fps: np.ndarray, root: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The near pairs of first look in the lists s[k]..e[k]."""
     two = s[e - s == 2]
     i, j = [two], [two + 1]
     for x, y in zip(s[e - s > 2], e[e - s > 2]):
         p, q = _meet(fps[x:y].view(np.uint8))
         i.append(p + x)
         j.append(q + x)
-    yield _near(fps, root, np.concatenate(i), np.concatenate(j))
+    i, j = _near(fps, root, np.concatenate(i), np.concatenate(j))
+    return node[i], node[j]
 
 
-def _candidates(pairs):
+def _stars(node: np.ndarray, fps: np.ndarray, root: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the lists s[k]..e[k] the roots that are near by way of members, each with the least of those it is connected with."""
+    two = s[e - s == 2]
+    i, j = _near(fps, root, two, two + 1)
+    a, b = [np.minimum(root[i], root[j])], [np.maximum(root[i], root[j])]
+    for x, y in zip(s[e - s > 2], e[e - s > 2]):
+        names, at = np.unique(root[x:y], return_inverse=True)
+        for group in _connected(fps[x:y], at, len(names)):
+            a.append(np.full(len(group) - 1, names[group[0]]))
+            b.append(names[group[1:]])
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _connected(fps: np.ndarray, at: np.ndarray, n: int) -> Iterator[np.ndarray]:
+    """Sets of two or more of the roots 0..n-1 (``at``: of each member) that near members connect.
+
+    What is connected is not compared again, so a group of near copies takes a few passes over its members.
+    """
+    free = np.ones(n, bool)
+    for first in range(n):
+        if not free[first]:
+            continue
+        free[first] = False
+        group, turn = [np.array([first])], np.flatnonzero(at == first)
+        while len(turn):
+            rest = np.flatnonzero(free[at])
+            if not len(rest):
+                break
+            some, turn = turn[:max(1, min(64, PAIRS // len(rest)))], turn[max(1, min(64, PAIRS // len(rest))):]
+            near = (np.bitwise_count(fps[some][:, None] ^ fps[rest][None]).sum(axis=2) <= HAMMING).any(axis=0)
+            if near.any():
+                new = np.unique(at[rest[near]])
+                free[new] = False
+                group.append(new)
+                turn = np.r_[turn, rest[np.isin(at[rest], new)]]
+        if len(group) > 1:
+            yield np.sort(np.concatenate(group))
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What these links connect, as links from the least of each component to all others of it."""
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[:len(a)], at[len(a):]
+    label = np.arange(len(names))
+    while True:
+        least = np.minimum(label[x], label[y])
+        new = label.copy()
+        for end in (label[x], label[y], x, y):
+            np.minimum.at(new, end, least)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    rest = np.flatnonzero(label != np.arange(len(names)))
+    return names[label[rest]], names[rest]
+
+
+def _candidates(links, forest: bool = False):
+    """With ``forest`` a task only yields a spanning forest of all that its lists connect."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (lid, node, fp, root) come sorted by list; yields pairs within HAMMING bits and of unlike roots."""
+        known = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for pair in found(batches):
+            if forest:
+                known = _forest(np.r_[known[0], pair[0]], np.r_[known[1], pair[1]])
+            else:
+                yield pa.record_batch({"a": pa.array(pair[0]), "b": pa.array(pair[1])})
+        if len(known[0]):
+            yield pa.record_batch({"a": pa.array(known[0]), "b": pa.array(known[1])})
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        """Rows (lid, node, fp, root) come sorted by list; yields what ``links`` finds in whole lists."""
         held: tuple | None = None
         for b in chain(batches, [None]):
             if b is None:
@@ -239,11 +293,45 @@ def _candidates(pairs):
                 lid, node, fps, root = new if held is None else tuple(np.concatenate(x) for x in zip(held, new))
                 stop = int(np.searchsorted(lid, lid[-1]))  # the last list may go on
                 held = lid[stop:], node[stop:], fps[stop:], root[stop:]
-            for i, j in pairs(fps, root, *C.runs(lid[:stop])):
-                lo, hi = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
-                pair = np.unique(np.stack([lo, hi]), axis=1)
-                if pair.size:
-                    yield pa.record_batch({"a": pa.array(pair[0]), "b": pa.array(pair[1])})
+            a, b = links(node, fps, root, *C.runs(lid[:stop]))
+            pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+            if pair.size:
+                yield pair
+    return run
+
+
+def _joined(similarity: float):
+    """Links (a, b) of similar members of unlike roots in a neighbourhood, or between two parts of one, that join something."""
+    def run(t: pa.Table) -> pa.Table:
+        node, side = t.column("node").to_numpy(), t.column("part").to_numpy()
+        fps = np.frombuffer(b"".join(t.column("fp").to_pylist()), np.uint64).reshape(t.num_rows, -1)
+        sets = t.column("s").combine_chunks()
+        sizes = sets.value_lengths().to_numpy().astype(np.int64)
+        _, item = np.unique(sets.flatten().to_numpy(), return_inverse=True)
+        begin = np.r_[0, np.cumsum(sizes)]
+        group = np.unique(t.column("root").to_numpy(), return_inverse=True)[1]
+        apart = len(np.unique(side)) > 1
+        mark, links = np.zeros(int(item.max(initial=0)) + 1, bool), []
+        step = max(1, PAIRS // max(1, len(node)))
+        for lo in range(0, len(node), step):
+            near = np.bitwise_count(fps[lo:lo + step, None] ^ fps[None, lo:]).sum(axis=2) <= HAMMING
+            for i in range(lo, min(lo + step, len(node))):
+                j = lo + np.flatnonzero(near[i - lo])
+                fit = (j > i) & (group[j] != group[i]) & (np.minimum(sizes[j], sizes[i]) >= similarity * np.maximum(sizes[j], sizes[i]) - 1e-6)
+                j = j[fit & (side[j] != side[i])] if apart else j[fit]
+                if not len(j):
+                    continue
+                mine = item[begin[i]:begin[i + 1]]
+                mark[mine] = True
+                cut = np.r_[0, np.cumsum(sizes[j])]
+                at = np.repeat(begin[j] - cut[:-1], sizes[j]) + np.arange(cut[-1])
+                common = np.diff(np.r_[0, np.cumsum(mark[item[at]])][cut])
+                mark[mine] = False
+                for k in j[common / np.maximum(1, sizes[i] + sizes[j] - common) >= similarity]:
+                    if group[k] != group[i]:
+                        links.append((node[i], node[k]))
+                        group[group == group[k]] = group[i]
+        return pa.table([pa.array([x[c] for x in links], pa.int64()) for c in (0, 1)], names=["a", "b"])
     return run
 
 
@@ -259,57 +347,46 @@ def _shingle_sets(shingle: int):
     return run
 
 
-def _pointers(links: DataFrame) -> DataFrame:
-    """(node, root): from each linked node to its most linked partner, then along these pointers a few steps.
-
-    Nodes of one root are connected; connected nodes may have several.
-    """
-    ends = links.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("e")).select("e.x", "e.y")
-    degree = ends.groupBy("y").agg(F.count("*").alias("n"))
-    rank = F.struct("n", "y")
-    best = ends.join(degree, "y").groupBy("x").agg(F.max(rank).alias("m")).join(degree.select(F.col("y").alias("x"), F.col("n").alias("own")), "x")
-    up = F.when(F.struct(F.col("m.n").alias("n"), F.col("m.y").alias("y")) > F.struct(F.col("own").alias("n"), F.col("x").alias("y")), F.col("m.y")).otherwise(F.col("x"))
-    at = C.settle(best.select(F.col("x").alias("node"), up.alias("root")))
-    for _ in range(3):
-        at = C.settle(at.join(at.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left").select("node", F.coalesce("next", "root").alias("root")))
-    return at
-
-
 def similar_nodes(docs: DataFrame, rows: DataFrame, similarity: float, shingle: int, text_col: str = "text") -> DataFrame:
-    """(a, b): verified pairs of different word sequences of ``rows = marked(docs)`` that connect all which candidates would.
+    """(a, b): links between different word sequences of ``rows = marked(docs)``, each verified or a chain of verified ones.
 
-    The first FIRST choices join most of every group by a few pairs per list.  Pairs that these links
-    connect by way of common partners need no second look; all others that share a list of any choice
-    are compared and, within HAMMING bits, verified.
+    They connect all that verified pairs which share a list of some choice, or lie in one neighbourhood, connect.
     """
     nodes = C.settle(rows.groupBy("node").agg(F.any_value("fp").alias("fp"), F.min("mark").alias("mark")))
     n = nodes.count()
     size = next((k for k in CHOICES if n <= 1 << (8 * k - 2)), max(CHOICES))
 
-    def candidates(rooted: DataFrame, some: slice, lists_of, pairs) -> DataFrame:
+    def looked(rooted: DataFrame, some: slice, lists_of, links, forest: bool = False) -> DataFrame:
         n_buckets = max(1, n * len(range(CHOICES[size])[some]) // BUCKET_POSTINGS)
         posted = rooted.select("node", "fp", "root").mapInArrow(_postings(size, n_buckets, some), "bucket int, keys binary, nodes binary, roots binary, counts binary")
         lists = posted.groupBy("bucket").applyInArrow(lists_of, "lid bigint, node bigint")
         met = lists.join(rooted.select("node", "fp", "root"), "node").repartition("lid").sortWithinPartitions("lid", "node").select("lid", "node", "fp", "root")
-        return C.settle(met.mapInArrow(_candidates(pairs), "a bigint, b bigint").distinct())
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "mark"), "node")
-        texts = docs.select(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("mark"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(
-            wanted, "mark").dropDuplicates(["node"]).select("node", "text").mapInArrow(_shingle_sets(shingle), "node bigint, s array<bigint>")
-        sets = C.settle(texts)
-        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-        common = F.size(F.array_intersect("sa", "sb"))
-        alike = F.try_divide(common, F.size("sa") + F.size("sb") - common)
-        return C.settle(both.where(alike >= similarity).select("a", "b"))
-
-    sure = verified(candidates(nodes.withColumn("root", F.col("node")), slice(0, FIRST), _lists, _some))
-    roots = _pointers(sure)
-    rooted = C.settle(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    more = verified(candidates(rooted, slice(None), _open_lists, _every))
-    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
-    across = sure.join(of("a"), "a").join(of("b"), "b").where("ra <> rb").select("a", "b")
-    return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(across).unionByName(more)
+        return C.settle(met.mapInArrow(_candidates(links, forest), "a bigint, b bigint").distinct())
+
+    def with_sets(wanted: DataFrame) -> DataFrame:
+        """(node, s) of the wanted (node, mark)."""
+        return docs.select(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("mark"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(
+            wanted.select("node", "mark"), "mark").dropDuplicates(["node"]).select("node", "text").mapInArrow(_shingle_sets(shingle), "node bigint, s array<bigint>")
+
+    first = looked(nodes.withColumn("root", F.col("node")), slice(0, FIRST), _lists, _some)
+    sets = C.settle(with_sets(first.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "mark"), "node")))
+    both = first.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    sure = both.where(F.try_divide(common, F.size("sa") + F.size("sb") - common) >= similarity).select("a", "b")
+    roots = C.settle(graph.components(sure))
+    rooted = C.settle(nodes.join(roots.withColumnRenamed("a", "node"), "node", "left").withColumn("root", F.coalesce("root", "node")))
+
+    stars = looked(rooted, slice(None), _open_lists, _stars, forest=True)
+    around = C.settle(graph.components(stars).select(F.col("a").alias("root"), F.col("root").alias("hood")))
+    around = around.unionByName(around.select(F.col("hood").alias("root"), "hood").distinct())
+    members = rooted.join(around, "root")
+    more = C.settle(members.join(with_sets(members), "node").select("node", "root", "hood", "fp", "s"))
+    parts = more.groupBy("hood").agg(F.ceil(F.sum(F.size("s") + 8) * 8 / PART_BYTES).cast("int").alias("parts"))
+    dealt = more.join(parts, "hood").withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    held = dealt.select("node", "root", "hood", "fp", "s", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
+    links = held.groupBy("hood", "lo", "hi").applyInArrow(_joined(similarity), "a bigint, b bigint")
+    return roots.select("a", F.col("root").alias("b")).unionByName(links)
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

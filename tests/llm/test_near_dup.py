@@ -88,18 +88,6 @@ def test_choices_are_even():
         assert len(used) == 64 and max(used.values()) <= 2 * min(used.values())
 
 
-def test_pointers_stay_inside_components(spark):
-    rng = random.Random(3)
-    hub = [(0, i) for i in range(1, 60)]
-    mesh = [(i, j) for i in range(1, 60) for j in rng.sample(range(1, 60), 4) if i != j]
-    chain = [(1000 + i, 1001 + i) for i in range(20)]
-    links = spark.createDataFrame(hub + mesh + chain, "a long, b long")
-    got = {r.node: r.root for r in N._pointers(links).collect()}
-    assert set(got) == set(range(60)) | set(range(1000, 1021))
-    assert all((n < 1000) == (r < 1000) for n, r in got.items())
-    assert {got[n] for n in range(60)} == {0}
-
-
 def boilerplate(n, pairs, shared=150, own=50):
     """Texts that share most of their words but no near copies, and pairs (d, 100000 + d) at similarity 0.82 to 0.86."""
     rng = random.Random(17)
@@ -129,23 +117,93 @@ def test_pairs_in_a_boilerplate_source(spark):
 
 
 @pytest.mark.parametrize("limit", [8192, 40])
-def test_second_look_compares_every_pair_of_unlike_roots(monkeypatch, limit):
+def test_second_look_connects_all_near_roots(monkeypatch, limit):
     monkeypatch.setattr(N, "LIST_ROWS", limit)
     rng = np.random.default_rng(4)
-    centre = rng.integers(0, 1 << 63, (1, 8), dtype=np.uint64)
-    flips = np.packbits(rng.random((300, 512)) < 0.12, axis=1).view(np.uint64)
-    fps = centre ^ flips
+    centre = rng.integers(0, 1 << 63, (2, 8), dtype=np.uint64)
+    flips = np.packbits(rng.random((300, 512)) < 0.11, axis=1).view(np.uint64)
+    fps = centre[np.arange(300) % 2] ^ flips
+    fps[250:] = rng.integers(0, 1 << 63, (50, 8), dtype=np.uint64)
     node = np.arange(1, 301)
-    root = np.where(node <= 120, 1, node)
+    root = np.where(node <= 120, 1 + (node - 1) % 2, node)
     t = pa.table({"bucket": pa.array([0], pa.int32()), "keys": [np.zeros(300, np.uint32).tobytes()], "nodes": [node.tobytes()],
                   "roots": [C.planes(node ^ root)], "counts": [C.planes(np.ones(300, np.uint32))]})
     lists = N._open_lists(t).to_pandas().sort_values("lid", kind="stable")
     at = lists.node.to_numpy() - 1
     met = pa.record_batch({"lid": pa.array(lists.lid.to_numpy()), "node": pa.array(node[at]), "fp": pa.array([fps[i].tobytes() for i in at], pa.binary()), "root": pa.array(root[at])})
-    got = {(a, b) for out in N._candidates(N._every)(iter([met.slice(0, 100), met.slice(100)])) for a, b in zip(out.column("a").to_pylist(), out.column("b").to_pylist())}
+    got = [(a, b) for out in N._candidates(N._stars)(iter([met.slice(0, 100), met.slice(100)])) for a, b in zip(out.column("a").to_pylist(), out.column("b").to_pylist())]
     bits = np.bitwise_count(fps[:, None] ^ fps[None]).sum(axis=2)
-    want = {(i + 1, j + 1) for i in range(300) for j in range(i + 1, 300) if bits[i, j] <= N.HAMMING and root[i] != root[j]}
-    assert want and got == want
+    want = [(root[i], root[j]) for i in range(300) for j in range(i) if bits[i, j] <= N.HAMMING and root[i] != root[j]]
+    parts = lambda links: sorted(map(sorted, united(links)))
+    assert want and parts(got) == parts(want)
+    assert limit < 300 or len(got) <= len(set(root)) - 1  # spanning stars, not the pairs
+    forest = [(a, b) for out in N._candidates(N._stars, forest=True)(iter([met])) for a, b in zip(out.column("a").to_pylist(), out.column("b").to_pylist())]
+    assert parts(forest) == parts(want) and len(forest) <= len(set(root)) - 1
+
+
+def united(links):
+    of = {}
+    for a, b in links:
+        x = of.get(a, {a}) | of.get(b, {b})
+        for y in x:
+            of[y] = x
+    return {frozenset(map(int, x)) for x in of.values()}
+
+
+def crowd(n, seed=31):
+    """Copies of one text of 120 words with 3 to 5 words of their own, most of which are not similar enough to each other, and unlike texts."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    base = [word() for _ in range(120)]
+    rows = []
+    for d in range(n):
+        w = list(base)
+        for at in rng.sample(range(120), rng.randrange(3, 6)):
+            w[at] = word()
+        rows.append((d, " ".join(w)))
+    return rows + [(100_000 + d, " ".join(word() for _ in range(60))) for d in range(200)]
+
+
+def test_rows_grow_with_a_crowd_of_nearly_similar_texts(spark, monkeypatch):
+    monkeypatch.setattr(N, "PART_BYTES", 200_000)  # several parts
+    made = []
+    settle = C.settle
+
+    def counted(df):
+        out = settle(df)
+        made.append(out.count())
+        return out
+    monkeypatch.setattr(C, "settle", counted)
+    most = {}
+    for n in (300, 600):
+        rows = crowd(n)
+        made.clear()
+        got = sorted(r.doc_id for r in N.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+        want = [d for d, _ in staying(rows)]
+        missed = sorted(set(got) ^ set(want))
+        assert not set(want) - set(got) and len(missed) <= 0.1 * (len(rows) - len(want)) + 1, missed
+        most[n] = max(made)
+    assert most[600] <= 2.6 * most[300]
+
+
+def test_part_pairs_find_all_links():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.choice(400, 120)) for _ in range(60)]
+    sets += [np.unique(np.r_[s[:-6], rng.choice(400, 3)]) for s in sets[:40]]
+    fp = np.zeros(8, np.uint64).tobytes()
+    n = len(sets)
+    alike = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b)) >= 0.8
+    want = united([(i, j) for i in range(n) for j in range(i) if alike(sets[i], sets[j])])
+    part = np.arange(n) % 3
+    links = []
+    for lo in range(3):
+        for hi in range(lo, 3):
+            at = np.flatnonzero((part == lo) | (part == hi))
+            t = pa.table({"node": pa.array(at), "root": pa.array(at), "part": pa.array(part[at]), "fp": pa.array([fp] * len(at), pa.binary()),
+                          "s": pa.array([sets[i] for i in at], pa.list_(pa.int64()))})
+            got = N._joined(0.8)(t)
+            links += zip(got.column("a").to_pylist(), got.column("b").to_pylist())
+    assert united(links) == want and want
 
 
 def test_lines_repeated_more_often(spark):
