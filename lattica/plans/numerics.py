@@ -5,6 +5,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
+from lattica.functions.keys import COORD_PRIMES
 from lattica.functions import color as CO, noise as N, poly as PY, rng as R, text as TX
 from lattica.operators import channels as C, image as IM, linalg as LA, order as O
 from lattica.operators.slices import colour_map
@@ -322,21 +323,67 @@ def _(spark, d):
 
 # --- noise ---------------------------------------------------------------------------------
 
-@query("noise_points", "F11")
+def _noise_sql(tag, src, keys, pos, seed):
+    """Gradient noise at positions ``pos`` of every row: its lattice corners, their hashes, directions and fades, summed per ``keys``."""
+    n = len(pos)
+    cell = ", ".join(f"CAST(floor({p}) AS BIGINT) AS b{k}, {p} - floor({p}) AS t{k}, (corner >> {k}) & 1 AS o{k}" for k, p in enumerate(pos))
+    h = f"(({seed}) * 2654435761) & 4294967295"
+    for k, prime in zip(range(n), COORD_PRIMES):
+        h = f"xor({h}, ((b{k} + o{k}) * {prime}) & 4294967295)"
+    fade = " * ".join(f"(CASE o{k} WHEN 1 THEN f{k} ELSE 1 - f{k} END)" for k in range(n))
+    sign = lambda k: f"(CASE (h >> {k}) & 1 WHEN 1 THEN 1e0 ELSE -1e0 END) * (t{k} - o{k})"
+    if n == 1:
+        slope = f"{sign(0)} * (((h >> 1) % 8) + 1) / 8"
+    else:
+        slope = " + ".join(f"(CASE WHEN {f'(h >> 8) % {n}' if n > 2 else n} = {k} THEN 0e0 ELSE {sign(k)} END)" for k in range(n))
+    return f"""{tag}0 AS (SELECT *, {cell} FROM {src}, range({1 << n}) c(corner)), {tag}1 AS (SELECT *, {h} AS h0, {', '.join(f't{k} * t{k} * t{k} * (t{k} * (t{k} * 6 - 15) + 10) AS f{k}' for k in range(n))} FROM {tag}0),
+ {tag}2 AS (SELECT *, CAST((xor(h0, h0 >> 16) * 2246822507::HUGEINT) % 4294967296 AS BIGINT) AS h1 FROM {tag}1), {tag}3 AS (SELECT *, CAST((xor(h1, h1 >> 13) * 3266489909::HUGEINT) % 4294967296 AS BIGINT) AS h2 FROM {tag}2),
+ {tag}4 AS (SELECT *, xor(h2, h2 >> 16) AS h FROM {tag}3), {tag} AS (SELECT {keys}, sum({fade} * ({slope})) AS v FROM {tag}4 GROUP BY {keys})"""
+
+
+def _octaves_sql(octaves, alpha, beta):
+    """(k, freq, amp): one row per octave, the last one faded in."""
+    rows, amp, freq = [], 1.0, 1.0
+    for k in range(math.ceil(octaves)):
+        rows.append(f"({k}, {freq!r}e0, {amp * min(1.0, octaves - k)!r}e0)")
+        amp, freq = amp / alpha, freq * beta
+    return f"(SELECT * FROM (VALUES {', '.join(rows)}) t(k, freq, amp))"
+
+
+_XYZ37 = [f"(p{c} * 0.37e0)" for c in "xyz"]
+
+
+@query("noise_points", "F11", f"""WITH {B.POINTS_SQL}, p AS (SELECT DISTINCT px, py, pz FROM points), {_noise_sql('a', 'p', 'px, py, pz', _XYZ37, '0')}, {_noise_sql('b', 'p', 'px, py, pz', [*_XYZ37, '0.5e0'], '0')},
+ {_noise_sql('d', 'p', 'px, py, pz', _XYZ37[:2], '0')}, {_noise_sql('e', 'p', 'px, py, pz', _XYZ37[:1], '0')}
+SELECT px, py, pz, {rsql('a.v')} AS n3, {rsql('b.v')} AS n4, {rsql('d.v')} AS n2, {rsql('e.v')} AS n1 FROM a JOIN b USING (px, py, pz) JOIN d USING (px, py, pz) JOIN e USING (px, py, pz)""")
 def _(spark, d):
     p = B.points(spark, d).select("px", "py", "pz").distinct()
     s = [F.col(c) * 0.37 for c in ("px", "py", "pz")]
     return p.select("px", "py", "pz", rnd(N.noise(*s)).alias("n3"), rnd(N.noise(*s, F.lit(0.5))).alias("n4"), rnd(N.noise(s[0], s[1])).alias("n2"), rnd(N.noise(s[0])).alias("n1"))
 
 
-@query("noise_fractal", "F11 S5")
+_XYZ16 = [f"({c} / 16e0 * freq)" for c in "xyz"]
+
+
+@query("noise_fractal", "F11 S5", f"""WITH {B.CELLS_SQL}, o AS {_octaves_sql(4.5, 1.5, 1.97)}, u AS {_octaves_sql(3, 1.5, 1.97)}, co AS (SELECT x, y, z, k, freq FROM cells, o),
+ {_noise_sql('a', 'co', 'x, y, z, k', _XYZ16, 'k')}
+SELECT x, y, z, {rsql('sum(o.amp * v)')} AS v, {rsql('sum(u.amp * abs(v))')} AS t FROM a JOIN o USING (k) LEFT JOIN u USING (k) GROUP BY 1, 2, 3""")
 def _(spark, d):
     c = B.cells(spark, d).select("x", "y", "z")
     s = [F.col(a) / 16.0 for a in "xyz"]
     return c.select("x", "y", "z", rnd(N.fractal(*s, octaves=4.5)).alias("v"), rnd(N.fractal(*s, octaves=3, turbulence=True)).alias("t"))
 
 
-@query("noise_curl", "F11")
+# component m takes slopes of two potentials along the two other axes, as central differences: (m, potential, axis, side, weight)
+_SLOPES = ", ".join(f"({m}, {which}, {axis}, {side}, {side * sign})" for m, pair in enumerate((((2, 1, 1), (1, 2, -1)), ((0, 2, 1), (2, 0, -1)), ((1, 0, 1), (0, 1, -1))))
+                    for which, axis, sign in pair for side in (1, -1))
+_CURL_AT = [f"(({c} / 8e0 + 0.3e0 + (CASE WHEN axis = {k} THEN side * 1e-4 ELSE 0 END)) * freq)" for k, c in enumerate("xyz")] + ["(0.25e0 * freq)"]
+
+
+@query("noise_curl", "F11", f"""WITH {B.CELLS_SQL}, o AS {_octaves_sql(2.0, 2.0, 2.0)}, sl AS (SELECT * FROM (VALUES {_SLOPES}) t(m, which, axis, side, w)),
+ co AS (SELECT x, y, z, m, which, axis, side, w, k, freq FROM cells, sl, o), {_noise_sql('a', 'co', 'x, y, z, m, w, which, axis, side, k', _CURL_AT, 'which * 101 + k')},
+ g AS (SELECT x, y, z, m, sum(w * amp * v) / 2e-4 AS v FROM a JOIN o USING (k) GROUP BY 1, 2, 3, 4)
+SELECT x, y, z, {', '.join(rsql(f'sum(CASE WHEN m = {m} THEN v END)', 4) + f' AS v{c}' for m, c in enumerate('xyz'))} FROM g GROUP BY 1, 2, 3""")
 def _(spark, d):
     c = B.cells(spark, d).select("x", "y", "z", N.curl(*[F.col(a) / 8.0 + 0.3 for a in "xyz"], F.lit(0.25), octaves=2.0).alias("c"))
     return c.select("x", "y", "z", *[rnd(F.col("c")[a], 4).alias(f"v{a}") for a in "xyz"])
@@ -561,7 +608,11 @@ def _(spark, d):
     return IM.difference(a, b, ["r", "g", "b"]).select("n", rnd("avg").alias("avg"), rnd("var").alias("var"), "min", "max")
 
 
-@query("img_png_tiles", "S7 S8")
+# every pixel of every tile that has one, black where nothing is stored
+@query("img_png_tiles", "S7 S8", f"""WITH {PIX}, t AS (SELECT DISTINCT x // 128 AS tx, y // 128 AS ty FROM px),
+ all_ AS (SELECT tx * 128 + i AS x, ty * 128 + j AS y FROM t, range(128) a(i), range(128) b(j)), c AS (SELECT x, y, greatest(least(v, 1), 0) AS t FROM px)
+SELECT all_.x, all_.y, CAST(coalesce(floor(t * 255 + 0.5e0), 0) AS INTEGER) AS r, CAST(coalesce(floor((1 - abs(2 * t - 1)) * 255 + 0.5e0), 0) AS INTEGER) AS g,
+ CAST(coalesce(floor((1 - t) * 255 + 0.5e0), 0) AS INTEGER) AS b FROM all_ LEFT JOIN c USING (x, y)""")
 def _(spark, d):
     p, _ = pixels(spark, d)
     t = BK.png_tiles(colour_map(p, "v", 0.0, 1.0), 128)

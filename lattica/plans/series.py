@@ -1,11 +1,15 @@
 """Moving windows, recursions and trend measures over the event series."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lattica.operators import series as R
 from lattica.plans.common import rnd, rsql
 from lattica.plans.registry import query
+from lattica.session import ensure_checkpoint_dir
 from lattica.sources import tables as B
+from lattica.streaming import moving as M
 
 ORDER = ["ts", "event_id"]
 S0 = B.SERIES_SQL
@@ -75,6 +79,18 @@ def _(spark, d):
     return run(spark, d, R.windowed_decay(5, 0.8), "dma")
 
 
+@query("ts_stream_decay", "W10", f"""WITH {S0}, f AS (SELECT *, {_HEAD} AS h FROM s),
+ a AS (SELECT *, {' + '.join(f"pow(0.8e0, {j}) * coalesce(lag(v, {j}) OVER (PARTITION BY k ORDER BY i), h)" for j in range(5))} AS t FROM f)
+SELECT k, event_id, {rsql('t / ((pow(0.8e0, 5) - 1) / (0.8e0 - 1))')} AS dma FROM a""")
+def _(spark, d):
+    """The events as an arriving stream, drained into the shared folder; a pattern may name one file, a plain path only a folder."""
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    schema = B.table(spark, d, "events").schema
+    events = spark.readStream.schema(schema).parquet(f"{d}/events.parque[t]").select(F.col("user_id").alias("k"), "ts", "event_id", F.col("value").alias("v"))
+    M.ring_decay(["k"], ORDER, "v", 5, 0.8).start(events, f"{root}/out", f"{root}/log", availableNow=True).awaitTermination()
+    return M.results(spark, f"{root}/out").select("k", "event_id", rnd("dma").alias("dma"))
+
+
 @query("ts_momentum", "W6", f"WITH {S0}, f AS (SELECT *, coalesce(lag(v, 4) OVER (PARTITION BY k ORDER BY i), {_HEAD}) AS p FROM s) SELECT k, event_id, {rsql('ln(v / p)')} AS mom FROM f")
 def _(spark, d):
     return run(spark, d, R.momentum(4, True), "mom")

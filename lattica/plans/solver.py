@@ -67,13 +67,17 @@ def _half(src, turn, name):
     return f"{FACE(src, 'f' + name)}, {name} AS (SELECT x, y, z, b, flags, ax, ay, az, CASE WHEN {par} THEN {_JAC} ELSE v END AS v FROM f{name})"
 
 
-@query("relax_redblack", "K17", f"WITH {BASE}, {_half('fc', 1, 'r1')}, {_half('r1', 0, 'r2')} SELECT x, y, z, {rsql('v')} AS v FROM r2 WHERE v <> 0")
+# all cells of blocks that hold any
+_STORED = """, stored AS (SELECT bx * 8 + i AS x, b_y * 8 + j AS y, bz * 8 + k AS z FROM (SELECT DISTINCT x >> 3 AS bx, y >> 3 AS b_y, z >> 3 AS bz FROM cells), range(8) a(i), range(8) b(j), range(8) c(k))"""
+
+
+@query("relax_redblack", "K17", f"WITH {BASE}, {_half('fc', 1, 'r1')}, {_half('r1', 0, 'r2')} {_STORED} SELECT x, y, z, {rsql('coalesce(v, 0)')} AS v FROM stored LEFT JOIN r2 USING (x, y, z)")
 def _(spark, d):
     g = B.grid_for(spark, d, 8)
     c, f = system(spark, d)
     sys = S.pack_system(f.withColumns({"rhs": F.col("b") / 100, "fluid": C.is_fluid("flags")}), g)
     x = S.relax(H.pack(c, g, "v", dtype=F64), sys, g, h=0.5, omega=0.8)
-    return H.unpack(x, g, "v", F64, drop=0.0).select("x", "y", "z", rnd("v").alias("v"))
+    return H.unpack(x, g, "v", F64).select("x", "y", "z", rnd("v").alias("v"))
 
 
 @query("relax_inner_sweeps", "K17")
@@ -82,7 +86,7 @@ def _(spark, d):
     c, f = system(spark, d)
     sys = S.pack_system(f.withColumns({"rhs": F.col("b") / 100, "fluid": C.is_fluid("flags")}), g)
     x = S.relax(H.pack(c, g, "v", dtype=F64), sys, g, h=0.5, omega=0.8, inner=3, reverse=True)
-    return H.unpack(x, g, "v", F64, drop=0.0).select("x", "y", "z", rnd("v").alias("v"))
+    return H.unpack(x, g, "v", F64).select("x", "y", "z", rnd("v").alias("v"))
 
 
 # interface helpers on differences of the two channels

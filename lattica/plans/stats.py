@@ -379,7 +379,16 @@ def _(spark, d):
                     rnd(D.option_price(False, "s", "t", "p", "v", "r"), 3).alias("put_price"))
 
 
-@query("st_normal_density", "A16")
+# the inverse by elimination of the matrix beside the unit matrix, its logarithmic determinant from the pivots
+_INVERSE = f"""{_LONG}, mu AS (SELECT i, avg(x) AS m FROM lng GROUP BY i), cv AS (SELECT a.i, b.i AS j, covar_pop(a.x, b.x) AS v FROM lng a JOIN lng b ON a.vec_id = b.vec_id GROUP BY 1, 2),
+ rw AS (SELECT i, list_concat(list(v ORDER BY j), list(CASE WHEN i = j THEN 1e0 ELSE 0e0 END ORDER BY j)) AS r, CAST(count(*) AS BIGINT) AS n FROM cv GROUP BY i),
+ el AS (SELECT 1 AS k, list(r ORDER BY i) AS a, 0e0 AS ld, any_value(n) AS n FROM rw UNION ALL SELECT k + 1,
+  list_transform(a, lambda row, p: CASE WHEN p = k THEN list_transform(row, lambda x: x / a[k][k]) ELSE list_transform(row, lambda x, q: x - row[k] / a[k][k] * a[k][q]) END), ld + ln(a[k][k]), n FROM el WHERE k <= n),
+ fin AS (SELECT a, ld, n FROM el WHERE k = n + 1), inv AS (SELECT p - 1 + (SELECT min(i) FROM lng) AS i, unnest(a[p][n + 1:2 * n]) AS v, unnest(range(n)) + (SELECT min(i) FROM lng) AS j FROM fin, (SELECT unnest(range(1, n + 1)) AS p FROM fin)),
+ z AS (SELECT vec_id, i, x - m AS z FROM lng JOIN mu USING (i)), half AS (SELECT z.vec_id, inv.j AS i, sum(z.z * inv.v) AS h FROM z JOIN inv USING (i) GROUP BY 1, 2)"""
+
+
+@query("st_normal_density", "A16", f"""WITH RECURSIVE {_INVERSE} SELECT z.vec_id, {rsql('-0.5e0 * (sum(z.z * h) + any_value(ld) + any_value(n) * ln(2 * pi()))', 3)} AS log_density FROM z JOIN half USING (vec_id, i), fin GROUP BY 1""")
 def _(spark, d):
     v = B.vectors(spark, d)
     mean, cov = S.collect_matrix(S.covariance(v, "e"))

@@ -1,95 +1,88 @@
 """Moving-window accumulators that carry on from batch to batch.
 
-Between batches only what later windows can still see is kept: per series the last
-few rows, the first value and the count so far.  Each micro-batch runs the batch
-operator over those rows and the new ones, so a series that fills most of the stream
-is chunked like any other, and a replayed batch rewrites the same files.
+The state of a series is the last d - 1 values before the next one, absent ones taken as its
+first value, and how many values it has had: the same few numbers however long it runs.  Spark
+keeps it by key and version, so a batch that is replayed starts from the state it started from before,
+only keys with rows in a batch are touched, and a series that has been idle for its time to live is forgotten.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lattica.operators import order as O, series as R
+Kernel = Callable[[np.ndarray], np.ndarray]
+"""Windows (n, d), oldest value first, to one value each."""
 
 
 @dataclass(frozen=True)
 class MovingStream:
-    """Windowed columns over an arriving series.
+    """One windowed column over arriving series.
 
-    ``spec`` is (reach, build) as for the batch operator.  ``state`` and ``out`` are
-    folders all executors share.  Rows of a series must arrive in order.
+    Rows of a series must arrive in order from batch to batch; inside a batch they are put in order.  The
+    rows of one series in one batch meet in one task: the source's limits per trigger bound them.
+    Null keys are a series like any other.  ``ttl`` is the idle time in milliseconds after which a series
+    is forgotten; rows that come later begin it anew.
     """
 
     keys: tuple[str, ...]
     order: tuple[str, ...]
     value: str
-    spec: tuple[int, Callable[[R.Frame], dict[str, Column]]]
-    state: str
-    out: str
-    group_rows: int | None = None
-
-    def start(self, stream: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
-        w = stream.writeStream.foreachBatch(self.step).option("checkpointLocation", checkpoint)
+    d: int
+    name: str
+    kernel: Kernel
+    ttl: int | None = None
+
+    def windowed(self, stream: DataFrame) -> DataFrame:
+        """The stream's rows (keys, order, value) with the windowed column."""
+        keys, order, value, d, name, kernel, ttl = list(self.keys), list(self.order), self.value, self.d, self.name, self.kernel, self.ttl
+        src = stream.select(*keys, *order, stream[value].cast("double").alias(value))
+        out = T.StructType([*src.schema.fields, T.StructField(name, T.DoubleType())])
+
+        def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+            if state.hasTimedOut:
+                state.remove()
+                return
+            rows = pd.concat(list(parts)).sort_values(order, kind="stable")
+            v = rows[value].to_numpy(float)
+            tail, count = state.get if state.exists else ([float(v[0])] * (d - 1), 0)
+            known = np.concatenate([np.asarray(tail, float), v])
+            state.update(([float(x) for x in known[len(known) - d + 1:]], int(count) + len(v)))
+            if ttl is not None:
+                state.setTimeoutDuration(ttl)
+            yield rows.assign(**{name: kernel(np.lib.stride_tricks.sliding_window_view(known, d))})
+
+        timeout = GroupStateTimeout.NoTimeout if ttl is None else GroupStateTimeout.ProcessingTimeTimeout
+        return src.groupBy(*keys).applyInPandasWithState(step, out, "tail array<double>, count bigint", "append", timeout)
+
+    def start(self, stream: DataFrame, out: str, checkpoint: str, **trigger) -> StreamingQuery:
+        """Write to Parquet in ``out``, whose log takes every batch once; both folders are shared by all executors."""
+        w = self.windowed(stream).writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", checkpoint)
         return (w.trigger(**trigger) if trigger else w).start()
 
-    def step(self, batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        keys, order = list(self.keys), list(self.order)
-        reach, build = self.spec
-        old = self._tail(spark, epoch - 1)
-        batch = batch.persist()  # three jobs read it
-        rows = batch.select(*keys, *order, self.value).withColumn("__new", F.lit(True))
-        if old is not None:
-            per_key = old.groupBy(*keys).agg(F.max("__skip").alias("__skip"), F.max("__head").alias("__head"))
-            rows = O.join_on(rows, per_key, keys, "left").unionByName(old.withColumn("__new", F.lit(False)))
-        else:
-            rows = rows.withColumns({"__skip": F.lit(None).cast("bigint"), "__head": F.lit(None).cast("double")})
-        done = R.moving(rows, keys, order, self.value, reach, build, self.group_rows)
-        done.where("__new").drop("__new", "__skip", "__head", "i").write.mode("overwrite").parquet(f"{self.out}/epoch={epoch}")
-        self._keep(rows, keys, order, reach, epoch)
-        batch.unpersist()
-
-    def _keep(self, rows: DataFrame, keys: list[str], order: list[str], reach: int, epoch: int) -> None:
-        """The last ``reach`` rows of each series, its length so far and its first value."""
-        back = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
-        # the limit on row_number is applied inside each task before any shuffle
-        tail = rows.withColumn("__r", F.row_number().over(back)).where(F.col("__r") <= max(reach, 1)).drop("__r")
-        total = rows.groupBy(*keys).agg(
-            (F.count("*") + F.coalesce(F.max("__skip"), F.lit(0))).alias("__n"),
-            F.coalesce(F.max("__head"), F.min_by(self.value, F.struct(*order))).alias("__h"))
-        held = tail.groupBy(*keys).agg(F.count("*").alias("__k"))
-        state = O.join_on(O.join_on(tail.select(*keys, *order, self.value), total, keys), held, keys)
-        state.select(*keys, *order, self.value, (F.col("__n") - F.col("__k")).alias("__skip"), F.col("__h").alias("__head")).write.mode(
-            "overwrite").parquet(f"{self.state}/epoch={epoch}")
-
-    def _tail(self, spark: SparkSession, epoch: int) -> DataFrame | None:
-        """What the batch before left; nothing where the stream begins with this one."""
-        try:
-            return spark.read.parquet(f"{self.state}/epoch={epoch}") if epoch >= 0 else None
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return None
-
-    def results(self, spark: SparkSession) -> DataFrame:
-        return spark.read.option("basePath", self.out).parquet(self.out).drop("epoch")
-
-
-def ring_average(keys, order, value: str, d: int, state: str, out: str, **kw) -> MovingStream:
+
+def results(spark: SparkSession, out: str) -> DataFrame:
+    return spark.read.parquet(out)
+
+
+def ring_average(keys, order, value: str, d: int, ttl: int | None = None, name: str = "ma") -> MovingStream:
     """Mean of the last d values, the missing ones taken as the first."""
-    return MovingStream(tuple(keys), tuple(order), value, R.moving_average(d, fixed=True), state, out, **kw)
+    return MovingStream(tuple(keys), tuple(order), value, d, name, lambda w: w.mean(axis=1), ttl)
 
 
-def ring_deviation(keys, order, value: str, d: int, state: str, out: str, **kw) -> MovingStream:
-    return MovingStream(tuple(keys), tuple(order), value, R.moving_deviation(d), state, out, **kw)
+def ring_deviation(keys, order, value: str, d: int, ttl: int | None = None, name: str = "dev") -> MovingStream:
+    return MovingStream(tuple(keys), tuple(order), value, d, name, lambda w: np.sqrt(np.abs((w * w).mean(axis=1) - w.mean(axis=1) ** 2)), ttl)
 
 
-def ring_decay(keys, order, value: str, d: int, beta: float, state: str, out: str, **kw) -> MovingStream:
-    return MovingStream(tuple(keys), tuple(order), value, R.windowed_decay(d, beta), state, out, **kw)
+def ring_decay(keys, order, value: str, d: int, beta: float, ttl: int | None = None, name: str = "dma") -> MovingStream:
+    """Mean of the last d values with weights that decay by ``beta`` a step."""
+    weights = float(beta) ** np.arange(d - 1, -1, -1)
+    weights /= weights.sum()
+    return MovingStream(tuple(keys), tuple(order), value, d, name, lambda w: w @ weights, ttl)

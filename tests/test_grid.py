@@ -329,3 +329,19 @@ def test_dense_and_sparse(spark, cells):
     assert full.count() == 16 * 64 and full.where("v >= 0").count() == few.count()
     kept = C.sparsify(cells, G, "v", 0.999)
     assert kept.select("bid").distinct().count() == cells.where("v >= 0.999").select(K.cell_block_id("x", "y", "z", G).alias("b")).distinct().count()
+
+
+def test_channels_travel_together(cells, probes):
+    """Packed channels give what each gives alone, in one exchange; a lost position gives null."""
+    some = cells.where("x < 12").withColumns({"w": F.col("v") * 2 - 1, "u": F.col("x") + F.col("y") / 10.0})
+    pts = probes[1].unionByName(probes[1].limit(1).selectExpr("px", "py", "cast('nan' as double) as pz"))
+    order = ["px", "py", "pz"]
+    tidy = lambda df: df.toPandas().sort_values(order).reset_index(drop=True)
+    packed = H.pack(some, G, ["v", "w", "u"], empty=[0.0, -1.0, 7.0], dtype="float64")
+    for kind, names in (("linear", ["value"]), ("bspline3", ["value", "gx", "gz"])):
+        got = tidy(I.sample(pts, packed, G, kind, dtype="float64", empty=[0.0, -1.0, 7.0], channels=["v", "w", "u"], share=7))
+        assert len(got) == 66 and got["v"].isna().sum() == 1
+        for c, e in (("v", 0.0), ("w", -1.0), ("u", 7.0)):
+            one = tidy(I.sample(pts, H.pack(some, G, c, empty=e, dtype="float64"), G, kind, dtype="float64", empty=e))
+            for n in names:
+                np.testing.assert_allclose(got[c if n == "value" else f"{c}_{n}"], one[n], atol=1e-12)

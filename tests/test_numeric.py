@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from lattica.functions import color as CO, dist as D, noise as N, poly as PY, rng as R, text as TX
-from lattica.operators import linalg as LA, slices as L, stats as S
+from lattica.operators import image as IM, linalg as LA, order as O, slices as L, stats as S
 from lattica.plans.registry import catalogue
 from lattica.schema import Grid
 from lattica.sources import blocks as BK, ply
@@ -270,3 +270,111 @@ def test_two_by_two_formulas_equal_numpy(spark):
         for got, want in ((r.det, np.linalg.det(a)), (r.pinv, np.linalg.pinv(a).ravel()), (r.sv, np.linalg.svd(a, compute_uv=False)), (r.inv, np.linalg.inv(b).ravel()),
                           (r.low, np.linalg.cholesky(b).ravel()), (r.x, np.linalg.solve(b, [1.0, -2.0]))):
             np.testing.assert_allclose(got, want, rtol=1e-8, atol=1e-8)
+
+
+@pytest.mark.parametrize("coefs, roots", [
+    ([1, -15, 75, -125], [5, 5, 5]), ([2, -24, 96, -128], [4, 4, 4]), ([1, 0, 0, 0, 0], [0, 0, 0, 0]), ([1, -10, 37, -60, 36], [2, 2, 3, 3]),
+    ([1, 0, 2, 0, 1], []), ([1, -2, 2, -2, 1], [1, 1]), ([0, 0, 3, -6], [2]), ([7], []), ([1, -1e-3, 0, 0], [0, 0, 1e-3]), (list(np.poly([1, 2, 2, 2, -7.5, -7.5])), [-7.5, -7.5, 1, 2, 2, 2])])
+def test_roots_with_multiplicity(coefs, roots):
+    got = PY.real_roots_values(pd.Series([[float(c) for c in coefs], None, [1.0, float("nan")]]))
+    assert len(got[0]) == len(roots) and got[1] is None and got[2] is None
+    np.testing.assert_allclose(got[0], roots, atol=1e-7)
+
+
+@pytest.mark.parametrize("n", [3, 5, 8])
+def test_stacks_equal_numpy(n):
+    rng = np.random.default_rng(n)
+    a = rng.standard_normal((40, n, n))
+    a[3] = np.diag(np.r_[np.zeros(1), np.ones(n - 1)])[::-1]  # needs row swaps
+    spd = a @ a.transpose(0, 2, 1) + np.eye(n)
+    right = rng.standard_normal((40, n, 2))
+    np.testing.assert_allclose(LA.solve_stack(spd, right), np.linalg.solve(spd, right), atol=1e-9)
+    np.testing.assert_allclose(LA.determinant_stack(a), np.linalg.det(a), atol=1e-9)
+    np.testing.assert_allclose(LA.cholesky_stack(spd), np.linalg.cholesky(spd), atol=1e-9)
+    np.testing.assert_allclose(LA.jacobi_stack(a)[1], np.linalg.svd(a, compute_uv=False), atol=1e-9)
+    flat = a.copy()
+    flat[:, 1] = flat[:, 0] * 2  # rank n - 1
+    us, size, v = LA.jacobi_stack(flat)
+    np.testing.assert_allclose(us @ v.transpose(0, 2, 1), flat, atol=1e-9)
+    assert (size[:, -1] < 1e-12).all()
+    np.testing.assert_allclose(LA.pseudo_inverse_stack(a), np.linalg.pinv(a), atol=1e-6)
+
+
+def test_matrices_without_an_answer(spark):
+    df = spark.createDataFrame([([1.0, 2.0, 3.0, 2.0, 4.0, 6.0, 0.0, 0.0, 0.0],), ([2.0, 0.0, 0.0, 0.0, 3.0, 0.0, 0.0, 0.0, 4.0],)], "m array<double>")
+    r = df.select(LA.inverse(F.col("m"), 3).alias("i"), LA.cholesky(F.col("m"), 3).alias("c"), LA.determinant(F.col("m"), 3).alias("d")).collect()
+    assert r[0].i is None and r[0].c is None and r[0].d == 0 and r[1].d == 24 and r[1].i == [0.5, 0.0, 0.0, 0.0, pytest.approx(1 / 3), 0.0, 0.0, 0.0, 0.25]
+
+
+@pytest.mark.parametrize("steps", [0, 7, 90, 137])
+def test_adaptation_stops_after_steps(spark, steps):
+    rng = np.random.default_rng(3)
+    x, y = rng.random((45, 2)), rng.random(45)
+    pdf = pd.DataFrame({"k": "a", "t": np.arange(45), "x1": x[:, 0], "x2": x[:, 1], "y": y})
+    got = LA.adapt(spark.createDataFrame(pdf).repartition(3), ["k"], ["t"], ["x1", "x2"], "y", 0.1, w0=[1.0, -2.0], steps=steps, chunk=10).first()["w"]
+    eta, w = 0.2 / ((x**2).sum() / 45), np.array([1.0, -2.0])
+    for i in range(steps):
+        w = w + eta * (y[i % 45] - w @ x[i % 45]) * x[i % 45]
+    np.testing.assert_allclose(got, w, rtol=1e-9)
+
+
+@pytest.mark.parametrize("n, back", [(1, False), (7, False), (13, True), (12, False)])
+def test_transform_of_any_length(spark, n, back):
+    z = np.random.default_rng(n).random((2, n)) + 1j * np.random.default_rng(n + 1).random((2, n))
+    rows = [(k, i, float(z[k, i].real), float(z[k, i].imag)) for k in range(2) for i in range(n)]
+    got = LA.fft_any(spark.createDataFrame(rows, "k int, i bigint, re double, im double"), ["k"], n, back).orderBy("k", "i").toPandas()
+    want = np.fft.ifft(z, axis=1) if back else np.fft.fft(z, axis=1)
+    np.testing.assert_allclose((got["re"] + 1j * got["im"]).to_numpy().reshape(2, n), want, atol=1e-10)
+
+
+def test_png_row_filters():
+    img = np.random.default_rng(4).integers(0, 256, (9, 14, 3), dtype=np.uint8)
+    for kind in range(5):
+        np.testing.assert_array_equal(BK.png_pixels(BK.png_bytes(img, kind)), img)
+    with pytest.raises(ValueError):
+        BK.png_pixels(b"no image")
+
+
+def test_windows_over_tiles(spark):
+    v = np.round(np.random.default_rng(5).random((19, 23)), 3)
+    v[3:9, 4:8] = np.nan
+    df = spark.createDataFrame([(x, y, float(v[y, x])) for y in range(19) for x in range(23) if v[y, x] == v[y, x]], "x int, y int, v double")
+    full = np.nan_to_num(v)
+    for d in (1, 4, 5):
+        got = IM.moving(df, "v", (23, 19), d, {"m": "median", "lo": "min", "hi": "max", "s": IM.window_function(lambda w: w.sum(axis=1))}, tile=7).toPandas()
+        assert len(got) == int((v == v).sum())
+        for r in got.itertuples():
+            x0, y0 = min(max(r.x - d // 2, 0), 23 - d), min(max(r.y - d // 2, 0), 19 - d)
+            w = full[y0:y0 + d, x0:x0 + d]
+            assert (r.lo, r.hi) == (w.min(), w.max()) and (r.m, r.s) == pytest.approx((np.median(w), w.sum()))
+    with pytest.raises(ValueError):
+        IM.moving(df, "v", (23, 19), 20, {"m": "median"})
+
+
+def test_laplacian_pyramid_comes_back(spark):
+    v = np.random.default_rng(6).random((9, 13))
+    df = spark.createDataFrame([(x, y, float(v[y, x])) for y in range(9) for x in range(13)], "x bigint, y bigint, v double")
+    levels = IM.pyramid(df, (13, 9), "v", 2)
+    laps = IM.laplacian_pyramid(levels, (13, 9), "v")
+    back = IM.reconstruct(laps, (13, 9), "v").toPandas()
+    out = np.zeros((9, 13))
+    out[back["y"], back["x"]] = back["v"]
+    np.testing.assert_allclose(out, v, atol=1e-9)
+    assert IM.expand(spark.createDataFrame([(x, y, 1.0) for x in range(7) for y in range(5)], "x bigint, y bigint, v double"), "v", (13, 9)).where("abs(v - 1) > 1e-9").count() == 0
+
+
+def test_parts_of_strings_ties_and_large_groups(spark):
+    rng = np.random.default_rng(7)
+    rows = [("strings", f"name-{i:06d}", int(i), 0) for i in rng.permutation(6000)]
+    rows += [("instant", "same", int(i), 0) for i in rng.permutation(6000)]
+    rows += [(None, None if i % 2 else "b", int(i), 0) for i in rng.permutation(3000)]
+    rows += [(f"k{i}", "x", j, 0) for i in range(300) for j in range(3)]
+    df = spark.createDataFrame(rows, "k string, s string, t int, one int").repartition(5)
+    sizes = O.in_parts(df, ["k"], ["s", "t"], 200).groupBy("k", "__part").count().toPandas()
+    assert sizes["count"].max() <= 600 and sizes[sizes["k"] == "instant"]["__part"].nunique() >= 15 and sizes[sizes["k"] == "k7"]["__part"].tolist() == [0]
+    many = spark.range(60_000).select(F.xxhash64("id").cast("string").alias("s"))
+    assert O.in_parts(many, [], ["s"], 100).select("__part").distinct().count() > 300  # grows with the rows
+    got = O.indexed(df, ["k"], ["s", "t"], group_rows=200).toPandas().sort_values(["k", "i"], na_position="first")
+    for k, g in got.groupby("k", dropna=False):
+        want = sorted(((s is not None and s == s, s if isinstance(s, str) else "", t) for s, t in zip(g["s"], g["t"])))
+        assert g["i"].tolist() == list(range(len(g))) and [t for _, _, t in want] == g["t"].tolist()

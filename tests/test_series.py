@@ -1,5 +1,7 @@
 """Series operators: chunked plans must equal plain numpy on skewed groups."""
 
+import time
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -171,20 +173,57 @@ def test_running_without_keys_over_ranges(spark):
     assert set(got["n"]) == {1000}
 
 
-@pytest.mark.parametrize("rows", [None, 40])
-def test_stream_equals_batch(spark, skewed, tmp_path, rows):
-    _, pdf = skewed
-    src = tmp_path / "in"
-    src.mkdir()
-    for i, lo in enumerate(range(0, 400, 100)):
-        part = pdf[(pdf["t"] >= lo) & (pdf["t"] < lo + 100)]
-        spark.createDataFrame(part).coalesce(1).write.mode("append").parquet(str(src))
-    stream = spark.readStream.schema("k string, t bigint, v double").option("maxFilesPerTrigger", 1).parquet(str(src))
-    job = M.ring_deviation(["k"], ["t"], "v", 6, str(tmp_path / "state"), str(tmp_path / "out"), group_rows=rows)
-    q = job.start(stream, str(tmp_path / "cp"), availableNow=True)
-    q.awaitTermination(120)
+def _drain(job, spark, tmp_path, schema):
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = job.start(stream, str(tmp_path / "out"), str(tmp_path / "cp"), availableNow=True)
+    q.awaitTermination(180)
     assert q.exception() is None
-    check(job.results(spark), "dev", {k: np_dev(v, 6) for k, v in by_key(pdf).items()})
+
+
+def _held(spark, tmp_path):
+    return spark.read.format("statestore").load(str(tmp_path / "cp"))
+
+
+def test_stream_equals_batch(spark, skewed, tmp_path):
+    _, pdf = skewed
+    (tmp_path / "in").mkdir()
+    schema = "k string, t bigint, v double"
+    job = M.ring_deviation(["k"], ["t"], "v", 6)
+
+    def arrive(lo):
+        part = pdf[(pdf["t"] >= lo) & (pdf["t"] < lo + 200)].sample(frac=1, random_state=1)
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    arrive(0)
+    _drain(job, spark, tmp_path, schema)
+    arrive(200)
+    _drain(job, spark, tmp_path, schema)
+    check(M.results(spark, str(tmp_path / "out")), "dev", {k: np_dev(v, 6) for k, v in by_key(pdf).items()})
+    # one row of bounded size per series
+    held = _held(spark, tmp_path).selectExpr("key.k as k", "size(value.groupState.tail) as n", "value.groupState.count as c").toPandas()
+    assert len(held) == pdf["k"].nunique(dropna=False) and (held["n"] == 5).all() and held["c"].sum() == len(pdf)
+    # a batch that was computed but not committed is replayed from the same state and counted once
+    commits = sorted((tmp_path / "cp" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    commits[-1].unlink()
+    commits[-1].with_name(f".{commits[-1].name}.crc").unlink(missing_ok=True)
+    _drain(job, spark, tmp_path, schema)
+    check(M.results(spark, str(tmp_path / "out")), "dev", {k: np_dev(v, 6) for k, v in by_key(pdf).items()})
+
+
+def test_idle_series_are_forgotten(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    schema = "k string, t bigint, v double"
+    job = M.ring_average(["k"], ["t"], "v", 3, ttl=1000)
+    put = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    put([(k, t, float(t)) for k in ("a", "b", None) for t in range(4)])
+    _drain(job, spark, tmp_path, schema)
+    assert _held(spark, tmp_path).count() == 3
+    time.sleep(2)
+    put([("a", 4, 4.0), ("a", 5, 5.0)])
+    _drain(job, spark, tmp_path, schema)
+    left = _held(spark, tmp_path).selectExpr("key.k as k", "value.groupState.count as c").collect()
+    assert [r.k for r in left] == ["a"]
+    got = {(r.k, r.t): r.ma for r in M.results(spark, str(tmp_path / "out")).collect()}
+    assert len(got) == 14 and got[None, 3] == 2.0 and got["b", 1] == pytest.approx(1 / 3)
 
 
 def _with_null_group(spark):
