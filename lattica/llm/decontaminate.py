@@ -1,7 +1,7 @@
 """Benchmark decontamination by SimHash over windows of each item's size.
 
 Every text's windows are fingerprinted at every item size.  A multi-index over the items'
-fingerprints, eight blocks of eight bits with a share of the radius each, returns all items
+fingerprints, four blocks of sixteen bits with a share of the radius each, returns all items
 within the radius for certain; similarity of the bags of word shingles decides exactly.  Windows
 without a single benchmark shingle have similarity zero and are passed over.  Nothing is
 shuffled: the benchmark travels to the texts in blocks of bounded size.
@@ -20,34 +20,53 @@ from lattica.llm import common as C
 from lattica.llm.simhash import normal_words, text_slices
 from lattica.llm.substring_dedup import window_hashes, word_hashes
 
-BENCH_WORDS = 500_000
+BENCH_WORDS = 100_000
 """Words of the benchmark that one pass over the texts carries along."""
 RADIUS = 20
 """Of 64 bits; a similarity of 0.8 differs in about ten, give or take three."""
-BLOCKS = 8
+BLOCKS = 4
+WIDTH = 16
+PAIRS = 1 << 22
+"""Windows times items that are looked up at once."""
+REGION = 1 << 13
+"""Shingles of a text that are summed at once, besides the longest window."""
 
 
 class HammingIndex:
-    """All of a set of 64-bit fingerprints within a radius, by blocks of eight bits.
+    """All of a set of 64-bit fingerprints within a radius, by blocks of sixteen bits.
 
-    Two fingerprints within ``radius`` bits have a block within ``radius // 8``.
+    Blocks have shares of their own that add up to ``radius - BLOCKS + 1``: were every block's distance
+    over its share, they would add up to more than the radius.  Per block and value, a table has the items
+    within the share.
     """
 
     def __init__(self, fps: np.ndarray, radius: int = RADIUS):
         self.fps, self.radius = fps, radius
-        near = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)) <= radius // BLOCKS
-        parts = fps.astype("<u8").view(np.uint8).reshape(-1, BLOCKS)
-        self.table = np.stack([np.packbits(near[:, parts[:, b]], axis=1) for b in range(BLOCKS)])
+        total = radius - BLOCKS + 1
+        self.shares = [total // BLOCKS + (k < total % BLOCKS) for k in range(BLOCKS)]
+        values = np.arange(1 << WIDTH, dtype=np.uint16)
+        self.table = []
+        for part, share in zip(self._parts(fps).T, self.shares):
+            rows = np.zeros((1 << WIDTH, -(-len(fps) // 8)), np.uint8)
+            for i, v in enumerate(part):
+                rows[np.bitwise_count(values ^ v) <= share, i >> 3] |= 128 >> (i & 7)
+            self.table.append(rows)
+
+    @staticmethod
+    def _parts(q: np.ndarray) -> np.ndarray:
+        return q.astype("<u8").view(np.uint16).reshape(-1, BLOCKS)
 
     def find(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (query, item) within the radius."""
-        parts = q.astype("<u8").view(np.uint8).reshape(-1, BLOCKS)
-        hit = self.table[0][parts[:, 0]]
-        for b in range(1, BLOCKS):
-            hit = hit | self.table[b][parts[:, b]]
-        i, j = np.nonzero(np.unpackbits(hit, axis=1, count=len(self.fps)))
-        close = np.bitwise_count(q[i] ^ self.fps[j]) <= self.radius
-        return i[close], j[close]
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        step = max(1, PAIRS // max(1, len(self.fps)))
+        for lo in range(0, len(q), step):
+            some = q[lo:lo + step]
+            hit = np.bitwise_or.reduce([t[p] for t, p in zip(self.table, self._parts(some).T)])
+            i, j = np.nonzero(np.unpackbits(hit, axis=1, count=len(self.fps)))
+            close = np.bitwise_count(some[i] ^ self.fps[j]) <= self.radius
+            found.append((lo + i[close], j[close]))
+        return tuple(np.concatenate(x) for x in zip(*found))
 
 
 def signed_bits(h: np.ndarray) -> np.ndarray:
@@ -105,7 +124,7 @@ class Matcher:
                 d = int(doc[hits[a]])
                 mine = flat[first[d]:first[d + 1]]
                 at = hits[a:b] - first[d]
-                for lo, hi in _regions(at, longest - k + 1, len(mine)):
+                for lo, hi in _sliced(_regions(at, longest - k + 1, len(mine)), longest - k + 1):
                     self._search(d, mine, lo, hi, at[(at >= lo) & (at < hi)], k, per, sizes, best)
         return [(d, i, *v) for (d, i), v in sorted(best.items())]
 
@@ -157,6 +176,11 @@ def _regions(at: np.ndarray, reach: int, n: int) -> list[tuple[int, int]]:
     return list(zip(lo[new].tolist(), hi[np.r_[new[1:] - 1, len(at) - 1]].tolist()))
 
 
+def _sliced(regions: list[tuple[int, int]], reach: int) -> list[tuple[int, int]]:
+    """The same stretches in pieces of bounded size that overlap by a longest window."""
+    return [(a, min(a + REGION + reach, hi)) for lo, hi in regions for a in range(lo, max(lo + 1, hi - reach + 1), REGION)]
+
+
 def _shipped(bench: DataFrame, id_col: str, text_col: str):
     """One broadcast per benchmark block: (ids, texts), each at most about BENCH_WORDS words."""
     rows = bench.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

@@ -79,3 +79,28 @@ def test_index_finds_all_within_radius():
     i, j = D.HammingIndex(items).find(q)
     want = {(a, b) for a in range(400) for b in range(70) if int(q[a] ^ items[b]).bit_count() <= D.RADIUS}
     assert set(zip(i.tolist(), j.tolist())) == want
+
+
+def test_small_regions_and_batches_change_nothing(spark, sf, monkeypatch):
+    bench = [(r.item_id, r.text) for r in C.table(spark, sf, "benchmark").collect()]
+    rng = random.Random(8)
+    dense = " ".join(t for _ in range(6) for _, t in rng.sample(bench, len(bench)))  # a long text that is all hits
+    m = D.Matcher([t for _, t in bench], 5, 0.8, D.RADIUS)
+    import pyarrow as pa
+
+    want = m.find(pa.chunked_array([pa.array([dense, bench[3][1]])]))
+    monkeypatch.setattr(D, "REGION", 40)
+    monkeypatch.setattr(D, "PAIRS", 100)
+    assert len(want) == len(bench) + 1 and m.find(pa.chunked_array([pa.array([dense, bench[3][1]])])) == want
+
+
+def test_index_finds_all_and_rejects():
+    rng = np.random.default_rng(1)
+    fps = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
+    q = np.concatenate([rng.integers(0, 1 << 63, 2000, dtype=np.uint64), fps ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (20, 300)).astype(np.uint64))])
+    index = D.HammingIndex(fps)
+    i, j = index.find(q)
+    close = np.bitwise_count(q[:, None] ^ fps[None]) <= D.RADIUS
+    assert set(zip(i.tolist(), j.tolist())) == set(zip(*(x.tolist() for x in np.nonzero(close))))
+    hit = np.bitwise_or.reduce([t[p] for t, p in zip(index.table, index._parts(q[:2000]).T)])
+    assert np.unpackbits(hit, axis=1, count=300).mean() < 0.25
