@@ -1,9 +1,10 @@
 """Document fingerprints from prefix polynomial hashes.
 
 A modular prefix array answers whether any two spans are equal, and binary search over it
-finds the longest common extension.  A fingerprint keeps samples of that array on a
-regular grid from the start and, by the hash of the span up to the end, on the same grid
-from the end; two fingerprints are compared by binary search over their common grid.
+finds the longest common extension.  A fingerprint keeps samples of that array where the
+content says so: at code points whose next WINDOW ones hash to enough zero bits, so equal stretches
+of two texts are sampled alike wherever they stand.  Two fingerprints are compared by
+extending stretches that both have, by binary search, as far as the samples agree.
 """
 
 from __future__ import annotations
@@ -22,44 +23,59 @@ from lattica.llm import common as C
 
 MODULI = np.array([[2147483647], [2147483629]], np.uint64)
 BASES = np.array([[911382323], [972663749]], np.uint64)
-GRID = 64
-"""Most samples per direction."""
-PARTS = 20_000
+WINDOW = 8
+"""Code points that decide whether a place is sampled."""
+GRID = 192
+"""About the most samples of a text; the number of zero bits asked for grows with its length."""
+PARTS = 100_000
+"""Most parts; larger ones stream through their tasks row by row."""
 PART_BYTES = 8 << 20
 
-_powers = [np.ones((2, 1), np.uint64)]
+INVERSES = np.array([[pow(int(b), int(m) - 2, int(m))] for b, m in zip(BASES[:, 0], MODULI[:, 0])], np.uint64)
+"""Of the bases, by Fermat's exponent."""
+SHIFT = np.uint64(0x5851F42D4C957F2D)
+"""Multiplier of the windows' hash, which is modulo 2**64."""
 
+_tables = {"up": np.ones((2, 1), np.uint64), "down": np.ones((2, 1), np.uint64)}
 
-def powers(n: int) -> np.ndarray:
-    """BASES**0 .. BASES**(n-1) for both moduli; grows by doubling and is kept."""
-    p = _powers[0]
+
+def _table(which: str, step: np.ndarray, n: int) -> np.ndarray:
+    p = _tables[which]
     while p.shape[1] < n:
-        p = np.concatenate([p, p * (p[:, -1:] * BASES % MODULI) % MODULI], axis=1)
-    _powers[0] = p
+        p = np.concatenate([p, p * (p[:, -1:] * step % MODULI) % MODULI], axis=1)
+    _tables[which] = p
     return p
 
 
+def powers(n: int) -> np.ndarray:
+    """BASES**0 .. BASES**(n-1) for both moduli; grows by doubling and is kept."""
+    return _table("up", BASES, n)
+
+
 def inverse_powers(at: np.ndarray) -> np.ndarray:
-    """BASES**-k: Fermat's exponent, as p - 1 - k steps forward would wrap round."""
-    inv = np.array([[pow(int(b), int(m) - 2, int(m))] for b, m in zip(BASES[:, 0], MODULI[:, 0])], np.uint64)
-    out, sq, left = np.ones((2, len(at)), np.uint64), inv, at.astype(np.uint64)
-    while left.any():
-        odd = (left & np.uint64(1)).astype(bool)
-        out[:, odd] = out[:, odd] * sq % MODULI
-        sq, left = sq * sq % MODULI, left >> np.uint64(1)
-    return out
+    """BASES**-k for every k in ``at``."""
+    return _table("down", INVERSES, int(at.max(initial=0)) + 1)[:, at]
 
 
 def codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), np.uint32)
 
 
+def window_hashes(c: np.ndarray) -> np.ndarray:
+    """A hash of every WINDOW code points in a row."""
+    n = max(0, len(c) - WINDOW + 1)
+    h, wide = np.zeros(n, np.uint64), c.astype(np.uint64)
+    for k in range(WINDOW if n else 0):
+        h = h * SHIFT + wide[k:k + n]
+    return C.mix(h)
+
+
 class Prefix:
     """Prefix hashes of a text: column i covers its first i code points."""
 
     def __init__(self, text: str):
         c = codes(text)
-        self.n = len(c)
+        self.n, self.codes, self.windows = len(c), c, window_hashes(c)
         self.sums = np.zeros((2, self.n + 1), np.uint64)
         if self.n:
             self.sums[:, 1:] = np.cumsum((c.astype(np.uint64) + np.uint64(1)) * powers(self.n)[:, :self.n] % MODULI, axis=1, dtype=np.uint64) % MODULI
@@ -84,57 +100,101 @@ class Prefix:
     def joined(self, keep: int, other: Prefix, m: int) -> Prefix:
         """Prefix hashes of this text's first ``keep`` code points followed by the other's first ``m``."""
         out = Prefix.__new__(Prefix)
-        out.n = keep + m
+        out.n, out.codes = keep + m, np.concatenate([self.codes[:keep], other.codes[:m]])
+        # windows over the joint are new, the others are known
+        left, right = max(0, keep - WINDOW + 1), max(0, m - WINDOW + 1)
+        out.windows = np.concatenate([self.windows[:left], window_hashes(out.codes[left:keep + WINDOW - 1]), other.windows[:right]])
         shift = powers(keep + 1)[:, keep:keep + 1]
         out.sums = np.concatenate([self.sums[:, :keep + 1], (self.sums[:, keep:keep + 1] + other.sums[:, 1:m + 1] * shift) % MODULI], axis=1)
         return out
 
 
+def _zeros(h: np.ndarray) -> np.ndarray:
+    """Zero bits at the end of each number."""
+    return np.bitwise_count((h & (~h + np.uint64(1))) - np.uint64(1)).astype(np.uint8)
+
+
 class Fingerprint:
-    """Length, grid step, hashes of the first and last k * step code points, hash of all."""
+    """Length, hash of all, level, and per sample its place, prefix hash and zero bits; the end is a sample too."""
 
     def __init__(self, p: Prefix):
         self.n = p.n
-        self.step = 1 << max(0, (max(p.n, 1) - 1).bit_length() - (GRID.bit_length() - 1))
-        at = np.arange(self.step, p.n + 1, self.step)
-        every = C.mix(p.spans(np.r_[0, np.zeros(len(at), np.int64), p.n - at], np.r_[p.n, at, np.full(len(at), p.n)]))
-        self.whole = int(every[0])
-        short = (every[1:] >> np.uint64(40)).astype(np.uint32)
-        self.front, self.back = short[:len(at)], short[len(at):]
+        self.whole = int(C.mix(p.spans(np.array([0]), np.array([p.n])))[0])
+        h = p.windows
+        zeros = _zeros(h)
+        self.level = max(0, (max(p.n, 1) // GRID).bit_length())
+        while True:
+            pick = np.flatnonzero(zeros >= self.level)
+            # what repeats at once is sampled where it begins
+            order = np.lexsort((pick, h[pick]))
+            near = (np.diff(h[pick][order]) == 0) & (np.diff(pick[order]) <= 1 << self.level)
+            pick = np.delete(pick, order[1:][near])
+            if len(pick) <= 2 * GRID:
+                break
+            self.level += 1
+        pick = pick[(pick > 0)]
+        self.at = np.r_[pick, p.n].astype(np.int64)
+        self.sums = p.sums[:, self.at]
+        self.zeros = np.r_[zeros[pick], 255].astype(np.uint8)
 
     def __str__(self) -> str:
-        grid = lambda a: a.astype(">u4").tobytes().hex()
-        f, b = grid(self.front), grid(self.back)
-        cut = lambda h: "".join(h[i + 2:i + 8] for i in range(0, len(h), 8))
-        return f"{self.n:x}-{self.whole:016x}-{cut(f)}-{cut(b)}"
+        raw = b"".join(a.tobytes() for a in (np.diff(self.at, prepend=0).astype(">u4"), self.sums[0].astype(">u4"), self.zeros))
+        return f"{self.n:x}-{self.whole:016x}-{self.level:x}-{raw.hex()}"
 
     @classmethod
     def parse(cls, text: str) -> Fingerprint:
-        n, whole, f, b = text.split("-")
+        n, whole, level, raw = text.split("-")
         out = cls.__new__(cls)
-        out.n, out.whole = int(n, 16), int(whole, 16)
-        out.step = 1 << max(0, (max(out.n, 1) - 1).bit_length() - (GRID.bit_length() - 1))
-        out.front, out.back = (np.array([int(h[i:i + 6], 16) for i in range(0, len(h), 6)], np.uint32) for h in (f, b))
+        out.n, out.whole, out.level, data = int(n, 16), int(whole, 16), int(level, 16), bytes.fromhex(raw)
+        k = len(data) // 9
+        out.at = np.cumsum(np.frombuffer(data[:4 * k], ">u4").astype(np.int64))
+        out.sums = np.frombuffer(data[4 * k:8 * k], ">u4").astype(np.uint64)[None]
+        out.zeros = np.frombuffer(data[8 * k:], np.uint8)
         return out
 
+    def _samples(self, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places and prefix hashes from the start on, and a key of each stretch between two of them."""
+        keep = self.zeros >= level
+        at, sums = np.r_[0, self.at[keep]], np.r_[np.uint64(0), self.sums[0][keep]]
+        p = MODULI[0, 0]
+        h = (sums[1:] + p - sums[:-1]) % p * inverse_powers(at[:-1])[0] % p
+        return at, sums, (h << np.uint64(32)) | np.diff(at).astype(np.uint64)
+
     def likeness(self, other: Fingerprint) -> float:
-        """Shared beginning plus shared end, as a share of the longer text; 1 for equal texts."""
+        """Length of the stretches that both have, as a share of the longer text; 1 for equal texts."""
         if (self.n, self.whole) == (other.n, other.whole):
             return 1.0
         if not self.n or not other.n:
             return 0.0
-        step = max(self.step, other.step)
-
-        def common(a: np.ndarray, b: np.ndarray) -> int:
-            a, b = a[step // self.step - 1::step // self.step], b[step // other.step - 1::step // other.step]
-            lo, hi = 0, min(len(a), len(b))
-            while lo < hi:  # equal prefixes have equal prefixes
+        level = max(self.level, other.level)
+        (a, sa, ka), (b, sb, kb) = self._samples(level), other._samples(level)
+        p, base = int(MODULI[0, 0]), int(BASES[0, 0])
+        open_ = np.flatnonzero(np.isin(ka, kb)).tolist()
+        if not open_:
+            return 0.0
+        where: dict[int, list[int]] = {}
+        for j in np.flatnonzero(np.isin(kb, ka)).tolist():
+            where.setdefault(int(kb[j]), []).append(j)
+
+        def equal(i: int, j: int, k: int) -> bool:
+            """Are the k stretches from i here and from j there the same text?"""
+            x, y = int(sa[i + k]) - int(sa[i]), int(sb[j + k]) - int(sb[j])
+            return a[i + k] - a[i] == b[j + k] - b[j] and (x * pow(base, int(b[j]), p) - y * pow(base, int(a[i]), p)) % p == 0
+
+        total, past, done = 0, 0, 0
+        for i in open_:
+            if i < past:
+                continue
+            ways = where[int(ka[i])]
+            # the first place that is not before the last one used, else the first
+            j = next((j for j in ways if j >= done), ways[0])
+            lo, hi = 1, min(len(ka) - i, len(kb) - j)
+            while lo < hi:  # equal spans have equal beginnings
                 mid = (lo + hi + 1) // 2
-                lo, hi = (mid, hi) if a[mid - 1] == b[mid - 1] else (lo, mid - 1)
-            return lo * step
-
-        both = min(common(self.front, other.front) + common(self.back, other.back), self.n, other.n)
-        return both / max(self.n, other.n)
+                lo, hi = (mid, hi) if equal(i, j, mid) else (lo, mid - 1)
+            total += int(a[i + lo] - a[i])
+            past, done = i + lo, j + lo
+        return min(total, self.n, other.n) / max(self.n, other.n)
 
 
 def _edit(text: str, p: Prefix, following: str, q: Prefix) -> tuple[str, Prefix]:

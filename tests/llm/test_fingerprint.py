@@ -57,3 +57,34 @@ def test_spans_and_extensions():
         assert p.extension(i, q, j) == want
         keep, m = rng.randrange(len(a) + 1), rng.randrange(len(b) + 1)
         assert str(P.Fingerprint(p.joined(keep, q, m))) == str(P.Fingerprint(P.Prefix(a[:keep] + b[:m])))
+
+
+def test_scattered_edits_stay_alike():
+    rng = random.Random(4)
+    text = "".join(rng.choice("abcdefgh ijk") for _ in range(3000))
+    near = text[:100] + "Z" + text[101:2900] + "Q" + text[2901:]
+    a, b = P.Fingerprint(P.Prefix(text)), P.Fingerprint(P.Prefix(near))
+    assert 0.9 < a.likeness(b) < 1 and P.Fingerprint.parse(str(a)).likeness(P.Fingerprint.parse(str(b))) == a.likeness(b) == b.likeness(a)
+    moved = P.Fingerprint(P.Prefix(text[1500:] + text[:1500]))
+    assert a.likeness(moved) > 0.9
+    other = P.Fingerprint(P.Prefix("".join(rng.choice("abcdefgh ijk") for _ in range(3000))))
+    assert a.likeness(other) < 0.05
+    assert len(P.Fingerprint(P.Prefix("ab" * 50_000)).at) < 2 * P.GRID and len(P.Fingerprint(P.Prefix(text * 30)).at) <= 2 * P.GRID + 1
+    longer = P.Fingerprint(P.Prefix(text + "".join(rng.choice("xyz ") for _ in range(9000))))
+    assert 0.2 <= a.likeness(longer) <= 0.3  # other sampling levels, a quarter in common
+
+
+def test_near_copies_of_the_table_score_high(spark):
+    rows = {r.doc_id: r.text or "" for r in C.table(spark, "/root/testdata/sf0.01", "documents").collect()}
+    sets = {}
+    for d, t in rows.items():
+        w = t.lower().split()
+        sets[d] = {tuple(w[i:i + 5]) for i in range(len(w) - 4)}
+    post = {}
+    for d, s in sets.items():
+        for x in s:
+            post.setdefault(x, []).append(d)
+    pairs = {(a, b) for ds in post.values() if len(ds) < 60 for i, b in enumerate(ds) for a in ds[:i]}
+    near = [(a, b) for a, b in pairs if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and rows[a].split()[:3] == rows[b].split()[:3]]
+    prints = {d: P.Fingerprint(P.Prefix(rows[d])) for p in near for d in p}
+    assert near and all(prints[a].likeness(prints[b]) > 0.5 for a, b in near)
