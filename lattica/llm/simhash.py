@@ -1,11 +1,12 @@
 """SimHash fingerprints and near-duplicate search over an index of byte positions.
 
 Two fingerprints within ``radius`` bits agree in at least ``positions - radius`` of their
-bytes: the guaranteed tally.  The index lists fingerprints under every choice of that
-many (position, byte) postings at once, so a list only holds pairs whose tally has
-reached the guarantee, and its members differ in ``radius`` known bytes at most.  A list
-of distinct fingerprints is therefore bounded, and probing it with every allowed bit
-pattern finds each link without forming pairs.
+bytes: the guaranteed tally.  A posting of one (position, byte) holds a 256th of all
+fingerprints, so tallying over single postings forms a number of pairs that grows with the square of the
+corpus.  The index therefore lists fingerprints under every choice of that many postings at once: a list
+only holds pairs that reach the guarantee, and its members differ in ``radius`` known bytes at most.
+In a list, pairs are tallied and verified; a long one, which is bounded since its members are
+distinct, is probed with every allowed bit pattern instead.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from lattica.llm import graph
 from lattica.llm.substring_dedup import word_spans
 
 CHUNK_BYTES = 2 << 20
+TALLIED = 64
+"""Members up to which every pair of a list is tallied; longer lists are probed bit by bit, with the same result."""
 
 
 def normal_words(data: np.ndarray, offsets: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
@@ -108,8 +111,11 @@ def position_sets(radius: int, positions: int = 8) -> list[int]:
 def _probe(radius: int):
     def links_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         fps = np.sort(fps)
-        if len(fps) <= 64:
+        if len(fps) <= TALLIED:
             i, j = np.triu_indices(len(fps), 1)
+            parts = fps.view(np.uint8).reshape(-1, 8)
+            reached = (parts[i] == parts[j]).sum(axis=1) >= 8 - radius  # the tally of shared positional bytes
+            i, j = i[reached], j[reached]
             near = np.bitwise_count(fps[i] ^ fps[j]) <= radius
             return fps[i[near]], fps[j[near]]
         free = np.bitwise_or.reduce(fps ^ fps[0])
@@ -138,7 +144,9 @@ def _probe(radius: int):
 def near_links(distinct: DataFrame, radius: int = 2) -> DataFrame:
     """Every pair (a, b) of distinct fingerprints ``fp`` that differ in 1 to ``radius`` bits."""
     sets = F.array(*[F.lit(m) for m in position_sets(radius)])
-    posted = distinct.select("fp", F.posexplode(sets).alias("which", "mask"))
+    # a row becomes one per choice, so the few bytes of fingerprints are spread before
+    spread = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    posted = spread.select("fp", F.posexplode(sets).alias("which", "mask"))
     # distinct fingerprints that agree outside two known bytes: a list has 65,536 members at most
     lists = posted.groupBy("which", F.col("fp").bitwiseAND(F.col("mask")).alias("key")).agg(F.collect_list("fp").alias("fps"))
     return lists.where(F.size("fps") > 1).select("fps").mapInArrow(_probe(radius), "a bigint, b bigint").distinct()
