@@ -2,9 +2,10 @@
 
 A pattern finds long tokens with a digit, of mixed case or with dots, published key formats, and
 whole values that a telling name or the login of an address is given; a random forest over length,
-character transitions, dictionary coverage, path signs, neighbouring words and formats removes
-false positives.  It is fitted by Spark ML on labelled findings, or where there are none on
-findings that a format or an assignment to a telling name labels.
+character transitions, dictionary coverage, path signs and neighbouring words removes false
+positives.  It is fitted by Spark ML on labelled findings.  Where there are none, formats and assignments to telling names
+label findings, except for what looks like a placeholder, an identifier, a path or a word; such a
+fit does not see the signs that labelled its rows, so it judges by the tokens' own shape.
 """
 
 from __future__ import annotations
@@ -25,10 +26,11 @@ LONG = 12
 """Least code points of a secret that is replaced wherever it stands."""
 WORD_LEAST = 2
 """Documents that a word must occur in to count as a dictionary word."""
-NAMES = r"(?i)(pass(word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|auth|bearer)"
-TOLD = r"(?i:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|auth|bearer)[\"'`]?\s{0,3}[:=]{1,2}>?\s{0,3}"
+_NAME = (r"(?i:p(?:ass(?:word|wd|phrase)?|wd|rivate[_-]?key)|secret|token|a(?:pi[_-]?key|ccess[_-]?key|uth)|credentials?|bearer)")
+NAMES = _NAME
+TOLD = _NAME + r"[\"'`]?\s*+[:=]{1,2}>?\s*+"
 """What stands before a value that a telling name is given, up to a quote."""
-LOGIN = r"://[^\s/:@]{0,64}:"
+LOGIN = r"://[^\s/:@]*+:"
 """What stands before the password in an address."""
 PUBLISHED = r"(?:AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,}+|xox[abprs]-[0-9A-Za-z-]{10,}+|sk_(?:live|test)_[0-9A-Za-z]{16,}+)"
 FORMATS = f"^{PUBLISHED}$"
@@ -38,10 +40,23 @@ CANDIDATE = (r"(?<![A-Za-z0-9+/_-])(?:" + PUBLISHED + r"(?![A-Za-z0-9+/_-])"
              r"|(?=[A-Za-z+/_-]*?[a-z][A-Z])[A-Za-z+/_-]{20,}+={0,2}"
              r"|(?=[A-Za-z0-9._-]{12})(?=[A-Za-z._-]*+[0-9])[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]++)+)")
 """By their own looks: published formats, 12 characters with a digit, 20 letters of mixed case, 12 characters with dots and a digit."""
-SEARCH = (r"(?<=[:=>][\s\"'`]{0,4})(?:" + "|".join(f"(?<={TOLD}{q})[^{q}\\r\\n]++(?={q})" for q in "\"'`")
-          + f"|(?<={TOLD}[\"'`]?)" + r"[^\s\"'`]*[^\s\"'`.,;:)\]}>]" + f"|(?<={LOGIN})" + r"[^\s/@]++(?=@))|" + CANDIDATE)
-"""Also whole values by what stands before them: in quotes, or up to white space without a closing mark."""
-FEATURES = ["length", "changes", "digits", "upper", "distinct", "consonants", "coverage", "path", "assigned", "quoted", "named", "format"]
+_GIVEN = f"(?:{TOLD}(?:" + "|".join(f"{q}[^{q}\\r\\n]++(?={q})" for q in "\"'`") + r"|[\"'`]?[^\s\"'`]*[^\s\"'`.,;:)\]}>]))"
+SEARCH = f"{_GIVEN}|(?:{LOGIN}" + r"[^\s/@]++(?=@))|" + CANDIDATE
+"""Also whole values with what gives them: in quotes, or up to white space without a closing mark."""
+LEAD = f"^(?:{TOLD}[\"'`]?|{LOGIN})"
+"""The part of a match before its value."""
+SIGNS = ["assigned", "named", "format"]
+"""What labels findings where nobody has reviewed any."""
+SHAPE = ["length", "changes", "digits", "upper", "distinct", "consonants", "marks", "coverage", "path", "quoted", "prose"]
+FEATURES = [*SHAPE, *SIGNS]
+LOOKALIKE = (r"(?i)^(?:[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|x{3,}|\*{3,}|\.{3,}|<[^>]*>|\$\{?\w+\}?|[~.]?(?:/[\w.-]+)+/?"
+             r"|(?:your|my|an?|the|some|change|example|sample|dummy|test|insert|none|null|true|false|todo)[-_ a-z]*)$")
+"""Identifiers, masks, references to variables, paths and placeholders."""
+# Tokens that stand after telling names and are no secrets, as (token, how many hexadecimal digits follow).
+HARD = [("changeme", 0), ("your-api-key-here", 0), ("example", 0), ("xxxxxxxxxxxx", 0), ("/run/secrets/db-password", 0), ("/etc/app/token.txt", 0), ("everyone", 0),
+        ("placeholder_value", 0), ("${DB_PASSWORD}", 0), ("<your-token>", 0), ("none", 0), ("build-", 6), ("node/", 4)]
+VARIANTS = 8
+"""Training rows of each look-alike and of as many identifiers."""
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -51,15 +66,17 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     text = F.col("text")
     src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where(F.rlike(text, F.lit(SEARCH)))
-    cut = src.select("doc_id", F.xxhash64("text").alias("mark"), F.regexp_extract_all(text, F.lit(SEARCH), F.lit(0)).alias("tokens"), F.split(text, SEARCH, -1).alias("gaps"))
-    each = cut.select("doc_id", "mark", F.posexplode(F.arrays_zip("tokens", "gaps", F.slice("gaps", F.lit(2), F.size("gaps")).alias("next"))).alias("k", "x"))
-    flat = each.where(F.col("x.tokens").isNotNull()).select(
-        "doc_id", "mark", "k", F.col("x.tokens").alias("token"), F.length("x.gaps").alias("gap"),
-        F.right("x.gaps", F.lit(BEFORE)).alias("before"), F.left("x.next", F.lit(AFTER)).alias("after"))
-    once = flat.dropDuplicates(["doc_id", "mark", "k"])
+    cut = src.select("doc_id", F.xxhash64("text").alias("mark"), F.regexp_extract_all(text, F.lit(SEARCH), F.lit(0)).alias("found"), F.split(text, SEARCH, -1).alias("gaps"))
+    each = cut.select("doc_id", "mark", F.posexplode(F.arrays_zip("found", "gaps", F.slice("gaps", F.lit(2), F.size("gaps")).alias("next"))).alias("k", "x"))
+    led = each.where(F.col("x.found").isNotNull()).select(
+        "doc_id", "mark", "k", F.col("x.found").alias("found"), F.length("x.gaps").alias("gap"), F.regexp_extract("x.found", LEAD, 0).alias("lead"),
+        F.right("x.gaps", F.lit(BEFORE)).alias("ahead"), F.left("x.next", F.lit(AFTER)).alias("after"))
+    once = led.dropDuplicates(["doc_id", "mark", "k"])
     w = Window.partitionBy("doc_id", "mark").orderBy("k")
-    upto = F.sum(F.col("gap") + F.length("token")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return once.withColumn("start", (upto - F.length("token")).cast("bigint")).drop("gap")
+    upto = F.sum(F.col("gap") + F.length("found")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    token = F.substr("found", F.length("lead") + 1)
+    return once.withColumns({"token": token, "start": (upto - F.length(token)).cast("bigint"), "before": F.right(F.concat("ahead", "lead"), F.lit(BEFORE))}).drop(
+        "gap", "found", "lead", "ahead")
 
 
 def dictionary(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -84,6 +101,8 @@ def with_features(found: DataFrame, words: DataFrame) -> DataFrame:
         "digits": share("[0-9]"), "upper": share("[A-Z]"),
         "distinct": F.size(F.array_distinct(F.split(t, ""))) / F.length(t),
         "consonants": share(r"(?i)[bcdfghjklmnpqrstvwxz]{3,}"),
+        "marks": share("[^A-Za-z0-9]"),
+        "prose": F.regexp_count(F.concat_ws(" ", "before", "after"), F.lit(r"(?<![^\s])\p{L}{2,}+(?=[\s,.;!?]|$)")).cast("double"),
         "coverage": F.coalesce(F.col("known"), F.lit(0)) / F.length(t),
         "path": flag(t.contains("/") | F.rlike("before", F.lit(r"[/\\.@#?&-]$")) | F.rlike("after", F.lit(r"^[/\\@]|^\.\w"))),
         "assigned": flag(F.rlike("before", F.lit(r"[:=]\s*[\"'`]?$"))),
@@ -94,22 +113,41 @@ def with_features(found: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def format_label() -> Column:
-    """1 where a published format or an assignment to a telling name says secret, 0 elsewhere."""
-    told = F.rlike("token", F.lit(FORMATS)) | F.rlike("before", F.lit(f"{TOLD}[\"'`]?$")) | (F.rlike("before", F.lit(LOGIN + "$")) & F.startswith("after", F.lit("@")))
-    return F.coalesce(told, F.lit(False)).cast("double")
+    """1 where a published format or an assignment to a telling name says secret, 0 elsewhere and for look-alikes.
 
+    Null, so no label, for other values of one dictionary word or of letters alone that a telling name is given.
+    """
+    told = F.rlike("before", F.lit(f"{TOLD}[\"'`]?$")) | (F.rlike("before", F.lit(LOGIN + "$")) & F.startswith("after", F.lit("@")))
+    plain = F.rlike("token", F.lit(LOOKALIKE)) | ((F.col("coverage") >= 0.999) & ~F.col("quoted").cast("boolean"))
+    return (F.when(F.rlike("token", F.lit(FORMATS)), 1.0).when(~F.coalesce(told, F.lit(False)), 0.0).when(plain, 0.0)
+            .when(F.rlike("token", F.lit(r"^\p{L}+$")), F.lit(None)).otherwise(1.0))
+
+
+def hard_negatives(like: DataFrame) -> DataFrame:
+    """Look-alikes after a telling name as findings of ``like``'s columns, labelled 0."""
+    spark = like.sparkSession
+    mark = lambda i, n: f"{(i * 0x9E3779B97F4A7C15) % (1 << 64):016x}{(i * 0xD1342543DE82EF95) % (1 << 64):016x}"[:n]
+    tokens = [t + mark(i + 1, n) for t, n in HARD for i in range(VARIANTS)]
+    tokens += ["-".join((h[:8], h[8:12], h[12:16], h[16:20], h[20:32])) for h in (mark(i + 99, 32) for i in range(4 * VARIANTS))]
+    rows = [(None, i, 0, t, 0, ("secret: ", "token = ", "password=")[i % 3], " and") for i, t in enumerate(tokens)]
+    return spark.createDataFrame(rows, "doc_id bigint, mark bigint, k int, token string, start bigint, before string, after string").select(*like.columns)
 
-def fit(featured: DataFrame, label: Column | None = None, trees: int = 20, depth: int = 6, seed: int = 11) -> RandomForestClassificationModel | float:
-    """A forest on at most SAMPLE_ROWS labelled findings; with one class, the share of secrets."""
+
+def fit(featured: DataFrame, label: Column | None = None, inputs: list[str] | None = None, trees: int = 20, depth: int = 6, seed: int = 11) -> RandomForestClassificationModel | float:
+    """A forest over ``inputs`` on at most SAMPLE_ROWS labelled findings; with one class, the share of secrets.
+
+    Without a label column, signs label the findings and are no inputs.
+    """
+    inputs = inputs or (SHAPE if label is None else FEATURES)
     known = featured.withColumn("label", format_label() if label is None else label.cast("double")).where("label is not null")
     by = F.xxhash64("doc_id", "mark", "k")
     # one partition of bounded size in a fixed order: reruns draw the same trees
-    rows = C.settle(known.orderBy(by, "doc_id", "mark", "k").limit(SAMPLE_ROWS).select("label", *FEATURES).coalesce(1))
+    rows = C.settle(known.orderBy(by, "doc_id", "mark", "k").limit(SAMPLE_ROWS).select("label", *inputs).coalesce(1))
     n, s = rows.agg(F.count("*"), F.sum("label")).first()
     if not n or s in (0, n):
         return float(s / n) if n else 0.0
     forest = RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed, minInstancesPerNode=2)
-    return forest.fit(VectorAssembler(inputCols=FEATURES, outputCol="x").transform(rows))
+    return forest.fit(VectorAssembler(inputCols=inputs, outputCol="x").transform(rows))
 
 
 def score(featured: DataFrame, model: RandomForestClassificationModel | float) -> DataFrame:
@@ -117,7 +155,8 @@ def score(featured: DataFrame, model: RandomForestClassificationModel | float) -
     if isinstance(model, float):
         return featured.withColumn("score", F.lit(model))
     put = model.setFeaturesCol("__x").setProbabilityCol("__p").setRawPredictionCol("").setPredictionCol("")
-    return put.transform(VectorAssembler(inputCols=FEATURES, outputCol="__x").transform(featured)).withColumn(
+    inputs = SHAPE if model.numFeatures == len(SHAPE) else FEATURES
+    return put.transform(VectorAssembler(inputCols=inputs, outputCol="__x").transform(featured)).withColumn(
         "score", vector_to_array("__p")[1]).drop("__x", "__p")
 
 
@@ -131,7 +170,7 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, threshold: float =
     words = C.settle(dictionary(docs, text_col))
     featured = with_features(found, words)
     if labelled is None:
-        model = fit(featured)
+        model = fit(with_features(found.unionByName(hard_negatives(found)), words))
     else:
         given = labelled.select(F.lit(None).cast("bigint").alias("doc_id"), F.xxhash64("token", "before", "after").alias("mark"), F.lit(0).alias("k"),
                                 "token", "before", "after", F.lit(0).cast("bigint").alias("start"), F.col("label").cast("double").alias("given"))

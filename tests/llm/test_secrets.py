@@ -75,3 +75,26 @@ def test_dictionary_counts_all_documents(spark):
     words = S.dictionary(df, "body")
     found = S.with_features(S.candidates(df, text_col="body"), words).collect()
     assert [(r.token, round(r.coverage * len(r.token))) for r in found] == [("garden/gate/2024-path-17", 10)]
+
+
+LOOK = {
+    "The secret: everyone who knows this": False, 'token = "changeme" now': False, "password = your-password now": False, "secret=/run/secrets/db now": False,
+    "token: 123e4567-e89b-12d3-a456-426614174000 now": False, "password =    hunter2!x now": True, 'password="Tr0ub4dor&3x9Qz" now': True,
+    'token = "9f8e7d6c5b4a39281706f5e4d3c2b1a098765432" now': True, "https://" + "u" * 70 + ":pa55w0rd9x@host/": True}
+
+
+def test_self_labelled_forest_is_not_the_rule(spark):
+    """Planted look-alikes and secrets beside a table's own findings: precision and recall are 1 here, the bare rule's precision 4/9."""
+    table = C.table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
+    df = table.unionByName(spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(LOOK)], "doc_id long, text string"))
+    got = {r.doc_id - 10**6: r.secret for r in S.scan(df).where("doc_id >= 1000000").collect()}
+    assert got == dict(enumerate(LOOK.values()))
+    told = S.candidates(df).where("doc_id >= 1000000").where(F.rlike("before", F.lit(S.TOLD + "[\"'`]?$")) | F.startswith("after", F.lit("@")))
+    assert told.count() == len(LOOK)
+
+
+def test_values_beyond_wide_gaps_and_long_names(spark):
+    rows = ["password =" + " " * 40 + "a1b2 x", "https://" + "n" * 300 + ":w0rd@h", "api-key" + "\t" * 9 + ":=> 'two words' y", "PASSPHRASE:z9", "://a:b@c", "a password, and none"]
+    want = [("a1b2", 50), ("w0rd", 309), ("two words", 21), ("z9", 11), ("b", 5)]
+    out = S.candidates(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r.token, r.start) for r in out] == want and all(rows[r.doc_id][r.start:r.start + len(r.token)] == r.token for r in out)
