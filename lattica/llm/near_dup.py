@@ -7,12 +7,12 @@ choice.  The size grows with the logarithm of the number of documents, which kee
 meetings per document few at any scale, and the number of choices keeps recall at the
 threshold (``CHOICES``).
 
-A first look joins most of every group by few pairs per list.  The second goes through the lists of
-all choices and only asks which groups lie near each other: a task answers with a spanning
-forest of the near groups in its lists, however many pairs there are.  Groups that these
-connect form a neighbourhood.  The shingle sets of a neighbourhood then meet in tasks of
-bounded size, where every pair within HAMMING bits that is not joined yet is verified exactly, and only
-links that join something leave the task.
+Looks at lists only ask which texts lie near each other (HAMMING): a task answers with a spanning
+forest of what its lists connect, however many pairs there are, and texts that are connected form a
+neighbourhood.  A first look at few choices compares few pairs per list and finds most of every
+neighbourhood; the second goes through the lists of all choices in which several neighbourhoods meet.  The
+shingle sets of a neighbourhood then meet in tasks of bounded size, where every pair within HAMMING bits
+that is not joined yet is verified exactly, and only links that join something leave the task.
 """
 
 from __future__ import annotations
@@ -43,7 +43,7 @@ FIRST = 24
 """Choices of the first look."""
 PAIRS = 1 << 18
 """Pairs that are compared at once."""
-PART_BYTES = 16 << 20
+PART_BYTES = 4 << 20
 """Shingle sets of a part of a neighbourhood; every two parts meet in a task of their own."""
 
 
@@ -265,7 +265,7 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _candidates(links, forest: bool = False):
-    """With ``forest`` a task only yields a spanning forest of all that its lists connect."""
+    """What ``links`` finds in whole lists; with ``forest`` only a spanning forest of all that a task's lists connect."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for pair in found(batches):
@@ -301,18 +301,13 @@ def _candidates(links, forest: bool = False):
 
 
 def _joined(similarity: float):
-    """Links (a, b) of similar members of unlike roots in a neighbourhood, or between two parts of one, that join something."""
-    def run(t: pa.Table) -> pa.Table:
-        node, side = t.column("node").to_numpy(), t.column("part").to_numpy()
-        fps = np.frombuffer(b"".join(t.column("fp").to_pylist()), np.uint64).reshape(t.num_rows, -1)
-        sets = t.column("s").combine_chunks()
-        sizes = sets.value_lengths().to_numpy().astype(np.int64)
-        _, item = np.unique(sets.flatten().to_numpy(), return_inverse=True)
-        begin = np.r_[0, np.cumsum(sizes)]
-        group = np.unique(t.column("root").to_numpy(), return_inverse=True)[1]
-        apart = len(np.unique(side)) > 1
-        mark, links = np.zeros(int(item.max(initial=0)) + 1, bool), []
-        step = max(1, PAIRS // max(1, len(node)))
+    """Links (a, b) of similar members of a neighbourhood, or between two parts of one, that join something."""
+    def links_of(node: np.ndarray, side: np.ndarray, fps: np.ndarray, item: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+        if len(node) < 2:
+            return
+        group, apart = np.arange(len(node)), len(np.unique(side)) > 1
+        mark = np.zeros(int(item.max(initial=0)) + 1, bool)
+        step = max(1, PAIRS // len(node))
         for lo in range(0, len(node), step):
             near = np.bitwise_count(fps[lo:lo + step, None] ^ fps[None, lo:]).sum(axis=2) <= HAMMING
             for i in range(lo, min(lo + step, len(node))):
@@ -329,8 +324,20 @@ def _joined(similarity: float):
                 mark[mine] = False
                 for k in j[common / np.maximum(1, sizes[i] + sizes[j] - common) >= similarity]:
                     if group[k] != group[i]:
-                        links.append((node[i], node[k]))
+                        yield node[i], node[k]
                         group[group == group[k]] = group[i]
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("hood").combine_chunks()
+        node, side, hood = (t.column(c).to_numpy() for c in ("node", "part", "hood"))
+        fps = np.frombuffer(b"".join(t.column("fp").to_pylist()), np.uint64).reshape(t.num_rows, -1)
+        sets = t.column("s").chunk(0)
+        sizes = sets.value_lengths().to_numpy().astype(np.int64)
+        begin = np.r_[0, np.cumsum(sizes)]
+        flat, links = sets.flatten().to_numpy(), []
+        for x, y in zip(*C.runs(hood)):
+            own = np.unique(flat[begin[x]:begin[y]], return_inverse=True)[1]
+            links += links_of(node[x:y], side[x:y], fps[x:y], own, begin[x:y + 1] - begin[x], sizes[x:y])
         return pa.table([pa.array([x[c] for x in links], pa.int64()) for c in (0, 1)], names=["a", "b"])
     return run
 
@@ -347,46 +354,46 @@ def _shingle_sets(shingle: int):
     return run
 
 
-def similar_nodes(docs: DataFrame, rows: DataFrame, similarity: float, shingle: int, text_col: str = "text") -> DataFrame:
-    """(a, b): links between different word sequences of ``rows = marked(docs)``, each verified or a chain of verified ones.
-
-    They connect all that verified pairs which share a list of some choice, or lie in one neighbourhood, connect.
-    """
-    nodes = C.settle(rows.groupBy("node").agg(F.any_value("fp").alias("fp"), F.min("mark").alias("mark")))
+def neighbourhoods(nodes: DataFrame) -> DataFrame:
+    """The rows (node, fp, ...) with ``hood``: equal for those that near ones connect."""
     n = nodes.count()
     size = next((k for k in CHOICES if n <= 1 << (8 * k - 2)), max(CHOICES))
 
-    def looked(rooted: DataFrame, some: slice, lists_of, links, forest: bool = False) -> DataFrame:
+    def looked(rooted: DataFrame, some: slice, lists_of, links) -> DataFrame:
         n_buckets = max(1, n * len(range(CHOICES[size])[some]) // BUCKET_POSTINGS)
         posted = rooted.select("node", "fp", "root").mapInArrow(_postings(size, n_buckets, some), "bucket int, keys binary, nodes binary, roots binary, counts binary")
         lists = posted.groupBy("bucket").applyInArrow(lists_of, "lid bigint, node bigint")
         met = lists.join(rooted.select("node", "fp", "root"), "node").repartition("lid").sortWithinPartitions("lid", "node").select("lid", "node", "fp", "root")
-        return C.settle(met.mapInArrow(_candidates(links, forest), "a bigint, b bigint").distinct())
-
-    def with_sets(wanted: DataFrame) -> DataFrame:
-        """(node, s) of the wanted (node, mark)."""
-        return docs.select(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("mark"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(
-            wanted.select("node", "mark"), "mark").dropDuplicates(["node"]).select("node", "text").mapInArrow(_shingle_sets(shingle), "node bigint, s array<bigint>")
-
-    first = looked(nodes.withColumn("root", F.col("node")), slice(0, FIRST), _lists, _some)
-    sets = C.settle(with_sets(first.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "mark"), "node")))
-    both = first.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    sure = both.where(F.try_divide(common, F.size("sa") + F.size("sb") - common) >= similarity).select("a", "b")
-    roots = C.settle(graph.components(sure))
-    rooted = C.settle(nodes.join(roots.withColumnRenamed("a", "node"), "node", "left").withColumn("root", F.coalesce("root", "node")))
-
-    stars = looked(rooted, slice(None), _open_lists, _stars, forest=True)
-    around = C.settle(graph.components(stars).select(F.col("a").alias("root"), F.col("root").alias("hood")))
-    around = around.unionByName(around.select(F.col("hood").alias("root"), "hood").distinct())
-    members = rooted.join(around, "root")
-    more = C.settle(members.join(with_sets(members), "node").select("node", "root", "hood", "fp", "s"))
-    parts = more.groupBy("hood").agg(F.ceil(F.sum(F.size("s") + 8) * 8 / PART_BYTES).cast("int").alias("parts"))
-    dealt = more.join(parts, "hood").withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int")).withColumn(
+        return C.settle(met.mapInArrow(_candidates(links, forest=True), "a bigint, b bigint").distinct())
+
+    first = C.settle(graph.components(looked(nodes.withColumn("root", F.col("node")), slice(0, FIRST), _lists, _some)))
+    rooted = C.settle(nodes.join(first.withColumnRenamed("a", "node"), "node", "left").withColumn("root", F.coalesce("root", "node")))
+    both = graph.components(looked(rooted, slice(None), _open_lists, _stars)).select(F.col("a").alias("root"), F.col("root").alias("hood"))
+    return rooted.join(both, "root", "left").withColumn("hood", F.coalesce("hood", "root")).drop("root")
+
+
+def similar_nodes(docs: DataFrame, rows: DataFrame, similarity: float, shingle: int, text_col: str = "text") -> DataFrame:
+    """(a, b): verified links between different word sequences of ``rows = marked(docs)``.
+
+    They connect all that similar pairs which share a list of some choice, or lie in one neighbourhood, connect.
+    """
+    nodes = C.settle(rows.groupBy("node").agg(F.any_value("fp").alias("fp"), F.min("mark").alias("mark")))
+    around = C.settle(neighbourhoods(nodes))
+    several = around.groupBy("hood").agg(F.count("*").alias("n")).where("n > 1").select("hood")
+    members = C.settle(around.join(several, "hood"))
+    texts = docs.select(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("mark"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    sets = texts.join(members.select("node", "mark"), "mark").dropDuplicates(["node"]).select("node", "text").mapInArrow(
+        _shingle_sets(shingle), "node bigint, s array<bigint>")
+    whole = C.settle(members.join(sets, "node").select("node", "hood", "fp", "s"))
+    size = (F.size("s") + 8) * 8
+    parts = whole.groupBy("hood").agg(F.ceil(F.sum(size) / PART_BYTES).cast("int").alias("parts"))
+    # small neighbourhoods share a task call, a large one has a call for every two parts
+    bundles = max(1, -(-int(whole.agg(F.sum(size)).first()[0] or 0) // PART_BYTES))
+    dealt = whole.join(parts, "hood").withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int")).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    held = dealt.select("node", "root", "hood", "fp", "s", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
-    links = held.groupBy("hood", "lo", "hi").applyInArrow(_joined(similarity), "a bigint, b bigint")
-    return roots.select("a", F.col("root").alias("b")).unionByName(links)
+    held = dealt.select("node", "hood", "fp", "s", "part", (F.col("parts") > 1).alias("large"), F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"),
+                        F.when(F.col("parts") > 1, F.col("hood")).otherwise(F.pmod(F.xxhash64("hood"), F.lit(bundles))).alias("call"))
+    return held.groupBy("large", "call", "lo", "hi").applyInArrow(_joined(similarity), "a bigint, b bigint")
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -199,7 +199,7 @@ def test_part_pairs_find_all_links():
     for lo in range(3):
         for hi in range(lo, 3):
             at = np.flatnonzero((part == lo) | (part == hi))
-            t = pa.table({"node": pa.array(at), "root": pa.array(at), "part": pa.array(part[at]), "fp": pa.array([fp] * len(at), pa.binary()),
+            t = pa.table({"node": pa.array(at), "part": pa.array(part[at]), "hood": pa.array(np.zeros(len(at), np.int64)), "fp": pa.array([fp] * len(at), pa.binary()),
                           "s": pa.array([sets[i] for i in at], pa.list_(pa.int64()))})
             got = N._joined(0.8)(t)
             links += zip(got.column("a").to_pylist(), got.column("b").to_pylist())
