@@ -175,6 +175,20 @@ def morton_coords(key) -> tuple[Column, Column, Column]:
     return _gather3(k), _gather3(F.shiftrightunsigned(k, 1)), _gather3(F.shiftrightunsigned(k, 2))
 
 
+def morton32_key(x, y, z) -> Column:
+    """The lowest ten bits of three coordinates interleaved: 30 bits, as a 32-bit key has them."""
+    low = lambda c: big(c).bitwiseAND(F.lit(0x3FF))
+    return morton_key(low(x), low(y), low(z)).cast("int")
+
+
+def exponent2(c) -> Column:
+    """Binary exponent of a positive double: the whole e with 2^e <= x < 2^(e+1), exact at powers of two."""
+    x = col(c).cast("double")
+    e = F.floor(F.log2(x))
+    two = F.lit(2.0)
+    return F.when(F.pow(two, e) > x, e - 1).when(F.pow(two, e + 1) <= x, e + 1).otherwise(e).cast("int")
+
+
 def int_log2(c) -> Column:
     """Position of the highest set bit of a positive integer."""
     return (F.length(F.bin(big(c))) - 1).cast("int")

@@ -221,3 +221,11 @@ SELECT x, y, z, xor(r2, r2 >> 16) AS h8, xor(xor((x * 73856093) & 4294967295, (y
 def _(spark, d):
     c = B.cells(spark, d).select("x", "y", "z")
     return c.select("x", "y", "z", K.coord_hash8(F.lit(7), "x", "y", "z", F.lit(3)).alias("h8"), K.coord_hash16("x", "y", "z", F.lit(0)).alias("h16"))
+
+
+@query("morton32_log2", "F2", f"""WITH {B.CELLS_SQL}, e AS (SELECT x, y, z, a, CAST(floor(log2(a)) AS INTEGER) AS e FROM cells)
+SELECT x, y, z, CAST((SELECT sum((((x >> i) & 1) << (3 * i)) + (((y >> i) & 1) << (3 * i + 1)) + (((z >> i) & 1) << (3 * i + 2))) FROM range(10) r(i)) AS INTEGER) AS key,
+ CASE WHEN pow(2e0, e) > a THEN e - 1 WHEN pow(2e0, e + 1) <= a THEN e + 1 ELSE e END AS log2 FROM e""")
+def _(spark, d):
+    c = B.cells(spark, d)
+    return c.select("x", "y", "z", K.morton32_key("x", "y", "z").alias("key"), K.exponent2("a").alias("log2"))

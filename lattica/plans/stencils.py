@@ -115,6 +115,17 @@ def _(spark, d):
     return one_step(spark, d, pde.Step(4, 0.2))
 
 
+_AGAIN = lambda offsets: taps(offsets, 's1').replace('o AS (', 'o2 AS (', 1).replace('tp AS', 'tp2 AS').replace(' d, o\n', ' d, o2\n').replace('FROM tp ', 'FROM tp2 ').replace('w AS', 'w2 AS')
+
+
+# the first sweep inflates, the second shrinks
+@query("sten_taubin", "K2 K1", f"""WITH {DENSE}, {taps(NEAR19)}, s1 AS (SELECT w.x, w.y, w.z, bx, byy, bz, {clip01(f'{C} - 0.9e0 * ({CURV})')} AS v FROM w JOIN dn USING (x, y, z)),
+ {_AGAIN(NEAR19)} SELECT x, y, z, {rsql(clip01(f'{C} + ({CURV})'))} AS v FROM w2""")
+def _(spark, d):
+    g, p = packed_a(spark, d)
+    return H.unpack(pde.smooth(p, g, pde.Step(4, 0.2, taubin=0.9), 2, order="jacobi", dtype=F64), g, "v", F64).select("x", "y", "z", rnd("v").alias("v"))
+
+
 @query("sten_diffuse_sweeps", "K1 T1", f"""WITH {DENSE}, {taps(CROSS)}, s1 AS (SELECT w.x, w.y, w.z, bx, byy, bz, {clip01(f'{C} + 0.3e0 * ({RING} / 6 - {C})')} AS v FROM w JOIN dn USING (x, y, z)),
  {taps(CROSS, 's1').replace('o AS (', 'o2 AS (', 1).replace('tp AS', 'tp2 AS').replace(' d, o\n', ' d, o2\n').replace('FROM tp ', 'FROM tp2 ').replace('w AS', 'w2 AS')}
 SELECT x, y, z, {rsql(clip01(f'{C} + 0.3e0 * ({RING} / 6 - {C})'))} AS v FROM w2""")

@@ -1,5 +1,7 @@
 """Block topology and point-to-density queries."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lattica.functions import keys as K
@@ -7,7 +9,8 @@ from lattica.operators import channels as C, points as P, topology as T
 from lattica.plans.common import BID, OFF26, rnd, rsql
 from lattica.plans.registry import query
 from lattica.schema import BLOCK_FLAGS
-from lattica.sources import tables as B
+from lattica.session import ensure_checkpoint_dir
+from lattica.sources import ply, tables as B
 
 G4 = B.grid_sql(4)
 _seq = lambda p, n, edge=4, r=1: (f"(SELECT unnest(range(CAST(greatest(floor((p{p} - {r}e0) / {edge}e0), 0) AS BIGINT), "
@@ -189,6 +192,15 @@ def _(spark, d):
     return P.bounding_box(B.points(spark, d))
 
 
+@query("pt_ply", "S1", f"""WITH {B.POINTS_SQL}, s AS (SELECT px, py, pz FROM points) SELECT CAST(floor(px) AS BIGINT) >> 3 AS bx, CAST(count(*) AS BIGINT) AS n, {', '.join(f'min({c}) AS lo_{c}, max({c}) AS hi_{c}' for c in ('px', 'py', 'pz'))} FROM s GROUP BY 1""")
+def _(spark, d):
+    """The points written as PLY parts in the shared folder and read back."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/ply-{uuid.uuid4().hex}"
+    back = ply.read(spark, ply.write(B.points(spark, d), path))
+    ends = [e for c in ("px", "py", "pz") for e in (F.min(c).alias(f"lo_{c}"), F.max(c).alias(f"hi_{c}"))]
+    return back.groupBy(F.shiftright(F.floor("px"), 3).alias("bx")).agg(F.count("*").alias("n"), *ends)
+
+
 @query("pt_instances", "§3.1", f"""WITH {B.POINTS_SQL}, shape AS (SELECT DISTINCT (n_nationkey % 5 - 2) * 0.5e0 AS sx, (n_nationkey // 5 - 2) * 0.5e0 AS sy, n_regionkey * 0.5e0 AS sz FROM nation),
  spot AS (SELECT px, py, pz FROM points)
 SELECT CAST(floor(px + sx) AS BIGINT) >> 3 AS bx, CAST(count(*) AS BIGINT) AS n, {rsql('sum(py + sy)', 3)} AS ty FROM spot, shape GROUP BY 1""")

@@ -1,4 +1,4 @@
-"""ASCII PLY point clouds as distributed text."""
+"""ASCII PLY point clouds as distributed text, in one file or in parts whose names are in order."""
 
 from __future__ import annotations
 
@@ -7,22 +7,32 @@ from pyspark.sql import functions as F
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of one file with their number.
+    """Lines of a file, or of all parts of one in the order of their paths, with their number.
 
     Row ids run on inside a split, so a split's first id and the line counts of the
     splits before it give the number.  Only that table, one row per split, is
     broadcast.
     """
-    raw = spark.read.text(path).select(
-        "value", F.monotonically_increasing_id().alias("id"), F.col("_metadata.file_block_start").alias("at"))
-    per = raw.groupBy("at").agg(F.min("id").alias("first"), F.count("*").alias("n"))
-    splits = sorted((r["at"], r["first"], r["n"]) for r in per.collect())
+    raw = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("id"), F.col("_metadata.file_path").alias("file"),
+                                       F.col("_metadata.file_block_start").alias("at"))
+    per = raw.groupBy("file", "at").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    splits = sorted((r["file"], r["at"], r["first"], r["n"]) for r in per.collect())
     rows, before = [], 0
-    for at, first, n in splits:
-        rows.append((at, first, before))
+    for file, at, first, n in splits:
+        rows.append((file, at, first, before))
         before += n
-    table = spark.createDataFrame(rows, "at bigint, first bigint, before bigint")
-    return raw.join(F.broadcast(table), "at").select("value", (F.col("id") - F.col("first") + F.col("before")).alias("line"))
+    table = spark.createDataFrame(rows, "file string, at bigint, first bigint, before bigint")
+    return raw.join(F.broadcast(table), ["file", "at"]).select("value", (F.col("id") - F.col("first") + F.col("before")).alias("line"))
+
+
+def write(points: DataFrame, path: str, at: tuple[str, str, str] = ("px", "py", "pz")) -> str:
+    """Points as PLY in parts, written side by side in a new folder; returns the pattern that ``read`` takes."""
+    spark = points.sparkSession
+    lines = points.select(F.concat_ws(" ", *[F.col(c).cast("double").cast("string") for c in at]).alias("value"))
+    head = ["ply", "format ascii 1.0", f"element vertex {lines.count()}", *[f"property double {c}" for c in "xyz"], "end_header"]
+    spark.createDataFrame([("\n".join(head),)], "value string").coalesce(1).write.text(f"{path}/0-header")
+    lines.write.text(f"{path}/1-vertices")
+    return f"{path}/*"
 
 
 def header(spark: SparkSession, path: str) -> tuple[int, int]:
