@@ -10,6 +10,8 @@ fit does not see the signs that labelled its rows, so it judges by the tokens' o
 
 from __future__ import annotations
 
+import string
+
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -56,7 +58,7 @@ LOOKALIKE = (r"(?i)^(?:[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{
 HARD = [("changeme", 0), ("your-api-key-here", 0), ("example", 0), ("xxxxxxxxxxxx", 0), ("/run/secrets/db-password", 0), ("/etc/app/token.txt", 0), ("everyone", 0),
         ("placeholder_value", 0), ("${DB_PASSWORD}", 0), ("<your-token>", 0), ("none", 0), ("build-", 6), ("node/", 4)]
 VARIANTS = 8
-"""Training rows of each look-alike and of as many identifiers."""
+"""Training rows of each look-alike; four times as many identifiers and eight times as many passwords."""
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -123,12 +125,15 @@ def format_label() -> Column:
             .when(F.rlike("token", F.lit(r"^\p{L}+$")), F.lit(None)).otherwise(1.0))
 
 
-def hard_negatives(like: DataFrame) -> DataFrame:
-    """Look-alikes after a telling name as findings of ``like``'s columns, labelled 0."""
+def planted(like: DataFrame) -> DataFrame:
+    """Look-alikes and passwords after a telling name, as findings of ``like``'s columns that format_label labels."""
     spark = like.sparkSession
-    mark = lambda i, n: f"{(i * 0x9E3779B97F4A7C15) % (1 << 64):016x}{(i * 0xD1342543DE82EF95) % (1 << 64):016x}"[:n]
+    draw = lambda i: (i * 0x9E3779B97F4A7C15) % (1 << 64) << 64 | (i * 0xD1342543DE82EF95) % (1 << 64)
+    mark = lambda i, n: f"{draw(i):032x}"[:n]
     tokens = [t + mark(i + 1, n) for t, n in HARD for i in range(VARIANTS)]
     tokens += ["-".join((h[:8], h[8:12], h[12:16], h[16:20], h[20:32])) for h in (mark(i + 99, 32) for i in range(4 * VARIANTS))]
+    letters = string.ascii_letters + string.digits + "!#%&"
+    tokens += ["".join(letters[draw(i + 999) >> 7 * k & 63] for k in range(7 + i % 9)) + str(i % 10) for i in range(8 * VARIANTS)]
     rows = [(None, i, 0, t, 0, ("secret: ", "token = ", "password=")[i % 3], " and") for i, t in enumerate(tokens)]
     return spark.createDataFrame(rows, "doc_id bigint, mark bigint, k int, token string, start bigint, before string, after string").select(*like.columns)
 
@@ -170,7 +175,7 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, threshold: float =
     words = C.settle(dictionary(docs, text_col))
     featured = with_features(found, words)
     if labelled is None:
-        model = fit(with_features(found.unionByName(hard_negatives(found)), words))
+        model = fit(with_features(found.unionByName(planted(found)), words))
     else:
         given = labelled.select(F.lit(None).cast("bigint").alias("doc_id"), F.xxhash64("token", "before", "after").alias("mark"), F.lit(0).alias("k"),
                                 "token", "before", "after", F.lit(0).cast("bigint").alias("start"), F.col("label").cast("double").alias("given"))
