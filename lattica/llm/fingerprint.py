@@ -35,6 +35,8 @@ INVERSES = np.array([[pow(int(b), int(m) - 2, int(m))] for b, m in zip(BASES[:,
 """Of the bases, by Fermat's exponent."""
 SHIFT = np.uint64(0x5851F42D4C957F2D)
 """Multiplier of the windows' hash, which is modulo 2**64."""
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
+"""Carries a hash into its upper bits, which decide on samples."""
 
 _tables = {"up": np.ones((2, 1), np.uint64), "down": np.ones((2, 1), np.uint64)}
 
@@ -67,7 +69,7 @@ def window_hashes(c: np.ndarray) -> np.ndarray:
     h, wide = np.zeros(n, np.uint64), c.astype(np.uint64)
     for k in range(WINDOW if n else 0):
         h = h * SHIFT + wide[k:k + n]
-    return C.mix(h)
+    return h * SPREAD
 
 
 class Prefix:
@@ -110,8 +112,8 @@ class Prefix:
 
 
 def _zeros(h: np.ndarray) -> np.ndarray:
-    """Zero bits at the end of each number."""
-    return np.bitwise_count((h & (~h + np.uint64(1))) - np.uint64(1)).astype(np.uint8)
+    """Zero bits at the top of each number, to within rounding."""
+    return np.clip(64 - np.frexp(h.astype(np.float64))[1], 0, 64).astype(np.uint8)
 
 
 class Fingerprint:
@@ -121,10 +123,9 @@ class Fingerprint:
         self.n = p.n
         self.whole = int(C.mix(p.spans(np.array([0]), np.array([p.n])))[0])
         h = p.windows
-        zeros = _zeros(h)
         self.level = max(0, (max(p.n, 1) // GRID).bit_length())
         while True:
-            pick = np.flatnonzero(zeros >= self.level)
+            pick = np.flatnonzero(h < np.uint64(1 << 64 - self.level)) if self.level else np.arange(len(h))
             # what repeats at once is sampled where it begins
             order = np.lexsort((pick, h[pick]))
             near = (np.diff(h[pick][order]) == 0) & (np.diff(pick[order]) <= 1 << self.level)
@@ -135,7 +136,8 @@ class Fingerprint:
         pick = pick[(pick > 0)]
         self.at = np.r_[pick, p.n].astype(np.int64)
         self.sums = p.sums[:, self.at]
-        self.zeros = np.r_[zeros[pick], 255].astype(np.uint8)
+        self.zeros = np.r_[np.maximum(_zeros(h[pick]), self.level), 255].astype(np.uint8)
+        self._kept: dict[int, tuple] = {}
 
     def __str__(self) -> str:
         raw = b"".join(a.tobytes() for a in (np.diff(self.at, prepend=0).astype(">u4"), self.sums[0].astype(">u4"), self.zeros))
@@ -149,16 +151,18 @@ class Fingerprint:
         k = len(data) // 9
         out.at = np.cumsum(np.frombuffer(data[:4 * k], ">u4").astype(np.int64))
         out.sums = np.frombuffer(data[4 * k:8 * k], ">u4").astype(np.uint64)[None]
-        out.zeros = np.frombuffer(data[8 * k:], np.uint8)
+        out.zeros, out._kept = np.frombuffer(data[8 * k:], np.uint8), {}
         return out
 
-    def _samples(self, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _samples(self, level: int) -> tuple[list[int], list[int], list[int]]:
         """Places and prefix hashes from the start on, and a key of each stretch between two of them."""
-        keep = self.zeros >= level
-        at, sums = np.r_[0, self.at[keep]], np.r_[np.uint64(0), self.sums[0][keep]]
-        p = MODULI[0, 0]
-        h = (sums[1:] + p - sums[:-1]) % p * inverse_powers(at[:-1])[0] % p
-        return at, sums, (h << np.uint64(32)) | np.diff(at).astype(np.uint64)
+        if level not in self._kept:
+            keep = self.zeros >= level
+            at, sums = np.r_[0, self.at[keep]], np.r_[np.uint64(0), self.sums[0][keep]]
+            p = MODULI[0, 0]
+            h = (sums[1:] + p - sums[:-1]) % p * inverse_powers(at[:-1])[0] % p
+            self._kept[level] = at.tolist(), sums.tolist(), ((h << np.uint64(32)) | np.diff(at).astype(np.uint64)).tolist()
+        return self._kept[level]
 
     def likeness(self, other: Fingerprint) -> float:
         """Length of the stretches that both have, as a share of the longer text; 1 for equal texts."""
@@ -169,30 +173,31 @@ class Fingerprint:
         level = max(self.level, other.level)
         (a, sa, ka), (b, sb, kb) = self._samples(level), other._samples(level)
         p, base = int(MODULI[0, 0]), int(BASES[0, 0])
-        open_ = np.flatnonzero(np.isin(ka, kb)).tolist()
-        if not open_:
+        both = set(ka).intersection(kb)
+        if not both:
             return 0.0
         where: dict[int, list[int]] = {}
-        for j in np.flatnonzero(np.isin(kb, ka)).tolist():
-            where.setdefault(int(kb[j]), []).append(j)
+        for j, key in enumerate(kb):
+            if key in both:
+                where.setdefault(key, []).append(j)
 
         def equal(i: int, j: int, k: int) -> bool:
             """Are the k stretches from i here and from j there the same text?"""
-            x, y = int(sa[i + k]) - int(sa[i]), int(sb[j + k]) - int(sb[j])
-            return a[i + k] - a[i] == b[j + k] - b[j] and (x * pow(base, int(b[j]), p) - y * pow(base, int(a[i]), p)) % p == 0
+            x, y = sa[i + k] - sa[i], sb[j + k] - sb[j]
+            return a[i + k] - a[i] == b[j + k] - b[j] and (x * pow(base, b[j], p) - y * pow(base, a[i], p)) % p == 0
 
         total, past, done = 0, 0, 0
-        for i in open_:
-            if i < past:
+        for i, key in enumerate(ka):
+            if i < past or key not in both:
                 continue
-            ways = where[int(ka[i])]
+            ways = where[key]
             # the first place that is not before the last one used, else the first
             j = next((j for j in ways if j >= done), ways[0])
             lo, hi = 1, min(len(ka) - i, len(kb) - j)
             while lo < hi:  # equal spans have equal beginnings
                 mid = (lo + hi + 1) // 2
                 lo, hi = (mid, hi) if equal(i, j, mid) else (lo, mid - 1)
-            total += int(a[i + lo] - a[i])
+            total += a[i + lo] - a[i]
             past, done = i + lo, j + lo
         return min(total, self.n, other.n) / max(self.n, other.n)
 
