@@ -65,12 +65,12 @@ def sampled_channels(spark, d, kind, channels):
 
 
 LIN = ["1 - T", "T"]
-_VECTOR = {"vx": F.col("a"), "vy": F.col("b") / 1000.0, "vz": F.col("a") * F.col("y") - F.col("z")}
 
 
 @query("interp_vector", "K20", channels_sql(0.5, 0, {"": (LIN, LIN, LIN)}, {"vx": "a", "vy": "b / 1000e0", "vz": "(a * c.y - c.z)"}))
 def _(spark, d):
-    return rounded(sampled_channels(spark, d, "linear", _VECTOR), *_VECTOR)
+    vector = {"vx": F.col("a"), "vy": F.col("b") / 1000.0, "vz": F.col("a") * F.col("y") - F.col("z")}
+    return rounded(sampled_channels(spark, d, "linear", vector), *vector)
 
 
 @query("interp_nearest", "K19 P12", f"""WITH {PTS} SELECT px, py, pz, {rsql('coalesce(a, 0)')} AS value FROM points LEFT JOIN cells ON x = CAST(floor(px) AS BIGINT) AND y = CAST(floor(py) AS BIGINT) AND z = CAST(floor(pz) AS BIGINT)""")
