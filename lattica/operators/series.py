@@ -107,9 +107,10 @@ def moving_rise(d: int, sign: int):
 
 
 def momentum(d: int, log: bool):
+    """Difference to the value d rows back, or the logarithm of the ratio; a ratio that is none or not positive has null."""
     def build(f: Frame) -> dict[str, Column]:
         past = F.coalesce(f.lag(d), f.first)
-        return {"mom": F.ln(f.v / past) if log else f.v - past}
+        return {"mom": F.ln(F.try_divide(f.v, past)) if log else f.v - past}
     return d, build
 
 

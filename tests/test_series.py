@@ -275,3 +275,10 @@ def test_no_job_runs_while_a_plan_is_built(spark):
     R.moving(df, ["k"], ["t", "e"], "v", *R.moving_average(5))
     assert not status.getJobIdsForGroup("plan")
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_momentum_of_zero_values_is_null(spark):
+    """A ratio to zero has no logarithm, nor has a ratio of zero; the other rows keep theirs."""
+    df = spark.createDataFrame([("a", i, v) for i, v in enumerate([0.0, 2.0, 4.0, 0.0, 1.0])], "k string, t int, v double")
+    got = {r.t: r.mom for r in R.moving(df, ["k"], ["t"], "v", *R.momentum(1, True)).collect()}
+    assert got == {0: None, 1: None, 2: pytest.approx(np.log(2.0)), 3: None, 4: None}
