@@ -1,13 +1,16 @@
 """Resampling between resolutions as weighted scatter.
 
 Every source cell knows which target cells read it and with what weight, border
-clamping included, so a whole level is one explode and one combinable sum.
+clamping included; it travels to the blocks they lie in, and a block is summed at once.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,87 +30,136 @@ def gauss5(a: float = 0.4) -> dict[int, float]:
     return {-2: side, -1: 0.25, 0: a, 1: 0.25, 2: side}
 
 
-def _choose(c: Column, table: dict[int, float]) -> Column:
-    """Value of a small integer table at c, 0 elsewhere; one branch chain."""
-    items = [(k, v) for k, v in table.items() if v]
-    out = F.when(c == items[0][0], float(items[0][1]))
-    for k, v in items[1:]:
-        out = out.when(c == k, float(v))
-    return out.otherwise(0.0)
+EDGE = 16  # target cells along a block that is computed at once
 
 
-def down_taps(c: Column, n_src: int, n_dst: int, w: dict[int, float]) -> Column:
-    """Targets t that read source c at 2t + d, reads beyond the border clamped (|d| <= 2)."""
-    first = F.floor((c - max(w)) / 2).cast("bigint")
+def down_taps(c: np.ndarray, n_src: int, n_dst: int, w: dict[int, float]) -> tuple[np.ndarray, np.ndarray]:
+    """Targets t that read source c at 2t + d, reads beyond the border clamped (|d| <= 2): (sources, taps) of t and weight."""
+    t = ((c - max(w)) // 2)[:, None] + np.arange((max(w) - min(w) + 1) // 2 + 1)
+    c = c[:, None]
+    weight = sum(np.where(c - t * 2 == d, v, 0.0) for d, v in w.items())
     low = sum(v for d, v in w.items() if d < 0)
     last = n_src - 1 - 2 * (n_dst - 1)  # source read by the last target at the border
     high = sum(v for d, v in w.items() if d > last)
-    out = []
-    for k in range((max(w) - min(w) + 1) // 2 + 1):
-        t = first + k
-        weight = _choose(c - t * 2, w)
-        if low:
-            weight = weight + F.when((c == 0) & (t == 0), low).otherwise(0.0)
-        if high:
-            weight = weight + F.when((c == n_src - 1) & (t == n_dst - 1), high).otherwise(0.0)
-        out.append(F.struct(t.alias("t"), F.when((t >= 0) & (t < n_dst), weight).otherwise(0.0).alias("w")))
-    return F.array(*out)
-
-
-def up_taps(c: Column, n_src: int, n_dst: int, w: dict[int, float]) -> Column:
+    weight = weight + np.where((c == 0) & (t == 0), low, 0.0) + np.where((c == n_src - 1) & (t == n_dst - 1), high, 0.0)
+    return t, np.where((t >= 0) & (t < n_dst), weight, 0.0)
+
+
+def up_taps(c: np.ndarray, n_src: int, n_dst: int, w: dict[int, float]) -> tuple[np.ndarray, np.ndarray]:
     """Targets x that read coarse source c at (x + d)/2 for even x + d, clamped (|d| <= 2)."""
-    out = []
-    for k in range(-max(w), -min(w) + 1):
-        x = c * 2 + k
-        low = 2.0 * sum(v for d, v in w.items() if (k + d) % 2 == 0 and k + d < 0)
-        high = 2.0 * sum(v for d, v in w.items() if (k + d) % 2 == 0 and k + d > 0)
-        weight = F.lit(2.0 * w.get(-k, 0.0))
-        if low:
-            weight = weight + F.when(c == 0, low).otherwise(0.0)
-        if high:
-            weight = weight + F.when(c == n_src - 1, high).otherwise(0.0)
-        out.append(F.struct(x.alias("t"), F.when((x >= 0) & (x < n_dst), weight).otherwise(0.0).alias("w")))
-    return F.array(*out)
-
-
-def scatter(cells: DataFrame, taps: dict[str, Column], values: list[str]) -> DataFrame:
-    """Weighted copies of each cell at its targets (not yet summed)."""
-    df = cells.select(*XYZ, *values)
-    for a in XYZ:
-        df = df.withColumn(f"__{a}", F.explode(taps[a])).where(F.col(f"__{a}.w") != 0)
-    w = F.col("__x.w") * F.col("__y.w") * F.col("__z.w")
-    return df.select(*[F.col(f"__{a}.t").alias(a) for a in XYZ], *[(F.col(v) * w).alias(v) for v in values])
+    k = np.arange(-max(w), -min(w) + 1)
+    x = c[:, None] * 2 + k
+    beyond = lambda side: np.array([2.0 * sum(v for d, v in w.items() if (j + d) % 2 == 0 and (j + d) * side > 0) for j in k])
+    weight = np.array([2.0 * w.get(-int(j), 0.0) for j in k]) + np.where(c[:, None] == 0, beyond(-1), 0.0) + np.where(c[:, None] == n_src - 1, beyond(1), 0.0)
+    return x, np.where((x >= 0) & (x < n_dst), weight, 0.0)
+
+
+def _same(c: np.ndarray, *_) -> tuple[np.ndarray, np.ndarray]:
+    return c[:, None], np.ones((len(c), 1))
+
+
+def _reach(kind: str, c: Column, w: dict[int, float]) -> tuple[Column, Column]:
+    """First and last target that a source may touch."""
+    if kind == "same":
+        return c, c
+    if kind == "up":
+        return c * 2 - max(w), c * 2 - min(w)
+    first = F.floor((c - max(w)) / 2)
+    return first, first + (max(w) - min(w) + 1) // 2
+
 
+@dataclass(frozen=True)
+class Part:
+    """Cells that are summed into a level: ``kind`` is down, up or same; ``w`` holds the weights along each axis."""
 
-def _sum(df: DataFrame, values: list[str]) -> DataFrame:
-    return df.groupBy(*XYZ).agg(*[F.sum(v).alias(v) for v in values])
+    cells: DataFrame
+    kind: str
+    values: list[str]
+    w: dict[str, dict[int, float]]
+    src: tuple[int, int, int] = (0, 0, 0)
+    dst: tuple[int, int, int] = (0, 0, 0)
+    sign: float = 1.0
+
+
+def _sum(parts: list[Part], values: list[str]) -> DataFrame:
+    """Weighted sum of all parts at their targets.
+
+    A cell travels to the blocks of ``EDGE`` targets that it touches, mostly one, and a block is summed at once:
+    copies of a cell for its single targets never leave the task.  Null adds nothing; a sum of nulls is null,
+    and so a part without a value adds 0 to it.  Only parts of kind same keep cells without a whole position.
+    """
+    sent = []
+    for i, p in enumerate(parts):
+        df = p.cells.select(*[F.col(a).cast("bigint").alias(a) for a in XYZ], *[
+            (F.col(v).cast("double") if v in p.values else F.lit(0.0)).alias(v) for v in values], F.lit(i).alias("part"))
+        for a, n in zip(XYZ, p.dst):
+            lo, hi = _reach(p.kind, F.col(a), p.w.get(a, {}))
+            if p.kind == "same":
+                df = df.withColumn(f"__{a}", F.floor(lo / EDGE).cast("bigint"))
+            else:
+                lo, hi = F.greatest(lo, F.lit(0)), F.least(hi, F.lit(n - 1))
+                blocks = F.sequence(F.floor(lo / EDGE).cast("bigint"), F.floor(hi / EDGE).cast("bigint"))
+                df = df.withColumn(f"__{a}", F.explode(F.when(lo <= hi, blocks)))
+        sent.append(df)
+    plans = [(p.kind, p.w, p.src, p.dst, p.sign) for p in parts]
+    taps = {"down": down_taps, "up": up_taps, "same": _same}
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        block = [k.as_py() for k in key]
+        if None in block:
+            lost = rows.group_by(list(XYZ)).aggregate([(v, "sum") for v in values])
+            return lost.select([*XYZ, *[f"{v}_sum" for v in values]]).rename_columns([*XYZ, *values])
+        n = EDGE**3
+        hits, known, total = np.zeros(n), {v: np.zeros(n) for v in values}, {v: np.zeros(n) for v in values}
+        of = rows["part"].to_numpy()
+        for i, (kind, w, src, dst, sign) in enumerate(plans):
+            mine = np.flatnonzero(of == i)
+            for at in range(0, len(mine), 4096):
+                some = rows.take(pa.array(mine[at:at + 4096]))
+                (tx, wx), (ty, wy), (tz, wz) = (taps[kind](some[a].to_numpy(), n0, n1, w.get(a)) for a, n0, n1 in zip(XYZ, src, dst))
+                tx, ty, tz = (t - b * EDGE for t, b in zip((tx, ty, tz), block))
+                wx, wy, wz = (np.where((t >= 0) & (t < EDGE), f, 0.0) for t, f in zip((tx, ty, tz), (wx, wy, wz)))
+                weight = wx[:, None, None, :] * wy[:, None, :, None] * wz[:, :, None, None]
+                row, k, j, h = np.nonzero(weight)
+                weight = weight[row, k, j, h] * sign
+                cell = (tz[row, k] * EDGE + ty[row, j]) * EDGE + tx[row, h]
+                hits += np.bincount(cell, minlength=n)
+                for v in values:
+                    c = some[v].combine_chunks()
+                    there = c.is_valid().to_numpy(zero_copy_only=False)[row]
+                    known[v] += np.bincount(cell[there], minlength=n)
+                    total[v] += np.bincount(cell[there], (c.to_numpy(zero_copy_only=False)[row] * weight)[there], n)
+        cell = np.flatnonzero(hits)
+        xyz = [b * EDGE + c for b, c in zip(block, (cell % EDGE, cell // EDGE % EDGE, cell // EDGE**2))]
+        return pa.table([*xyz, *[pa.array(total[v][cell], mask=known[v][cell] == 0) for v in values]], names=[*XYZ, *values])
+
+    schema = ", ".join([*[f"{a} bigint" for a in XYZ], *[f"{v} double" for v in values]])
+    return reduce(DataFrame.unionByName, sent).groupBy(*[f"__{a}" for a in XYZ]).applyInArrow(run, schema)
 
 
 def downsample(cells: DataFrame, dims: tuple[int, int, int], values: list[str], w: dict[int, float] | dict[str, dict[int, float]]) -> DataFrame:
     """One level coarser. Cells not stored read 0."""
     per_axis = w if "x" in w else dict.fromkeys(XYZ, w)
-    taps = {a: down_taps(F.col(a), n, (n + 1) // 2, per_axis[a]) for a, n in zip(XYZ, dims)}
-    return _sum(scatter(cells, taps, values), values)
+    return _sum([Part(cells, "down", values, per_axis, dims, tuple((n + 1) // 2 for n in dims))], values)
 
 
 def upsample(cells: DataFrame, coarse: tuple[int, int, int], fine: tuple[int, int, int], values: list[str], w: dict[int, float]) -> DataFrame:
-    taps = {a: up_taps(F.col(a), m, n, w) for a, m, n in zip(XYZ, coarse, fine)}
-    return _sum(scatter(cells, taps, values), values)
+    return _sum([Part(cells, "up", values, dict.fromkeys(XYZ, w), coarse, fine)], values)
+
+
+def _with_upsampled(fine: DataFrame, coarse: DataFrame, dims: tuple[int, int, int], value: str, w: dict[int, float], sign: float) -> DataFrame:
+    half = tuple((n + 1) // 2 for n in dims)
+    return _sum([Part(fine, "same", [value], {}), Part(coarse, "up", [value], dict.fromkeys(XYZ, w), half, dims, sign)], [value])
 
 
 def laplacian(fine: DataFrame, coarse: DataFrame, dims: tuple[int, int, int], value: str, w: dict[int, float]) -> DataFrame:
     """Fine level minus the upsampled coarse one: one sum over both."""
-    half = tuple((n + 1) // 2 for n in dims)
-    taps = {a: up_taps(F.col(a), m, n, w) for a, m, n in zip(XYZ, half, dims)}
-    minus = scatter(coarse, taps, [value]).withColumn(value, -F.col(value))
-    return _sum(fine.select(*XYZ, value).unionByName(minus), [value])
+    return _with_upsampled(fine, coarse, dims, value, w, -1.0)
 
 
 def reconstruct(lap: DataFrame, coarse: DataFrame, dims: tuple[int, int, int], value: str, w: dict[int, float]) -> DataFrame:
     """Inverse of ``laplacian``."""
-    half = tuple((n + 1) // 2 for n in dims)
-    taps = {a: up_taps(F.col(a), m, n, w) for a, m, n in zip(XYZ, half, dims)}
-    return _sum(lap.select(*XYZ, value).unionByName(scatter(coarse, taps, [value])), [value])
+    return _with_upsampled(lap, coarse, dims, value, w, 1.0)
 
 
 def build(cells: DataFrame, dims: tuple[int, int, int], value: str, w: dict[int, float], levels: int) -> list[DataFrame]:
@@ -140,13 +192,9 @@ def downsample_faces(cells: DataFrame, values: list[str]) -> DataFrame:
 
 def downsample_staggered(cells: DataFrame, dims, values: list[str]) -> DataFrame:
     """Staggered components with a four-wide kernel: component k is centred on its own faces."""
-    parts = []
-    for own, v in zip(XYZ, values):
-        w = {a: (STAGGERED4 if a == own else SMOOTH4) for a in XYZ}
-        taps = {a: down_taps(F.col(a), n, (n + 1) // 2, w[a]) for a, n in zip(XYZ, dims)}
-        one = scatter(cells, taps, [v])
-        parts.append(one.select(*XYZ, *[(F.col(v) if u == v else F.lit(0.0)).alias(u) for u in values]))
-    return _sum(reduce(DataFrame.unionByName, parts), values)
+    half = tuple((n + 1) // 2 for n in dims)
+    parts = [Part(cells, "down", [v], {a: (STAGGERED4 if a == own else SMOOTH4) for a in XYZ}, dims, half) for own, v in zip(XYZ, values)]
+    return _sum(parts, values)
 
 
 # --- levels that coexist ---------------------------------------------------------

@@ -345,3 +345,25 @@ def test_channels_travel_together(cells, probes):
             one = tidy(I.sample(pts, H.pack(some, G, c, empty=e, dtype="float64"), G, kind, dtype="float64", empty=e))
             for n in names:
                 np.testing.assert_allclose(got[c if n == "value" else f"{c}_{n}"], one[n], atol=1e-12)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_levels_are_summed_by_block(spark, cells):
+    """No copy of a cell for a single target is shuffled; null values and positions keep their rows."""
+    low = Y.downsample(cells, G.dims, ["v"], Y.gauss5())
+    back = Y.reconstruct(Y.laplacian(cells, low, G.dims, "v", Y.gauss5()), low, G.dims, "v", Y.gauss5())
+    assert "HashAggregate" not in plan_of(low)
+    assert back.join(cells.withColumnRenamed("v", "u"), ["x", "y", "z"]).where(F.abs(F.col("u") - F.col("v")) < 1e-9).count() == 1024
+    odd = spark.createDataFrame([(0, 0, 0, None), (None, 1, 0, 3.0), (14, 7, 7, 2.0)], "x bigint, y bigint, z bigint, v double")
+    coarse = {(r.x, r.y, r.z): r.v for r in Y.downsample(odd, G.dims, ["v"], Y.MEAN2).collect()}
+    assert coarse == {(0, 0, 0): None, (7, 3, 3): 0.25}
+    fine = {(r.x, r.y, r.z): r.v for r in Y.laplacian(odd, Y.downsample(odd, G.dims, ["v"], Y.MEAN2), G.dims, "v", Y.MEAN2).collect()}
+    assert fine[(None, 1, 0)] == 3.0 and fine[(0, 0, 0)] is None and fine[(14, 7, 7)] == pytest.approx(1.75)
+
+
+def test_points_are_brought_together_before_they_fan_out(spark):
+    df = spark.createDataFrame([(float(i % 16), 1.5, 2.5) for i in range(64)], "px double, py double, pz double")
+    assert "rangepartitioning" in plan_of(P.splat_min_distance(df, G, 1.0, 1.0))
