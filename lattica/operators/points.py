@@ -44,11 +44,20 @@ def scatter(hits: DataFrame, value: Column, how: str, name: str) -> DataFrame:
     return hits.groupBy("x", "y", "z").agg(fn(value).alias(name))
 
 
+def gathered(points: DataFrame, edge: int = 32) -> DataFrame:
+    """Near points in the same task, so that what they scatter combines before it is shuffled.
+
+    Cubes of ``edge`` cells lie in order and a crowded one is cut by the points' own positions.
+    """
+    at = ("px", "py", "pz")
+    return points.repartitionByRange(*[F.floor(F.col(p) / edge) for p in reversed(at)], *at)
+
+
 def splat_min_distance(points: DataFrame, grid: Grid, r_particle: float, band: float) -> DataFrame:
     """Least squared distance to any point, relative to the cut-off, as 16 bit."""
     d_max = r_particle + band
     # equal points give equal distances: collapse them before they fan out
-    distinct = points.select("px", "py", "pz").distinct()
+    distinct = gathered(points.select("px", "py", "pz").distinct())
     near = scatter(voxel_hits(distinct, grid, d_max), F.col("d2"), "min", "d2")
     return near.select("x", "y", "z", codec.encode_unit(F.col("d2") * (1.0 / (d_max * d_max))).alias("q"))
 
