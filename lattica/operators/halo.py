@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lattica.functions import keys as K
 from lattica.schema import Grid
@@ -228,24 +229,41 @@ def shifted(a: np.ndarray, h: int, dx: int, dy: int, dz: int) -> np.ndarray:
 
 # --- the same neighbourhood in long form, for sparse cells ---------------------
 
-def neighbour_values(cells: DataFrame, offsets: list[tuple[int, int, int]], *values: str, keep: tuple[str, ...] = ()) -> DataFrame:
+def neighbour_values(cells: DataFrame, offsets: list[tuple[int, int, int]], *values: str, keep: tuple[str, ...] = (), edge: int = 32) -> DataFrame:
     """For every cell, the stored values at the given offsets and how many there are.
 
-    Each cell sends its values to the cells that look at it; one combinable
-    aggregation replaces a join per offset.  Columns ``<value>_0, <value>_1, ...`` are
-    null where nothing is stored.  ``keep`` names columns of the cell itself to carry along.
+    Each cell goes to its cube of ``edge`` cells and, near a face, to the cubes that look at it; a cube is looked
+    through at once.  Columns ``<value>_0, <value>_1, ...`` are null where nothing is stored.  ``keep`` names
+    columns of the cell itself to carry along.  A missing coordinate stays missing under every offset.
     """
-    looks = F.array(*[F.struct(F.lit(i).alias("s"), *[F.lit(-d).alias(c) for d, c in zip(o, ("dx", "dy", "dz"))]) for i, o in enumerate(offsets)])
-    itself = F.struct(F.lit(-1).alias("s"), F.lit(0).alias("dx"), F.lit(0).alias("dy"), F.lit(0).alias("dz"))
-    sent = cells.select("x", "y", "z", *values, *keep, F.explode(F.concat(F.array(itself), looks)).alias("o")).select(
-        *[(F.col(c) + F.col(f"o.d{c}")).alias(c) for c in "xyz"], F.col("o.s").alias("s"), *values,
-        *[F.when(F.col("o.s") == -1, F.col(k)).alias(k) for k in keep])
-    pick = lambda v, i: F.max(F.when(F.col("s") == i, F.col(v)))
-    out = sent.groupBy("x", "y", "z").agg(
-        F.bool_or(F.col("s") == -1).alias("own"), F.count_if(F.col("s") >= 0).alias("active"), *[pick(v, -1).alias(v) for v in values],
-        *[F.max(k).alias(k) for k in keep],
-        *[pick(v, i).alias(f"{v}_{i}") for v in values for i in range(len(offsets))])
-    return out.where("own").drop("own")
+    names, axes = [*values, *keep], ("x", "y", "z")
+    merged = cells.groupBy(*[K.big(a).alias(a) for a in axes]).agg(*[F.max(n).alias(n) for n in names], F.count("*").alias("__n"))
+    looks = F.array(*[F.struct(*[F.floor((F.col(a) - d) / edge).cast("bigint").alias(f"b{a}") for a, d in zip(axes, o)]) for o in [(0, 0, 0), *offsets]])
+    sent = merged.withColumn("__to", F.explode(F.array_distinct(looks))).select("*", *[F.col(f"__to.b{a}").alias(f"__b{a}") for a in axes]).drop("__to")
+    far = max(abs(t) for o in offsets for t in o)
+    side = edge + 2 * far
+    fields = {f.name: f.dataType for f in merged.schema}
+    schema = T.StructType([*[T.StructField(a, T.LongType()) for a in axes], T.StructField("active", T.LongType()), *[T.StructField(n, fields[n]) for n in names],
+                           *[T.StructField(f"{v}_{i}", fields[v]) for v in values for i in range(len(offsets))]])
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        base = [k.as_py() for k in key]
+        rows = rows.combine_chunks()
+        at = [np.zeros(rows.num_rows, np.int64) if b is None else rows[a].to_numpy() - b * edge for a, b in zip(axes, base)]
+        own = np.flatnonzero(np.all([(c >= 0) & (c < edge) for c in at], axis=0))
+        place = lambda c: ((c[2] + far) * side + c[1] + far) * side + c[0] + far
+        index = np.full(side**3, -1, np.int64)
+        index[place(at)] = np.arange(rows.num_rows)
+        found = [index[place([c[own] + (0 if b is None else d) for c, b, d in zip(at, base, o)])] for o in offsets]
+        times = rows["__n"].to_numpy()
+        active = sum(np.where(f >= 0, times[f], 0) for f in found)
+        there = [pa.array(f, mask=f < 0) for f in found]
+        self = rows.take(pa.array(own))
+        return pa.table([*[self[a] for a in axes], pa.array(active, pa.int64()), *[self[n] for n in names], *[rows[v].take(f) for v in values for f in there]],
+                        names=[f.name for f in schema])
+
+    return sent.groupBy(*[f"__b{a}" for a in axes]).applyInArrow(run, schema).select(*axes, "active", *names, *[
+        f"{v}_{i}" for v in values for i in range(len(offsets))])
 
 
 def wrap_coordinate(c, size: int) -> Column:

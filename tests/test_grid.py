@@ -367,3 +367,14 @@ def test_levels_are_summed_by_block(spark, cells):
 def test_points_are_brought_together_before_they_fan_out(spark):
     df = spark.createDataFrame([(float(i % 16), 1.5, 2.5) for i in range(64)], "px double, py double, pz double")
     assert "rangepartitioning" in plan_of(P.splat_min_distance(df, G, 1.0, 1.0))
+
+
+def test_neighbours_are_looked_up_by_cube(spark):
+    """Across cube faces, negative coordinates, copies of a cell, null values and a missing coordinate; nothing is grouped by target cell."""
+    df = spark.createDataFrame([(None, 1, 2, 1.0), (None, 2, 2, None), (31, 0, 0, 2.0), (32, 0, 0, 3.0), (-1, 0, 0, 7.0), (0, 0, 0, 4.0), (0, 0, 0, 5.0)],
+                               "x bigint, y bigint, z bigint, v double")
+    df = H.neighbour_values(df, [(-1, 0, 0), (1, 0, 0), (0, 1, 0)], "v")
+    got = {(r.x, r.y, r.z): (r.v, r.active, r.v_0, r.v_1, r.v_2) for r in df.collect()}
+    assert got == {(None, 1, 2): (1.0, 3, 1.0, 1.0, None), (None, 2, 2): (None, 2, None, None, None), (31, 0, 0): (2.0, 1, None, 3.0, None),
+                   (32, 0, 0): (3.0, 1, 2.0, None, None), (-1, 0, 0): (7.0, 2, None, 5.0, None), (0, 0, 0): (5.0, 1, 7.0, None, None)}
+    assert "FlatMapGroupsInArrow" in plan_of(df)
