@@ -99,7 +99,7 @@ def _sum(parts: list[Part], values: list[str]) -> DataFrame:
             else:
                 lo, hi = F.greatest(lo, F.lit(0)), F.least(hi, F.lit(n - 1))
                 blocks = F.sequence(F.floor(lo / EDGE).cast("bigint"), F.floor(hi / EDGE).cast("bigint"))
-                df = df.withColumn(f"__{a}", F.explode(F.when(lo <= hi, blocks)))
+                df = df.where(F.col(a).isNotNull()).withColumn(f"__{a}", F.explode(F.when(lo <= hi, blocks)))
         sent.append(df)
     plans = [(p.kind, p.w, p.src, p.dst, p.sign) for p in parts]
     taps = {"down": down_taps, "up": up_taps, "same": _same}
