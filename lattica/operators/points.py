@@ -56,8 +56,8 @@ def gathered(points: DataFrame, edge: int = 32) -> DataFrame:
 def splat_min_distance(points: DataFrame, grid: Grid, r_particle: float, band: float) -> DataFrame:
     """Least squared distance to any point, relative to the cut-off, as 16 bit."""
     d_max = r_particle + band
-    # equal points give equal distances: collapse them before they fan out
-    distinct = gathered(points.select("px", "py", "pz").distinct())
+    # a point without a whole position is near nothing; equal points give equal distances: collapse them before they fan out
+    distinct = gathered(points.select("px", "py", "pz").dropna().distinct())
     near = scatter(voxel_hits(distinct, grid, d_max), F.col("d2"), "min", "d2")
     return near.select("x", "y", "z", codec.encode_unit(F.col("d2") * (1.0 / (d_max * d_max))).alias("q"))
 
