@@ -21,6 +21,7 @@ from lattica.schema import Grid
 
 SELF = 13  # the block itself among its 27 neighbours
 STACK = 256  # blocks per kernel call
+RUN = 64  # consecutive block ids that meet in one group
 PACKED = "bid bigint, data binary"
 
 
@@ -43,6 +44,21 @@ def stack_column(col: pa.Array, shape: tuple[int, ...], dtype) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), dtype).reshape(len(col), *shape)
 
 
+def stacks(fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], rows: int = STACK):
+    """A batch function that hands ``fn`` a few rows at a time and holds no batch while it waits for the next."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, rows):
+                yield from fn(whole.slice(at, rows))
+            del whole
+    return run
+
+
+def in_runs(df: DataFrame):
+    """Group rows by short runs of blocks: a group, not a batch of thousands of blocks, is what a worker holds."""
+    return df.groupBy(F.floor(F.col("bid") / RUN).cast("bigint").alias("__run"))
+
+
 def block_xyz(bid: np.ndarray, grid: Grid) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return bid % grid.nbx, bid // grid.nbx % grid.nby, bid // (grid.nbx * grid.nby)
 
@@ -71,93 +87,86 @@ def pack(cells: DataFrame, grid: Grid, value: str | list[str], empty: float | li
     keyed = cells.select(
         K.cell_block_id("x", "y", "z", grid).alias("bid"), K.voxel_id("x", "y", "z", n).cast("int").alias("vid"),
         *[F.col(v).cast("double").alias(f"v{i}") for i, v in enumerate(values)])
-    lists = keyed.groupBy("bid").agg(F.collect_list(F.struct("vid", *[f"v{i}" for i in range(len(values))])).alias("cv"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, STACK):
-                b = whole.slice(at, STACK)
-                cv = b.column(1)
-                counts = np.diff(cv.offsets.to_numpy())
-                flat = cv.flatten()
-                out = np.empty((b.num_rows, n**3, len(fill)), dtype)
-                out[:] = fill
-                rows, vid = np.repeat(np.arange(b.num_rows), counts), flat.field(0).to_numpy()
-                for i in range(len(fill)):
-                    out[rows, vid, i] = flat.field(i + 1).to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([b.column(0), bytes_column(out)], names=["bid", "data"])
+    def run(rows: pa.Table) -> pa.Table:
+        bid, at = np.unique(rows["bid"].to_numpy(), return_inverse=True)
+        out = np.empty((len(bid), n**3, len(fill)), dtype)
+        out[:] = fill
+        vid = rows["vid"].to_numpy()
+        for i in range(len(fill)):
+            out[at, vid, i] = rows[f"v{i}"].to_numpy()
+        return pa.table([pa.array(bid), bytes_column(out)], names=["bid", "data"])
 
-    return lists.mapInArrow(run, PACKED)
+    return in_runs(keyed).applyInArrow(run, PACKED)
 
 
 def unpack(packed: DataFrame, grid: Grid, value: str, dtype: str = "float32", drop: float | None = None) -> DataFrame:
     """Packed blocks back to cells; cells equal to ``drop`` are left out."""
     n = grid.bsx
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vid = np.arange(n**3)
-        off = (vid % n, vid // n % n, vid // (n * n))
-        for whole in batches:
-            for at in range(0, whole.num_rows, STACK):
-                b = whole.slice(at, STACK)
-                data = stack_column(b.column(1), (n**3,), dtype)
-                base = block_xyz(b.column(0).to_numpy(), grid)
-                xyz = [(c[:, None] * n + o[None, :]).ravel() for c, o in zip(base, off)]
-                v = data.ravel().astype(np.float64)
-                keep = slice(None) if drop is None else v != drop
-                yield pa.RecordBatch.from_arrays([*[pa.array(c[keep].astype(np.int64)) for c in xyz], pa.array(v[keep])],
-                                                 names=["x", "y", "z", value])
+    vid = np.arange(n**3)
+    off = (vid % n, vid // n % n, vid // (n * n))
 
-    return packed.mapInArrow(run, f"x bigint, y bigint, z bigint, {value} double")
+    def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        data = stack_column(b.column(1), (n**3,), dtype)
+        base = block_xyz(b.column(0).to_numpy(), grid)
+        xyz = [(c[:, None] * n + o[None, :]).ravel() for c, o in zip(base, off)]
+        v = data.ravel().astype(np.float64)
+        keep = slice(None) if drop is None else v != drop
+        yield pa.RecordBatch.from_arrays([*[pa.array(c[keep].astype(np.int64)) for c in xyz], pa.array(v[keep])], names=["x", "y", "z", value])
 
+    return packed.mapInArrow(stacks(run), f"x bigint, y bigint, z bigint, {value} double")
 
-# --- exchange ---------------------------------------------------------------
 
-def exchange(packed: DataFrame, grid: Grid, h: int, dtype: str, *, periodic: tuple[bool, bool, bool] = (False,) * 3,
-             to_color: int | None = None, existing_only: bool = True) -> DataFrame:
-    """Rows (bid, parts): the pieces each block needs for a halo of width h.
+# --- exchange ---------------------------------------------------------------
 
-    Blocks that store nothing themselves appear only without ``existing_only``.
-    """
+def slabs(packed: DataFrame, grid: Grid, h: int, dtype: str, *, periodic: tuple[bool, bool, bool] = (False,) * 3,
+          to_color: int | None = None) -> DataFrame:
+    """Rows (bid, code, slab): the at most 27 pieces each receiver needs for a halo of width h."""
     n = grid.bsx
     if h > n:
         raise ValueError("halo wider than a block")
+    cut = {0: slice(None), 1: slice(n - h, n), -1: slice(0, h)}
+
+    def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        bid = b.column(0).to_numpy()
+        data = stack_column(b.column(1), (n, n, n), dtype)
+        pos = block_xyz(bid, grid)
+        for code in range(27):
+            # the receiver sees this block at offset o, so it sits at -o
+            o = offset_of(code)
+            recv, ok = [], np.ones(len(bid), bool)
+            for p, d, size, wrap in zip(pos, o, grid.block_dims, periodic):
+                r = p - d
+                if wrap:
+                    r = r % size
+                ok &= (r >= 0) & (r < size)
+                recv.append(r)
+            if to_color is not None:
+                ok &= (recv[0] & 1) + (recv[1] & 1) * 2 + (recv[2] & 1) * 4 == to_color
+            if not ok.any():
+                continue
+            rb = (recv[0] + grid.nbx * (recv[1] + grid.nby * recv[2]))[ok]
+            slab = data[ok][:, cut[-o[2]], cut[-o[1]], cut[-o[0]]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(rb.astype(np.int64)), pa.array(np.full(len(rb), code, np.int32)), bytes_column(slab)],
+                names=["bid", "code", "slab"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = {0: slice(None), 1: slice(n - h, n), -1: slice(0, h)}
-        for whole in batches:
-            for at in range(0, whole.num_rows, STACK):
-                b = whole.slice(at, STACK)
-                bid = b.column(0).to_numpy()
-                data = stack_column(b.column(1), (n, n, n), dtype)
-                pos = block_xyz(bid, grid)
-                for code in range(27):
-                    # the receiver sees this block at offset o, so it sits at -o
-                    o = offset_of(code)
-                    recv, ok = [], np.ones(len(bid), bool)
-                    for p, d, size, wrap in zip(pos, o, grid.block_dims, periodic):
-                        r = p - d
-                        if wrap:
-                            r = r % size
-                        ok &= (r >= 0) & (r < size)
-                        recv.append(r)
-                    if to_color is not None:
-                        ok &= (recv[0] & 1) + (recv[1] & 1) * 2 + (recv[2] & 1) * 4 == to_color
-                    if not ok.any():
-                        continue
-                    rb = (recv[0] + grid.nbx * (recv[1] + grid.nby * recv[2]))[ok]
-                    slab = data[ok][:, cut[-o[2]], cut[-o[1]], cut[-o[0]]]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(rb.astype(np.int64)), pa.array(np.full(len(rb), code, np.int32)), bytes_column(slab)],
-                        names=["bid", "code", "slab"])
-
-    sent = packed.mapInArrow(run, "bid bigint, code int, slab binary")
-    # at most 27 pieces per receiver
-    got = sent.groupBy("bid").agg(F.collect_list(F.struct("code", "slab")).alias("parts"), F.bool_or(F.col("code") == SELF).alias("own"))
-    return (got.where("own") if existing_only else got).select("bid", "parts")
-
-
-def assemble(bid: np.ndarray, parts: list, grid: Grid, h: int, dtype: str, outside: str, empty,
+    return packed.mapInArrow(stacks(run), "bid bigint, code int, slab binary")
+
+
+def receivers(rows: pa.Table, existing_only: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """The blocks that a group of slabs belongs to, and for each slab its block's place, code and bytes.
+
+    Blocks that store nothing themselves appear only without ``existing_only``.
+    """
+    bid, code = rows["bid"].to_numpy(), rows["code"].to_numpy()
+    own = np.unique(bid[code == SELF] if existing_only else bid)
+    mine = np.flatnonzero(np.isin(bid, own))
+    return own, np.searchsorted(own, bid[mine]), code[mine], rows["slab"].take(pa.array(mine)).to_pylist()
+
+
+def assemble(bid: np.ndarray, at: np.ndarray, code: np.ndarray, slab: list[bytes], grid: Grid, h: int, dtype: str, outside: str, empty,
              periodic=(False,) * 3) -> np.ndarray:
     """Stack of halo blocks.
 
@@ -169,27 +178,21 @@ def assemble(bid: np.ndarray, parts: list, grid: Grid, h: int, dtype: str, outsi
     out = np.full((len(bid), m, m, m), empty, dtype)
     place = {0: slice(h, h + n), 1: slice(h + n, m), -1: slice(0, h)}
     span = {0: n, 1: h, -1: h}
-    pieces: dict[int, tuple[list[int], list[bytes]]] = {}
-    for row, ps in enumerate(parts):
-        for p in ps:
-            rows, blobs = pieces.setdefault(p["code"], ([], []))
-            rows.append(row)
-            blobs.append(p["slab"])
-
-    def put(code: int) -> None:
-        o = offset_of(code)
-        rows, blobs = pieces[code]
+    pieces = {int(c): np.flatnonzero(code == c) for c in np.unique(code)}
+
+    def put(c: int) -> None:
+        o, some = offset_of(c), pieces[c]
         shape = tuple(span[d] for d in reversed(o))
-        out[np.array(rows), place[o[2]], place[o[1]], place[o[0]]] = np.frombuffer(b"".join(blobs), dtype).reshape(len(rows), *shape)
+        out[at[some], place[o[2]], place[o[1]], place[o[0]]] = np.frombuffer(b"".join(slab[i] for i in some), dtype).reshape(len(some), *shape)
 
     if SELF in pieces:
         put(SELF)
     if outside == "own" and h:
         core = out[:, h:h + n, h:h + n, h:h + n]
         out = np.pad(core, ((0, 0), (h, h), (h, h), (h, h)), mode="edge")
-    for code in pieces:
-        if code != SELF and h:
-            put(code)
+    for c in pieces:
+        if c != SELF and h:
+            put(c)
     if outside == "clamp" and h:
         for axis, (p, size, wrap) in enumerate(zip(block_xyz(bid, grid), grid.block_dims, periodic)):
             if wrap:
@@ -207,18 +210,14 @@ Kernel = Callable[[np.ndarray, np.ndarray], np.ndarray]
 def stencil(packed: DataFrame, grid: Grid, h: int, kernel: Kernel, *, dtype: str = "float32", outside: str = "own",
             empty: float = 0.0, periodic=(False,) * 3, to_color: int | None = None) -> DataFrame:
     """Apply ``kernel(halo_stack, bid) -> block_stack`` to every existing block."""
-    got = exchange(packed, grid, h, dtype, periodic=periodic, to_color=to_color)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, STACK):
-                b = whole.slice(at, STACK)
-                bid = b.column(0).to_numpy()
-                halo = assemble(bid, b.column(1).to_pylist(), grid, h, dtype, outside, empty, periodic)
-                out = kernel(halo, bid).astype(dtype)
-                yield pa.RecordBatch.from_arrays([b.column(0), bytes_column(out)], names=["bid", "data"])
-
-    return got.mapInArrow(run, PACKED)
+    def run(rows: pa.Table) -> pa.Table:
+        bid, *pieces = receivers(rows)
+        if not len(bid):
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.binary())], names=["bid", "data"])
+        out = kernel(assemble(bid, *pieces, grid, h, dtype, outside, empty, periodic), bid).astype(dtype)
+        return pa.table([pa.array(bid), bytes_column(out)], names=["bid", "data"])
+
+    return in_runs(slabs(packed, grid, h, dtype, periodic=periodic, to_color=to_color)).applyInArrow(run, PACKED)
 
 
 def shifted(a: np.ndarray, h: int, dx: int, dy: int, dz: int) -> np.ndarray:

@@ -22,7 +22,7 @@ from lattica.schema import Grid
 
 SHARE = 16_384  # about the most points of one row
 TALL = 32  # blocks of a call
-STEP = 1 << 16  # values that are sampled at once
+STEP = 1 << 14  # values that are sampled at once
 SALTS = 64
 
 
@@ -182,17 +182,12 @@ def sampler(kind: str, grid: Grid, *, corner: bool = False, fade_weights: bool =
 def halo_blocks(packed: DataFrame, grid: Grid, h: int, dtype: str, outside: str, empty, periodic=(False,) * 3) -> DataFrame:
     """Rows (bid, halo): blocks with their border cells, including blocks that only have
     neighbours."""
-    got = H.exchange(packed, grid, h, dtype, periodic=periodic, existing_only=False)
+    def run(rows: pa.Table) -> pa.Table:
+        bid, *pieces = H.receivers(rows, existing_only=False)
+        out = H.assemble(bid, *pieces, grid, h, dtype, outside, empty, periodic)
+        return pa.table([pa.array(bid), H.bytes_column(out)], names=["bid", "halo"])
 
-    def run(batches):
-        for whole in batches:
-            for at in range(0, whole.num_rows, H.STACK):
-                b = whole.slice(at, H.STACK)
-                bid = b.column(0).to_numpy()
-                out = H.assemble(bid, b.column(1).to_pylist(), grid, h, dtype, outside, empty, periodic)
-                yield pa.RecordBatch.from_arrays([b.column(0), H.bytes_column(out)], names=["bid", "halo"])
-
-    return got.mapInArrow(run, "bid bigint, halo binary")
+    return H.in_runs(H.slabs(packed, grid, h, dtype, periodic=periodic)).applyInArrow(run, "bid bigint, halo binary")
 
 
 def split_crowded(points: DataFrame, share: int) -> tuple[DataFrame, DataFrame]:
@@ -244,26 +239,23 @@ def sample(points: DataFrame, packed: DataFrame, grid: Grid, kind: str, *, dtype
     edge, m, dims = grid.bsx, grid.bsx + 2 * h, grid.dims
     no_halo = np.full((m, m, m), fill).tobytes()
 
-    def run(batches):
-        for whole in batches:
-            for first in range(0, whole.num_rows, TALL):
-                b = whole.slice(first, TALL)
-                raw = b"".join(no_halo if x is None else x for x in b.column(2).to_pylist())
-                # blocks and their channels one above the other: cell z of channel c of block i is z + (i k + c) m
-                tall = np.moveaxis(np.frombuffer(raw, dtype).reshape(b.num_rows, m, m, m, k), 4, 1).reshape(-1, m, m).astype(np.float64)
-                base = [c * edge for c in H.block_xyz(b.column(0).to_numpy(), grid)]
-                of = np.repeat(np.arange(b.num_rows), b.column(1).value_lengths().to_numpy())
-                rows = b.column(1).flatten()
-                for lo in range(0, len(of), max(1, STEP // k)):
-                    some, block = rows.slice(lo, max(1, STEP // k)), of[lo:lo + max(1, STEP // k)]
-                    pos = [some.field(a).to_numpy(zero_copy_only=False).astype(np.float64) for a in at]
-                    lost = ~np.isfinite(pos[0] + pos[1] + pos[2])
-                    pos = [np.clip(np.where(lost, s0[block] + 0.5, p), 0.0, s) for p, s0, s in zip(pos, base, dims)]
-                    start = [s0[block] for s0 in base]
-                    floor = np.concatenate([start[2] - (block * k + c) * m for c in range(k)])
-                    got = fn(tall, [np.tile(p, k) for p in pos], [np.tile(start[0], k), np.tile(start[1], k), floor], h)
-                    values = [got[n].reshape(k, -1)[c] for c in range(k) for n in names]
-                    yield pa.RecordBatch.from_arrays([*[some.field(f.name) for f in fields], *[pa.array(v, mask=lost) for v in values]],
-                                                     names=[*[f.name for f in fields], *out_names])
-
-    return restore_copies(ready.mapInArrow(run, T.StructType([*fields, *[T.StructField(n, T.DoubleType()) for n in out_names]])))
+    def run(b):
+        raw = b"".join(no_halo if x is None else x for x in b.column(2).to_pylist())
+        # blocks and their channels one above the other: cell z of channel c of block i is z + (i k + c) m
+        tall = np.moveaxis(np.frombuffer(raw, dtype).reshape(b.num_rows, m, m, m, k), 4, 1).reshape(-1, m, m).astype(np.float64)
+        base = [c * edge for c in H.block_xyz(b.column(0).to_numpy(), grid)]
+        of = np.repeat(np.arange(b.num_rows), b.column(1).value_lengths().to_numpy())
+        rows = b.column(1).flatten()
+        for lo in range(0, len(of), max(1, STEP // k)):
+            some, block = rows.slice(lo, max(1, STEP // k)), of[lo:lo + max(1, STEP // k)]
+            pos = [some.field(a).to_numpy(zero_copy_only=False).astype(np.float64) for a in at]
+            lost = ~np.isfinite(pos[0] + pos[1] + pos[2])
+            pos = [np.clip(np.where(lost, s0[block] + 0.5, p), 0.0, s) for p, s0, s in zip(pos, base, dims)]
+            start = [s0[block] for s0 in base]
+            floor = np.concatenate([start[2] - (block * k + c) * m for c in range(k)])
+            got = fn(tall, [np.tile(p, k) for p in pos], [np.tile(start[0], k), np.tile(start[1], k), floor], h)
+            values = [got[n].reshape(k, -1)[c] for c in range(k) for n in names]
+            yield pa.RecordBatch.from_arrays([*[some.field(f.name) for f in fields], *[pa.array(v, mask=lost) for v in values]],
+                                             names=[*[f.name for f in fields], *out_names])
+
+    return restore_copies(ready.mapInArrow(H.stacks(run, TALL), T.StructType([*fields, *[T.StructField(n, T.DoubleType()) for n in out_names]])))

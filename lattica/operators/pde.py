@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -159,14 +159,11 @@ def _bounded(new: DataFrame, start: DataFrame, step: Step, dtype: str) -> DataFr
     down, up = step.band
     both = new.join(start.select("bid", F.col("data").alias("ref")), "bid")
 
-    @F.pandas_udf("binary")
-    def hold(data: pd.Series, ref: pd.Series) -> pd.Series:
-        def one(d, r):
-            v, s = np.frombuffer(d, dtype), np.frombuffer(r, dtype)
-            return np.clip(v, np.maximum(s - down, 0.0), np.minimum(s + up, 1.0)).astype(dtype).tobytes()
-        return data.combine(ref, one)
+    def hold(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        v, s = (np.frombuffer(b"".join(b.column(i).to_pylist()), dtype).reshape(b.num_rows, -1) for i in (1, 2))
+        yield pa.RecordBatch.from_arrays([b.column(0), H.bytes_column(np.clip(v, np.maximum(s - down, 0.0), np.minimum(s + up, 1.0)).astype(dtype))], names=["bid", "data"])
 
-    return both.select("bid", hold("data", "ref").alias("data"))
+    return both.select("bid", "data", "ref").mapInArrow(H.stacks(hold), H.PACKED)
 
 
 # --- 3x3x3 blur and sharpen -------------------------------------------------------

@@ -65,24 +65,18 @@ def pack_system(faces: DataFrame, grid: Grid, dtype: str = "float64") -> DataFra
     """
     n = grid.bsx
     cols = faces.withColumns({"inv": inverse_diagonal(), "fluid": F.col("fluid").cast("double")})
-    lists = cols.select(K.cell_block_id("x", "y", "z", grid).alias("bid"), F.struct(
-        K.voxel_id("x", "y", "z", n).cast("int").alias("vid"), *[F.col(c).cast("double").alias(c) for c in SYSTEM]).alias("s")
-    ).groupBy("bid").agg(F.collect_list("s").alias("cv"))
-
-    def run(batches):
-        for whole in batches:
-            for at in range(0, whole.num_rows, H.STACK):
-                b = whole.slice(at, H.STACK)
-                cv = b.column(1)
-                rows = np.repeat(np.arange(b.num_rows), np.diff(cv.offsets.to_numpy()))
-                flat = cv.flatten()
-                vid = flat.field(0).to_numpy()
-                out = np.zeros((b.num_rows, len(SYSTEM), n**3), dtype)
-                for k in range(len(SYSTEM)):
-                    out[rows, k, vid] = flat.field(k + 1).to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([b.column(0), H.bytes_column(out)], names=["bid", "system"])
-
-    return lists.mapInArrow(run, "bid bigint, system binary")
+    keyed = cols.select(K.cell_block_id("x", "y", "z", grid).alias("bid"), K.voxel_id("x", "y", "z", n).cast("int").alias("vid"),
+                        *[F.col(c).cast("double").alias(c) for c in SYSTEM])
+
+    def run(rows: pa.Table) -> pa.Table:
+        bid, at = np.unique(rows["bid"].to_numpy(), return_inverse=True)
+        out = np.zeros((len(bid), len(SYSTEM), n**3), dtype)
+        vid = rows["vid"].to_numpy()
+        for k, c in enumerate(SYSTEM):
+            out[at, k, vid] = rows[c].to_numpy()
+        return pa.table([pa.array(bid), H.bytes_column(out)], names=["bid", "system"])
+
+    return H.in_runs(keyed).applyInArrow(run, "bid bigint, system binary")
 
 
 def relax(x: DataFrame, system: DataFrame, grid: Grid, *, h: float = 1.0, omega: float = 0.8, iterations: int = 1,
@@ -93,20 +87,21 @@ def relax(x: DataFrame, system: DataFrame, grid: Grid, *, h: float = 1.0, omega:
     """
     n = grid.bsx
 
-    def sweep(batches):
-        for whole in batches:
-            for at in range(0, whole.num_rows, H.STACK):
-                b = whole.slice(at, H.STACK)
-                bid = b.column(0).to_numpy()
-                halo = H.assemble(bid, b.column(1).to_pylist(), grid, 1, dtype, "empty", 0.0)
-                s = H.stack_column(b.column(2), (len(SYSTEM), n, n, n), dtype)
-                rhs, inv, fluid, w = s[:, 0], s[:, 1], s[:, 2], s[:, 3:]
-                for _ in range(inner):
-                    old = halo[:, 1:-1, 1:-1, 1:-1]
-                    flow = h * sum(w[:, i] * H.shifted(halo, 1, *o) for i, o in enumerate(FACES))
-                    new = ((rhs + flow) * inv * (omega / h) + (1.0 - omega) * old) * (fluid > 0)
-                    halo[:, 1:-1, 1:-1, 1:-1] = new
-                yield pa.RecordBatch.from_arrays([b.column(0), H.bytes_column(halo[:, 1:-1, 1:-1, 1:-1].astype(dtype))], names=["bid", "data"])
+    def sweep(pieces: pa.Table, systems: pa.Table) -> pa.Table:
+        held = systems["bid"].to_numpy()
+        bid, *parts = H.receivers(pieces.filter(pa.array(np.isin(pieces["bid"].to_numpy(), held))))
+        if not len(bid):
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.binary())], names=["bid", "data"])
+        halo = H.assemble(bid, *parts, grid, 1, dtype, "empty", 0.0)
+        order = np.argsort(held)
+        s = H.stack_column(systems["system"].take(pa.array(order[np.searchsorted(held[order], bid)])), (len(SYSTEM), n, n, n), dtype)
+        rhs, inv, fluid, w = s[:, 0], s[:, 1], s[:, 2], s[:, 3:]
+        for _ in range(inner):
+            old = halo[:, 1:-1, 1:-1, 1:-1]
+            flow = h * sum(w[:, i] * H.shifted(halo, 1, *o) for i, o in enumerate(FACES))
+            new = ((rhs + flow) * inv * (omega / h) + (1.0 - omega) * old) * (fluid > 0)
+            halo[:, 1:-1, 1:-1, 1:-1] = new
+        return pa.table([pa.array(bid), H.bytes_column(halo[:, 1:-1, 1:-1, 1:-1].astype(dtype))], names=["bid", "data"])
 
     bx, by, bz = K.block_coords("bid", grid)
     parity = (bx + by + bz).bitwiseAND(F.lit(1))
@@ -118,8 +113,9 @@ def relax(x: DataFrame, system: DataFrame, grid: Grid, *, h: float = 1.0, omega:
                 x = x.join(block_filter.select("bid", F.lit(True).alias("sel")), "bid", "left")
                 active = active & F.coalesce("sel", F.lit(False))
             todo = x.where(active).select("bid")
-            parts = H.exchange(x.select("bid", "data"), grid, 1, dtype).join(todo, "bid", "left_semi")
-            fresh = parts.join(system, "bid").mapInArrow(sweep, H.PACKED)
+            pieces = H.slabs(x.select("bid", "data"), grid, 1, dtype)
+            pieces = pieces.where(parity == (1 - turn if not reverse else turn)) if block_filter is None else pieces.join(todo, "bid", "left_semi")
+            fresh = H.in_runs(pieces).cogroup(H.in_runs(system)).applyInArrow(sweep, H.PACKED)
             x = cut_lineage(fresh.unionByName(x.where(~active).select("bid", "data")))
     return x
 
