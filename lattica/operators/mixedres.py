@@ -6,6 +6,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types
@@ -17,47 +18,90 @@ from lattica.schema import BLOCK_FLAGS, Grid
 
 SAME, FROM_FINE, FROM_COARSE = 0, 1, 2
 """How a face neighbour relates: equal level, four finer cells, one coarser cell."""
+REGION = 32  # finest cells along a region that is looked through at once
 
 
 def face_neighbours(cells: DataFrame, values: list[str], grid: Grid) -> DataFrame:
     """Each cell with its six face neighbours on whatever level they live.
 
     ``cells`` hold (level, x, y, z, values) in level units; neighbouring levels differ
-    by at most one.  A cell sends itself to the same-level, coarser and finer cells
-    behind its faces, levels being told apart by who exists; one combinable
-    aggregation collects it all.  Columns per face i: ``kind_i`` and ``<value>_i``
-    (the mean where the neighbour is finer).
+    by at most one.  A cell goes to the regions of REGION finest cells that it or a cell
+    behind its faces lies in; there it reaches the same-level, coarser and finer cells behind
+    its faces, levels being told apart by who exists.  Columns per face i: ``kind_i`` and
+    ``<value>_i`` (the mean where the neighbour is finer).
     """
-    targets = []
-    edge = K.shr(F.lit(grid.bsx), "level").cast("bigint")
-    xyz = [F.col(c) for c in "xyz"]
-    for i, o in enumerate(FACES):
-        back = i ^ 1  # the receiver sees the sender through the opposite face
-        moved = [c + d for c, d in zip(xyz, o)]
-        axis = [abs(d) for d in o].index(1)
-        at_edge = (xyz[axis] % edge) == (edge - 1 if sum(o) > 0 else F.lit(0))
-        same = F.struct(F.lit(back).alias("f"), F.lit(SAME).alias("k"), F.col("level").cast("int").alias("l"),
-                        *[m.alias(c) for m, c in zip(moved, "xyz")])
-        targets.append(same)
-        coarse = F.struct(F.lit(back).alias("f"), F.lit(FROM_FINE).alias("k"), (F.col("level") + 1).cast("int").alias("l"),
-                          *[F.floor(m / 2).cast("bigint").alias(c) for m, c in zip(moved, "xyz")])
-        targets.append(F.when(at_edge, coarse))
-        for p in (0, 1):
-            for q in (0, 1):
-                sub = iter((p, q))
-                fine = [(c * 2 + (2 if sum(o) > 0 else -1)) if k == axis else c * 2 + next(sub) for k, c in enumerate(xyz)]
-                targets.append(F.when(at_edge, F.struct(
-                    F.lit(back).alias("f"), F.lit(FROM_COARSE).alias("k"), (F.col("level") - 1).cast("int").alias("l"),
-                    *[m.alias(c) for m, c in zip(fine, "xyz")])))
-    own = F.struct(F.lit(-1).alias("f"), F.lit(-1).alias("k"), F.col("level").cast("int").alias("l"), *[c.alias(n) for c, n in zip(xyz, "xyz")])
-    sent = cells.select("level", *xyz, *values, F.explode(F.array_compact(F.array(own, *targets))).alias("t")).select(
-        F.col("t.l").alias("level"), *[F.col(f"t.{c}").alias(c) for c in "xyz"], "t.f", "t.k", *values)
-    aggs = [F.bool_or(F.col("f") == -1).alias("own"), *[F.max(F.when(F.col("f") == -1, F.col(v))).alias(v) for v in values]]
-    for i in range(6):
-        here = F.col("f") == i
-        aggs.append(F.max(F.when(here, F.col("k"))).alias(f"kind_{i}"))
-        aggs += [F.avg(F.when(here, F.col(v))).alias(f"{v}_{i}") for v in values]
-    return sent.groupBy("level", "x", "y", "z").agg(*aggs).where("own").drop("own")
+    axes = ("x", "y", "z")
+    types_ = {f.name: f.dataType for f in cells.schema}
+    sent = cells.select(F.col("level").cast("int").alias("level"), *[K.big(a).alias(a) for a in axes], *[F.col(v).cast("double").alias(v) for v in values])
+    for a in axes:
+        # no cell behind a face begins more than two cells away
+        lo, hi = (F.floor((F.col(a) + d) * F.pow(F.lit(2.0), F.col("level")) / REGION).cast("bigint") for d in (-2, 2))
+        sent = sent.where(F.col(a).isNotNull()).withColumn(f"__{a}", F.explode(F.sequence(lo, hi)))
+    n_levels, bsx, faces = grid.n_levels, grid.bsx, list(FACES)
+    schema = types.StructType([types.StructField("level", types.IntegerType()), *[types.StructField(a, types.LongType()) for a in axes],
+                               *[types.StructField(v, types.DoubleType()) for v in values],
+                               *[f for i in range(6) for f in (types.StructField(f"kind_{i}", types.IntegerType()),
+                                                               *[types.StructField(f"{v}_{i}", types.DoubleType()) for v in values])]])
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        base = [k.as_py() * REGION for k in key]
+        level, at = rows["level"].to_numpy(), [rows[a].to_numpy() for a in axes]
+        value = {v: rows[v].to_numpy() for v in values}
+        known = {v: rows[v].is_valid().to_numpy() for v in values}
+
+        def place(lv: np.ndarray, c: list[np.ndarray]) -> np.ndarray:
+            """Where a cell that begins in this region stands in the index, else -1."""
+            rel, ok = [], (lv >= 0) & (lv < n_levels)
+            up = np.clip(lv, 0, n_levels)
+            for p, b in zip(c, base):
+                r = p - (b >> up)
+                ok &= (r >= 0) & (r < REGION >> up)
+                rel.append(r)
+            return np.where(ok, ((lv * REGION + rel[2]) * REGION + rel[1]) * REGION + rel[0], -1)
+
+        here = place(level, at)
+        own, first, slot = np.unique(here[here >= 0], return_index=True, return_inverse=True)
+        first, mine = np.flatnonzero(here >= 0)[first], here >= 0
+        index = np.full(n_levels * REGION**3 + 1, -1, np.int64)  # the last place stands for none
+        index[own] = np.arange(len(own))
+        n = len(own)
+        kind = np.full((6, n), -1, np.int32)
+        total, count = ({v: np.zeros((6, n)) for v in values} for _ in range(2))
+
+        def tell(some: np.ndarray, face: int, k: int, lv: np.ndarray, c: list[np.ndarray]) -> None:
+            to = index[place(lv, c)]
+            some, to = some[to >= 0], to[to >= 0]
+            np.maximum.at(kind[face], to, k)
+            for v in values:
+                there = known[v][some]
+                total[v][face] += np.bincount(to[there], value[v][some[there]], n)
+                count[v][face] += np.bincount(to[there], minlength=n)
+
+        everyone = np.arange(len(level))
+        for i, o in enumerate(faces if n else ()):
+            back = i ^ 1  # the receiver sees the sender through the opposite face
+            axis = [abs(d) for d in o].index(1)
+            tell(everyone, back, SAME, level, [c + d for c, d in zip(at, o)])
+            edge = bsx >> level
+            some = np.flatnonzero((edge > 0) & (np.fmod(at[axis], np.maximum(edge, 1)) == (edge - 1 if sum(o) > 0 else 0)))
+            lv, c = level[some], [p[some] for p in at]
+            tell(some, back, FROM_FINE, lv + 1, [(p + d) // 2 for p, d in zip(c, o)])
+            for p in (0, 1):
+                for q in (0, 1):
+                    sub = iter((p, q))
+                    tell(some, back, FROM_COARSE, lv - 1, [(w * 2 + (2 if sum(o) > 0 else -1)) if k == axis else w * 2 + next(sub) for k, w in enumerate(c)])
+        out = [pa.array(level[first], pa.int32()), *[pa.array(c[first]) for c in at]]
+        for v in values:
+            best, some = np.full(n, np.nan), known[v][mine]
+            np.fmax.at(best, slot[some], value[v][mine][some])
+            out.append(pa.array(best, mask=np.bincount(slot[some], minlength=n) == 0))
+        for i in range(6):
+            out.append(pa.array(kind[i], mask=kind[i] < 0))
+            out += [pa.array(total[v][i] / np.maximum(count[v][i], 1), mask=count[v][i] == 0) for v in values]
+        return pa.table(out, names=[f.name for f in schema])
+
+    got = sent.groupBy(*[f"__{a}" for a in axes]).applyInArrow(run, schema)
+    return got.withColumns({v: F.col(v).cast(types_[v]) for v in values})
 
 
 def scalar_derivatives(faces: DataFrame, value: str, fluid: str | None = None, h0: float = 1.0) -> dict[str, Column]:

@@ -378,3 +378,16 @@ def test_neighbours_are_looked_up_by_cube(spark):
     assert got == {(None, 1, 2): (1.0, 3, 1.0, 1.0, None), (None, 2, 2): (None, 2, None, None, None), (31, 0, 0): (2.0, 1, None, 3.0, None),
                    (32, 0, 0): (3.0, 1, 2.0, None, None), (-1, 0, 0): (7.0, 2, None, 5.0, None), (0, 0, 0): (5.0, 1, 7.0, None, None)}
     assert "FlatMapGroupsInArrow" in plan_of(df)
+
+
+def test_face_neighbours_are_looked_up_by_region(spark):
+    """A coarse cell beside four fine ones across a region's face; null values count for the kind only; nothing is grouped by target cell."""
+    g = Grid(64, 8, 8, 4, 2)
+    rows = [(1, 15, 0, 0, 10.0), (0, 32, 0, 0, 1.0), (0, 32, 1, 0, 2.0), (0, 32, 0, 1, 3.0), (0, 32, 1, 1, None), (0, 33, 0, 0, 5.0)]
+    df = M.face_neighbours(spark.createDataFrame(rows, "level int, x bigint, y bigint, z bigint, v double"), ["v"], g)
+    got = {(r.level, r.x, r.y, r.z): r for r in df.collect()}
+    assert len(got) == 6 and "FlatMapGroupsInArrow" in plan_of(df)
+    coarse, fine = got[1, 15, 0, 0], got[0, 32, 0, 0]
+    assert (coarse.kind_1, coarse.v_1, coarse.kind_0) == (M.FROM_FINE, 2.0, None)
+    assert (fine.kind_0, fine.v_0, fine.kind_1, fine.v_1, fine.v) == (M.FROM_COARSE, 10.0, M.SAME, 5.0, 1.0)
+    assert got[0, 32, 1, 1].v is None and (got[0, 32, 1, 0].kind_5, got[0, 32, 1, 0].v_5) == (M.SAME, None)
