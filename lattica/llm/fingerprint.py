@@ -29,7 +29,12 @@ GRID = 192
 """About the most samples of a text; the number of zero bits asked for grows with its length."""
 PARTS = 100_000
 """Most parts; larger ones stream through their tasks row by row."""
-PART_BYTES = 8 << 20
+PART_BYTES = 2 << 20
+"""About the texts of a part, which meets a worker as a group of its own; one that equal or null ids make larger comes in Spark's batches."""
+TASK_PARTS = 2
+"""Parts a task gets, on average."""
+OUT_BYTES = 1 << 20
+"""Results of this size leave the worker."""
 
 INVERSES = np.array([[pow(int(b), int(m) - 2, int(m))] for b, m in zip(BASES[:, 0], MODULI[:, 0])], np.uint64)
 """Of the bases, by Fermat's exponent."""
@@ -211,8 +216,11 @@ _OUT = ["doc_id", "n_chars", "edited_text", "fingerprint", "edited_fingerprint",
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come part by part in order, a part's last row being the one that follows it."""
-    last = None
+    """Rows come part by part in order, a part's last row being the one that follows it.
+
+    A text leaves its batch when its turn comes, and results leave while the batch is read.
+    """
+    last, out, held = None, [], 0
 
     def row(one, nxt):
         (_, doc_id, text, p, fp), (_, _, following, q, fq) = one, nxt
@@ -220,16 +228,24 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fe = Fingerprint(e)
         return doc_id, p.n, edited, str(fp), str(fe), fp.likeness(fe), fp.likeness(fq)
 
+    def batch(rows):
+        return pa.record_batch([pa.array(x) if k != 0 else pa.array(x, pa.int64()) for k, x in enumerate(zip(*rows))], names=_OUT)
+
     for b in batches:
-        out = []
-        for part, carry, doc_id, text in zip(*(b.column(c).to_pylist() for c in ("part", "carry", "doc_id", "text"))):
+        columns = [b.column(c) for c in ("part", "carry", "doc_id", "text")]
+        for k in range(b.num_rows):
+            part, carry, doc_id, text = (c[k].as_py() for c in columns)
             p = Prefix(text)
             now = (part, doc_id, text, p, Fingerprint(p))
             if last is not None and last[0] == part:
                 out.append(row(last, now))
+                held += sum(map(len, out[-1][2:5]))
+                if held >= OUT_BYTES:
+                    yield batch(out)
+                    out, held = [], 0
             last = None if carry else now
-        if out:
-            yield pa.record_batch([pa.array(x) if k != 0 else pa.array(x, pa.int64()) for k, x in enumerate(zip(*out))], names=_OUT)
+    if out:
+        yield batch(out)
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -242,7 +258,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """
     src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n = max(1, min(PARTS, C.total_bytes(src) // PART_BYTES))
-    cuts = src.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], 100 * n)).first()[0]
+    cuts = src.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], 25 * n)).first()[0]
     bounds = np.unique(np.array(cuts or [], np.int64))  # at most PARTS ids: a document's part is found by value
 
     @F.pandas_udf(T.IntegerType())
@@ -250,14 +266,15 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         return pd.Series(np.searchsorted(bounds, v.to_numpy(np.int64), side="left").astype(np.int32))
 
     dealt = src.withColumn("part", F.when(F.col("doc_id").isNull(), -1).otherwise(part_of(F.coalesce("doc_id", F.lit(0)))))
-    heads = dealt.groupBy("part").agg(F.max("doc_id").alias("head"))  # one row per part
-    first_texts = dealt.alias("d").join(F.broadcast(heads).alias("h"), F.expr("d.part = h.part and d.doc_id <=> h.head")).groupBy(
-        F.col("h.part").alias("part")).agg(F.min("text").alias("text"))
-    line = Window.partitionBy(F.lit(0)).orderBy(F.col("part").desc())  # at most PARTS + 2 rows
+    line = Window.partitionBy(F.lit(0)).orderBy(F.col("part").desc())  # at most PARTS + 2 rows of three numbers
     whole = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    carry = first_texts.select("part", F.coalesce(F.lead("text").over(line), F.first("text").over(whole)).alias("text"))
+    heads = dealt.groupBy("part").agg(F.max("doc_id").alias("head")).withColumn(
+        "before", F.coalesce(F.lag("part").over(line), F.last("part").over(whole)))
+    # a part's first text ends the part before it
+    carry = dealt.alias("d").join(F.broadcast(heads).alias("h"), F.expr("d.part = h.part and d.doc_id <=> h.head")).groupBy(
+        F.col("h.before").alias("part")).agg(F.min("text").alias("text"))
     rows = dealt.select("part", F.lit(0).alias("carry"), "doc_id", "text").unionByName(
         carry.select("part", F.lit(1).alias("carry"), F.lit(None).cast("bigint").alias("doc_id"), "text"))
-    laid = rows.repartition(n + 1, "part").sortWithinPartitions("part", "carry", F.col("doc_id").desc_nulls_last(), "text")
-    return laid.mapInArrow(_compare, "doc_id bigint, n_chars bigint, edited_text string, fingerprint string, "
-                                     "edited_fingerprint string, near_edited double, near_next double")
+    laid = rows.repartition(n // TASK_PARTS + 1, "part").sortWithinPartitions("part", "carry", F.col("doc_id").desc_nulls_last(), "text")
+    return laid.groupBy("part").applyInArrow(_compare, "doc_id bigint, n_chars bigint, edited_text string, fingerprint string, "
+                                                       "edited_fingerprint string, near_edited double, near_next double")

@@ -1,6 +1,8 @@
 import hashlib
 import random
+from collections.abc import Iterator
 
+import pyarrow as pa
 import pytest
 
 from lattica.llm import common as C
@@ -47,6 +49,33 @@ def test_edges(spark):
     assert len(one) == 1 and one[0].near_next == 1.0
 
 
+def test_a_batch_holds_one_part(spark, monkeypatch):
+    names = P._OUT
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.record_batch([pa.array([len(set(b.column("part").to_pylist()))], pa.int64()), pa.array([b.num_rows], pa.int64())] + [
+                pa.array(["" if k < 3 else 0.0]) for k in range(5)], names=names)
+
+    monkeypatch.setattr(P, "PART_BYTES", 10_000)
+    monkeypatch.setattr(P, "_compare", probe)
+    df = spark.range(2000).selectExpr("id as doc_id", "repeat(string(id % 10), 100) as text")
+    got = P.with_next(df).collect()
+    assert {r.doc_id for r in got} == {1} and len(got) > 10 and max(r.n_chars for r in got) < 250
+    assert sum(r.n_chars for r in got) == 2000 + len(got)  # with the row that follows each part
+
+
+def test_results_leave_while_a_batch_is_read():
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abcdé ") for _ in range(3000)) for _ in range(600)]
+    n = len(texts)
+    rows = pa.record_batch([pa.array([1] * n, pa.int32()), pa.array([0] * (n - 1) + [1], pa.int32()), pa.array(range(n, 0, -1), pa.int64()), pa.array(texts)],
+                           names=["part", "carry", "doc_id", "text"])
+    got = list(P._compare(iter([rows])))
+    assert [d for b in got for d in b.column("doc_id").to_pylist()] == list(range(n, 1, -1))
+    assert len(got) > 1 and all(b.nbytes < 2 << 20 for b in got)
+
+
 def test_spans_and_extensions():
     rng = random.Random(2)
     for _ in range(60):
