@@ -165,6 +165,22 @@ def pyramid(pixels: DataFrame, size: tuple[int, int], value: str, levels: int, a
 LAPLACIAN_SCALE = 1000.0
 
 
+def _up_taps(c: Column, n_src: int, n_dst: int, w: dict[int, float]) -> Column:
+    """Targets x that read coarse source c at (x + d)/2 for even x + d, clamped (|d| <= 2): array of (t, w)."""
+    out = []
+    for k in range(-max(w), -min(w) + 1):
+        x = c * 2 + k
+        low = 2.0 * sum(v for d, v in w.items() if (k + d) % 2 == 0 and k + d < 0)
+        high = 2.0 * sum(v for d, v in w.items() if (k + d) % 2 == 0 and k + d > 0)
+        weight = F.lit(2.0 * w.get(-k, 0.0))
+        if low:
+            weight = weight + F.when(c == 0, low).otherwise(0.0)
+        if high:
+            weight = weight + F.when(c == n_src - 1, high).otherwise(0.0)
+        out.append(F.struct(x.alias("t"), F.when((x >= 0) & (x < n_dst), weight).otherwise(0.0).alias("w")))
+    return F.array(*out)
+
+
 def _expanded(coarse: DataFrame, value: str, size: tuple[int, int], a: float) -> DataFrame:
     """Weighted copies of a coarse level at the finer pixels that read it, not yet summed.
 
@@ -175,7 +191,7 @@ def _expanded(coarse: DataFrame, value: str, size: tuple[int, int], a: float) ->
     half = tuple((n + 1) // 2 for n in size)
     df = coarse.select("x", "y", value)
     for c, m, n in zip("xy", half, size):
-        df = df.withColumn(f"__{c}", F.explode(Y.up_taps(F.col(c), m, n, w))).where(F.col(f"__{c}.w") != 0)
+        df = df.withColumn(f"__{c}", F.explode(_up_taps(F.col(c), m, n, w))).where(F.col(f"__{c}.w") != 0)
     return df.select(F.col("__x.t").alias("x"), F.col("__y.t").alias("y"), (F.col(value) * F.col("__x.w") * F.col("__y.w")).alias(value))
 
 
